@@ -24,7 +24,8 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go."""
-    return judged(docs, keep=COLUMNS).where("kept").select("row.*")
+    # exploding none or one, not a filter: the optimizer would push the verdict's whole expression below the columns it is made of
+    return judged(docs, keep=COLUMNS).select(F.explode(F.when(F.col("kept"), F.array("row"))).alias("row")).select("row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
