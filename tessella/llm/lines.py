@@ -29,7 +29,7 @@ BLANK = " \t\x0b\x0c\r"
 
 @dataclass(frozen=True)
 class LineParams:
-    max_ratio: float = 0.02
+    max_ratio: float = 0.05
     min_pages: int = 5
 
 

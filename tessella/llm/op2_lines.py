@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .lines import LineParams, clean
 
-P = LineParams(max_ratio=0.02, min_pages=5)
+P = LineParams()
 
 #: Fixed patterns: what is cut, what ends a line, and all other markup.
 CUT = r"(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->"
