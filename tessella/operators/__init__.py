@@ -1 +1 @@
-"""operators"""
+"""Relational operators: DataFrames in, DataFrames out."""

@@ -1 +1 @@
-"""sources"""
+"""Readers and writers of feature collections, annotation files, tile inventories and reports."""

@@ -1 +1 @@
-"""streaming"""
+"""Structured Streaming twins of the event log and event-time windows."""
