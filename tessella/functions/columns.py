@@ -39,7 +39,7 @@ def natural_key(text: Column) -> list[Column]:
 
 
 def distance_text(metres: Column) -> Column:
-    return F.when(metres >= 1000, F.format_string("%.2f km", metres / 1000)).otherwise(F.format_string("%d m", F.round(metres, 0).cast("long")))
+    return F.when(metres >= 1000, F.format_string("%.2f km", F.round(metres / 1000, 2))).otherwise(F.format_string("%d m", F.round(metres, 0).cast("long")))
 
 
 def excess_green(r: Column, g: Column, b: Column, dark: float = 30.0) -> Column:

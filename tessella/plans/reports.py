@@ -312,7 +312,7 @@ def q54_adaptive_minimum(spark, sf):
 
 
 @query(
-    """SELECT n_name AS block_id, count(*) AS patterns, sum(p) AS total_rows, arg_max(c_mktsegment, (a, c_mktsegment)) AS main FROM (SELECT c_nationkey, c_mktsegment, count(*) AS p, round(sum(c_acctbal), 2) AS a FROM customer GROUP BY ALL) JOIN nation ON c_nationkey = n_nationkey GROUP BY 1"""
+    """SELECT n_name AS block_id, count(*) AS patterns, sum(p)::BIGINT AS total_rows, arg_max(c_mktsegment, (a, c_mktsegment)) AS main FROM (SELECT c_nationkey, c_mktsegment, count(*) AS p, round(sum(c_acctbal), 2) AS a FROM customer GROUP BY ALL) JOIN nation ON c_nationkey = n_nationkey GROUP BY 1"""
 )
 def q55_assign_blocks(spark, sf):
     c = table(spark, sf, "customer").groupBy("c_nationkey", "c_mktsegment").agg(F.count("*").alias("p"), F.round(F.sum("c_acctbal"), 2).alias("a"))

@@ -97,7 +97,7 @@ def q17_shoelace_area(spark, sf):
     return table(spark, sf, "embeddings").withColumn("ring", ring).select("vec_id", F.round(C.shoelace(F.col("ring")), 5).alias("area"))
 
 
-@query("SELECT c_custkey, round(628992.0 + c_acctbal * 0.025, 6) AS x, round(5221222.4 - c_custkey * 0.025, 6) AS y, round((628992.0 + c_acctbal * 0.025 - 628992.0) / 0.025, 3) AS col, round((5221222.4 - (5221222.4 - c_custkey * 0.025)) / 0.025, 3) AS row FROM customer")
+@query("SELECT c_custkey, round(628992.0 + c_acctbal * 0.025, 6) AS x, round(5221222.4 - c_custkey::DOUBLE * 0.025, 6) AS y, round((628992.0 + c_acctbal * 0.025 - 628992.0) / 0.025, 3) AS col, round((5221222.4 - (5221222.4 - c_custkey::DOUBLE * 0.025)) / 0.025, 3) AS row FROM customer")
 def q18_affine_roundtrip(spark, sf):
     x, y = C.to_world(F.col("c_acctbal"), F.col("c_custkey"), 628992.0, 5221222.4, 0.025)
     col, row = C.to_pixel(x, y, 628992.0, 5221222.4, 0.025)
