@@ -106,7 +106,7 @@ def q70_row_edits(spark, sf):
 
 
 @query(
-    """SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'harvest' WHEN 'O' THEN 'sale' ELSE 'gift' END IN ('harvest', 'sale', 'loss') AND o_totalprice - 100000 > 0 AS valid, CASE WHEN o_totalprice >= 1000 THEN format('{:.2f} km', round(o_totalprice / 1000, 2)) ELSE format('{:d} m', round(o_totalprice, 0)::BIGINT) END AS distance FROM orders"""
+    """SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'harvest' WHEN 'O' THEN 'sale' ELSE 'gift' END IN ('harvest', 'sale', 'loss') AND o_totalprice - 100000 > 0 AS valid, CASE WHEN o_totalprice >= 1000 THEN round((o_totalprice / 1000)::DECIMAL(18, 6), 2)::DECIMAL(18, 2)::VARCHAR || ' km' ELSE format('{:d} m', round(o_totalprice, 0)::BIGINT) END AS distance FROM orders"""
 )
 def q71_record_guard(spark, sf):
     o = table(spark, sf, "orders")
