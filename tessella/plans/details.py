@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators import details as D
 from ..operators import inspection as I
+from ..operators import scenes as N
 from .reports import table
 
 QUERIES: dict = {}
@@ -168,3 +169,64 @@ def q76_row_structure(spark, sf):
 def q77_regressions(spark, sf):
     e = table(spark, sf, "events")
     return I.regressions(e.where("value > 30").select(F.col("event_id").alias("verdict_id")), e.select(F.col("event_id").alias("id"), F.col("event_type").alias("verdict")))
+
+
+@query("SELECT l_suppkey, l_returnflag, arg_max(l_orderkey, (l_shipdate, l_orderkey, l_partkey, l_linenumber, l_extendedprice)) AS l_orderkey, max(l_shipdate) AS l_shipdate FROM lineitem GROUP BY ALL")
+def q78_upsert(spark, sf):
+    l = table(spark, sf, "lineitem").select("l_suppkey", "l_returnflag", "l_orderkey", "l_shipdate", F.struct("l_shipdate", "l_orderkey", "l_partkey", "l_linenumber", "l_extendedprice").alias("seq"))
+    return N.upsert(l, ["l_suppkey", "l_returnflag"], "seq").drop("seq")
+
+
+_PTS = "p AS (SELECT c_custkey AS id, c_acctbal AS x, (c_custkey * 37 % 1009)::DOUBLE AS y, c_mktsegment AS verdict FROM customer), a AS (SELECT * FROM p WHERE id % 3 = 0), b AS (SELECT * FROM p WHERE id % 3 = 1)"
+
+
+def _points(spark, sf):
+    return table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("x"), (F.col("c_custkey") * 37 % 1009).cast("double").alias("y"), F.col("c_mktsegment").alias("verdict"))
+
+
+@query(f"WITH {_PTS} SELECT id, verdict, 0 AS rank FROM a UNION ALL SELECT id, verdict, 1 FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= 40)")
+def q79_label_precedence(spark, sf):
+    p = _points(spark, sf)
+    return N.by_precedence([p.where("id % 3 = 0"), p.where("id % 3 = 1")], 40.0).select("id", "verdict", "rank")
+
+
+@query(f"WITH {_PTS}, m AS (SELECT b.id, min((sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)), a.id)) AS m FROM b JOIN a ON sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= 60 GROUP BY 1) SELECT b.id, m[2] AS node, round(m[1], 4) AS distance FROM b LEFT JOIN m ON b.id = m.id")
+def q80_snapped(spark, sf):
+    p = _points(spark, sf)
+    return N.snapped(p.where("id % 3 = 1"), p.where("id % 3 = 0").withColumnRenamed("id", "node"), 60.0).withColumn("distance", F.round("distance", 4))
+
+
+@query(
+    f"""WITH {_PTS}, m AS (SELECT b.id, a.verdict AS part, min((sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)), a.id)) AS m FROM b JOIN a ON sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= 120 GROUP BY ALL) SELECT id, m[2] AS node, rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY m) AS rank FROM m) WHERE rank <= 3"""
+)
+def q81_candidates(spark, sf):
+    p = _points(spark, sf)
+    return N.candidates(p.where("id % 3 = 1"), p.where("id % 3 = 0").select(F.col("id").alias("node"), "x", "y", F.col("verdict").alias("part")), 120.0, 3)
+
+
+@query(
+    """WITH s AS (SELECT vec_id AS id, embedding[1]::DOUBLE * 10 AS x0, embedding[2]::DOUBLE * 10 AS y0, embedding[3]::DOUBLE * 10 AS x1, embedding[4]::DOUBLE * 10 AS y1 FROM embeddings), n AS (SELECT *, sqrt(pow(x1 - x0, 2) + pow(y1 - y0, 2)) AS n FROM s), i AS (SELECT *, unnest(range(floor(n / 0.25)::BIGINT + 1)) AS i FROM n WHERE n > 0)
+SELECT id, i::INT AS i, round(x0 + (x1 - x0) / n * i * 0.25, 5) AS x, round(y0 + (y1 - y0) / n * i * 0.25, 5) AS y FROM i"""
+)
+def q82_points_along(spark, sf):
+    v = [(F.get("embedding", F.lit(i)).cast("double") * 10).alias(c) for i, c in enumerate(("x0", "y0", "x1", "y1"))]
+    return N.along(table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), *v), 0.25).select("id", "i", F.round("x", 5).alias("x"), F.round("y", 5).alias("y"))
+
+
+@query("WITH s AS (SELECT c_custkey AS id, 0.0 AS s, (c_custkey % 13 + 0.3)::DOUBLE AS e FROM customer), n AS (SELECT *, greatest(1, round((e - s) / 1.7, 0))::INT AS n FROM s WHERE e - s >= 0.8) SELECT id, k::INT AS k, round(s + (k - 0.5) * (e - s) / n, 6) AS centre FROM (SELECT *, unnest(range(1, n + 1)) AS k FROM n)")
+def q83_split_stretches(spark, sf):
+    s = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.lit(0.0).alias("start"), (F.col("c_custkey") % 13 + 0.3).cast("double").alias("end"))
+    return N.split_stretches(s, 0.8, 1.7).withColumn("centre", F.round("centre", 6))
+
+
+@query("SELECT o_custkey, arg_max(o_orderkey, (o_orderpriority < '3', o_orderkey % 4, -o_totalprice, -o_orderkey)) AS id FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1")
+def q84_best_route(spark, sf):
+    r = table(spark, sf, "orders").select("o_custkey", F.col("o_orderkey").alias("id"), (F.col("o_orderstatus") != "P").alias("legal"), (F.col("o_orderpriority") < "3").alias("fits"), (F.col("o_orderkey") % 4).alias("visited"), F.col("o_totalprice").alias("length_m"))
+    return N.best_route(r, ["o_custkey"])
+
+
+@query("SELECT c_custkey, z BETWEEN 0 AND 24 AND x >= 0 AND y >= 0 AND x < (1 << z) AND y < (1 << z) AS ok, round(6378137.0 * radians(lon), 3) AS mx, round(6378137.0 * ln(tan(pi() / 4 + radians(lat) / 2)), 3) AS my FROM (SELECT c_custkey, (c_custkey % 20)::INT AS z, c_custkey % 300 - 5 AS x, c_custkey % 170 AS y, c_acctbal / 100 AS lon, c_acctbal / 200 AS lat FROM customer)")
+def q85_tile_addresses(spark, sf):
+    k = F.col("c_custkey")
+    mx, my = N.to_mercator(F.col("c_acctbal") / 100, F.col("c_acctbal") / 200)
+    return table(spark, sf, "customer").select("c_custkey", N.tile_ok((k % 20).cast("int"), k % 300 - 5, k % 170).alias("ok"), F.round(mx, 3).alias("mx"), F.round(my, 3).alias("my"))

@@ -162,3 +162,22 @@ def test_world_choice(spark):
     f = lambda n, p: spark.createDataFrame([("interrow_area", None)] * n + [("interrow_area", "prediction")] * p + [("start", "organizer"), ("tile", "organizer")], "label string, source string")
     few, many = (rollup.planning_world(f(*x)).groupBy("source").count().collect() for x in ((1, 8), (2, 8)))
     assert {tuple(r) for r in few} == {("dev", 8), ("organizer", 1)} and {tuple(r) for r in many} == {(None, 2), ("organizer", 1)}
+
+
+def test_scene_operators(spark):
+    from tessella.operators import scenes as N
+
+    rows = [("f", f"r{i}", a, 10.0 - i, v) for i, (a, v) in enumerate(((10, 0.0), (12, 2.5), (178, 0.0), (11, 5.0), (3, 7.0)))]
+    got = {r["row_id"]: (r["pattern"], r["step_m"]) for r in N.angle_patterns(spark.createDataFrame(rows, "field string, row_id string, angle double, length double, v double"), 5.0).collect()}
+    assert {k: v[0] for k, v in got.items()} == {"r0": 0, "r1": 0, "r3": 0, "r2": 1, "r4": 1} and got["r0"][1] == 2.5
+    svg = '<svg><path fill="none" d="M 0 0 L 4 0 L 4 3 L 0 3 Z"/><path fill="red" d="M 0 0 L 9 0 L 9 9 Z"/><path fill="none" d="M 0 0 L 1 0 L 1 1 Z"/></svg>'
+    assert [r["area"] for r in N.svg_parcels(spark.createDataFrame([(svg,)], "svg string")).collect()] == [12.0]
+    line = N.along(spark.createDataFrame([("a", 0.0, 0.05, 1.0, 0.05)], "id string, x0 double, y0 double, x1 double, y1 double"), 0.25)
+    px = spark.createDataFrame([(0, c, c == 5, True) for c in range(10)], "row int, col int, flag boolean, valid boolean")
+    hit = {r["i"]: (r["flag"], r["seen"]) for r in N.sampled(line, px, 0.1, (-0.2, 0.0)).collect()}
+    assert hit == {0: (False, True), 1: (False, True), 2: (True, True), 3: (False, True), 4: (False, False)}
+    b = N.tile_bounds(1, 1, 0)
+    assert b[0] == pytest.approx(0) and b[1] == pytest.approx(0) and b[2] == b[3]
+    f = spark.createDataFrame([("row", None, "A", "r1", 3.0), ("waste", None, "A", None, None), ("row", "prediction", "B", "r9", 9.0)], "label string, source string, vineyard_id string, row_id string, length_m double")
+    h = N.header(f, spark.createDataFrame([("site", 0.5, 70.0), ("A", None, 9.0)], "scope string, min_confidence double, length_m double")).first()
+    assert (h["blocks"], h["rows"], h["row_m"], h["targets"], h["route_m"], len(h["routes"])) == (1, 1, 3.0, 1, 70.0, 2)
