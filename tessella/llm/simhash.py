@@ -17,7 +17,8 @@ in the members, and no group is gathered.
 
 Defined results. Null, empty and blank texts have no words: fingerprint zero, linked like any other. Texts of
 any length are processed whole, in slices of bounded memory. Repeated rows and repeated ids: each row has its
-own result. Empty tables give empty results. Only doc_id and text are read.
+own result. A null id is never a smallest id; a group of null ids has a null component_id. Empty tables give
+empty results. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -157,11 +158,14 @@ def links(reps: DataFrame, scratch: Scratch, radius: int = 4, segments: int | No
     tag = lambda i, k: (k * len(parts) + F.lit(i)).cast("long")
     home = reps.select("fp", "rep", F.explode(F.array(*[tag(i, key(a, n)) for i, (a, n, r) in enumerate(parts) if r >= 0])).alias("bucket"))
     crowded = scratch.write(home.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > dense).select("bucket"), "dense")
-    balls = [
-        F.transform(F.filter(F.transform(F.array(*[F.lit(x).cast("long") for x in _ball(n, r)]), lambda m, k=key(a, n): m.bitwiseXOR(k)), lambda x, k=key(a, n): x < k), lambda x, i=i: tag(i, x))
-        for i, (a, n, r) in enumerate(parts)
-        if r > 0
-    ]
+
+    def ball(i: int, a: int, n: int, r: int):
+        """Buckets of the smaller keys around this part of a fingerprint."""
+        own = key(a, n)  # functions of one argument: a second one would be taken for the index
+        around = F.transform(F.array(*[F.lit(x).cast("long") for x in _ball(n, r)]), lambda m: m.bitwiseXOR(own))
+        return F.transform(F.filter(around, lambda x: x < own), lambda x: tag(i, x))
+
+    balls = [ball(i, a, n, r) for i, (a, n, r) in enumerate(parts) if r > 0]
     visits = reps.select("fp", "rep", F.explode(F.concat(*balls) if balls else F.expr("cast(array() as array<bigint>)")).alias("bucket"))
     every = home.withColumn("home", F.lit(True)).unionByName(visits.withColumn("home", F.lit(False)))
     some_dense = not crowded.isEmpty()
@@ -185,7 +189,9 @@ def groups(docs: DataFrame, width: int = 4, radius: int = 4, segments: int | Non
     """(doc_id, fp, component_id) of every row; component_id is the smallest doc_id reachable."""
     scratch = Scratch(docs.sparkSession, "simhash")
     fps = scratch.write(fingerprints(docs, width), "fingerprints")
-    reps = scratch.write(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "representatives")
-    roots = components(links(reps, scratch, radius, segments, dense), scratch)
-    labels = reps.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
+    reps = scratch.write(fps.groupBy("fp").agg(F.min("doc_id").alias("low")), "representatives")
+    # fingerprints are the nodes, so that one whose ids are all null still joins its neighbours
+    roots = components(links(reps.select("fp", F.col("fp").alias("rep")), scratch, radius, segments, dense), scratch)
+    rooted = reps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    labels = rooted.select("fp", "root").join(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("fp", "component_id")
     return fps.join(labels, "fp").select("doc_id", "fp", "component_id")
