@@ -167,7 +167,7 @@ def test_world_choice(spark):
 def test_scene_operators(spark):
     from tessella.operators import scenes as N
 
-    rows = [("f", f"r{i}", a, 10.0 - i, v) for i, (a, v) in enumerate(((10, 0.0), (12, 2.5), (178, 0.0), (11, 5.0), (3, 7.0)))]
+    rows = [("f", f"r{i}", a, 10.0 - i, v) for i, (a, v) in enumerate(((10.0, 0.0), (12.0, 2.5), (178.0, 0.0), (11.0, 5.0), (3.0, 7.0)))]
     got = {r["row_id"]: (r["pattern"], r["step_m"]) for r in N.angle_patterns(spark.createDataFrame(rows, "field string, row_id string, angle double, length double, v double"), 5.0).collect()}
     assert {k: v[0] for k, v in got.items()} == {"r0": 0, "r1": 0, "r3": 0, "r2": 1, "r4": 1} and got["r0"][1] == 2.5
     svg = '<svg><path fill="none" d="M 0 0 L 4 0 L 4 3 L 0 3 Z"/><path fill="red" d="M 0 0 L 9 0 L 9 9 Z"/><path fill="none" d="M 0 0 L 1 0 L 1 1 Z"/></svg>'
