@@ -201,3 +201,58 @@ def test_route_check():
     assert not graph.check_route(walk, np.empty((0, 2)), 3.0, 0.0, 0.0, walk[0], walk[-1])["legal"]
     assert not graph.check_route(walk, np.empty((0, 2)), 0.0, 0.0, 0.0, walk[0] + 9, walk[-1])["closed"]
     assert graph.first_pass(walk, np.array([20.0, 0]), 2.0) == pytest.approx(18) and math.isnan(graph.first_pass(walk, np.array([20.0, 9]), 2.0))
+
+
+def field_picture():
+    """256 x 256 at 0.1 m: green rows 2.5 m apart, a tree, a white blob, a dark margin."""
+    rgb = np.full((256, 256, 3), (120, 110, 100), np.uint8)
+    y, x = np.mgrid[:256, :256]
+    rgb[(x % 25 < 6) & (y < 200)] = (60, 130, 50)
+    rgb[(x - 60) ** 2 + (y - 228) ** 2 < 24**2] = (50, 120, 45)
+    rgb[100:104, 65:71] = (250, 250, 250)
+    rgb[:, 246:] = 0
+    return rgb
+
+
+def test_detectors():
+    from tessella.functions import imagery as I
+
+    rgb = field_picture()
+    assert not I.visible(rgb)[:, 246:].any() and I.visible(rgb)[:, :240].all()
+    deg, spacing = I.row_angle(I.excess_green(rgb)[:200, :200], 0.1, 2.0, 3.6)
+    assert abs(deg - 90) <= 1 and spacing == pytest.approx(2.5, abs=0.05)
+    blobs = I.bright_blobs(rgb, 0.1)
+    assert len(blobs) == 1 and blobs["area_m2"][0] == pytest.approx(0.24) and abs(blobs["row"][0] - 101.5) < 0.1
+    t = I.trees(rgb, 0.1)
+    assert len(t) == 1 and abs(t["col"][0] - 60) < 1 and t["width_m"][0] > 4
+    tube = (np.mgrid[:256, :256][1] % 25 < 10) & (np.mgrid[:256, :256][0] < 200)
+    mask = I.canopy_mask(rgb, tube, 0.1, lively=0.0)
+    assert (mask == ((I.excess_green(rgb) > 0.1) & tube)).mean() > 0.99
+    pale = rgb.copy()
+    pale[(np.mgrid[:256, :256][1] < 6) & (np.mgrid[:256, :256][0] < 200)] = (118, 124, 60)
+    assert not I.canopy_mask(pale, tube, 0.1, lively=20.0)[:200, :6].any() and I.canopy_mask(pale, tube, 0.1, lively=20.0)[:200, 25:31].all()
+
+
+def test_planted_regions():
+    from tessella.functions import imagery as I
+
+    orientation = np.zeros((60, 80), int)
+    orientation[:, 40:] = 6
+    near = np.zeros((60, 80))
+    near[5:55, 5:75] = 1.0
+    found = I.planted_regions(near, np.zeros((60, 80)), orientation, 1.0, 0.5)
+    assert sorted(m for _, m in found) == [0, 6] and all(mask.sum() > 1500 for mask, _ in found)
+    assert I.planted_regions(near, near * 2, orientation, 1.0, 0.5) == []  # an orchard's spacing
+
+
+def test_scoped_routes(spark):
+    rng = np.random.default_rng(5)
+    ids = ["start", *"abcdef"]
+    xy = dict(zip(ids, rng.random((7, 2)) * 100, strict=True))
+    pairs = [(p, q, float(np.hypot(*(xy[p] - xy[q]))), 30.0 if "f" in (p, q) else 0.0) for p in ids for q in ids if p != q]
+    targets = [("site", x, c) for x, c in zip("abcdef", (0.9, 0.6, None, 0.4, 0.8, 0.95), strict=True)] + [("A", x, 0.9) for x in "ab"]
+    out = graph.scoped_routes(spark.createDataFrame(pairs, "a string, b string, cost double, outside double"), spark.createDataFrame(targets, "scope string, id string, confidence double")).toPandas()
+    one = lambda s, c: out[(out["scope"] == s) & (out["min_confidence"].isna() if c is None else out["min_confidence"] == c)]
+    assert set(one("site", 0.7)["id"]) == {"start", "a", "c", "e", "f"} and set(one("A", None)["id"]) == {"start", "a", "b"}
+    assert one("site", None).set_index("id")["place"].isna()["f"] and one("site", None)["place"].notna().sum() == 6
+    assert one("site", 0.7)["length_m"].iloc[0] <= one("site", None)["length_m"].iloc[0] + 1e-9
