@@ -16,14 +16,14 @@ LANE = 128
 class Lanes:
     """Lanes of sequences with these lengths (each at least 1)."""
 
-    def __init__(self, lengths: np.ndarray):
+    def __init__(self, lengths: np.ndarray, lane: int = LANE):
         self.lengths = np.asarray(lengths, np.int64)
         self.begin = np.concatenate(([0], np.cumsum(self.lengths)[:-1]))
-        per = -(-self.lengths // LANE)
+        per = -(-self.lengths // lane)
         self.owner = np.repeat(np.arange(len(per)), per)
         self.rank = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
-        self.start = self.begin[self.owner] + self.rank * LANE
-        self.size = np.minimum(self.lengths[self.owner] - self.rank * LANE, LANE)
+        self.start = self.begin[self.owner] + self.rank * lane
+        self.size = np.minimum(self.lengths[self.owner] - self.rank * lane, lane)
         self.per = per
         self.first = np.cumsum(per) - per
         self.total = int(self.lengths.sum())
@@ -54,7 +54,7 @@ def _transfers(e: np.ndarray, a: np.ndarray, start: np.ndarray, size: np.ndarray
 
 def _enter(lanes: Lanes, e: np.ndarray, a: np.ndarray, init: np.ndarray):
     """What enters each lane (before its first emission), the lanes of long sequences, their matrices, log likelihood of long sequences."""
-    prior = np.tile(init, (len(lanes.start), 1))
+    prior = np.tile(init.astype(e.dtype), (len(lanes.start), 1))
     long = np.flatnonzero(lanes.per[lanes.owner] > 1)
     m, log = _transfers(e, a, lanes.start[long], lanes.size[long])
     at = np.full(len(lanes.start), -1)
@@ -78,34 +78,35 @@ def likelihood(e: np.ndarray, a: np.ndarray, init: np.ndarray, lengths: np.ndarr
     lanes = Lanes(lengths)
     prior, at, m, total = _enter(lanes, e, a, init)
     short = np.flatnonzero(at < 0)
-    p, log = prior[short], np.zeros(len(short))
+    p, log, begin, one = prior[short], np.zeros(len(short)), lanes.start[short], np.ones(len(init))
     for t, on in _steps(lanes.size[short]):
-        x = p[on] * e[lanes.start[short][on] + t]
-        s = x.sum(1)
+        x = p[on] * e[begin[on] + t]
+        s = x @ one
         log[on] += np.log(s)
         p[on] = (x / s[:, None]) @ a
     total[lanes.owner[short]] = log
     return total
 
 
-def forward_backward(e: np.ndarray, a: np.ndarray, init: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def forward_backward(e: np.ndarray, a: np.ndarray, init: np.ndarray, lengths: np.ndarray, lane: int = LANE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(posterior of each position, expected transitions, log likelihood of each sequence)."""
-    lanes = Lanes(lengths)
+    lanes = Lanes(lengths, lane)
     k = a.shape[0]
+    a, init, one = a.astype(e.dtype), init.astype(e.dtype), np.ones(k, e.dtype)
     prior, at, m, total = _enter(lanes, e, a, init)
     # what leaves each lane backwards: 1 at a sequence's end
-    leave = np.ones((len(lanes.start), k))
+    leave = np.ones((len(lanes.start), k), e.dtype)
     for r in range(int(lanes.per.max()) - 1 if len(lanes.per) else 0, 0, -1):
         seq = np.flatnonzero(lanes.per > r)
         lane = lanes.first[seq] + r
         back = np.einsum("nkj,nj->nk", m[at[lane]], leave[lane]) @ a.T
         leave[lane - 1] = back / back.sum(1)[:, None]
-    alpha, beta = np.empty((lanes.total, k)), np.empty((lanes.total, k))
+    alpha, beta = np.empty((lanes.total, k), e.dtype), np.empty((lanes.total, k), e.dtype)
     p, log = prior, np.zeros(len(lanes.start))
     for t, on in _steps(lanes.size):
         at_t = lanes.start[on] + t
         x = p[on] * e[at_t]
-        s = x.sum(1)
+        s = x @ one
         log[on] += np.log(s)
         x /= s[:, None]
         alpha[at_t] = x
@@ -116,14 +117,14 @@ def forward_backward(e: np.ndarray, a: np.ndarray, init: np.ndarray, lengths: np
         x = b[on]
         beta[at_t] = x
         x = (x * e[at_t]) @ a.T
-        b[on] = x / x.sum(1)[:, None]
+        b[on] = x / (x @ one)[:, None]
     single = np.flatnonzero(at < 0)
     total[lanes.owner[single]] = log[single]
     post = alpha * beta
-    post /= post.sum(1)[:, None]
+    post /= (post @ one)[:, None]
     inner = np.ones(max(lanes.total - 1, 0), bool)
     inner[lanes.begin[1:] - 1] = False
     v = (e * beta)[1:][inner]
     u = alpha[:-1][inner]
-    z = ((u @ a) * v).sum(1)
+    z = ((u @ a) * v) @ one
     return post, a * ((u / z[:, None]).T @ v), total

@@ -8,7 +8,7 @@ distribution, the same in all states; so the probabilities of all V + 1 base sym
     P(text) = P_hmm(symbols) * product over other words of base(w) / base(other)
 
 Training starts from expectation-maximisation on the sample and then runs ``passes`` Baum-Welch steps over all
-training texts: every task adds up expected transitions and emissions, which are summed by symbol. Emissions are
+training texts, cut into stretches of at most ``stretch`` tokens of which none is left out: every task adds up expected transitions and emissions, which are summed by symbol. Emissions are
 smoothed towards the base distribution. Scores are exact for texts of any length.
 
 Counts of all words of all training texts: head counts are summed in the tasks, other words are shuffled once, with
@@ -20,6 +20,7 @@ training. Without training texts all counts are zero and every known count is ze
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -42,11 +43,11 @@ TEXT_BYTES = 2 << 20
 class HmmParams:
     states: int = 8
     head: int = 20_000  # fits 16 bits with OTHER and END
-    max_word_bytes: int = 64
     sample_docs: int = 1500
     sample_chars: int = 20_000
     sample_steps: int = 12
     passes: int = 2
+    stretch: int = 256
     smooth: float = 2.0  # pseudo-counts of the base distribution in each state
     seed: int = 11
 
@@ -58,15 +59,22 @@ class Hmm:
     emit: np.ndarray  # (symbols, states): P(symbol | state)
 
 
-def tokens(text: bytes | None) -> list[bytes]:
-    return (text or b"").translate(LOWER).split()
+def tokens(text: bytes | None, long: int = 64) -> list[bytes]:
+    """Words; a very long one stands as its SHA-256 after a byte that no text has, so that words are of bounded size."""
+    words = (text or b"").translate(LOWER).split()
+    if words and len(max(words, key=len)) > long:
+        return [w if len(w) <= long else b"\xff" + hashlib.sha256(w).digest() for w in words]
+    return words
 
 
-def expected(ids: np.ndarray, lengths: np.ndarray, m: Hmm) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Expected initial states, transitions, emissions (symbols, states), and log likelihood."""
-    post, moves, log = forward_backward(m.emit[ids], m.trans, m.init, lengths)
+def expected(ids: np.ndarray, lengths: np.ndarray, m: Hmm, stretch: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Expected initial states (of whole texts), transitions and emissions (symbols, states)."""
+    per = -(-lengths // stretch)
+    cut = np.full(per.sum(), stretch, np.int64)
+    cut[np.cumsum(per) - 1] = lengths - (per - 1) * stretch
+    post, moves, _ = forward_backward(m.emit.astype(np.float32)[ids], m.trans, m.init, cut, lane=stretch)
     emit = np.stack([np.bincount(ids, post[:, k], len(m.emit)) for k in range(post.shape[1])], 1)
-    return post[np.cumsum(lengths) - lengths].sum(0), moves, emit, float(log.sum())
+    return post[np.cumsum(lengths) - lengths].sum(0), moves, emit
 
 
 def maximised(init: np.ndarray, moves: np.ndarray, emit: np.ndarray, base: np.ndarray, p: HmmParams) -> Hmm:
@@ -103,7 +111,7 @@ def first_model(ids: np.ndarray, lengths: np.ndarray, symbols: int, p: HmmParams
     emit *= rng.gamma(20.0, 1 / 20, emit.shape)
     m = Hmm(np.full(p.states, 1 / p.states), trans / trans.sum(1, keepdims=True), emit / emit.sum(0))
     for _ in range(p.sample_steps):
-        m = maximised(*expected(ids, lengths, m)[:3], base, p)
+        m = maximised(*expected(ids, lengths, m, p.stretch), base, p)
     return m
 
 
@@ -135,7 +143,7 @@ def score(docs: DataFrame, held_out: Column, p: HmmParams = HmmParams()) -> Data
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     texts = sample_texts(docs, held_out, p)
-    seen = Counter(w for t in texts for w in tokens(t) if len(w) <= p.max_word_bytes)
+    seen = Counter(w for t in texts for w in tokens(t))
     head = [w for w, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[: p.head]]
     number = {w: i + 2 for i, w in enumerate(head)}
     symbols = len(head) + 2
@@ -177,8 +185,9 @@ def score(docs: DataFrame, held_out: Column, p: HmmParams = HmmParams()) -> Data
     # other words: counted among all rows that hold them, and each row gets their sums back
     mark = F.col("rid") * 2 + F.when(F.col("held_out"), 0).otherwise(1)
     other = at_rest.select(mark.alias("mark"), F.explode("other").alias("w"))
-    by_word = W.partitionBy("w")
-    known = other.withColumn("c", F.sum(F.col("mark") % 2).over(by_word)).withColumn("v", F.when((F.row_number().over(by_word.orderBy("mark")) == 1) & (F.col("c") > 0), 1).otherwise(0))
+    by_word = W.partitionBy("w").orderBy("mark")
+    known = other.select("mark", F.sum(F.col("mark") % 2).over(by_word.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("c"), F.row_number().over(by_word).alias("place"))
+    known = known.withColumn("v", F.when((F.col("place") == 1) & (F.col("c") > 0), 1).otherwise(0))
     tail = known.groupBy(F.shiftrightunsigned("mark", 1).alias("rid")).agg(F.sum(F.log10(F.col("c") + 0.1)).alias("logs"), F.count("*").alias("n_other"), F.sum(F.when(F.col("c") > 0, 1).otherwise(0)).alias("n_other_known"), F.sum("v").alias("v"))
     tail = scratch.write(tail, "tail")
     distinct = (tail.agg(F.sum("v")).first()[0] or 0) + int((counts[1:] > 0).sum())
@@ -206,7 +215,7 @@ def score(docs: DataFrame, held_out: Column, p: HmmParams = HmmParams()) -> Data
             k = len(m.init)
             init, moves, emit = np.zeros(k), np.zeros((k, k)), np.zeros((symbols, k))
             for x, lengths in _blocks(batches):
-                a, b, c, _ = expected(swapped[x], lengths, m)
+                a, b, c = expected(swapped[x], lengths, m, p.stretch)
                 init += a
                 moves += b
                 emit += c
