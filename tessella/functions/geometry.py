@@ -297,3 +297,78 @@ def from_utm(x: np.ndarray, y: np.ndarray, zone: int = 35) -> tuple[np.ndarray,
         now = t * np.sqrt(1 + s * s) - s * np.sqrt(1 + t * t)
         t += (t0 - now) / np.sqrt(1 + now * now) * (1 + (1 - e * e) * t * t) / ((1 - e * e) * np.sqrt(1 + t * t))
     return np.degrees(np.arctan2(np.sinh(eta), np.cos(xi))) + 6 * zone - 183, np.degrees(np.arctan(t))
+
+
+def pieces(groups: list[list[np.ndarray]], keep) -> list[np.ndarray]:
+    """Single rings that tile the places where ``keep`` (of a boolean for each group) holds: trapezoids between upright cuts,
+    joined along the axis while the same two edges bound them. No piece has a hole.
+    """
+    rings = [r for g in groups for r in g]
+    owner = np.array([k for k, g in enumerate(groups) for _ in g])
+    e = _edges(rings)
+    if not len(e):
+        return []
+    slope = (e[:, 4] - e[:, 2]) / (e[:, 3] - e[:, 1])
+    base = e[:, 2] - slope * e[:, 1]
+    xs = set(e[:, 1]) | set(e[:, 3])
+    for i in range(len(e)):
+        with np.errstate(divide="ignore", invalid="ignore"):
+            x = (base - base[i]) / (slope[i] - slope)
+        xs |= set(x[np.isfinite(x) & (x > np.maximum(e[:, 1], e[i, 1])) & (x < np.minimum(e[:, 3], e[i, 3]))])
+    open_: dict[tuple[int, int], float] = {}
+    out: list[np.ndarray] = []
+
+    def close(pair: tuple[int, int], a: float, b: float) -> None:
+        lo, hi = pair
+        y = lambda k, x: base[k] + slope[k] * x
+        ring = np.array([[a, y(lo, a)], [b, y(lo, b)], [b, y(hi, b)], [a, y(hi, a)]])
+        if area(ring) > 1e-12:
+            out.append(ring)
+
+    cuts = sorted(xs)
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        on = np.flatnonzero((e[:, 1] <= a) & (e[:, 3] >= b))
+        order = on[np.argsort(base[on] + slope[on] * (a + b) / 2, kind="stable")]
+        inside, depth, low, now = np.zeros(len(rings), bool), np.zeros(len(groups), int), None, {}
+        for k in order:
+            r = int(e[k, 0])
+            inside[r] ^= True
+            depth[owner[r]] += 1 if inside[r] else -1
+            holds = bool(keep(depth > 0))
+            if holds and low is None:
+                low = k
+            elif not holds and low is not None:
+                now[(int(low), int(k))] = open_.get((int(low), int(k)), a)
+                low = None
+        for pair, since in open_.items():
+            if pair not in now:
+                close(pair, since, a)
+        open_ = now
+    for pair, since in open_.items():
+        close(pair, since, cuts[-1])
+    return out
+
+
+def difference(a: np.ndarray, others: list[np.ndarray], least: float = 0.0) -> list[np.ndarray]:
+    """What is left of a ring without the others, as single rings of at least an area."""
+    return [r for r in pieces([[a], others], lambda inside: inside[0] and not inside[1]) if area(r) >= least]
+
+
+def intersection(a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
+    return pieces([[a], [b]], lambda inside: inside.all())
+
+
+def slices(ring: np.ndarray, direction: np.ndarray, step: float) -> list[tuple[int, float, np.ndarray]]:
+    """(bin, area, centre) of a ring cut in stretches of ``step`` along a direction."""
+    u = direction / math.hypot(*direction)
+    turn = np.array([[u[0], u[1]], [-u[1], u[0]]])
+    p = ring @ turn.T
+    out = []
+    for k in range(math.floor(p[:, 0].min() / step), math.floor(p[:, 0].max() / step) + 1):
+        part = clip_polygon(p, (k * step, p[:, 1].min(), (k + 1) * step, p[:, 1].max()))
+        if len(part) > 2 and area(part) > 0:
+            x, y = part[:, 0], part[:, 1]
+            cross = x * np.roll(y, -1) - np.roll(x, -1) * y
+            centre = np.array([((x + np.roll(x, -1)) * cross).sum(), ((y + np.roll(y, -1)) * cross).sum()]) / (3 * cross.sum())
+            out.append((k, area(part), centre @ turn))
+    return out

@@ -204,3 +204,41 @@ def plot_scores(best: DataFrame) -> DataFrame:
     s = best.groupBy("half").agg(F.count_if(F.col("iou") >= 0.5).alias("m50"), F.count_if(F.col("iou") >= 0.75).alias("m75"), F.array_sort(F.collect_list("iou")).alias("v"), F.max("predicted").alias("p"), F.max("reference").alias("r"))
     ratio = lambda m: F.try_divide(2.0 * F.col(m), (F.col("p") + F.col("r")).cast("double"))
     return s.select("half", ratio("m50").alias("f1_50"), ratio("m75").alias("f1_75"), F.element_at("v", (F.floor(F.size("v") / 2) + 1).cast("int")).alias("median_iou"))
+
+
+def reach_of(kind: Column, in_block: Column, own_m: float = 0.3, tree_m: float = 2.0, building_m: float = 6.0) -> Column:
+    """How far an obstacle reaches: those half inside a block by a little, else trees and buildings by their kind."""
+    return F.when(in_block >= 0.5, own_m).when(kind == "building", building_m).otherwise(tree_m)
+
+
+def near_obstacles(points: DataFrame, obstacles: DataFrame, most: float = 6.0) -> DataFrame:
+    """Points (id, x, y) with the nearest obstacle (obstacle_id, x, y, kind, in_block) that reaches them, or none."""
+    cell = lambda c: F.floor(F.col(c) / most)
+    around = F.explode(F.array(*[F.struct((cell("x") + i).alias("i"), (cell("y") + j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("cell")
+    o = obstacles.select("obstacle_id", F.col("x").alias("ox"), F.col("y").alias("oy"), reach_of(F.col("kind"), F.col("in_block")).alias("reach"), F.struct(cell("x").alias("i"), cell("y").alias("j")).alias("cell"))
+    d = F.sqrt(F.pow(F.col("x") - F.col("ox"), 2) + F.pow(F.col("y") - F.col("oy"), 2))
+    best = points.select("id", "x", "y", around).join(o, "cell").where(d <= F.col("reach")).groupBy("id").agg(F.min(F.struct(d.alias("d"), "obstacle_id")).alias("m"))
+    return points.join(best, "id", "left").withColumn("obstacle_id", F.col("m.obstacle_id")).drop("m")
+
+
+def peer_z(plots: DataFrame, floor: float = 0.01, least: int = 5) -> DataFrame:
+    """Each plot's value against plots of the same main cover (all plots where those are fewer than five): plot, cover, value, z."""
+    size = F.count("*").over(W.partitionBy("cover"))
+    d = plots.withColumn("peers", F.when(size >= least, F.col("cover")).otherwise(""))
+    every = plots.withColumn("peers", F.lit("")).unionByName(plots.withColumn("peers", F.col("cover")))
+    from .stats import MAD_SIGMA, robust_spread
+
+    s = robust_spread(every, "peers", "value")
+    return d.join(s, "peers").select("plot", "cover", "value", ((F.col("value") - F.col("med")) / F.greatest(F.col("mad") * MAD_SIGMA, F.lit(floor))).alias("z"))
+
+
+def jittered(points: DataFrame, offsets: list[tuple[float, float]]) -> DataFrame:
+    """Every point (id, x, y) moved by every offset, for sensitivity curves: a fixed, small number of copies."""
+    o = F.explode(F.array(*[F.struct(F.lit(i).alias("k"), F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for i, (dx, dy) in enumerate(offsets)])).alias("o")
+    return points.select("id", "x", "y", o).select("id", F.col("o.k").alias("k"), (F.col("x") + F.col("o.dx")).alias("x"), (F.col("y") + F.col("o.dy")).alias("y"))
+
+
+def owner_of(blobs: DataFrame, pixels: DataFrame) -> DataFrame:
+    """The owner that most pixels of a blob belong to (ties: the smaller): blobs (id, row, col), pixels (row, col, owner)."""
+    n = blobs.join(pixels, ["row", "col"]).groupBy("id", "owner").agg(F.count("*").alias("n"))
+    return n.groupBy("id").agg(F.max_by("owner", F.struct("n", -F.col("owner"))).alias("owner"))

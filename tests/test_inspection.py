@@ -181,3 +181,16 @@ def test_scene_operators(spark):
     f = spark.createDataFrame([("row", None, "A", "r1", 3.0), ("waste", None, "A", None, None), ("row", "prediction", "B", "r9", 9.0)], "label string, source string, vineyard_id string, row_id string, length_m double")
     h = N.header(f, spark.createDataFrame([("site", 0.5, 70.0), ("A", None, 9.0)], "scope string, min_confidence double, length_m double")).first()
     assert (h["blocks"], h["rows"], h["row_m"], h["targets"], h["route_m"], len(h["routes"])) == (1, 1, 3.0, 1, 70.0, 2)
+
+
+def test_obstacles_peers_owners(spark):
+    p = spark.createDataFrame([("a", 0.0, 0.0), ("b", 5.0, 0.0), ("c", 50.0, 0.0)], "id string, x double, y double")
+    o = spark.createDataFrame([("tree", 1.5, 0.0, "tree", 0.0), ("house", 10.5, 0.0, "building", 0.1), ("inner", 50.2, 0.0, "tree", 0.9), ("far", 51.0, 0.0, "tree", 0.9)], "obstacle_id string, x double, y double, kind string, in_block double")
+    assert {r["id"]: r["obstacle_id"] for r in I.near_obstacles(p, o).collect()} == {"a": "tree", "b": "house", "c": "inner"}
+    plots = spark.createDataFrame([(i, "v" if i < 6 else "s", float(i)) for i in range(8)], "plot int, cover string, value double")
+    z = {r["plot"]: r["z"] for r in I.peer_z(plots).collect()}
+    assert z[2] == pytest.approx((2 - 2.5) / (1.4826 * 1.5)) and z[7] == pytest.approx((7 - 3.5) / (1.4826 * 2))
+    assert I.jittered(p, [(0.0, 0.0), (1.0, -1.0)]).count() == 6
+    blobs = spark.createDataFrame([(1, 0, 0), (1, 0, 1), (1, 0, 2), (2, 0, 0), (2, 0, 1)], "id int, row int, col int")
+    px = spark.createDataFrame([(0, 0, 5), (0, 1, 7), (0, 2, 7)], "row int, col int, owner int")
+    assert {r["id"]: r["owner"] for r in I.owner_of(blobs, px).collect()} == {1: 7, 2: 5}

@@ -256,3 +256,44 @@ def test_scoped_routes(spark):
     assert set(one("site", 0.7)["id"]) == {"start", "a", "c", "e", "f"} and set(one("A", None)["id"]) == {"start", "a", "b"}
     assert one("site", None).set_index("id")["place"].isna()["f"] and one("site", None)["place"].notna().sum() == 6
     assert one("site", 0.7)["length_m"].iloc[0] <= one("site", None)["length_m"].iloc[0] + 1e-9
+
+
+@settings(max_examples=20, deadline=None)
+@given(st.integers(0, 10_000), st.integers(0, 10_000))
+def test_pieces(a, b):
+    p, q = star(a), star(b) + 1.0
+    left, both = G.difference(p, [q]), G.intersection(p, q)
+    assert sum(map(G.area, left)) == pytest.approx(G.area(p) - G.intersection_area(p, q), abs=1e-6)
+    assert sum(map(G.area, both)) == pytest.approx(G.intersection_area(p, q), abs=1e-6)
+    assert all(not G.contains(q, r.mean(0)[None])[0] and G.contains(p, r.mean(0)[None])[0] for r in left if G.area(r) > 1e-6)
+
+
+def test_hole_and_slices():
+    hole = SQUARE / 2 + 0.5
+    parts = G.difference(SQUARE, [hole])
+    assert len(parts) == 4 and sum(map(G.area, parts)) == pytest.approx(3)
+    assert G.difference(SQUARE, [hole], least=1.5) == []
+    cut = G.slices(SQUARE, np.array([1.0, 0.0]), 0.8)
+    assert [k for k, _, _ in cut] == [0, 1, 2] and sum(a for _, a, _ in cut) == pytest.approx(4) and cut[0][2].tolist() == pytest.approx([0.4, 1.0])
+    turned = G.slices(SQUARE, np.array([1.0, 1.0]), 1.0)
+    assert sum(a for _, a, _ in turned) == pytest.approx(4)
+
+
+def test_row_kernels():
+    from tessella.functions import rows as K
+
+    assert K.without_close(np.array([0, 2.5, 3.2, 5.0]), np.array([1, 1, 0.2, 1]), 2.5).tolist() == [0, 1, 3]
+    e = np.array([1, 0, 0, 1, 1, 1, 0, 1, 0, 0, 0, 0, 1.0])
+    assert K.grown(e, (4, 5), 0.5, 2) == (0, 8) and K.grown(e, (4, 5), 0.5, 0) == (3, 6)
+    assert K.grown_rows(np.array([[1, 1], [0, 0], [1, 1], [1, 0.9], [1, 1.0]]), 3, 0.5) == [2, 3, 4]
+    w = np.array([1, 3, 5, 3, 0.5, 3, 5, 3, 1.0])
+    assert K.split_at_necks(w, 0.3, 2) == [(0, 4), (4, 9)] and K.split_at_necks(w, 0.05, 2) == [(0, 9)]
+
+
+def test_open_tour_and_outside(spark):
+    x = np.array([0.0, 3, 1, 2, 4])
+    d = np.abs(x[:, None] - x[None])
+    assert graph.open_tour(d, 0, 4) == [0, 2, 3, 1, 4]
+    steps = spark.createDataFrame([("a", 0.0, 0.5, 8.0, 0.5), ("b", 0.0, 0.5, 4.0, 0.5)], "id string, x0 double, y0 double, x1 double, y1 double")
+    ok = spark.createDataFrame([(0, c) for c in range(4)], "row int, col int")
+    assert {r["id"]: r["outside"] for r in graph.outside_share(steps, ok, 1.0).collect()} == {"a": 0.5, "b": 0.0}
