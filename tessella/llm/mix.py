@@ -44,7 +44,7 @@ class MixParams:
     seed: int = 2025
     #: Mean rows of a bucket of running totals, and shards of a group.
     bucket_rows: int = 4096
-    group_shards: int = 256
+    group_shards: int = 64
 
 
 def n_words(text: Column) -> Column:
@@ -184,7 +184,7 @@ def _slots(s: DataFrame, p: MixParams) -> DataFrame:
 
     drawn = spark.range(groups).repartition(max(1, min(groups, 4096)), "id").mapInArrow(sums, "g long, i long, n long")
     drawn = drawn.withColumn("offset", F.sum("n").over(W.partitionBy("i").orderBy("g").rowsBetween(W.unboundedPreceding, -1)))
-    by_group = drawn.groupBy("g").agg(F.collect_list(F.struct("i", F.coalesce("offset", F.lit(0)).alias("offset"))).alias("offsets"))
+    by_group = drawn.groupBy("g").agg(F.collect_list(F.struct("i", F.coalesce("offset", F.lit(0)).alias("offset"))).alias("offsets")).repartition(max(1, min(groups, 4096)), "g")
     schema = "shard long, order int, k long, index long"
     short = spark.createDataFrame([(i, int(n)) for i, n in enumerate(want)], "i long, want long").join(drawn.groupBy("i").agg(F.sum("n").alias("n")), "i").where("n < want")
     # slots to make up are dealt in runs, so that one source's are no single task's
@@ -195,7 +195,8 @@ def _slots(s: DataFrame, p: MixParams) -> DataFrame:
 def taken(mix: Mix) -> DataFrame:
     """doc_id, source, size, source_size, target, taken of every row."""
     used = mix.slots.groupBy("order", "index").agg(F.count("*").alias("times"))
-    words = mix.pieces.join(used, ["order", "index"]).groupBy("order", "h", "doc_id", "size", "at").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
-    out = mix.docs.select("doc_id", "h", "size", "order", "at").join(words, ["order", "h", "doc_id", "size", "at"], "left")
+    words = mix.pieces.join(used, ["order", "index"]).groupBy("order", "h", "size", "at").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+    # a row of words is known by where it begins in its source; ids may be null or repeated
+    out = mix.docs.select("doc_id", "h", "size", "order", "at").join(words, ["order", "h", "size", "at"], "left")
     known = F.broadcast(mix.sources.select("order", "source", "source_size", "target")) if mix.sources.count() <= 100_000 else mix.sources.select("order", "source", "source_size", "target")
     return out.join(known, "order").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
