@@ -43,7 +43,8 @@ def _lines(text: Column) -> Column:
 
 def boilerplate(pages: DataFrame, params: LineParams = LineParams()) -> DataFrame:
     """(host, bad): hashes of each host's boilerplate lines. ``pages`` has host and text."""
-    p = held(pages, "host", "text").where("host IS NOT NULL AND text IS NOT NULL")
+    # no filter on the text: it would be pushed below the expression that makes the text, which would then run twice
+    p = held(pages, "host", "text").where("host IS NOT NULL")
     keys = F.array_distinct(F.transform(F.filter(_lines(F.col("text")), lambda x: F.btrim(x, F.lit(BLANK)) != ""), line_key))
     seen = p.select("host", F.explode(keys).alias("key")).groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") >= params.min_pages)
     totals = held(pages, "host").where("host IS NOT NULL").groupBy("host").agg(F.count("*").alias("pages"))
