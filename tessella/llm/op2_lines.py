@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import Scratch, table
 from .lines import LineParams, clean
 
 P = LineParams()
@@ -34,6 +34,7 @@ def page_text(html: Column) -> Column:
 
 def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", page_host(F.col("url")).alias("host"), page_text(F.col("html")).alias("text"))
+    pages = Scratch(spark, "pages").write(pages)  # markup is parsed once, and the text read twice
     return clean(pages, P).select("page_id", "host", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
