@@ -37,13 +37,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id stays of each group. Rows that repeat an id are one document."""
-    found = groups(docs)
+    """The document of the smallest id stays of each group. Rows that repeat an id are one document; rows without an id stay."""
+    found = groups(docs.where("doc_id IS NOT NULL"))
     leaders = found.where("doc_id = component_id").select("doc_id").distinct()
     out = docs.select(*COLUMNS).join(leaders, "doc_id", "left_semi")
-    if found.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return out
-    return out.dropDuplicates(["doc_id"])
+    if not found.groupBy("doc_id").count().where("count > 1").isEmpty():
+        out = out.dropDuplicates(["doc_id"])
+    return out.unionByName(docs.select(*COLUMNS).where("doc_id IS NULL"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

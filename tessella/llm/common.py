@@ -79,8 +79,8 @@ def held(df: DataFrame, *names: str) -> DataFrame:
 
 
 def crc_mod(doc_id: Column, n: int) -> Column:
-    """crc32 of the id as text, modulo n."""
-    return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(n))
+    """crc32 of the id as text, modulo n; a null id counts as the empty text."""
+    return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
 def words_of(text: Column) -> Column:

@@ -22,6 +22,7 @@ def corpus(spark, tmp_path_factory):
     rows += [(100 + i, rows[i][1], "en", "s0") for i in range(5)]  # exact copies
     rows += [(200 + i, rows[i + 10][1] + " " + word(rng), "en", "s1") for i in range(5)]  # near copies
     rows += [(300 + i, plain(40) + " " + bench[i] + " " + plain(40), "en", "s1") for i in range(5)]  # leaks
+    rows += [(None, plain(100), "en", "s0"), (20, rows[20][1], "en", "s0")]  # no id, a repeated row
     rows += [(400, None, "en", "s0"), (401, "", None, None), (402, "too short", "en", "s0"), (403, "again and again we go " * 30, "en", "s0")]
     rows += [(500 + i, "Home page menu\n" + plain(100), "en", "s2") for i in range(20)]
     at = tmp_path_factory.mktemp("corpus")
@@ -33,12 +34,14 @@ def corpus(spark, tmp_path_factory):
 
 def test_stages(spark, corpus):
     docs = spark.read.parquet(f"{corpus}/documents.parquet")
-    kept = []
+    kept, counts = [], []
     for k, (name, stage) in enumerate(P.STAGES):
         docs = stage(spark, docs, corpus).cache()
         if k < len(P.STAGES) - 1:
             assert docs.columns == list(P.COLUMNS), name
-        kept.append({r["doc_id"] for r in docs.select("doc_id").collect()})
+        ids = [r["doc_id"] for r in docs.select("doc_id").collect()]
+        kept.append(set(ids))
+        counts.append(len(ids))
         if name == "line_dedup":
             assert docs.where(F.col("text").contains("Home page menu")).count() == 0
             assert docs.where("n_chars <> length(text)").count() == 0
@@ -48,6 +51,7 @@ def test_stages(spark, corpus):
     assert lines == quality
     assert clean <= dedup and not dedup & set(range(100, 105)) and not dedup & set(range(200, 205))
     assert clean <= leaks and not leaks & set(range(300, 305))
+    assert None in leaks and counts[2] == len(dedup)
     assert mixed <= leaks and len(mixed) > 0.6 * len(leaks)
 
 
