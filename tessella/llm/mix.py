@@ -164,23 +164,23 @@ def _slots(s: DataFrame, p: MixParams) -> DataFrame:
         for b in batches:
             for g, offsets in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 at = np.array([x["offset"] for x in sorted(offsets, key=lambda x: x["i"])])
-                for shard, c in enumerate(counts(g), g * p.group_shards):
-                    for i in np.flatnonzero(c):
-                        k = np.arange(at[i], min(at[i] + c[i], want[i]))  # beyond its target the closing shard gives the slot away
-                        if len(k):
-                            yield made(shard, i, k)
-                    at = at + c
-
-    def made(shard: int, i: int, k: np.ndarray) -> pa.RecordBatch:
+                c = counts(g)
+                shards_of = g * p.group_shards + np.arange(len(c))
+                for i in np.flatnonzero(c.any(0)):
+                    k = np.arange(at[i], min(at[i] + c[:, i].sum(), want[i]))  # beyond its target the closing shard gives the slot away
+                    if len(k):
+                        yield made(np.repeat(shards_of, c[:, i])[: len(k)], i, k)
+
+    def made(shard: np.ndarray, i: int, k: np.ndarray) -> pa.RecordBatch:
         epoch, index = k // blocks[i], np.empty(len(k), np.int64)
         for e in np.unique(epoch):
             index[epoch == e] = permuted(k[epoch == e] % blocks[i], int(blocks[i]), hash((p.seed, int(order[i]), int(e))))
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(k), shard)), pa.array(np.full(len(k), order[i], np.int32)), pa.array(k), pa.array(index)], ["shard", "order", "k", "index"])
+        return pa.RecordBatch.from_arrays([pa.array(shard), pa.array(np.full(len(k), order[i], np.int32)), pa.array(k), pa.array(index)], ["shard", "order", "k", "index"])
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, lo, hi in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
-                yield made(shards, i, np.arange(lo, hi))
+                yield made(np.full(hi - lo, shards), i, np.arange(lo, hi))
 
     drawn = spark.range(groups).repartition(max(1, min(groups, 4096)), "id").mapInArrow(sums, "g long, i long, n long")
     drawn = drawn.withColumn("offset", F.sum("n").over(W.partitionBy("i").orderBy("g").rowsBetween(W.unboundedPreceding, -1)))
