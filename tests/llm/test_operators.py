@@ -427,8 +427,8 @@ def test_language_code_switch():
     text = lambda s, n: " ".join(rng.choice(sides[s]) for _ in range(n))
     labels = ["xx", "yy"] * 20
     model = crf.fit([text(s, 60) for s in labels], labels)
-    lang, score = model.label(pa.array([text("xx", 30) + " " + text("yy", 10), text("yy", 9), "", None, "12 34"]))
-    assert lang == ["xx", "yy", "und", "und", "und"] and abs(score[0] - 0.75) < 0.05 and score[1] > 0.95 and score[2] == 0
+    lang, score = model.label(pa.array([text("xx", 30) + " " + text("yy", 10), text("yy", 9), "", None, "12 34", "— “☃” \U0001f600"]))
+    assert lang == ["xx", "yy", "und", "und", "und", "und"] and abs(score[0] - 0.75) < 0.05 and score[1] > 0.95 and score[2] == 0
 
 
 def test_language_edges(docs, empty):

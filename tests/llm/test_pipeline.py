@@ -66,3 +66,49 @@ def test_registry():
     names = registry.queries()
     assert {n.split("_")[0] for n in names} == {f"op{i}" for i in range(1, 11)}
     assert set(registry.oracle_sql()) <= set(names)
+
+
+def test_stages_against_brute_force(spark):
+    """Every stage on its own input, the smallest table: SQL for the rules, Python for the rest."""
+    import duckdb
+    from test_operators import brute_fp, brute_hits, cleaned, filled
+
+    from tessella.llm.lines import LineParams
+    from tessella.llm.mix import MixParams
+    from tessella.llm.op10_quality import quality_sql
+
+    sf = "/root/testdata/sf0.001"
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    items = c.sql(f"SELECT item_id, text FROM '{sf}/benchmark.parquet'").fetchall()
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for name, stage in P.STAGES:
+        before = {r["doc_id"]: r for r in docs.collect()}
+        docs = stage(spark, docs, sf).cache()
+        after = {r["doc_id"]: r for r in docs.collect()}
+        if name == "quality_rules":
+            assert set(after) == {i for i, ok in c.sql(f"SELECT doc_id, kept FROM ({quality_sql()})").fetchall() if ok}
+        elif name == "line_dedup":
+            want = cleaned([(i, r["source"], r["text"]) for i, r in before.items()], LineParams())
+            assert {i: r["text"] for i, r in after.items()} == {i: t for i, _, t, _, _ in want}
+        elif name == "simhash_dedup":
+            fps = {i: brute_fp(r["text"]) for i, r in before.items()}
+            label = {i: i for i in fps}
+            changed = True
+            while changed:
+                changed = False
+                for i in fps:
+                    low = min(label[j] for j in fps if (fps[i] ^ fps[j]).bit_count() <= 4)
+                    changed, label[i] = changed or low != label[i], low
+            assert set(after) == {i for i in fps if label[i] == i} and len(after) < len(before)
+        elif name == "decontaminate":
+            assert set(after) == {i for i, r in before.items() if not brute_hits(r["text"], items, 10)[-1]}
+        else:
+            sizes = {}
+            for r in before.values():
+                sizes[r["source"]] = sizes.get(r["source"], 0) + len((r["text"] or "").split())
+            want = filled(sizes, MixParams())
+            assert all(abs(r["target"] - want[r["source"]]) < 1e-6 and 0 < r["taken"] <= 3 * r["size"] for r in after.values())
+            for s, n in want.items():
+                got = sum(r["taken"] for r in after.values() if r["source"] == s)
+                assert abs(got - n) <= 2 * MixParams().block
