@@ -35,6 +35,8 @@ FOLD[48:58] = np.arange(48, 58)
 FOLD[97:123] = np.arange(97, 123)
 FOLD[65:91] = np.arange(97, 123)
 FOLD[128:] = np.arange(128, 256)
+#: Text searched at a time; a longer text stands alone. The arrays beside it take some fifty times as much.
+TEXT_BYTES = 2 << 20
 EDGE = 10  # stands between documents and in no pattern
 
 
@@ -211,9 +213,9 @@ def _matcher(groups: list, keep_spans: bool, keep: tuple[str, ...] = ()):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lo = 0
-            while lo < b.num_rows:  # about 8 MB of text at a time; a longer text stands alone
+            while lo < b.num_rows:
                 hi, size = lo, 0
-                while hi < b.num_rows and (hi == lo or size + len(b.column(1)[hi].as_buffer() or b"") <= 8 << 20):
+                while hi < b.num_rows and (hi == lo or size + len(b.column(1)[hi].as_buffer() or b"") <= TEXT_BYTES):
                     size += len(b.column(1)[hi].as_buffer() or b"")
                     hi += 1
                 yield one(b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), [c.slice(lo, hi - lo) for c in b.columns[2:]])
