@@ -6,8 +6,8 @@ neighbours. Training maximises the conditional likelihood of code-switched seque
 labelled documents, by AdaGrad on forward-backward gradients. A text's words are labelled by the posterior of
 forward-backward; the text's language has the largest sum of posteriors and its share is the score.
 
-The classifier is fitted on a bounded sample: at most ``per_lang`` documents of each language, of at most
-``max_chars`` code points each, drawn by hash of doc_id. Prediction reads whole texts.
+The classifier is fitted on a bounded sample: at most ``per_lang`` documents of each of the ``max_langs`` most
+frequent languages and about ``max_docs`` in all, of at most ``max_chars`` code points each, drawn by hash of doc_id. Prediction reads whole texts.
 
 Defined results. Null texts and texts without a letter are ``und`` with score 0. Without any labelled
 document every text is ``und``. Repeated rows: each has its own result. Empty tables are fine. Only doc_id and
@@ -39,7 +39,9 @@ MUL = np.uint64(0x9E3779B97F4A7C15)
 
 @dataclass(frozen=True)
 class CrfParams:
+    max_langs: int = 100
     per_lang: int = 150
+    max_docs: int = 3000
     max_chars: int = 20_000
     lexicon: int = 20_000
     span: int = 12
@@ -142,9 +144,11 @@ class Crf:
         if len(some):
             post, _, _ = forward_backward(e, np.exp(self.trans), np.exp(self.init), n[some])
             total[some] = np.add.reduceat(post, w.upto[:-1][some])
+        # bytes beyond ASCII pass for letters in words; a text needs one that is
+        lettered = pc.match_substring_regex(pc.fill_null(column, ""), r"\p{L}").to_numpy(zero_copy_only=False) & (n > 0)
         best = total.argmax(1)
-        score = np.where(n > 0, total.max(1) / np.maximum(n, 1), 0.0)
-        return [self.langs[b] if k else "und" for b, k in zip(best, n, strict=True)], np.clip(score, 0.0, 1.0)
+        score = np.where(lettered, total.max(1) / np.maximum(n, 1), 0.0)
+        return [self.langs[b] if k else "und" for b, k in zip(best, lettered, strict=True)], np.clip(score, 0.0, 1.0)
 
 
 def fit(texts: list[str], labels: list[str], p: CrfParams = CrfParams()) -> Crf | None:
@@ -227,16 +231,17 @@ def fit(texts: list[str], labels: list[str], p: CrfParams = CrfParams()) -> Crf
 def sample(docs: DataFrame, p: CrfParams = CrfParams()) -> tuple[list[str], list[str]]:
     """Texts and labels to fit on: a bounded number for each language, drawn by hash of doc_id."""
     d = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod(F.col("doc_id"), 3) != 1) & (F.length("text") <= p.max_chars) & F.col("text").rlike(r"\p{L}"))
-    sizes = d.groupBy("lang").agg(F.count("*").alias("n"))
+    sizes = d.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(p.max_langs)  # bounds what is broadcast
+    quota = max(1, min(p.per_lang, p.max_docs // max(1, sizes.count())))
     place = F.pmod(F.xxhash64("doc_id", F.lit(p.seed)), F.lit(1 << 40)) / float(1 << 40)
     # about twice as many as needed, then the first of each language by hash
-    drawn = d.join(F.broadcast(sizes), "lang").withColumn("place", place).where(F.col("place") * F.col("n") <= 2.0 * p.per_lang)
+    drawn = d.join(F.broadcast(sizes), "lang").withColumn("place", place).where(F.col("place") * F.col("n") <= 2.0 * quota)
     rows = drawn.select("lang", "place", "doc_id", "text").collect()
     rows.sort(key=lambda r: (r["lang"], r["place"], r["doc_id"], r["text"]))
     seen: dict[str, int] = {}
     texts, labels = [], []
     for r in rows:
-        if seen.setdefault(r["lang"], 0) < p.per_lang:
+        if seen.setdefault(r["lang"], 0) < quota:
             seen[r["lang"]] += 1
             texts.append(r["text"])
             labels.append(r["lang"])
