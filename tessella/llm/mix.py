@@ -43,7 +43,7 @@ class MixParams:
     shard: int = 256
     seed: int = 2025
     #: Mean rows of a bucket of running totals, and shards of a group.
-    bucket_rows: int = 4096
+    bucket_rows: int = 2048
     group_shards: int = 64
 
 
@@ -95,19 +95,17 @@ def targets(per_source: DataFrame, p: MixParams = MixParams()) -> DataFrame:
     s = s.withColumn("full", F.col("top") <= F.col("level") * F.col("weight"))
     # the first source that doesn't reach its limit sets the level of all from there on
     s = s.withColumn("final", F.min(F.when(~F.col("full"), F.struct((F.col("top") / F.col("weight")).alias("at"), F.col("order").alias("o"), F.col("level").alias("level")))).over(W.partitionBy())["level"])
-    return s.select("source", "source_size", "order", F.when(F.col("final").isNull(), F.col("top")).otherwise(F.least("top", F.col("final") * F.col("weight"))).alias("target"))
+    return s.select(*per_source.columns, "order", F.when(F.col("final").isNull(), F.col("top")).otherwise(F.least("top", F.col("final") * F.col("weight"))).alias("target"))
 
 
 def _running(sized: DataFrame) -> DataFrame:
-    """sized (doc_id, source, size, h, bucket) with ``at``: words of the source before each row."""
-    key = [F.coalesce("source", F.lit("")).alias("s"), F.col("source").isNull().alias("no_source")]
-    d = sized.select("*", *key)
-    sums = d.groupBy("s", "no_source", "bucket").agg(F.sum("size").alias("words"))
-    over = W.partitionBy("s", "no_source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sums.select("s", "no_source", "bucket", F.coalesce(F.sum("words").over(over), F.lit(0)).alias("offset"))
-    inside = W.partitionBy("s", "no_source", "bucket").orderBy("h", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    d = d.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    return d.join(offsets, ["s", "no_source", "bucket"]).withColumn("at", F.col("offset") + F.col("within")).drop("offset", "within")
+    """sized (doc_id, order, size, h, bucket) with ``at``: words of the source before each row."""
+    sums = sized.groupBy("order", "bucket").agg(F.sum("size").alias("words"))
+    over = W.partitionBy("order").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sums.select("order", "bucket", F.coalesce(F.sum("words").over(over), F.lit(0)).alias("offset"))
+    inside = W.partitionBy("order", "bucket").orderBy("h", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    d = sized.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    return d.join(offsets, ["order", "bucket"]).withColumn("at", F.col("offset") + F.col("within")).drop("offset", "within")
 
 
 @dataclass(frozen=True)
@@ -123,15 +121,16 @@ def plan(docs: DataFrame, p: MixParams = MixParams()) -> Mix:
     scratch = Scratch(spark, "mix")
     sized = held(docs, "doc_id", "text", "source").select(F.col("doc_id").cast("long").alias("doc_id"), "source", n_words(F.col("text")).alias("size"))
     sized = scratch.write(sized.withColumn("h", F.xxhash64("doc_id", F.lit(p.seed))), "sizes")
-    rows = sized.count()
-    buckets = max(1, rows // p.bucket_rows)
-    sized = sized.withColumn("bucket", F.pmod(F.xxhash64("h", "size"), F.lit(buckets)))
-    per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
     s = targets(per_source, p).withColumn("blocks", F.ceil(F.col("source_size") / p.block).cast("long"))
     # as many slots as blocks of this source's mean size make its target
     s = s.withColumn("slots", F.when(F.col("source_size") > 0, F.floor(F.col("target") * F.col("blocks") / F.col("source_size") + 0.5)).otherwise(0).cast("long"))
     s = scratch.write(s.coalesce(1), "sources")
-    placed = _running(sized).join(s.select(F.coalesce("source", F.lit("")).alias("s"), F.col("source").isNull().alias("no_source"), "order"), ["s", "no_source"])
+    # as many buckets as a source's rows ask for, so that a large source's are no fuller than others'
+    mine = _known(s).select(F.col("source").alias("own"), "order", "rows")
+    dealt = sized.join(mine, F.col("source").eqNullSafe(F.col("own"))).drop("own", "source")
+    bucket = F.pmod(F.xxhash64("h", "size"), F.greatest(F.lit(1), F.floor(F.col("rows") / p.bucket_rows)))
+    placed = _running(dealt.withColumn("bucket", bucket).drop("rows"))
     lo, hi = F.floor(F.col("at") / p.block), F.floor((F.col("at") + F.col("size") - 1) / p.block)
     pieces = placed.where("size > 0").select("doc_id", "h", "size", "order", "at", F.explode(F.sequence(lo, hi)).alias("index"))
     pieces = pieces.withColumn("words", F.least(F.col("at") + F.col("size"), (F.col("index") + 1) * p.block) - F.greatest(F.col("at"), F.col("index") * p.block))
@@ -192,11 +191,16 @@ def _slots(s: DataFrame, p: MixParams) -> DataFrame:
     return by_group.mapInArrow(draw, schema).unionByName(runs.mapInArrow(close, schema))
 
 
+def _known(sources: DataFrame, most: int = 100_000) -> DataFrame:
+    """One row for each source, hinted for broadcast unless there are very many."""
+    return F.broadcast(sources) if sources.count() <= most else sources
+
+
 def taken(mix: Mix) -> DataFrame:
     """doc_id, source, size, source_size, target, taken of every row."""
     used = mix.slots.groupBy("order", "index").agg(F.count("*").alias("times"))
     words = mix.pieces.join(used, ["order", "index"]).groupBy("order", "h", "size", "at").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
     # a row of words is known by where it begins in its source; ids may be null or repeated
     out = mix.docs.select("doc_id", "h", "size", "order", "at").join(words, ["order", "h", "size", "at"], "left")
-    known = F.broadcast(mix.sources.select("order", "source", "source_size", "target")) if mix.sources.count() <= 100_000 else mix.sources.select("order", "source", "source_size", "target")
+    known = _known(mix.sources).select("order", "source", "source_size", "target")
     return out.join(known, "order").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
