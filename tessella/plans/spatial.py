@@ -170,7 +170,8 @@ def q51_path_trace(spark, sf):
 @query()
 def q52_greedy_match(spark, sf):
     p = _pairs(spark, sf)
-    iou = F.col("overlap") / (F.col("area_a") + F.col("area_b") - F.col("overlap"))
+    # tried: the filter may run before the join's own condition, on boxes that don't meet
+    iou = F.try_divide(F.col("overlap"), F.col("area_a") + F.col("area_b") - F.col("overlap"))
     return J.greedy_match(p.where(iou >= 0.1).select(F.col("brand").alias("part"), F.col("a").alias("i"), F.col("b").alias("j"), F.round(iou, 6).alias("score")))
 
 
