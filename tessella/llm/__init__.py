@@ -1,8 +1 @@
 """Operators of a large-scale training-data pipeline; nothing else in the library imports this subpackage."""
-
-import sys
-
-from pyspark import cloudpickle
-
-# functions travel to executors with their code, which need not have the package installed
-cloudpickle.register_pickle_by_value(sys.modules["tessella"])
