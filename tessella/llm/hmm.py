@@ -1,8 +1,8 @@
 """Hidden Markov language model: Baum-Welch counts aggregated over partitions, exact scores by scaled forward recursion.
 
 Tokens are words (A-Z lowered, cut at ASCII white space) and one end for each text. The head vocabulary (a bounded
-number of words, frequent in a bounded sample of training texts) and the end have emission weights of their own in
-every latent state. All other words are one symbol to the chain, and within it a word has its share of the base
+number of words, the most frequent of all training texts, ties by bytes) and the end have emission weights of their
+own in every latent state. All other words are one symbol to the chain, and within it a word has its share of the base
 distribution, the same in all states; so the probabilities of all V + 1 base symbols add up to 1.
 
     P(text) = P_hmm(symbols) * product over other words of base(w) / base(other)
@@ -37,6 +37,7 @@ from .common import Scratch
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 OTHER, END = 0, 1  # symbols; head words follow
 TEXT_BYTES = 2 << 20
+COUNTED = 1 << 15  # distinct words that a task holds before it hands its counts on
 
 
 @dataclass(frozen=True)
@@ -126,8 +127,32 @@ def _encoder(number: dict[bytes, int]):
     return encode
 
 
+def head_words(docs: DataFrame, held_out: Column, p: HmmParams) -> list[bytes]:
+    """The ``head`` most frequent words of all training texts, ties by bytes."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[bytes] = Counter()
+        handed = lambda: pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["w", "n"])
+        for b in batches:
+            for t in b.column(0):
+                seen.update(tokens(t.as_buffer().to_pybytes()))
+                if len(seen) >= COUNTED:
+                    yield handed()
+                    seen.clear()
+        yield handed()
+
+    texts = docs.where(~held_out & F.col("text").isNotNull()).select(F.col("text").cast("binary").alias("text"))
+    words = texts.mapInArrow(count, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    # counts by their number of binary digits: the head has no word below the size at which they suffice, so few words move
+    sizes = words.groupBy(F.length(F.bin("n")).alias("digits")).agg(F.count("*").alias("words"))
+    sizes = sizes.withColumn("above", F.sum("words").over(W.orderBy(F.desc("digits"))))  # 63 rows at most
+    least = sizes.agg(F.coalesce(F.max(F.when(F.col("above") >= p.head, F.col("digits"))), F.lit(0)).alias("least"))
+    top = words.join(F.broadcast(least), F.length(F.bin("n")) >= F.col("least")).orderBy(F.desc("n"), "w").select("w").limit(p.head)
+    return [bytes(r["w"]) for r in top.collect()]  # ``head`` rows at most
+
+
 def sample_texts(docs: DataFrame, held_out: Column, p: HmmParams) -> list[bytes]:
-    """At most ``sample_docs`` training texts, by hash of doc_id, of at most ``sample_chars`` code points."""
+    """For the first model only: at most ``sample_docs`` training texts, by hash of doc_id, of at most ``sample_chars`` code points."""
     d = docs.where(~held_out & F.col("text").isNotNull() & (F.length("text") <= p.sample_chars)).select("doc_id", F.col("text").cast("binary").alias("text"), F.xxhash64("doc_id", F.lit(p.seed)).alias("h"))
     # ids by hash first, so that only the sample's texts move
     top = d.select("h", "doc_id").orderBy("h", "doc_id").limit(p.sample_docs)
@@ -143,8 +168,7 @@ def score(docs: DataFrame, held_out: Column, p: HmmParams = HmmParams()) -> Data
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     texts = sample_texts(docs, held_out, p)
-    seen = Counter(w for t in texts for w in tokens(t))
-    head = [w for w, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[: p.head]]
+    head = head_words(docs, held_out, p)
     number = {w: i + 2 for i, w in enumerate(head)}
     symbols = len(head) + 2
     shared = sc.broadcast(number)

@@ -480,6 +480,20 @@ def test_hmm_learns(spark):
     assert (out["score"] > out["base_score"] + 5).all()
 
 
+def test_hmm_head_is_of_all_training_texts(spark, docs):
+    """Most words are in no text that is short enough for the sample."""
+    rng = random.Random(1)
+    make = lambda s: " ".join(rng.choice(s) for _ in range(40))
+    one, two = "aa bb cc dd ee".split(), "vv ww xx yy zz".split()
+    df = spark.createDataFrame([*((i, make(one if i % 2 else two)) for i in range(200)), *((209 + 10 * i, "aa " * 9 if i % 2 else "vv " * 9) for i in range(200))], "doc_id long, text string")
+    out = hmm.score(df, F.col("doc_id") % 10 < 2, hmm.HmmParams(states=2, head=20, sample_chars=30, passes=6)).where("held_out").toPandas()
+    assert (out["score"] > out["base_score"] + 5).all()
+    held = crc_mod(F.col("doc_id"), 10) == 0
+    c = Counter(w.encode() for r in rows() if zlib.crc32(b"" if r[0] is None else str(r[0]).encode()) % 10 for w in WORD.findall(low(r[1])) if len(w) <= 64)
+    for n in (1, 7, 20):
+        assert hmm.head_words(docs, held, hmm.HmmParams(head=n)) == sorted(c, key=lambda w: (-c[w], w))[:n]
+
+
 # --- components
 
 
