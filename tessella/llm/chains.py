@@ -39,11 +39,11 @@ def _steps(size: np.ndarray):
 def _transfers(e: np.ndarray, a: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(matrix, log of what was divided out) of each lane: diag(e1) A diag(e2) ... A diag(en)."""
     k = a.shape[0]
-    m, log = np.zeros((len(start), k, k)), np.zeros(len(start))
+    m, log = np.zeros((len(start), k, k), e.dtype), np.zeros(len(start))
     for t, on in _steps(size):
         w = e[start[on] + t]
         if t == 0:
-            x = np.eye(k)[None] * w[:, None, :]
+            x = np.eye(k, dtype=e.dtype)[None] * w[:, None, :]
         else:
             x = (m[on].reshape(-1, k) @ a).reshape(-1, k, k) * w[:, None, :]
         s = x.max((1, 2))

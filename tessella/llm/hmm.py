@@ -8,8 +8,9 @@ distribution, the same in all states; so the probabilities of all V + 1 base sym
     P(text) = P_hmm(symbols) * product over other words of base(w) / base(other)
 
 Training starts from expectation-maximisation on the sample and then runs ``passes`` Baum-Welch steps over all
-training texts, cut into stretches of at most ``stretch`` tokens of which none is left out: every task adds up expected transitions and emissions, which are summed by symbol. Emissions are
-smoothed towards the base distribution. Scores are exact for texts of any length.
+training texts: every task adds up expected transitions and emissions, which are summed by symbol. Emissions are
+smoothed towards the base distribution. Recursions, in training in single precision, and scores are of whole texts
+of any length.
 
 Counts of all words of all training texts: head counts are summed in the tasks, other words are shuffled once, with
 the row that holds them, and each row gets its words' counts back. No table of the vocabulary is broadcast or joined.
@@ -48,7 +49,7 @@ class HmmParams:
     sample_chars: int = 20_000
     sample_steps: int = 12
     passes: int = 2
-    stretch: int = 256
+    lane: int = 256  # tokens of a text that are stepped on their own; sums don't depend on it
     smooth: float = 2.0  # pseudo-counts of the base distribution in each state
     seed: int = 11
 
@@ -68,12 +69,9 @@ def tokens(text: bytes | None, long: int = 64) -> list[bytes]:
     return words
 
 
-def expected(ids: np.ndarray, lengths: np.ndarray, m: Hmm, stretch: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected initial states (of whole texts), transitions and emissions (symbols, states)."""
-    per = -(-lengths // stretch)
-    cut = np.full(per.sum(), stretch, np.int64)
-    cut[np.cumsum(per) - 1] = lengths - (per - 1) * stretch
-    post, moves, _ = forward_backward(m.emit.astype(np.float32)[ids], m.trans, m.init, cut, lane=stretch)
+def expected(ids: np.ndarray, lengths: np.ndarray, m: Hmm, lane: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Expected initial states, transitions and emissions (symbols, states) of whole texts."""
+    post, moves, _ = forward_backward(m.emit.astype(np.float32)[ids], m.trans, m.init, lengths, lane)
     emit = np.stack([np.bincount(ids, post[:, k], len(m.emit)) for k in range(post.shape[1])], 1)
     return post[np.cumsum(lengths) - lengths].sum(0), moves, emit
 
@@ -112,7 +110,7 @@ def first_model(ids: np.ndarray, lengths: np.ndarray, symbols: int, p: HmmParams
     emit *= rng.gamma(20.0, 1 / 20, emit.shape)
     m = Hmm(np.full(p.states, 1 / p.states), trans / trans.sum(1, keepdims=True), emit / emit.sum(0))
     for _ in range(p.sample_steps):
-        m = maximised(*expected(ids, lengths, m, p.stretch), base, p)
+        m = maximised(*expected(ids, lengths, m, p.lane), base, p)
     return m
 
 
@@ -239,7 +237,7 @@ def score(docs: DataFrame, held_out: Column, p: HmmParams = HmmParams()) -> Data
             k = len(m.init)
             init, moves, emit = np.zeros(k), np.zeros((k, k)), np.zeros((symbols, k))
             for x, lengths in _blocks(batches):
-                a, b, c = expected(swapped[x], lengths, m, p.stretch)
+                a, b, c = expected(swapped[x], lengths, m, p.lane)
                 init += a
                 moves += b
                 emit += c

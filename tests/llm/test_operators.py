@@ -480,6 +480,19 @@ def test_hmm_learns(spark):
     assert (out["score"] > out["base_score"] + 5).all()
 
 
+def test_hmm_expects_over_whole_texts():
+    """The sums of texts of several lanes are those of one recursion over each text."""
+    rng = np.random.default_rng(2)
+    n, k = np.array([1, 700, 256, 257, 3000]), 3
+    m = hmm.Hmm(np.array([0.98, 0.01, 0.01]), rng.dirichlet(np.ones(k), k) * 0.1 + 0.9 * np.eye(k), rng.dirichlet(np.ones(k), 40))
+    ids = rng.integers(0, 40, n.sum())
+    post, moves, _ = chains.forward_backward(m.emit[ids], m.trans, m.init, n, lane=int(n.max()))
+    got = hmm.expected(ids, n, m, 256)
+    emit = np.stack([np.bincount(ids, post[:, j], 40) for j in range(k)], 1)
+    for have, want in zip(got, (post[np.cumsum(n) - n].sum(0), moves, emit), strict=True):
+        assert np.allclose(have, want, rtol=1e-4)
+
+
 def test_hmm_head_is_of_all_training_texts(spark, docs):
     """Most words are in no text that is short enough for the sample."""
     rng = random.Random(1)
