@@ -8,7 +8,8 @@ Defined results. Lines are compared without surrounding blanks; blank lines stay
 null text stays null. A null host is no site: its texts stay as they are. Repeated rows count as pages of
 their own. A page of which every line is boilerplate keeps an empty text. Only the named columns are read,
 so extra columns cannot clash. A line is known by its 64-bit hash; a wrong drop needs a collision with one
-of the host's few boilerplate lines.
+of the host's few boilerplate lines. With ``distinct`` pages of the same text (by 64-bit hash) count as one, so that
+copies alone make no line boilerplate.
 
 What moves: a (host, hash) row for each distinct line of a task, pre-summed, and a short list for each
 host: at most mean lines per page / ratio hashes, since ratios sum to the mean. Texts move only where
@@ -41,23 +42,27 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def boilerplate(pages: DataFrame, params: LineParams = LineParams()) -> DataFrame:
+def boilerplate(pages: DataFrame, params: LineParams = LineParams(), distinct: bool = False) -> DataFrame:
     """(host, bad): hashes of each host's boilerplate lines. ``pages`` has host and text."""
     # no filter on the text: it would be pushed below the expression that makes the text, which would then run twice
     p = held(pages, "host", "text").where("host IS NOT NULL")
     keys = F.array_distinct(F.transform(F.filter(_lines(F.col("text")), lambda x: F.btrim(x, F.lit(BLANK)) != ""), line_key))
-    seen = p.select("host", F.explode(keys).alias("key")).groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") >= params.min_pages)
-    totals = held(pages, "host").where("host IS NOT NULL").groupBy("host").agg(F.count("*").alias("pages"))
+    lines, whole = p.select("host", F.explode(keys).alias("key")), held(pages, "host").where("host IS NOT NULL")
+    if distinct:
+        same = F.when(F.col("text").isNotNull(), F.xxhash64("text")).alias("same")
+        lines, whole = p.select("host", same, F.explode(keys).alias("key")).distinct(), p.select("host", same).distinct()
+    seen = lines.groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") >= params.min_pages)
+    totals = whole.groupBy("host").agg(F.count("*").alias("pages"))
     return seen.join(totals, "host").where(F.col("n") > params.max_ratio * F.col("pages")).groupBy("host").agg(F.sort_array(F.collect_list("key")).alias("bad"))
 
 
-def clean(pages: DataFrame, params: LineParams = LineParams(), broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def clean(pages: DataFrame, params: LineParams = LineParams(), broadcast_bytes: int = BROADCAST_BYTES, distinct: bool = False) -> DataFrame:
     """Every row of ``pages`` (id, host, text, and whatever else is named in ``keep``) with its text cleaned.
 
     Adds n_lines (lines that aren't blank) and n_dropped.
     """
     scratch = Scratch(pages.sparkSession, "lines")
-    bad = scratch.small(boilerplate(pages, params), broadcast_bytes)
+    bad = scratch.small(boilerplate(pages, params, distinct), broadcast_bytes)
     d = pages.join(bad, "host", "left")
     split = _lines(F.col("text"))
     gone = lambda x: (F.btrim(x, F.lit(BLANK)) != "") & F.array_contains("bad", line_key(x))

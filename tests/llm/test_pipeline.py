@@ -62,6 +62,20 @@ def test_run_and_empty(spark, corpus, tmp_path):
     assert P.run(spark, str(tmp_path)).count() == 0
 
 
+def test_copies_keep_one_to_the_end(spark, tmp_path):
+    """Copies are over 5 % of their source; one of them is left after the last stage, with its lines."""
+    rng = random.Random(9)
+    plain = lambda n: " ".join(rng.choice(["the", "of", "and", word(rng), word(rng), word(rng)]) for _ in range(n))
+    copied = "\n".join(plain(60) for _ in range(3))
+    texts = [copied] * 8 + ["Home page menu\n" + plain(150) for _ in range(40)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, plain(30))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    cleaned_ = P.line_dedup(spark, docs, str(tmp_path)).collect()
+    assert all(r["text"] == copied for r in cleaned_ if r["doc_id"] < 8) and not any("Home page menu" in r["text"] for r in cleaned_)
+    assert [r["doc_id"] for r in P.run(spark, str(tmp_path)).collect() if r["doc_id"] < 8] == [0]
+
+
 def test_registry():
     names = registry.queries()
     assert {n.split("_")[0] for n in names} == {f"op{i}" for i in range(1, 11)}
