@@ -29,8 +29,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that recur over a source's documents go, copies counted as one; the source stands for the host."""
-    sites = docs.select(F.col("source").alias("host"), "text", F.struct("doc_id", "lang", "source", "n_chars").alias("row"))
+    """Lines that recur over a source's documents go, copies counted as one; the source stands for the host, a null source for one of its own."""
+    host = F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))
+    sites = docs.select(host.alias("host"), "text", F.struct("doc_id", "lang", "source", "n_chars").alias("row"))
     out = clean(sites, LineParams(), distinct=True)
     n = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("row.n_chars"))
     return out.select("row.doc_id", "text", "row.lang", "row.source", n.alias("n_chars"))

@@ -76,6 +76,14 @@ def test_copies_keep_one_to_the_end(spark, tmp_path):
     assert [r["doc_id"] for r in P.run(spark, str(tmp_path)).collect() if r["doc_id"] < 8] == [0]
 
 
+def test_null_source_is_a_site(spark):
+    """Its boilerplate goes, and not that of the source whose name is empty."""
+    rows = [(i, f"Home page menu\nline {i}", None) for i in range(40)] + [(100 + i, f"Home page menu\nline {i}" if i < 2 else f"line {i}", "") for i in range(60)]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = {r["doc_id"]: (r["text"], r["source"]) for r in P.line_dedup(spark, docs, "").collect()}
+    assert out == {i: (t if s is not None else t.split("\n")[1], s) for i, t, s in rows}
+
+
 def test_registry():
     names = registry.queries()
     assert {n.split("_")[0] for n in names} == {f"op{i}" for i in range(1, 11)}
