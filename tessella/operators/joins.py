@@ -6,21 +6,12 @@ lies in its neighbourhood. Results that are lists of pairs are as large as the p
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def _scratch(df: DataFrame) -> str:
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if root is None:
-        root = f"file://{tempfile.mkdtemp(prefix='tessella-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/components-{uuid.uuid4().hex[:12]}"
+from ..scratch import Scratch
+from .components import components as connected
 
 
 def within_distance(df: DataFrame, key: str, x: str, reach: float, parts: list[str] | None = None) -> DataFrame:
@@ -32,24 +23,12 @@ def within_distance(df: DataFrame, key: str, x: str, reach: float, parts: list[s
     return left.join(right, [*parts, "cell"]).where((F.col("a") < F.col("b")) & (F.abs(F.col("xa") - F.col("xb")) < reach)).select("a", "b")
 
 
-def components(nodes: DataFrame, edges: DataFrame, rounds: int = 100) -> DataFrame:
-    """(node, root) for every node, root the smallest id of its component. Star contraction, each round written to shared storage."""
-    spark, root = nodes.sparkSession, _scratch(nodes)
-    edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct().write.parquet(f"{root}/0")
-    now, seen = spark.read.parquet(f"{root}/0"), None
-    for k in range(1, rounds):
-        both = now.select(F.col("b").alias("u"), F.col("a").alias("v")).unionByName(now.select(F.col("a").alias("u"), F.col("b").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a < b").distinct()
-        least = large.groupBy("b").agg(F.min("a").alias("m"))
-        large.join(least, "b").select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a < b").distinct().write.parquet(f"{root}/{k}")
-        now = spark.read.parquet(f"{root}/{k}")
-        sign = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if sign == seen:
-            roots = now.groupBy("b").agg(F.min("a").alias("root")).withColumnRenamed("b", "node")
-            return nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
-        seen = sign
-    raise RuntimeError("components did not settle")
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, root) for every node, root the smallest id of its component."""
+    scratch = Scratch(nodes.sparkSession, "components")
+    roots = connected(edges, scratch)
+    every = nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", F.col("node").cast("long")).alias("root"))
+    return scratch.settle(every)
 
 
 def large_components(members: DataFrame, least: float) -> DataFrame:
