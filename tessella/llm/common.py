@@ -1,78 +1,23 @@
-"""Helpers that the training-data operators share: tables, scratch tables, bounded broadcasts, components."""
+"""Helpers that the training-data operators share: tables, columns, words."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.components import components, hot_rows, join_unique, with_least
+from ..scratch import BROADCAST_BYTES, Scratch
+
+__all__ = ["BROADCAST_BYTES", "SPACES", "Scratch", "components", "crc_mod", "held", "hot_rows", "join_unique", "table", "with_least", "words_of"]
+
 #: Words are maximal runs of anything but ASCII white space.
 SPACES = r"[\x20\x09-\x0D]+"
 
-#: A relation is broadcast only when its measured size is at most this.
-BROADCAST_BYTES = 32 << 20
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named in ``spark.checkpoint.dir``; a temporary one only where none is set (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None:
-        named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if named is None:
-        named = f"file://{tempfile.mkdtemp(prefix='tessella-')}"
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
-class Scratch:
-    """Tables written to the shared folder: they cut lineage and survive lost executors."""
-
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark = spark
-        self.root = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
-        self.n = 0
-
-    def path(self, name: str = "") -> str:
-        self.n += 1
-        return f"{self.root}/{self.n:03d}{name and '-' + name}"
-
-    def write(self, df: DataFrame, name: str = "") -> DataFrame:
-        path = self.path(name)
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._scratch = path
-        return out
-
-    def _fs(self, path: str):
-        jvm = self.spark._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        return at, at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-
-    def bytes(self, df: DataFrame) -> int:
-        """Size on disk of a table that ``write`` returned."""
-        at, fs = self._fs(df._scratch)
-        return fs.getContentSummary(at).getLength()
-
-    def drop(self, *dfs: DataFrame) -> None:
-        """Deletes tables that no result reads any more."""
-        for df in dfs:
-            at, fs = self._fs(df._scratch)
-            fs.delete(at, True)
-
-    def small(self, df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-        """A written table, hinted for broadcast where its measured size allows; else joins shuffle."""
-        at_rest = self.write(df)
-        # compressed columns may be several times larger as rows
-        return F.broadcast(at_rest) if self.bytes(at_rest) * 8 <= limit else at_rest
-
-
 def held(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns: operators never see extra columns, whatever they are called."""
     return df.select(*[F.col(f"`{n}`") for n in names])
@@ -86,31 +31,3 @@ def crc_mod(doc_id: Column, n: int) -> Column:
 def words_of(text: Column) -> Column:
     """Array of words; empty for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")
-
-
-def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:
-    """Connected components of (a, b) edges, ids of type long: rows (node, root), root the smallest id.
-
-    Alternates large-star and small-star contraction, each a shuffle and a pre-aggregated minimum, and
-    writes every round to the shared folder. The number of rounds grows with the logarithm of the longest
-    path; the number of edges never grows. Nodes without an edge to another node have no row.
-    """
-    both = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
-    now = scratch.write(both, "edges")
-    seen: tuple[int, int] | None = None
-    for _ in range(rounds):
-        mirrored = now.select(F.col("b").alias("u"), F.col("a").alias("v")).unionByName(now.select(F.col("a").alias("u"), F.col("b").alias("v")))
-        least = mirrored.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        # large star: every larger neighbour of u points to the smallest id around u
-        large = mirrored.join(least, "u").where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a < b").distinct()
-        # small star: the smaller neighbours of b, and b, point to the smallest of them
-        low = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(low, "b").select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a < b").distinct()
-        after = scratch.write(small, "edges")
-        sign = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        scratch.drop(now)
-        now = after
-        if (sign[0], sign[1]) == seen:
-            return now.groupBy("b").agg(F.min("a").alias("root")).select(F.col("b").alias("node"), "root").unionByName(now.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
-        seen = (sign[0], sign[1])
-    raise RuntimeError(f"components did not settle in {rounds} rounds")

@@ -9,11 +9,12 @@ principle). Every distinct fingerprint stands in a table by each part, enumerate
 part, fetches the table entries of the ball's keys and verifies complete distances. Of two unequal keys only the
 larger enumerates, so each pair meets once.
 
-Exact copies are one fingerprint with one representative, so their number doesn't matter. A bucket yields links
-that span it, fewer than its members, not all its pairs. Buckets of more than ``dense`` members are answered in
-another exact way: members and visitors list every point within ``radius`` / 2 bits of theirs, and all that list
-the same point are within ``radius`` of each other, so a link to the least of them is enough; the rows are linear
-in the members, and no group is gathered.
+Exact copies are one fingerprint with one representative, so their number doesn't matter. Buckets without a member
+of their own are left out. A bucket yields links that span it, fewer than its members and visitors, not all their
+pairs. Buckets of more than ``dense`` members and visitors are answered in another exact way: all of them list every
+point (for an odd radius, every edge of the hypercube) within ``radius`` / 2 bits of theirs, and all that list the
+same one are within ``radius`` of each other, so a link to the least of them is enough; the rows are linear in the
+members, and no group is gathered.
 
 Defined results. Null, empty and blank texts have no words: fingerprint zero, linked like any other. Texts of
 any length are processed whole, in slices of bounded memory. Repeated rows and repeated ids: each row has its
@@ -24,15 +25,17 @@ empty results. Only doc_id and text are read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, held
+from .common import Scratch, components, held, hot_rows, join_unique, with_least
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 SLICE = 1 << 16
@@ -56,15 +59,16 @@ def fingerprint(text: bytes, width: int = 4, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > len(begin), bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
-    """(doc_id, fp) of every row."""
+def fingerprints(docs: DataFrame, width: int = 4, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keys`` (columns of integers) and fp of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = [fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", width) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            fps = [fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", width) for t in b.column(0)]
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(fps, pa.int64())], [*keys, "fp"])
 
-    return held(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    rows = held(docs, "text", *keys).select(F.col("text").cast("binary").alias("text"), *[F.col(k).cast("long").alias(k) for k in keys])
+    return rows.mapInArrow(run, ", ".join(f"{k} long" for k in (*keys, "fp")))
 
 
 def plan_segments(segments: int, radius: int) -> list[tuple[int, int, int]]:
@@ -74,9 +78,13 @@ def plan_segments(segments: int, radius: int) -> list[tuple[int, int, int]]:
     return [(a, b - a, share - (i > more)) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
 
 
-def segments_for(n: int) -> int:
-    """Parts about as wide as the number of fingerprints has bits, so that a bucket holds few."""
-    return max(2, min(5, 64 // max(12, int(n).bit_length())))
+def segments_for(n: int, radius: int) -> int:
+    """Number of parts of the least work: rows moved, and comparisons in buckets, of which two hundred cost about a moved row."""
+
+    def work(segments: int) -> float:
+        return sum((1 + sum(comb(bits, k) for k in range(1, r + 1)) / 2) * (1 + n / 2**bits / 200) for _, bits, r in plan_segments(segments, radius) if r >= 0)
+
+    return min(range(1, max(1, radius) + 1), key=lambda s: (work(s), s))
 
 
 def _ball(bits: int, radius: int) -> list[int]:
@@ -136,62 +144,97 @@ def _verify(radius: int, small: int = 32):
 
 
 def _points(radius: int):
-    masks = np.array([0, *_ball(64, radius)], np.uint64)
+    """mapInArrow function over (fp, rep): every point within radius / 2 bits; for an odd radius the 64 edges at each, by their end without the bit."""
+    masks = np.array([0, *_ball(64, radius // 2)], np.uint64)
+    axes = np.uint64(1) << np.arange(64, dtype=np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp, rep = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
-            for lo in range(0, len(fp), 64):
-                keys = (fp[lo : lo + 64, None] ^ masks[None, :]).ravel().view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(rep[lo : lo + 64], len(masks)))], ["point", "rep"])
+            step = 64 if radius % 2 == 0 else 1
+            for lo in range(0, len(fp), step):
+                at = (fp[lo : lo + step, None] ^ masks[None, :]).ravel()
+                axis = np.full(len(at), -1, np.int8)
+                if radius % 2:
+                    axis = np.tile(np.arange(64, dtype=np.int8), len(at))
+                    at = (at[:, None] & ~axes[None, :]).ravel()
+                who = np.repeat(rep[lo : lo + step], len(at) // len(fp[lo : lo + step]))
+                yield pa.RecordBatch.from_arrays([pa.array(at.view(np.int64)), pa.array(axis, pa.int8()), pa.array(who)], ["point", "axis", "rep"])
 
     return run
 
 
-def links(reps: DataFrame, scratch: Scratch, radius: int = 4, segments: int | None = None, dense: int = 4096) -> DataFrame:
+def links(reps: DataFrame, scratch: Scratch, radius: int = 4, segments: int | None = None, dense: int = 16384) -> DataFrame:
     """Links (a, b) between representatives whose connected components are those of all pairs within ``radius``.
 
     ``reps``: fp, rep; every fp once.
     """
-    parts = plan_segments(segments or segments_for(reps.count()), radius)
-    key = lambda a, n: F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << n) - 1))
-    tag = lambda i, k: (k * len(parts) + F.lit(i)).cast("long")
-    home = reps.select("fp", "rep", F.explode(F.array(*[tag(i, key(a, n)) for i, (a, n, r) in enumerate(parts) if r >= 0])).alias("bucket"))
-    crowded = scratch.write(home.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > dense).select("bucket"), "dense")
-
-    def ball(i: int, a: int, n: int, r: int):
-        """Buckets of the smaller keys around this part of a fingerprint."""
-        own = key(a, n)  # functions of one argument: a second one would be taken for the index
-        around = F.transform(F.array(*[F.lit(x).cast("long") for x in _ball(n, r)]), lambda m: m.bitwiseXOR(own))
+    parts = plan_segments(segments or segments_for(reps.count(), radius), radius)
+    key = lambda a, n: F.shiftrightunsigned("fp", a).bitwiseAND(F.lit(-1 if n == 64 else (1 << n) - 1))
+    tag = lambda i, k: F.struct(F.lit(i).cast("byte").alias("part"), k.cast("long").alias("key"))
+    none = F.expr("cast(array() as array<struct<part:tinyint,key:bigint>>)")
+
+    def ball(i: int, own: Column) -> Column:
+        """Buckets of the smaller keys around this one in part i."""
+        _, n, r = parts[i]
+        if r < 1:
+            return none
+        # functions of one argument: a second one would be taken for the index
+        around = F.transform(F.array(*[F.lit(x if x < 1 << 63 else x - (1 << 64)).cast("long") for x in _ball(n, r)]), lambda m: m.bitwiseXOR(own))
         return F.transform(F.filter(around, lambda x: x < own), lambda x: tag(i, x))
 
-    balls = [ball(i, a, n, r) for i, (a, n, r) in enumerate(parts) if r > 0]
-    visits = reps.select("fp", "rep", F.explode(F.concat(*balls) if balls else F.expr("cast(array() as array<bigint>)")).alias("bucket"))
-    every = home.withColumn("home", F.lit(True)).unionByName(visits.withColumn("home", F.lit(False)))
-    some_dense = not crowded.isEmpty()
-    if some_dense:
-        rest = every.join(crowded, "bucket", "left_anti")
-    else:
-        rest = every
-    grouped = rest.groupBy("bucket").agg(F.collect_list(F.struct("fp", "rep")).alias("members"), F.max("home").alias("any_home"))
-    found = grouped.where("any_home AND size(members) > 1").select("members").mapInArrow(_verify(radius), "a long, b long")
-    if some_dense:
-        inside = scratch.write(every.join(crowded, "bucket", "left_semi").select("fp", "rep").distinct(), "inside")
-        if radius % 2:
-            raise ValueError("dense buckets need an even radius")
-        points = inside.mapInArrow(_points(radius // 2), "point long, rep long")
-        least = points.groupBy("point").agg(F.min("rep").alias("low"), F.count("*").alias("n")).where("n > 1").select("point", "low")
-        found = found.unionByName(points.join(least, "point").where("rep > low").select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct())
+    searched = [i for i, (_, _, r) in enumerate(parts) if r >= 0]
+    home = reps.select("fp", "rep", F.explode(F.array(*[tag(i, key(*parts[i][:2])) for i in searched])).alias("bucket"))
+    visits = reps.select("fp", "rep", F.explode(F.concat(none, *[ball(i, key(*parts[i][:2])) for i in searched])).alias("bucket"))
+    every = home.unionByName(visits)
+    homes = scratch.write(home.groupBy("bucket").agg(F.count("*").alias("n")), "homes")
+    # no bucket can have more members and visitors than this
+    most = (homes.agg(F.max("n")).first()[0] or 0) * (1 + max(len(_ball(n, r)) for _, n, r in parts))
+    gathered, crowded = every, None
+    if most > dense:
+        guests = F.explode(reduce(lambda c, i: F.when(F.col("bucket.part") == i, ball(i, F.col("bucket.key"))).otherwise(c), searched, none))
+        count = homes.select("bucket", "n", F.lit(True).alias("home")).unionByName(homes.select("n", guests.alias("bucket")).select("bucket", "n", F.lit(False).alias("home")))
+        full = count.groupBy("bucket").agg(F.sum("n").alias("n"), F.max("home").alias("home")).where(F.col("n") > dense).select("bucket", "home")
+        full = scratch.small(full)
+        gathered, crowded = every.join(full, "bucket", "left_anti"), full.where("home").select("bucket")
+    gathered = gathered.join(homes.select("bucket"), "bucket", "left_semi")
+    grouped = gathered.groupBy("bucket").agg(F.collect_list(F.struct("fp", "rep")).alias("members"))
+    found = grouped.where("size(members) > 1").select("members").mapInArrow(_verify(radius), "a long, b long")
+    if crowded is not None and not crowded.isEmpty():
+        inside = every.join(crowded, "bucket", "left_semi").select("fp", "rep").distinct()
+        points = scratch.write(inside.mapInArrow(_points(radius), "point long, axis byte, rep long"), "points")
+        least = points.groupBy("point", "axis").agg(F.min("rep").alias("low"), F.count("*").alias("n")).where("n > 1").select("point", "axis", "low")
+        found = found.unionByName(points.join(least, ["point", "axis"]).where("rep > low").select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct())
     return found
 
 
-def groups(docs: DataFrame, width: int = 4, radius: int = 4, segments: int | None = None, dense: int = 4096) -> DataFrame:
+def classes(fps: DataFrame, scratch: Scratch, radius: int = 4, segments: int | None = None, dense: int = 16384) -> DataFrame:
+    """(fp, n, root) of every distinct fp: its rows, and the fp that stands for its component."""
+    reps = scratch.write(fps.groupBy("fp").agg(F.count("*").alias("n")), "representatives")
+    roots = components(links(reps.select("fp", F.col("fp").alias("rep")), scratch, radius, segments, dense), scratch)
+    return scratch.write(reps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "classes")
+
+
+def rooted(fps: DataFrame, found: DataFrame, rows: int) -> DataFrame:
+    """fps with the root of each row; ``found`` as ``classes`` returns it. A fingerprint of very many rows is no one task's work."""
+    return join_unique(fps, found.select("fp", "root"), "fp", found.where(F.col("n") > hot_rows(rows)))
+
+
+def groups(docs: DataFrame, width: int = 4, radius: int = 4, segments: int | None = None, dense: int = 16384) -> DataFrame:
     """(doc_id, fp, component_id) of every row; component_id is the smallest doc_id reachable."""
     scratch = Scratch(docs.sparkSession, "simhash")
     fps = scratch.write(fingerprints(docs, width), "fingerprints")
-    reps = scratch.write(fps.groupBy("fp").agg(F.min("doc_id").alias("low")), "representatives")
+    n = fps.count()
     # fingerprints are the nodes, so that one whose ids are all null still joins its neighbours
-    roots = components(links(reps.select("fp", F.col("fp").alias("rep")), scratch, radius, segments, dense), scratch)
-    rooted = reps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    labels = rooted.select("fp", "root").join(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("fp", "component_id")
-    return fps.join(labels, "fp").select("doc_id", "fp", "component_id")
+    found = classes(fps, scratch, radius, segments, dense)
+    out = with_least(rooted(fps, found, n), "root", "doc_id", n)
+    return scratch.settle(out.select("doc_id", "fp", F.col("m").alias("component_id")))
+
+
+def leaders(docs: DataFrame, key: str, width: int = 4, radius: int = 4) -> DataFrame:
+    """(key) of one row of each group: of the smallest doc_id, and of rows that share it the smallest ``key``, which no two rows share. Null ids come last."""
+    scratch = Scratch(docs.sparkSession, "leaders")
+    fps = scratch.write(fingerprints(docs, width, ("doc_id", key)), "fingerprints")
+    found = rooted(fps, classes(fps, scratch, radius), fps.count())
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", key)).alias("first"))
+    return scratch.settle(first.select(f"first.{key}"))

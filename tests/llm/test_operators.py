@@ -264,23 +264,68 @@ def near_fingerprints():
     return sorted(out)
 
 
-@pytest.mark.parametrize(("segments", "dense"), [(2, 4096), (3, 4096), (4, 4096), (5, 4096), (3, 4), (4, 10)])
-def test_links(spark, segments, dense):
-    fps = near_fingerprints()
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    reps = spark.createDataFrame([(signed(f), i) for i, f in enumerate(fps)], "fp long, rep long")
-    scratch = Scratch(spark, "test")
-    got = dict(components(simhash.links(reps, scratch, 4, segments, dense), scratch).collect())
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def linked(fps, radius):
+    """Smallest position reachable, of each fingerprint, by all pairs."""
     label = list(range(len(fps)))
+    near = [(i, j) for i, j in itertools.combinations(range(len(fps)), 2) if (fps[i] ^ fps[j]).bit_count() <= radius]
     changed = True
     while changed:
         changed = False
-        for i, j in itertools.combinations(range(len(fps)), 2):
-            if (fps[i] ^ fps[j]).bit_count() <= 4 and label[i] != label[j]:
+        for i, j in near:
+            if label[i] != label[j]:
                 label[i] = label[j] = min(label[i], label[j])
                 changed = True
+    return label
+
+
+@pytest.mark.parametrize(("radius", "segments", "dense"), [(4, None, 4096), (4, 2, 4096), (4, 3, 4096), (4, 5, 4096), (4, 3, 4), (4, 4, 10), (3, None, 4096), (3, 2, 5), (3, 3, 8), (1, 1, 4), (0, None, 4096), (5, 4, 4096)])
+def test_links(spark, radius, segments, dense):
+    fps = near_fingerprints()
+    reps = spark.createDataFrame([(signed(f), i) for i, f in enumerate(fps)], "fp long, rep long")
+    scratch = Scratch(spark, "test")
+    got = dict(components(simhash.links(reps, scratch, radius, segments, dense), scratch).collect())
+    label = linked(fps, radius)
     assert [got.get(i, i) for i in range(len(fps))] == label
-    assert len(set(label)) < len(fps) - 40
+    assert radius < 3 or len(set(label)) < len(fps) - 30
+
+
+def test_segments():
+    """The first part always has a ball to enumerate, and the rows of a fingerprint stay few at any size."""
+    for n in (1, 10**4, 10**6, 10**8, 10**10):
+        parts = simhash.plan_segments(simhash.segments_for(n, 4), 4)
+        assert max(r for _, _, r in parts) >= 1
+        if n <= 10**8:
+            assert sum(1 + len(simhash._ball(b, r)) / 2 for _, b, r in parts if r >= 0) < 30
+
+
+def test_gathered_groups_are_bounded(spark, monkeypatch):
+    """A crowded key visits a neighbour with one member, and others with none: neither becomes a gathered group."""
+    rng = random.Random(12)
+    top = 0b1011
+    crowd = {(rng.getrandbits(48) << 16) | top for _ in range(1500)}
+    lone = {(rng.getrandbits(48) << 16) | 0b1010, min(crowd) ^ 1 ^ (1 << 20) ^ (1 << 40)}
+    fps = sorted(crowd | lone)
+    real = simhash._verify
+
+    def strict(radius):
+        run = real(radius)
+
+        def checked(batches):
+            batches = list(batches)
+            assert all(len(x) <= 100 for b in batches for x in b.column(0))
+            yield from run(batches)
+
+        return checked
+
+    monkeypatch.setattr(simhash, "_verify", strict)
+    reps = spark.createDataFrame([(signed(f), i) for i, f in enumerate(fps)], "fp long, rep long")
+    scratch = Scratch(spark, "test")
+    got = dict(components(simhash.links(reps, scratch, 4, 4, 100), scratch).collect())
+    assert [got.get(i, i) for i in range(len(fps))] == linked(fps, 4) and got
 
 
 def test_groups(docs, empty):
@@ -510,12 +555,22 @@ def test_hmm_head_is_of_all_training_texts(spark, docs):
 # --- components
 
 
-def test_components(spark):
+@pytest.mark.parametrize("chunk", [1 << 20, 3])
+def test_components(spark, monkeypatch, chunk):
+    """Chains, a hub, loops and repeated edges; a chunk of three edges leaves the work to the rounds."""
+    from tessella.operators import components as C
+
+    real = C._contract
+    monkeypatch.setattr(C, "_contract", lambda batches: (out for b in batches for k in range(0, b.num_rows, chunk) for out in real(iter([b.slice(k, chunk)]))))
+    monkeypatch.setattr(C, "hot_rows", lambda rows: 5)
     rng = random.Random(8)
-    edges = [(i, i + 1) for i in range(0, 50)] + [(100, 100 + i) for i in range(30)] + [(rng.randrange(200, 400), rng.randrange(200, 400)) for _ in range(90)] + [(7, 7)]
-    got = dict(components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "test")).collect())
+    edges = [(i, i + 1) for i in range(0, 50)] + [(100, 100 + i) for i in range(30)] + [(rng.randrange(200, 400), rng.randrange(200, 400)) for _ in range(90)] + [(7, 7), (None, 3)]
+    df = spark.createDataFrame(edges, "a long, b long").repartition(5)
+    got = dict(components(df, Scratch(spark, "test")).collect())
+    edges = edges[:-1]
     label = {x: x for e in edges for x in e}
     for _ in label:
         for a, b in edges:
             label[a] = label[b] = min(label[a], label[b])
     assert all(got.get(k, k) == v for k, v in label.items())
+    assert components(df.limit(0), Scratch(spark, "test")).count() == 0
