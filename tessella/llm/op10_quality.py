@@ -30,7 +30,8 @@ def quality_sql(docs: str = "documents") -> str:
     named = [f"{_left('t', c)} AS {k[i + 1]}" for i, (_, c) in enumerate(CLASSES)]
     symbol = 1 + [n for n, _ in CLASSES].index("symbol")
     shares = " UNION ALL ".join(f"SELECT rid, key, '{x}' AS c, {x} / greatest(1, word_chars) AS p, n_chars FROM m" for x in k)
-    refs = " UNION ALL ".join(f"SELECT key, '{x}' AS c, sum({x}) / greatest(1, sum({' + '.join(k)})) AS q FROM m GROUP BY key" for x in k)
+    both = " + ".join(k)
+    refs = " UNION ALL ".join(f"SELECT key, '{x}' AS c, (sum({x}) + {P.prior_chars} * (SELECT sum({x}) / greatest(1, sum({both})) FROM m)) / (sum({both}) + {P.prior_chars}) AS q FROM m GROUP BY key" for x in k)
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, chr(1)) AS key, coalesce(text, '') AS t FROM {docs}),
 w0 AS (SELECT *, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM d),
@@ -43,7 +44,9 @@ rep AS (SELECT rid, count(DISTINCT i + j) AS n FROM dup, range(5) AS r(j) GROUP
 tok AS (SELECT rid, key, lower(unnest(w)) AS word FROM m),
 cnt AS (SELECT key, word, count(*) AS n FROM tok GROUP BY ALL),
 tot AS (SELECT key, sum(n) AS ref_words FROM cnt GROUP BY key),
-common AS (SELECT key, word, n / ref_words AS q FROM cnt JOIN tot USING (key) WHERE length(word) <= {P.common_chars} AND n >= {P.common_share} * ref_words),
+pool AS (SELECT word, sum(n) AS n_all, (SELECT sum(n) FROM cnt) AS all_words FROM cnt GROUP BY word),
+asked AS (SELECT key, word FROM cnt JOIN tot USING (key) WHERE n >= {P.common_share} * ref_words UNION SELECT key, word FROM tot, pool WHERE n_all >= {P.common_share} * all_words),
+common AS (SELECT key, word, (coalesce(n, 0) + {P.prior_words} * (n_all / all_words)) / (ref_words + {P.prior_words}) AS q FROM asked LEFT JOIN cnt USING (key, word) JOIN tot USING (key) JOIN pool USING (word) WHERE q >= {P.common_share}),
 found AS (SELECT rid, key, word, count(*) AS c FROM tok JOIN common USING (key, word) GROUP BY ALL),
 pairs AS (SELECT m.rid, q, coalesce(c, 0) / greatest(1, n_words) AS p FROM m JOIN common USING (key) LEFT JOIN found ON found.rid = m.rid AND found.word = common.word),
 rest AS (SELECT rid, greatest(0, 1 - sum(q)) AS q, greatest(0, 1 - sum(p)) AS p FROM pairs GROUP BY rid),
@@ -51,9 +54,9 @@ wd AS (SELECT rid, sqrt(greatest(0, sum({_jsd('p', 'q')}) / 2)) AS d FROM (SELEC
 share AS ({shares}), ref AS ({refs}),
 cd AS (SELECT rid, sqrt(greatest(0, sum({_jsd('p', 'q')}) / 2)) AS d FROM share JOIN ref USING (key, c) GROUP BY rid),
 j AS (SELECT m.*, coalesce(rep.n, 0) AS n_repeat_words, n_words < {P.min_words} OR 100 * coalesce(rep.n, 0) > {P.max_repeat_pct} * n_words AS base_failed,
-  CASE WHEN n_chars >= {P.min_chars} AND ref_words >= {P.min_reference_words} THEN cd.d END AS class_distance,
-  CASE WHEN n_words >= {P.min_hist_words} AND ref_words >= {P.min_reference_words} THEN coalesce(wd.d, 0) END AS word_distance
-  FROM m LEFT JOIN rep USING (rid) LEFT JOIN cd USING (rid) LEFT JOIN wd USING (rid) LEFT JOIN tot ON tot.key = m.key)
+  CASE WHEN n_chars >= {P.min_chars} THEN cd.d END AS class_distance,
+  CASE WHEN n_words >= {P.min_hist_words} THEN coalesce(wd.d, 0) END AS word_distance
+  FROM m LEFT JOIN rep USING (rid) LEFT JOIN cd USING (rid) LEFT JOIN wd USING (rid))
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, k{symbol}::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
   NOT base_failed AND coalesce(class_distance, 0) <= {P.max_class_distance} AND coalesce(word_distance, 0) <= {P.max_word_distance} AS kept FROM j"""
 

@@ -2,7 +2,11 @@
 
 Every document's character-class histogram and common-word histogram are held against those of its
 language (all documents of the same ``lang``; null is a language of its own) by Jensen-Shannon distance.
-Base rules on length and repetition come first.
+A language's reference is its own counts and, as a prior of a fixed number of words, the shares of all languages
+together; so one of few words leans on the rest and one of many is its own. Base rules on length and repetition
+come first.
+
+Words are counted once, in one scan, by their spelling; classes, totals and common words come from the counts.
 
 Defined results. Null or empty text: no words, zero measures, ``base_failed``. Repeated rows: each row has
 its own result. An empty table gives an empty result. Only ``doc_id``, ``text`` and ``lang`` are read; extra
@@ -39,11 +43,11 @@ class QualityParams:
     #: Histograms of shorter texts say too little: such texts are judged by the base rules alone.
     min_chars: int = 200
     min_hist_words: int = 60
-    #: A language with fewer words than this has no reference worth the name.
-    min_reference_words: int = 1000
-    #: Common words: lower-cased, at most so many code points, at least this share of their language's words,
-    #: which bounds them at 1 / share words for each language.
-    common_chars: int = 5
+    #: Words and characters of all languages' shares that are added to each language's own.
+    prior_words: int = 1000
+    prior_chars: int = 5000
+    #: Common words: lower-cased, at least this share of their language's words (the prior's included), which bounds
+    #: them at 1 / share words for each language.
     common_share: float = 0.01
     max_class_distance: float = 0.3
     max_word_distance: float = 0.33
@@ -127,26 +131,33 @@ def distance(p: Column, q: Column) -> Column:
     return F.when(p.isNotNull() & q.isNotNull(), F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda s, x: s + x) / 2)))
 
 
-def references(docs: DataFrame, params: QualityParams = QualityParams()) -> DataFrame:
-    """A row for each language (``key``): shares of character classes, common words and their shares, from all documents."""
-    t = F.coalesce("text", F.lit(""))
-    d = held(docs, "lang", "text").select(F.coalesce("lang", F.lit("\x00")).alias("key"), t.alias("t"))
-    counts = d.withColumn("r", rare(F.col("t"))).select("key", F.length("t").cast("long").alias("n_chars"), F.length(F.regexp_replace("t", SPACES, "")).cast("long").alias("word_chars"), *class_columns(F.col("r")))
-    totals = counts.groupBy("key").agg(*[F.sum(c).alias(f"k{i}") for i, c in enumerate(class_counts())])
-    shares = totals.select("key", F.transform(F.array(*[F.col(f"k{i}") for i in range(len(CLASSES) + 1)]), lambda x: x / F.greatest(F.lit(1), sum(F.col(f"k{i}") for i in range(len(CLASSES) + 1)))).alias("ref_classes"))
-    # longer words count together, as the null word: what is shuffled is bounded by the short words there are
-    word = F.when(F.length("word") <= params.common_chars, F.col("word"))
-    counted = d.select("key", F.explode(F.split(F.lower("t"), SPACES)).alias("word")).where("word <> ''").groupBy("key", word.alias("word")).agg(F.count("*").alias("n"))
-    words = counted.groupBy("key").agg(F.sum("n").alias("ref_words"))
-    common = (
-        counted.where(F.col("word").isNotNull())
-        .join(words, "key")
-        .where(F.col("n") >= params.common_share * F.col("ref_words"))
-        .groupBy("key")
-        .agg(F.sort_array(F.collect_list(F.struct("word", (F.col("n") / F.col("ref_words")).alias("share")))).alias("common"))
-    )
-    shares = shares.join(words, "key", "left").withColumn("ref_words", F.coalesce("ref_words", F.lit(0)))
-    return shares.join(common, "key", "left").withColumn("common", F.coalesce("common", F.expr("cast(array() as array<struct<word:string,share:double>>)")))
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(key, word, n): occurrences of each spelling in each language."""
+    d = held(docs, "lang", "text").select(F.coalesce("lang", F.lit("\x00")).alias("key"), F.explode(F.split(F.coalesce("text", F.lit("")), SPACES)).alias("word"))
+    return d.where("word <> ''").groupBy("key", "word").agg(F.count("*").alias("n"))
+
+
+def references(counted: DataFrame, params: QualityParams = QualityParams()) -> DataFrame:
+    """A row for each language (``key``) that has words: shares of character classes, and common words with their shares.
+
+    ``counted``: as ``word_counts`` makes it, at rest.
+    """
+    kinds = [f"k{i}" for i in range(len(CLASSES) + 1)]
+    per_word = counted.withColumn("r", rare(F.col("word"))).select("key", "n", F.length("word").alias("word_chars"), F.length("word").alias("n_chars"), *class_columns(F.col("r")))
+    totals = per_word.groupBy("key").agg(F.sum("n").alias("words"), *[F.sum(c * F.col("n")).alias(k) for k, c in zip(kinds, class_counts(), strict=True)])  # a row for each language
+    low = counted.groupBy("key", F.lower("word").alias("word")).agg(F.sum("n").alias("n"))
+    pooled = low.groupBy("word").agg(F.sum("n").alias("n_all"))
+    whole = totals.agg(F.sum("words").alias("all_words"), *[F.sum(k).alias(f"all_{k}") for k in kinds])  # one row
+    often = pooled.crossJoin(F.broadcast(whole.select("all_words"))).where(F.col("n_all") >= params.common_share * F.col("all_words")).agg(F.collect_set("word").alias("often"))  # at most 1 / share words
+    langs = totals.crossJoin(F.broadcast(whole)).crossJoin(F.broadcast(often))  # one row each on the right
+    own = low.join(F.broadcast(totals.select("key", "words")), "key").where(F.col("n") >= params.common_share * F.col("words")).select("key", "word")
+    asked = own.unionByName(langs.select("key", F.explode("often").alias("word"))).distinct()  # at most 2 / share words for each language
+    found = asked.join(low, ["key", "word"], "left").join(pooled, "word").join(F.broadcast(langs.select("key", "words", "all_words")), "key")
+    share = (F.coalesce("n", F.lit(0)) + params.prior_words * (F.col("n_all") / F.col("all_words"))) / (F.col("words") + params.prior_words)
+    common = found.withColumn("share", share).where(F.col("share") >= params.common_share).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("word", "share"))).alias("common"))
+    every, mine = sum(F.col(f"all_{k}") for k in kinds), sum(F.col(k) for k in kinds)
+    shares = F.array(*[(F.col(k) + params.prior_chars * F.coalesce(F.try_divide(F.col(f"all_{k}"), every), F.lit(0.0))) / (mine + params.prior_chars) for k in kinds])
+    return langs.select("key", shares.alias("ref_classes")).join(common, "key", "left").withColumn("common", F.coalesce("common", F.expr("cast(array() as array<struct<word:string,share:double>>)")))
 
 
 def judged(docs: DataFrame, params: QualityParams = QualityParams(), broadcast_bytes: int = BROADCAST_BYTES, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -155,19 +166,25 @@ def judged(docs: DataFrame, params: QualityParams = QualityParams(), broadcast_b
     ``keep`` names columns that come along, whole, in a struct ``row``. ``class_distance`` and ``word_distance`` are null where a guard says that a histogram is too thin.
     """
     scratch = Scratch(docs.sparkSession, "quality")
-    ref = scratch.small(references(docs, params), broadcast_bytes)
+    counted = scratch.write(word_counts(docs), "words")
+    ref = scratch.write(references(counted, params).coalesce(1), "languages")  # a row for each language
+    scratch.drop(counted)
+    if scratch.bytes(ref) * 8 <= broadcast_bytes:
+        ref = F.broadcast(ref)
     d = measures(docs, keep).withColumn("key", F.coalesce("lang", F.lit("\x00"))).join(ref, "key", "left")
     classes = F.array(*[c.cast("double") for c in class_counts()])
     d = d.withColumn("classes", F.transform(classes, lambda x: x / F.greatest(F.lit(1), F.col("word_chars"))))
     # every word has its own blanks on both sides, so that the text shrinks by its length for each occurrence
-    d = d.withColumn("padded", F.concat(F.lit(" "), F.lower(F.array_join(F.filter("w", lambda x: F.length(x) <= params.common_chars), "  ")), F.lit(" ")))
+    longest = F.coalesce(F.array_max(F.transform("common", lambda c: F.length(c["word"]))), F.lit(0))
+    d = d.withColumn("longest", longest)  # lowering never shortens a word
+    d = d.withColumn("padded", F.concat(F.lit(" "), F.lower(F.array_join(F.filter("w", lambda x: F.length(x) <= F.col("longest")), "  ")), F.lit(" ")))
     found = F.transform("common", lambda c: (F.length("padded") - F.length(F.replace("padded", F.concat(F.lit(" "), c["word"], F.lit(" "))))) / (F.length(c["word"]) + 2) / F.greatest(F.lit(1), F.col("n_words")))
-    d = d.withColumn("found", F.when((F.col("n_words") >= params.min_hist_words) & (F.col("ref_words") >= params.min_reference_words), found))
+    d = d.withColumn("found", F.when(F.col("n_words") >= params.min_hist_words, found))
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
     wide = lambda a: F.concat(a, F.array(F.greatest(F.lit(0.0), 1 - total(a))))
     d = d.withColumn("expected", F.transform("common", lambda c: c["share"]))
     d = d.withColumn("word_distance", distance(wide(F.col("found")), wide(F.col("expected"))))
-    d = d.withColumn("class_distance", F.when((F.col("n_chars") >= params.min_chars) & (F.col("ref_words") >= params.min_reference_words), distance(F.col("classes"), F.col("ref_classes"))))
+    d = d.withColumn("class_distance", F.when(F.col("n_chars") >= params.min_chars, distance(F.col("classes"), F.col("ref_classes"))))
     failed = (F.col("n_words") < params.min_words) | (100 * F.col("n_repeat_words") > params.max_repeat_pct * F.col("n_words"))
     near = (F.coalesce("class_distance", F.lit(0.0)) <= params.max_class_distance) & (F.coalesce("word_distance", F.lit(0.0)) <= params.max_word_distance)
     return d.select(
