@@ -6,12 +6,15 @@ neighbours. Training maximises the conditional likelihood of code-switched seque
 labelled documents, by AdaGrad on forward-backward gradients. A text's words are labelled by the posterior of
 forward-backward; the text's language has the largest sum of posteriors and its share is the score.
 
-The classifier is fitted on a bounded sample: at most ``per_lang`` documents of each of the ``max_langs`` most
-frequent languages and about ``max_docs`` in all, of at most ``max_chars`` code points each, drawn by hash of doc_id. Prediction reads whole texts.
+The classifier is fitted on a bounded sample: at most ``per_lang`` documents of each language, fewer where there are
+so many languages that ``max_docs`` in all would be exceeded, but one of each at least; of a text of more than ``max_chars``
+code points a stretch of so many, drawn like the documents by hash of the row. No language is left out: with many, the
+hash tables of each get fewer bits, so that the model stays within ``weights``. Prediction reads whole texts.
 
 Defined results. Null texts and texts without a letter are ``und`` with score 0. Without any labelled
-document every text is ``und``. Repeated rows: each has its own result. Empty tables are fine. Only doc_id and
-text are read for predictions, and lang for training.
+document every text is ``und``. Repeated rows: each has its own result; repeated ids share a place in the draw, and no
+more of them are drawn than the language's quota. Empty tables are fine. Only doc_id and text are read for
+predictions, and lang for training.
 """
 
 from __future__ import annotations
@@ -23,10 +26,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .chains import forward_backward
-from .common import crc_mod
+from .common import Scratch, crc_mod
 
 BITS = 15
 GRAMS = (2, 3)
@@ -37,13 +41,18 @@ LETTER[97:123] = LETTER[128:] = True
 MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
+def bits_for(langs: int, weights: int) -> int:
+    """Bits of each hash table, so that all languages' tables have at most so many weights, but 8 bits at least."""
+    return max(8, min(BITS, (max(1, weights // (langs * len(PIECES)))).bit_length() - 1))
+
+
 @dataclass(frozen=True)
 class CrfParams:
-    max_langs: int = 100
     per_lang: int = 150
     max_docs: int = 3000
     max_chars: int = 20_000
     lexicon: int = 20_000
+    weights: int = 16 << 20  # of all tables
     span: int = 12
     length: int = 32
     epochs: int = 4
@@ -81,7 +90,7 @@ class Words:
         self.n = len(self.lead)
         self.ints = np.ndarray((n,), "<u8", np.concatenate((text, np.zeros(8, np.uint8))), 0, (1,))
 
-    def features(self) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    def features(self, bits: int = BITS) -> dict[str, tuple[np.ndarray, np.ndarray]]:
         """name -> (hash, word) of each occurrence."""
         at = np.arange(self.lead[0], self.trail[-1]) if self.n else np.empty(0, np.int64)
         word = np.repeat(np.arange(self.n), self.trail - self.lead)
@@ -89,12 +98,12 @@ class Words:
         for n in GRAMS:
             ok = at + n - 1 <= self.trail[word]
             x = self.ints[at[ok]] & np.uint64((1 << 8 * n) - 1)
-            out[f"gram{n}"] = ((x * MUL >> np.uint64(64 - BITS)).astype(np.int64), word[ok])
+            out[f"gram{n}"] = ((x * MUL >> np.uint64(64 - bits)).astype(np.int64), word[ok])
         every = np.arange(self.n)
         size = np.minimum(self.trail - self.lead - 1, 5).astype(np.uint64)
         mask = (np.uint64(1) << (np.uint64(8) * size)) - np.uint64(1)
         for name, x in (("prefix", self.ints[self.lead + 1] & mask), ("suffix", self.ints[self.trail - size.astype(np.int64)] & mask)):
-            out[name] = (((x + np.uint64(1)) * MUL >> np.uint64(64 - BITS)).astype(np.int64), every)
+            out[name] = (((x + np.uint64(1)) * MUL >> np.uint64(64 - bits)).astype(np.int64), every)
         return out
 
     def hashes(self) -> np.ndarray:
@@ -112,7 +121,7 @@ class Words:
 @dataclass
 class Crf:
     langs: list[str]
-    tables: dict[str, np.ndarray]  # (2 ** BITS, L) weights of each kind of feature
+    tables: dict[str, np.ndarray]  # (2 ** bits, L) weights of each kind of feature
     lex_keys: np.ndarray  # sorted
     lex: np.ndarray  # (entries + 1, L); the last row, of unknown words, is the bias
     trans: np.ndarray
@@ -125,9 +134,13 @@ class Crf:
         i[i == len(self.lex_keys)] = 0
         return np.where(self.lex_keys[i] == hashes, i, len(self.lex_keys))
 
+    @property
+    def bits(self) -> int:
+        return len(self.tables[PIECES[0]]).bit_length() - 1
+
     def scores(self, w: Words) -> np.ndarray:
         e = self.lex[self.look(w.hashes())].astype(np.float64)
-        for name, (h, word) in w.features().items():
+        for name, (h, word) in w.features(self.bits).items():
             t = self.tables[name]
             first = np.flatnonzero(np.diff(word, prepend=-1))
             if len(word):
@@ -173,10 +186,11 @@ def fit(texts: list[str], labels: list[str], p: CrfParams = CrfParams()) -> Crf
     gold = np.concatenate([np.full(b - a, y) for a, b, y in spans])
     hashes = w.hashes()
     keys, counts = np.unique(hashes, return_counts=True)
-    keep = np.sort(np.argsort(-counts, kind="stable")[: p.lexicon])
+    bits = bits_for(k, p.weights)
+    keep = np.sort(np.argsort(-counts, kind="stable")[: min(p.lexicon, max(1, p.weights // k))])
     keys = keys[keep][counts[keep] > 1]
-    crf = Crf(langs, {n: np.zeros((1 << BITS, k), np.float32) for n in PIECES}, keys, np.zeros((len(keys) + 1, k), np.float32), np.zeros((k, k)), np.zeros(k))
-    feats = w.features()
+    crf = Crf(langs, {n: np.zeros((1 << bits, k), np.float32) for n in PIECES}, keys, np.zeros((len(keys) + 1, k), np.float32), np.zeros((k, k)), np.zeros(k))
+    feats = w.features(bits)
     lex = crf.look(hashes)
     # occurrences in the order of words, so that a batch of words finds its own
     bounds = {n: np.searchsorted(word, np.arange(w.n + 1)) for n, (h, word) in feats.items()}
@@ -212,7 +226,7 @@ def fit(texts: list[str], labels: list[str], p: CrfParams = CrfParams()) -> Crf
             for n, (h, who) in own.items():
                 t, s = crf.tables[n], squares[n]
                 for j in range(k):
-                    d = np.bincount(h, g[who, j], 1 << BITS)
+                    d = np.bincount(h, g[who, j], 1 << bits)
                     s[:, j] += d * d
                     t[:, j] += scale * d / np.sqrt(s[:, j])
             for j in range(k):
@@ -230,22 +244,21 @@ def fit(texts: list[str], labels: list[str], p: CrfParams = CrfParams()) -> Crf
 
 def sample(docs: DataFrame, p: CrfParams = CrfParams()) -> tuple[list[str], list[str]]:
     """Texts and labels to fit on: a bounded number for each language, drawn by hash of doc_id."""
-    d = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod(F.col("doc_id"), 3) != 1) & (F.length("text") <= p.max_chars) & F.col("text").rlike(r"\p{L}"))
-    sizes = d.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(p.max_langs)  # bounds what is broadcast
+    d = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod(F.col("doc_id"), 3) != 1) & F.col("text").rlike(r"\p{L}"))
+    scratch = Scratch(docs.sparkSession, "language")
+    sizes = scratch.small(d.groupBy("lang").agg(F.count("*").alias("n")))
     quota = max(1, min(p.per_lang, p.max_docs // max(1, sizes.count())))
     place = F.pmod(F.xxhash64("doc_id", F.lit(p.seed)), F.lit(1 << 40)) / float(1 << 40)
-    # about twice as many as needed, then the first of each language by hash
-    drawn = d.join(F.broadcast(sizes), "lang").withColumn("place", place).where(F.col("place") * F.col("n") <= 2.0 * quota)
-    rows = drawn.select("lang", "place", "doc_id", "text").collect()
-    rows.sort(key=lambda r: (r["lang"], r["place"], r["doc_id"], r["text"]))
-    seen: dict[str, int] = {}
-    texts, labels = [], []
-    for r in rows:
-        if seen.setdefault(r["lang"], 0) < quota:
-            seen[r["lang"]] += 1
-            texts.append(r["text"])
-            labels.append(r["lang"])
-    return texts, labels
+    # a text of more than max_chars: a stretch of it, from anywhere
+    begin = F.when(F.length("text") > p.max_chars, F.pmod(F.xxhash64("doc_id", F.lit(p.seed + 1)), F.length("text") - p.max_chars + 1)).otherwise(0)
+    # about twice as many as needed, then the first of each language by hash; tasks hand on no more than the quota of each
+    drawn = d.join(sizes, "lang").withColumn("place", place).where(F.col("place") * F.col("n") <= 2.0 * quota + 20)
+    drawn = drawn.select("lang", "place", "doc_id", F.expr("text").substr((begin + 1).cast("int"), F.lit(p.max_chars)).alias("text"))
+    first = drawn.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy("place", "doc_id", "text"))).where(F.col("rank") <= quota)
+    rows = first.select("lang", "rank", "text").collect()  # ``quota`` rows of each language
+    scratch.drop(sizes)
+    rows.sort(key=lambda r: (r["lang"], r["rank"]))
+    return [r["text"] for r in rows], [r["lang"] for r in rows]
 
 
 def predict(docs: DataFrame, crf: Crf | None, batch_bytes: int = 1 << 20) -> DataFrame:

@@ -10,9 +10,11 @@ bucket's patterns byte by byte. All texts of a batch are searched at once, in la
 pattern, one vectorised step after the other.
 
 Defined results. Null texts have no words and no hits; an item without words has no window; an item of fewer
-words than a window is one window. Repeated documents each have their own row; repeated item ids count once.
-Empty tables are fine. Whole texts are searched; only the named columns are read. Patterns are broadcast in
-groups of a fixed number of bytes: a benchmark beyond it makes more groups, searched one after the other.
+words than a window is one window. Repeated documents each have their own row; repeated item ids count once. The
+windows of an item without an id mark words, but it is no item to count or list. Empty tables are fine. Whole texts
+are searched; only the named columns are read. Patterns are broadcast in groups of a fixed number of bytes, however
+long an item is: a benchmark beyond it makes more groups, searched one after the other. The benchmark, a query set, is
+read through the driver one partition at a time, which holds one group.
 """
 
 from __future__ import annotations
@@ -236,11 +238,13 @@ def pattern_groups(benchmark: DataFrame, width: int, group_bytes: int) -> list:
         size, owners = 0, defaultdict(set)
 
     for row in held(benchmark, "item_id", "text").toLocalIterator():
-        for w in windows(item_words(row[1]), width):
-            owners[w].add(str(row[0]))
-            size += len(w)
-        if size > group_bytes:
-            close()
+        words = item_words(row[1])
+        for i in range(max(1, len(words) - width + 1)):
+            for w in windows(words[i : i + width], width):
+                size += 0 if w in owners else len(w)
+                owners[w].update(() if row[0] is None else (str(row[0]),))
+            if size > group_bytes:
+                close()
     close()
     return out
 

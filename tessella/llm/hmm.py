@@ -12,11 +12,14 @@ training texts: every task adds up expected transitions and emissions, which are
 smoothed towards the base distribution. Recursions, in training in single precision, and scores are of whole texts
 of any length.
 
-Counts of all words of all training texts: head counts are summed in the tasks, other words are shuffled once, with
-the row that holds them, and each row gets its words' counts back. No table of the vocabulary is broadcast or joined.
+Words of all training texts are counted once, summed in the tasks before they are shuffled. The tasks hold the counts
+of the ``listed`` most frequent words, a bounded number. Of the other words each row sends one record a distinct word,
+which is joined with the counts; a counted word beyond the listed has less than 1 / ``listed`` of all words, so none of
+them is a hot key, and the skew join splits what no training text has.
 
 Defined results. A null text is an empty one: only the end. Repeated rows: each has its own result and counts in
-training. Without training texts all counts are zero and every known count is zero. Only doc_id and text are read.
+training. Without training texts all counts and known counts are zero, base scores too, and scores are those of a model
+to which all symbols are alike. An empty table gives an empty result. Only doc_id and text are read. Tables at rest are deleted but for the result.
 """
 
 from __future__ import annotations
@@ -45,6 +48,7 @@ COUNTED = 1 << 15  # distinct words that a task holds before it hands its counts
 class HmmParams:
     states: int = 8
     head: int = 20_000  # fits 16 bits with OTHER and END
+    listed: int = 200_000  # words whose counts the tasks hold, of at most 64 bytes each
     sample_docs: int = 1500
     sample_chars: int = 20_000
     sample_steps: int = 12
@@ -114,19 +118,22 @@ def first_model(ids: np.ndarray, lengths: np.ndarray, symbols: int, p: HmmParams
     return m
 
 
-def _encoder(number: dict[bytes, int]):
+def _encoder(number: dict[bytes, int], symbols: int, logs: np.ndarray):
+    """Of a text: symbols with the end, sum of logs of head words and the end, sum and number of other listed words, the remaining words."""
     get = number.get
 
-    def encode(text: bytes | None) -> tuple[np.ndarray, list[bytes]]:
+    def encode(text: bytes | None) -> tuple[np.ndarray, float, float, int, Counter]:
         words = tokens(text)
-        ids = np.fromiter((get(w, OTHER) for w in words), np.uint16, len(words))
-        return ids, [words[i] for i in np.flatnonzero(ids == OTHER)] if len(words) else []
+        rank = np.fromiter((get(w, OTHER) for w in words), np.int32, len(words))
+        ids = np.append(np.where(rank < symbols, rank, OTHER), END).astype("<u2")
+        mid = rank[rank >= symbols]
+        return ids, float(logs[ids[ids != OTHER]].sum()), float(logs[mid].sum()), len(mid), Counter(words[i] for i in np.flatnonzero(rank == OTHER))
 
     return encode
 
 
-def head_words(docs: DataFrame, held_out: Column, p: HmmParams) -> list[bytes]:
-    """The ``head`` most frequent words of all training texts, ties by bytes."""
+def word_counts(docs: DataFrame, held_out: Column) -> DataFrame:
+    """(w, n) of all words of all training texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[bytes] = Counter()
@@ -140,13 +147,16 @@ def head_words(docs: DataFrame, held_out: Column, p: HmmParams) -> list[bytes]:
         yield handed()
 
     texts = docs.where(~held_out & F.col("text").isNotNull()).select(F.col("text").cast("binary").alias("text"))
-    words = texts.mapInArrow(count, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    # counts by their number of binary digits: the head has no word below the size at which they suffice, so few words move
-    sizes = words.groupBy(F.length(F.bin("n")).alias("digits")).agg(F.count("*").alias("words"))
-    sizes = sizes.withColumn("above", F.sum("words").over(W.orderBy(F.desc("digits"))))  # 63 rows at most
-    least = sizes.agg(F.coalesce(F.max(F.when(F.col("above") >= p.head, F.col("digits"))), F.lit(0)).alias("least"))
-    top = words.join(F.broadcast(least), F.length(F.bin("n")) >= F.col("least")).orderBy(F.desc("n"), "w").select("w").limit(p.head)
-    return [bytes(r["w"]) for r in top.collect()]  # ``head`` rows at most
+    return texts.mapInArrow(count, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n"))
+
+
+def top_words(words: DataFrame, k: int) -> list[tuple[bytes, int]]:
+    """The ``k`` most frequent, ties by bytes. ``words``: (w, n) at rest."""
+    # the least count among them, from the counts' own counts, which are few: different counts add up to no more than all words
+    sizes = words.groupBy("n").agg(F.count("*").alias("words")).withColumn("above", F.sum("words").over(W.orderBy(F.desc("n"))))
+    least = sizes.agg(F.max(F.when(F.col("above") >= k, F.col("n")))).first()[0] or 0
+    top = words.where(F.col("n") >= least).orderBy(F.desc("n"), "w").limit(k)
+    return [(bytes(r["w"]), r["n"]) for r in top.collect()]  # ``k`` rows at most
 
 
 def sample_texts(docs: DataFrame, held_out: Column, p: HmmParams) -> list[bytes]:
@@ -159,143 +169,134 @@ def sample_texts(docs: DataFrame, held_out: Column, p: HmmParams) -> list[bytes]
     return [bytes(r["text"]) for r in rows]
 
 
-def score(docs: DataFrame, held_out: Column, p: HmmParams = HmmParams()) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
-    spark = docs.sparkSession
-    sc, scratch = spark.sparkContext, Scratch(spark, "hmm")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+@dataclass
+class Trained:
+    """What training leaves: the model, and the base distribution of all tokens."""
 
-    texts = sample_texts(docs, held_out, p)
-    head = head_words(docs, held_out, p)
-    number = {w: i + 2 for i, w in enumerate(head)}
-    symbols = len(head) + 2
-    shared = sc.broadcast(number)
+    model: Hmm
+    number: dict[bytes, int]  # symbols of head words, then numbers of the other listed words
+    base: np.ndarray  # of each symbol
+    total: int  # training tokens
+    whole: float  # total + 0.1 (distinct + 1)
+    rows: DataFrame  # every row's symbols and sums, at rest
+    words: DataFrame  # counts, at rest
 
-    # each row's symbols (two bytes each, with the end) stay at rest; other words leave with their row's number
-    flat = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", held_out.alias("held_out"), F.col("text").cast("binary").alias("text"))
 
+def train(docs: DataFrame, held_out: Column, p: HmmParams, scratch: Scratch) -> Trained:
+    sc = docs.sparkSession.sparkContext
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = sample_texts(docs, held_out, p)
+    words = scratch.write(word_counts(docs, held_out), "words")
+    sums = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    ends = docs.where(~held_out).count()
+    total, distinct = int(sums[1]) + ends, int(sums[0]) + (ends > 0)
+    whole = total + 0.1 * (distinct + 1)
+    top = top_words(words, max(p.head, p.listed))
+    number = {w: i + 2 for i, (w, _) in enumerate(top)}
+    symbols = min(p.head, len(top)) + 2
+    counts = np.array([0, ends, *[n for _, n in top]], np.float64)
+    shared = sc.broadcast((number, symbols, np.log10(counts + 0.1)))
+
+    # each row's symbols (two bytes each, with the end) stay at rest, with what is known of its other words
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        run = _encoder(shared.value)
+        run = _encoder(*shared.value)
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
-                ids, other = [], []
-                for t in part.column(3):
-                    i, o = run(t.as_buffer().to_pybytes() if t.is_valid else None)
-                    ids.append(np.append(i, np.uint16(END)).astype("<u2").tobytes())
-                    other.append(o)
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(ids, pa.binary()), pa.array(other, pa.list_(pa.binary()))], ["rid", "doc_id", "held_out", "ids", "other"])
-
-    at_rest = scratch.write(flat.mapInArrow(encode, "rid long, doc_id long, held_out boolean, ids binary, other array<binary>"), "symbols")
-    rows = at_rest.drop("other")
+                found = [run(t.as_buffer().to_pybytes() if t.is_valid else None) for t in part.column(3)]
+                ids = pa.array([x[0].tobytes() for x in found], pa.binary())
+                other = pa.array([list(x[4].items()) for x in found], pa.map_(pa.binary(), pa.int64()))
+                columns = [pa.array([len(x[0]) for x in found], pa.int64()), *[pa.array([x[k] for x in found], kind) for k, kind in ((1, pa.float64()), (2, pa.float64()), (3, pa.int64()))]]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], ids, *columns, other], ["rid", "doc_id", "held_out", "ids", "n_tokens", "head_logs", "mid_logs", "n_mid", "other"])
 
-    # exact counts of head symbols
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(symbols, np.int64)
-        for b in batches:
-            for held, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                if not held:
-                    n += np.bincount(np.frombuffer(x.as_buffer(), "<u2"), minlength=symbols)
-        some = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(n[some])], ["id", "n"])
-
-    counts = np.zeros(symbols, np.int64)
-    for r in rows.select("held_out", "ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # a row for each head symbol at most
-        counts[r["id"]] = r["n"]
-    total = int(counts.sum())
-
-    # other words: counted among all rows that hold them, and each row gets their sums back
-    mark = F.col("rid") * 2 + F.when(F.col("held_out"), 0).otherwise(1)
-    other = at_rest.select(mark.alias("mark"), F.explode("other").alias("w"))
-    by_word = W.partitionBy("w").orderBy("mark")
-    known = other.select("mark", F.sum(F.col("mark") % 2).over(by_word.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("c"), F.row_number().over(by_word).alias("place"))
-    known = known.withColumn("v", F.when((F.col("place") == 1) & (F.col("c") > 0), 1).otherwise(0))
-    tail = known.groupBy(F.shiftrightunsigned("mark", 1).alias("rid")).agg(F.sum(F.log10(F.col("c") + 0.1)).alias("logs"), F.count("*").alias("n_other"), F.sum(F.when(F.col("c") > 0, 1).otherwise(0)).alias("n_other_known"), F.sum("v").alias("v"))
-    tail = scratch.write(tail, "tail")
-    distinct = (tail.agg(F.sum("v")).first()[0] or 0) + int((counts[1:] > 0).sum())
-    whole = total + 0.1 * (distinct + 1)
-
-    # base probability of each symbol; OTHER has what all but head words and end have left
-    logs = np.log10(counts + 0.1)
-    base = np.where(counts > 0, (counts + 0.1) / whole, 0.0)
-    base[OTHER] = 0.0
-    base[OTHER] = max(1.0 - base.sum(), 0.1 / whole)
-    swap = np.where(counts > 0, np.arange(symbols), OTHER)  # head words that training lacks are unknown and join the others
-    swap[OTHER] = OTHER
-
-    sample_ids = [np.append(_encoder(number)(t)[0], END) for t in texts]
-    ids = swap[np.concatenate(sample_ids)] if sample_ids else np.empty(0, np.int64)
+    flat = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", held_out.alias("held_out"), F.col("text").cast("binary").alias("text"))
+    rows = scratch.write(flat.mapInArrow(encode, "rid long, doc_id long, held_out boolean, ids binary, n_tokens long, head_logs double, mid_logs double, n_mid long, other map<binary,bigint>"), "symbols")
+
+    # base probability of each symbol; OTHER has what head words and the end have left
+    base = (counts[:symbols] + 0.1) / whole
+    base[OTHER] = max(1.0 - base[1:].sum(), 0.1 / whole)
+    run = _encoder(*shared.value)
+    sample_ids = [run(t)[0] for t in texts]
+    ids = np.concatenate(sample_ids).astype(np.int64) if sample_ids else np.empty(0, np.int64)
     model = first_model(ids, np.array([len(x) for x in sample_ids], np.int64), symbols, p)
     model = maximised(model.init * 0 + 1, model.trans * 100, model.emit * 1e5, base, p)
-
     for _ in range(p.passes):
-        given = sc.broadcast((model.init, model.trans, model.emit, swap))
-
-        def gather(batches: Iterator[pa.RecordBatch], given=given) -> Iterator[pa.RecordBatch]:
-            *held, swapped = given.value
-            m = Hmm(*held)
-            k = len(m.init)
-            init, moves, emit = np.zeros(k), np.zeros((k, k)), np.zeros((symbols, k))
-            for x, lengths in _blocks(batches):
-                a, b, c = expected(swapped[x], lengths, m, p.lane)
-                init += a
-                moves += b
-                emit += c
-            some = np.flatnonzero(emit.any(1))
-            # rows below zero: initial states (-1) and transitions from each state (-2, -3, ...)
-            key = np.concatenate((some, [-1], -2 - np.arange(k)))
-            value = np.concatenate((emit[some], init[None], moves)).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), *[pa.array(value[:, j]) for j in range(k)]], ["id", *[f"s{j}" for j in range(k)]])
-
-        schema = "id long, " + ", ".join(f"s{j} float" for j in range(p.states))
-        sums = rows.where("NOT held_out").select("ids").mapInArrow(gather, schema).groupBy("id").agg(*[F.sum(F.col(f"s{j}").cast("double")).alias(f"s{j}") for j in range(p.states)])
-        init, moves, emit = np.zeros(p.states), np.zeros((p.states, p.states)), np.zeros((symbols, p.states))
-        for r in sums.collect():  # head symbols and states only
-            v = np.array(r[1:])
-            if r["id"] >= 0:
-                emit[r["id"]] = v
-            elif r["id"] == -1:
-                init = v
-            else:
-                moves[-2 - r["id"]] = v
-        model = maximised(init, moves, emit, base, p)
-
-    given = sc.broadcast((model.init, model.trans, model.emit, swap, logs, counts > 0))
-    other_log = float(np.log10(base[OTHER]))
-
-    def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        *held, swapped, each, seen_in_training = given.value
-        m = Hmm(*held)
-        lost = each[0] * 0 + np.log10(0.1)  # of a head word that training lacks
-        gain = np.where(swapped == OTHER, lost, each)
-        gain[OTHER] = 0.0
+        model = maximised(*_expected_sums(rows, model, p), base, p)
+    return Trained(model, number, base, total, whole, rows, words)
+
+
+def _expected_sums(rows: DataFrame, model: Hmm, p: HmmParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Expected initial states, transitions and emissions over all training rows; what comes back has a row for each symbol at most."""
+    symbols, k = model.emit.shape
+    given = rows.sparkSession.sparkContext.broadcast(model)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        init, moves, emit = np.zeros(k), np.zeros((k, k)), np.zeros((symbols, k))
+        for x, lengths in _blocks(batches):
+            a, b, c = expected(x, lengths, given.value, p.lane)
+            init += a
+            moves += b
+            emit += c
+        some = np.flatnonzero(emit.any(1))
+        # rows below zero: initial states (-1) and transitions from each state (-2, -3, ...)
+        key = np.concatenate((some, [-1], -2 - np.arange(k)))
+        value = np.concatenate((emit[some], init[None], moves)).astype(np.float32)
+        yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), *[pa.array(value[:, j]) for j in range(k)]], ["id", *[f"s{j}" for j in range(k)]])
+
+    schema = "id long, " + ", ".join(f"s{j} float" for j in range(k))
+    sums = rows.where("NOT held_out").select("ids").mapInArrow(gather, schema).groupBy("id").agg(*[F.sum(F.col(f"s{j}").cast("double")).alias(f"s{j}") for j in range(k)])
+    init, moves, emit = np.zeros(k), np.zeros((k, k)), np.zeros((symbols, k))
+    for r in sums.collect():  # head symbols and states only
+        v = np.array(r[1:])
+        if r["id"] >= 0:
+            emit[r["id"]] = v
+        elif r["id"] == -1:
+            init = v
+        else:
+            moves[-2 - r["id"]] = v
+    return init, moves, emit
+
+
+def score(docs: DataFrame, held_out: Column, p: HmmParams = HmmParams()) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
+    scratch = Scratch(docs.sparkSession, "hmm")
+    t = train(docs, held_out, p, scratch)
+    given = docs.sparkSession.sparkContext.broadcast(t.model)
+
+    # words that aren't listed: one record for each of a row, joined with the counts
+    other = t.rows.select("rid", F.explode("other").alias("w", "k")).join(t.words, "w", "left")
+    tail = other.groupBy("rid").agg(
+        F.sum(F.col("k") * F.log10(F.coalesce("n", F.lit(0)) + 0.1)).alias("tail_logs"), F.sum("k").alias("n_tail"), F.sum(F.when(F.col("n").isNotNull(), F.col("k")).otherwise(0)).alias("n_tail_known")
+    )
+
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = given.value
         for b in batches:
             at = 0
             for x, lengths in _blocks([b.select(["ids"])]):
-                first = np.cumsum(lengths) - lengths
-                sums = np.add.reduceat(gain[x], first)
-                log = likelihood(m.emit[swapped[x]], m.trans, m.init, lengths) / np.log(10)
-                tokens_known = np.add.reduceat(seen_in_training[x] & (x != OTHER), first, dtype=np.int64)
-                stray = np.add.reduceat((swapped[x] == OTHER) & (x != OTHER), first, dtype=np.int64)
-                rows_ = b.slice(at, len(lengths))
-                yield pa.RecordBatch.from_arrays([*rows_.columns[:3], pa.array(lengths), pa.array(tokens_known), pa.array(stray), pa.array(sums), pa.array(log)], ["rid", "doc_id", "held_out", "n_tokens", "n_head_known", "n_stray", "head_logs", "chain"])
+                log = likelihood(m.emit[x], m.trans, m.init, lengths) / np.log(10)
+                some = b.slice(at, len(lengths))
+                yield pa.RecordBatch.from_arrays([*[some.column(c) for c in keep], pa.array(log)], [*keep, "chain"])
                 at += len(lengths)
 
-    scored = rows.select("rid", "doc_id", "held_out", "ids").mapInArrow(final, "rid long, doc_id long, held_out boolean, n_tokens long, n_head_known long, n_stray long, head_logs double, chain double")
-    out = scored.join(tail.drop("v"), "rid", "left")
+    keep = ["rid", "doc_id", "held_out", "n_tokens", "head_logs", "mid_logs", "n_mid"]
+    chained = t.rows.select(*keep, "ids").mapInArrow(chain, "rid long, doc_id long, held_out boolean, n_tokens long, head_logs double, mid_logs double, n_mid long, chain double")
+    out = chained.join(tail, "rid", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    log_whole = float(np.log10(whole))
-    rest = zero("n_other") + F.col("n_stray")
-    stray_logs = F.col("n_stray") * float(np.log10(0.1))
-    return out.select(
+    n_other, other_logs = F.col("n_mid") + zero("n_tail"), F.col("mid_logs") + zero("tail_logs")
+    log_whole, other_log = float(np.log10(t.whole)), float(np.log10(t.base[OTHER]))
+    # the end is a known token once there is a training text
+    unknown = zero("n_tail") - zero("n_tail_known") + F.lit(0 if t.total else 1)
+    result = out.select(
         "doc_id",
         "held_out",
         "n_tokens",
-        (F.col("n_head_known") + zero("n_other_known")).cast("long").alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("head_logs") + zero("logs") - F.col("n_tokens") * log_whole).alias("base_score"),
-        (F.col("chain") + zero("logs") + stray_logs - rest * (log_whole + other_log)).alias("score"),
+        (F.col("n_tokens") - unknown).cast("long").alias("n_known"),
+        F.lit(t.total).cast("long").alias("train_tokens"),
+        (F.col("head_logs") + other_logs - F.col("n_tokens") * log_whole).alias("base_score"),
+        (F.col("chain") + other_logs - n_other * (log_whole + other_log)).alias("score"),
     )
+    return scratch.settle(result)
 
 
 def _blocks(batches) -> Iterator[tuple[np.ndarray, np.ndarray]]:

@@ -4,8 +4,8 @@ A text is lowered, its copyright lines go, runs of punctuation and blanks become
 spelling; the SHA-256 of the whole canonical text is hash-joined to the digests of known licences.
 
 Defined results. Null texts have no digest and no licence; texts of which nothing is left have the digest of the
-empty text and no licence. Known texts with one digest count as the one of the smallest id. Repeated rows: each
-has its own result. Extra columns stay out. Texts are whole, whatever their length; a digest shared by a
+empty text and no licence. Known texts with one digest count as the one of the smallest id; without known texts no
+document has a licence, and an empty table gives an empty result. Repeated rows: each has its own result. Extra columns stay out. Texts are whole, whatever their length; a digest shared by a
 third of all rows does no harm, since the known digests are the small side and the texts don't move.
 """
 
@@ -24,7 +24,11 @@ SPELLINGS = (
     ("licence", "license"),
     ("licences", "licenses"),
     ("licenced", "licensed"),
+    ("licencee", "licensee"),
+    ("licencees", "licensees"),
     ("sublicence", "sublicense"),
+    ("sublicences", "sublicenses"),
+    ("sublicenced", "sublicensed"),
     ("sub license", "sublicense"),
     ("non commercial", "noncommercial"),
     ("per cent", "percent"),

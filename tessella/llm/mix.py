@@ -13,12 +13,14 @@ block is taken more than ``repeats`` times. Blocks are joined by (source, index)
 Everything hangs on (seed, ids, sizes) alone, so reruns agree, whatever the partitions are.
 
 Defined results. Null, empty and blank texts have size zero and are never taken. A source of size zero has the
-target zero. A null source is a source. Repeated rows and ids are rows of their own. Empty tables give empty
-results. Only doc_id, text and source are read. Long texts span many blocks.
-
-What moves: ids and sizes, never texts. Running totals are taken inside buckets of a bounded mean number of rows
-and over the buckets' sums, so that no source, however large, is one task's work. Per-source values are one row
-for each source.
+target zero. A null source is a source. Repeated rows and ids are rows of their own; of rows alike in id and text it
+doesn't matter which is which. Empty tables give empty results. Only doc_id, text and source, and columns named in
+``keep``, are read. Long texts span many blocks.
+
+What moves: ids and sizes, never texts. Running totals are taken inside buckets of a bounded mean number of rows,
+dealt by a hash of id and text, and over the buckets' sums, so that no source, however large, and no id, however often
+it is repeated or null, is one task's work. Rows without words take no part. Per-source values are one row for each
+source; the multinomials need them on the driver, 24 bytes a source.
 """
 
 from __future__ import annotations
@@ -113,14 +115,17 @@ class Mix:
     sources: DataFrame  # source, source_size, order, target, blocks, slots
     slots: DataFrame  # shard, order (of the source), k, index (of the block)
     pieces: DataFrame  # doc_id, order, index, words: of each document in each block
-    docs: DataFrame  # doc_id, order, size, at: where each document's words begin in its source
+    docs: DataFrame  # doc_id, order, size, at: where each document's words begin in its source, null without words; and the columns of keep
+    keep: tuple[str, ...]
+    scratch: Scratch  # tables at rest that all of these read
 
 
-def plan(docs: DataFrame, p: MixParams = MixParams()) -> Mix:
+def plan(docs: DataFrame, p: MixParams = MixParams(), keep: tuple[str, ...] = ()) -> Mix:
+    """``keep``: columns of the documents' rows that come along."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
-    sized = held(docs, "doc_id", "text", "source").select(F.col("doc_id").cast("long").alias("doc_id"), "source", n_words(F.col("text")).alias("size"))
-    sized = scratch.write(sized.withColumn("h", F.xxhash64("doc_id", F.lit(p.seed))), "sizes")
+    sized = held(docs, "doc_id", "text", "source", *keep).select(*keep, F.col("doc_id").cast("long").alias("doc_id"), "source", n_words(F.col("text")).alias("size"), F.xxhash64("doc_id", "text", F.lit(p.seed)).alias("h"))
+    sized = scratch.write(sized, "sizes")
     per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
     s = targets(per_source, p).withColumn("blocks", F.ceil(F.col("source_size") / p.block).cast("long"))
     # as many slots as blocks of this source's mean size make its target
@@ -130,11 +135,12 @@ def plan(docs: DataFrame, p: MixParams = MixParams()) -> Mix:
     mine = _known(s).select(F.col("source").alias("own"), "order", "rows")
     dealt = sized.join(mine, F.col("source").eqNullSafe(F.col("own"))).drop("own", "source")
     bucket = F.pmod(F.xxhash64("h", "size"), F.greatest(F.lit(1), F.floor(F.col("rows") / p.bucket_rows)))
-    placed = _running(dealt.withColumn("bucket", bucket).drop("rows"))
+    placed = _running(dealt.where("size > 0").withColumn("bucket", bucket).drop("rows"))
     lo, hi = F.floor(F.col("at") / p.block), F.floor((F.col("at") + F.col("size") - 1) / p.block)
-    pieces = placed.where("size > 0").select("doc_id", "h", "size", "order", "at", F.explode(F.sequence(lo, hi)).alias("index"))
+    pieces = placed.select("doc_id", "h", "size", "order", "at", F.explode(F.sequence(lo, hi)).alias("index"))
     pieces = pieces.withColumn("words", F.least(F.col("at") + F.col("size"), (F.col("index") + 1) * p.block) - F.greatest(F.col("at"), F.col("index") * p.block))
-    return Mix(s, _slots(s, p), pieces, placed)
+    blank = dealt.where("size = 0").drop("rows").withColumn("at", F.lit(None).cast("long"))
+    return Mix(s, _slots(s, p), pieces, placed.drop("bucket").unionByName(blank), keep, scratch)
 
 
 def _slots(s: DataFrame, p: MixParams) -> DataFrame:
@@ -197,10 +203,10 @@ def _known(sources: DataFrame, most: int = 100_000) -> DataFrame:
 
 
 def taken(mix: Mix) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken of every row."""
+    """doc_id, source, size, source_size, target, taken of every row, and its kept columns."""
     used = mix.slots.groupBy("order", "index").agg(F.count("*").alias("times"))
     words = mix.pieces.join(used, ["order", "index"]).groupBy("order", "h", "size", "at").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
     # a row of words is known by where it begins in its source; ids may be null or repeated
-    out = mix.docs.select("doc_id", "h", "size", "order", "at").join(words, ["order", "h", "size", "at"], "left")
+    out = mix.docs.select(*mix.keep, "doc_id", "h", "size", "order", "at").join(words, ["order", "h", "size", "at"], "left")
     known = _known(mix.sources).select("order", "source", "source_size", "target")
-    return out.join(known, "order").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return out.join(known, "order").select(*mix.keep, "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))

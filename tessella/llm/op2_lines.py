@@ -1,4 +1,7 @@
-"""Query op2_lines (``pages``, host from the URL, lines from the markup) and its SQL."""
+"""Query op2_lines (``pages``, host from the URL, lines from the markup) and its SQL.
+
+A null or unparsable URL has a null host, whose pages keep their lines; null markup counts as an empty text in the digest.
+"""
 
 from __future__ import annotations
 
@@ -34,8 +37,9 @@ def page_text(html: Column) -> Column:
 
 def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", page_host(F.col("url")).alias("host"), page_text(F.col("html")).alias("text"))
-    pages = Scratch(spark, "pages").write(pages)  # markup is parsed once, and the text read twice
-    return clean(pages, P).select("page_id", "host", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+    scratch = Scratch(spark, "pages")
+    pages = scratch.write(pages)  # markup is parsed once, and the text read twice
+    return scratch.settle(clean(pages, P).select("page_id", "host", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256")))
 
 
 def lines_sql(pages: str, params: LineParams = P) -> str:
@@ -46,7 +50,8 @@ pg AS ({pages}),
 ln AS (SELECT rid, host, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i, unnest(string_split(text, chr(10))) AS line FROM pg WHERE text IS NOT NULL),
 seen AS (SELECT host, {trim('line')} AS k, count(DISTINCT rid) AS n FROM ln WHERE host IS NOT NULL AND {trim('line')} <> '' GROUP BY ALL),
 hosts AS (SELECT host, count(*) AS pages FROM pg GROUP BY host),
-bad AS (SELECT host, k FROM seen JOIN hosts USING (host) WHERE n >= {params.min_pages} AND n > {params.max_ratio} * pages),
+bad AS (SELECT host, k FROM seen JOIN hosts USING (host) WHERE n >= 2 AND n - {params.max_ratio} * pages > 0
+  AND (n - {params.max_ratio} * pages) * (n - {params.max_ratio} * pages) > {params.z * params.z * params.max_ratio * (1 - params.max_ratio)} * pages),
 flag AS (SELECT ln.rid, ln.i, ln.line, {trim('ln.line')} <> '' AS full_line, bad.k IS NOT NULL AS gone FROM ln LEFT JOIN bad ON bad.host = ln.host AND bad.k = {trim('ln.line')}),
 agg AS (SELECT rid, count(*) FILTER (full_line) AS n_lines, count(*) FILTER (gone) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS joined FROM flag GROUP BY rid),
 cleaned AS (SELECT pg.rid, pg.host, CASE WHEN pg.text IS NULL THEN NULL ELSE joined END AS text, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped FROM pg LEFT JOIN agg USING (rid))"""

@@ -24,7 +24,7 @@ ks AS (SELECT DISTINCT k FROM pat),
 dwin AS (SELECT rid, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM dw, ks WHERE len(w) >= k),
 hit AS (SELECT rid, item_id, i, k FROM (SELECT rid, i, k, array_to_string(w[i:i + k - 1], ' ') AS p FROM dwin) JOIN pat USING (k, p)),
 nh AS (SELECT rid, count(DISTINCT pos) AS n FROM (SELECT rid, unnest(range(i, i + k)) AS pos FROM hit) GROUP BY rid),
-ni AS (SELECT rid, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, item_id::VARCHAR AS item FROM hit) GROUP BY rid)
+ni AS (SELECT rid, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, item_id::VARCHAR AS item FROM hit WHERE item_id IS NOT NULL) GROUP BY rid)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(nh.n, 0)::BIGINT AS n_hit, coalesce(ni.n, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(nh.n, 0) > 0 AS contaminated
 FROM dw LEFT JOIN nh USING (rid) LEFT JOIN ni USING (rid)"""
 

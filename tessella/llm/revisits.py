@@ -7,12 +7,16 @@ digest), and the response's headers are merged with those that a 304 may carry.
 States: ``resolved``; ``mismatch`` (there is an earlier response, whose validators differ; nothing is merged);
 ``unresolved`` (no earlier response); ``unchecked`` (no validator on one of the sides; merged as resolved).
 
-Defined results. "Earlier" is strictly earlier; of responses at one time the largest record_id counts. A null URL has
-no response. Null times are never earlier and have none earlier. Repeated rows are records of their own. Only the
-named columns are read. Empty tables are fine. Payloads never move: the result refers to a record.
+Defined results. "Earlier" is strictly earlier; of responses at one time the largest record_id counts (a null one last).
+A null URL has no response. Null times are never earlier and have none earlier. A response without a record_id is
+found like others, and what refers to it has a null ``refers_to``. Repeated rows are records of their own. Null headers
+are none; records of other kinds are left out; of the others only the named columns are read. Empty tables give empty
+results. Payloads never move: the result refers to a record.
 
-Records of a URL are ordered inside slices of time. A URL of more than ``hot_rows`` records, however large its
-share, has several slices; each slice's last response is handed on to the next through one row a slice.
+What no response can answer (null URLs and times) leaves at once. Responses and questions are reduced to one row for
+each URL and time before they meet, so that repeats of one moment are no group. A URL of more than ``hot_rows`` such
+rows is cut into slices of about as many at quantiles of its times; each slice's last response is handed on to the next
+through one row a slice. Answers go back to the revisits by URL and time, hot ones by broadcast.
 """
 
 from __future__ import annotations
@@ -21,7 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, Scratch
+from .common import BROADCAST_BYTES, Scratch, held, join_unique
+from .common import hot_rows as hot_rows_of
 
 #: Header fields that a 304 response sends for its recipient to update.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
@@ -39,29 +44,42 @@ def canonical_url(url: Column) -> Column:
     return F.when(url.isNotNull(), F.concat(host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise("")))
 
 
-def resolve(records: DataFrame, hot_rows: int = 100_000, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def hot_moment(answers: DataFrame) -> int:
+    return hot_rows_of(answers.agg(F.sum("n")).first()[0] or 0)
+
+
+def resolve(records: DataFrame, hot_rows: int = 100_000, slices: int = 1000, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """A row for each revisit: record_id, canonical, refers_to, state, headers.
 
     ``records``: record_id, url, ts (long), kind (``response`` or ``revisit``), etag, last_modified, digest,
     headers (map of lower-case names).
     """
     scratch = Scratch(records.sparkSession, "revisits")
-    r = records.select("record_id", canonical_url(F.col("url")).alias("canonical"), "ts", "kind", "etag", "last_modified", "digest", F.array_sort(F.map_entries(F.coalesce("headers", F.expr("cast(map() as map<string,string>)")))).alias("headers"))
-    r = r.where("kind IN ('response', 'revisit')")
-    hot = r.where("canonical IS NOT NULL AND ts IS NOT NULL").groupBy("canonical").agg(F.count("*").alias("n"), F.min("ts").alias("lo"), F.max("ts").alias("hi")).where(F.col("n") > hot_rows)
-    hot = scratch.small(hot.withColumn("slices", F.ceil(F.col("n") / hot_rows)), broadcast_bytes)
-    at = F.floor((F.col("ts") - F.col("lo")).cast("double") * F.col("slices") / (F.col("hi") - F.col("lo") + 1).cast("double"))
-    r = r.join(hot, "canonical", "left").withColumn("slice", F.coalesce(at, F.lit(0)).cast("long")).drop("n", "lo", "hi", "slices")
-    full = F.when((F.col("kind") == "response") & F.col("ts").isNotNull() & F.col("canonical").isNotNull(), F.struct("ts", "record_id", "etag", "last_modified", "digest", "headers"))
-    # null URLs have no history; dealing them by record keeps them from being one group
-    part = [F.coalesce("canonical", F.concat(F.lit("\x00"), F.col("record_id").cast("string"))).alias("part"), "slice"]
-    r = r.select("*", part[0])
-    inside = W.partitionBy("part", "slice").orderBy("ts").rangeBetween(W.unboundedPreceding, -1)
-    last = r.withColumn("last", F.max(full).over(inside)).where("kind = 'revisit'")
-    sums = r.join(hot.select("canonical"), "canonical", "left_semi").groupBy("canonical", "slice").agg(F.max(full).alias("top"))
+    entries = F.array_sort(F.map_entries(F.coalesce("headers", F.expr("cast(map() as map<string,string>)"))))
+    r = held(records, "record_id", "url", "ts", "kind", "etag", "last_modified", "digest", "headers").where("kind IN ('response', 'revisit')")
+    r = scratch.write(r.select("kind", "record_id", canonical_url(F.col("url")).alias("canonical"), "ts", "etag", "last_modified", "digest", entries.alias("headers")), "log")
+    dated = F.col("canonical").isNotNull() & F.col("ts").isNotNull()
+    moment = F.struct("canonical", "ts").alias("moment")
+    top = F.max(F.struct("ts", "record_id", "etag", "last_modified", "digest", "headers")).alias("top")
+    full = r.where(dated & (F.col("kind") == "response")).groupBy(moment).agg(top).select("moment", F.lit(False).alias("asked"), F.lit(0).cast("long").alias("n"), "top")
+    asked = r.where(dated & (F.col("kind") == "revisit")).groupBy(moment).agg(F.count("*").alias("n"))
+    line = scratch.write(full.unionByName(asked.withColumn("asked", F.lit(True)), allowMissingColumns=True).select("moment.canonical", "moment.ts", "asked", "n", "top"), "moments")
+    hot = scratch.small(line.groupBy("canonical").agg(F.count("*").alias("rows")).where(F.col("rows") > hot_rows), broadcast_bytes)
+    shares = F.array(*[F.lit((k + 1) / slices) for k in range(slices - 1)])
+    cuts = line.join(hot, "canonical").groupBy("canonical").agg(F.percentile_approx("ts", shares, 10 * slices).alias("cuts"))
+    cuts = scratch.small(cuts, broadcast_bytes)
+    line = line.join(cuts, "canonical", "left").withColumn("slice", F.when(F.col("cuts").isNull(), 0).otherwise(F.size(F.filter("cuts", lambda c: c < F.col("ts")))))
+    inside = W.partitionBy("canonical", "slice").orderBy("ts").rangeBetween(W.unboundedPreceding, -1)
+    last = line.withColumn("last", F.max("top").over(inside)).where("asked")
+    sums = line.where("cuts IS NOT NULL").groupBy("canonical", "slice").agg(F.max("top").alias("top"))  # at most ``slices`` rows of each hot URL
     carry = sums.select("canonical", "slice", F.max("top").over(W.partitionBy("canonical").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)).alias("carried"))
     carry = scratch.small(carry, broadcast_bytes)
-    out = last.join(carry, ["canonical", "slice"], "left").withColumn("found", F.when(F.col("ts").isNotNull() & F.col("canonical").isNotNull(), F.coalesce("last", "carried")))
+    answers = last.join(carry, ["canonical", "slice"], "left").select(moment, "n", F.coalesce("last", "carried").alias("found"))
+    answers = scratch.write(answers, "answers")
+    revisits = r.where("kind = 'revisit'")
+    known = revisits.where(dated).withColumn("moment", moment)
+    out = join_unique(known, answers.drop("n"), "moment", answers.where(F.col("n") > hot_moment(answers)).select("moment")).drop("moment")
+    out = out.unionByName(revisits.where(~dated).withColumn("found", F.lit(None).cast(answers.schema["found"].dataType)))
     tag = lambda c: F.regexp_replace(c, "^W/", "")
     check = (
         F.when(F.col("etag").isNotNull() & F.col("found.etag").isNotNull(), tag(F.col("etag")) == tag(F.col("found.etag")))
