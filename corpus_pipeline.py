@@ -4,7 +4,8 @@ decontamination, mixing to target weights.
 Every stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept and returns a DataFrame that
 is written as Parquet and read again. All but the last return the columns of ``documents`` and no others, so extra
 columns of an input go. Empty inputs give empty outputs. A null text is rejected by the first stage, having no
-words. A document of which line dedup leaves nothing keeps an empty text. ``n_chars`` follows the text.
+words. A document of which line dedup leaves nothing keeps an empty text. ``n_chars`` follows the text. The last
+stage's rows are the corpus: whole texts, and for each how many of its words to take.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from tessella.llm.decontaminate import contamination
 from tessella.llm.lines import LineParams, clean
 from tessella.llm.mix import MixParams, plan, taken
 from tessella.llm.quality import judged
-from tessella.llm.simhash import groups
+from tessella.llm.simhash import leaders
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -37,14 +38,20 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", "text", "row.lang", "row.source", n.alias("n_chars"))
 
 
+def _numbered(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """Rows at rest, each with a number of its own: ids may be null or repeated. The texts are written, not shuffled."""
+    return scratch.write(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("rid")), "rows")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id stays of each group. Rows that repeat an id are one document; rows without an id stay."""
-    found = groups(docs.where("doc_id IS NOT NULL"))
-    leaders = found.where("doc_id = component_id").select("doc_id").distinct()
-    out = docs.select(*COLUMNS).join(leaders, "doc_id", "left_semi")
-    if not found.groupBy("doc_id").count().where("count > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id"])
-    return out.unionByName(docs.select(*COLUMNS).where("doc_id IS NULL"))
+    """The row of the smallest id stays of each group. Rows are judged by their texts alone, whether they share an id, have their own or have none."""
+    scratch = Scratch(spark, "dedup")
+    rows = _numbered(docs, scratch)
+    kept = scratch.write(leaders(rows, "rid"), "kept")
+    # fewer ids travel where those that go are fewer; texts are shuffled only beyond the broadcast bound
+    if 2 * kept.count() > rows.count():
+        return rows.join(scratch.small(rows.select("rid").join(kept, "rid", "left_anti")), "rid", "left_anti").select(*COLUMNS)
+    return rows.join(scratch.small(kept), "rid", "left_semi").select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,8 +60,12 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, and how many of their words, repeats counted."""
-    return taken(plan(docs, MixParams())).where("taken > 0")
+    """The documents that the mix takes, with size, source_size, target and taken: how many of their words it takes, repeats counted."""
+    scratch = Scratch(spark, "mixed")
+    rows = _numbered(docs, scratch)
+    planned = plan(rows, MixParams(), keep=("rid",))
+    counts = planned.scratch.settle(taken(planned).where("taken > 0").select("rid", "size", "source_size", "target", "taken"))
+    return rows.join(scratch.small(counts), "rid").select(*COLUMNS, "size", "source_size", "target", "taken")
 
 
 STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("simhash_dedup", near_duplicates), ("decontaminate", decontaminate), ("mix", mix)]
