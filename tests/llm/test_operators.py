@@ -106,11 +106,11 @@ def test_quality_empty(empty):
 # --- line dedup
 
 
-def cleaned(pages, p):
-    """pages: (id, host, text)"""
+def cleaned(pages, p, distinct=False):
+    """pages: (id, host, text); with ``distinct`` each text of a host counts once"""
     trim = lambda x: x.strip(" \t\x0b\x0c\r")
     seen, total = Counter(), Counter()
-    for _, host, text in pages:
+    for host, text in {(h, t) for _, h, t in pages} if distinct else [(h, t) for _, h, t in pages]:
         if host is not None:
             total[host] += 1
             seen.update({(host, trim(x)) for x in (text or "").split("\n") if trim(x)} if text is not None else ())
@@ -202,6 +202,38 @@ def test_mix(docs):
     assert out[cols].sort_values(cols).reset_index(drop=True).equals(again[cols].sort_values(cols).reset_index(drop=True))
 
 
+def test_mix_takes_what_the_draws_say(docs):
+    """Words of every row, from the slots of each source one after the other and the blocks that its permutations name."""
+    p = mix.MixParams(block=16, shard=8, bucket_rows=5, group_shards=4)
+    m = mix.plan(docs, p)
+    out = mix.taken(m).collect()
+    order = {r["source"]: r for r in m.sources.collect()}
+    at = {}
+    for r in m.docs.where("size > 0").collect():
+        at.setdefault(r["order"], []).append((r["at"], r["size"], r["doc_id"]))
+    want = Counter()
+    for s in order.values():
+        stream = sorted(at.get(s["order"], []), key=lambda x: x[0])
+        assert [x[0] for x in stream] == [sum(y[1] for y in stream[:i]) for i in range(len(stream))]
+        owner = [i for i, x in enumerate(stream) for _ in range(x[1])]
+        words = Counter()
+        for k in range(s["slots"]):
+            epoch = k // s["blocks"]
+            b = int(mix.permuted(np.array([k % s["blocks"]]), s["blocks"], hash((p.seed, s["order"], epoch)))[0])
+            words.update(owner[b * p.block : (b + 1) * p.block])
+        want.update((repr(x[2]), x[1], words[i]) for i, x in enumerate(stream))
+    assert Counter((repr(r["doc_id"]), r["size"], r["taken"]) for r in out if r["size"]) == want
+    assert sum(r["slots"] for r in order.values()) > 100
+
+
+def test_mix_of_one_id(spark):
+    """Null and repeated ids with texts of one size are spread over the buckets."""
+    rows = [(None if i % 2 else 5, f"a{i} b c", "s") for i in range(4000)]
+    m = mix.plan(spark.createDataFrame(rows, "doc_id long, text string, source string"), mix.MixParams(bucket_rows=100))
+    assert m.docs.select("at").distinct().count() == 4000
+    assert m.docs.groupBy(F.pmod(F.xxhash64("h", "size"), F.lit(40))).count().agg(F.max("count")).first()[0] < 200
+
+
 def test_mix_targets_saturate(spark):
     sizes = {"a": 10, "b": 500, "c": 3, "d": 0, None: 90}
     got = {r["source"]: r["target"] for r in mix.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()}

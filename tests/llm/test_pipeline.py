@@ -76,6 +76,16 @@ def test_copies_keep_one_to_the_end(spark, tmp_path):
     assert [r["doc_id"] for r in P.run(spark, str(tmp_path)).collect() if r["doc_id"] < 8] == [0]
 
 
+def test_rows_without_ids_are_judged_by_their_texts(spark):
+    """Copies go whether ids are null, repeated or their own; other texts stay, under the same id too."""
+    rng = random.Random(3)
+    text = [" ".join(word(rng) for _ in range(80)) for _ in range(5)]
+    rows = [(None, text[0]), (None, text[0]), (None, text[1]), (7, text[2]), (7, text[3]), (7, text[2]), (9, text[4]), (8, text[4]), (None, text[4])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t), "x") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, rid string")
+    out = sorted(((r["doc_id"], r["text"]) for r in P.near_duplicates(spark, docs, "").collect()), key=repr)
+    assert out == sorted([(None, text[0]), (None, text[1]), (7, text[2]), (7, text[3]), (8, text[4])], key=repr)
+
+
 def test_null_source_is_a_site(spark):
     """Its boilerplate goes, and not that of the source whose name is empty."""
     rows = [(i, f"Home page menu\nline {i}", None) for i in range(40)] + [(100 + i, f"Home page menu\nline {i}" if i < 2 else f"line {i}", "") for i in range(60)]
@@ -111,7 +121,7 @@ def test_stages_against_brute_force(spark):
         if name == "quality_rules":
             assert set(after) == {i for i, ok in c.sql(f"SELECT doc_id, kept FROM ({quality_sql()})").fetchall() if ok}
         elif name == "line_dedup":
-            want = cleaned([(i, r["source"], r["text"]) for i, r in before.items()], LineParams())
+            want = cleaned([(i, r["source"], r["text"]) for i, r in before.items()], LineParams(), distinct=True)
             assert {i: r["text"] for i, r in after.items()} == {i: t for i, _, t, _, _ in want}
         elif name == "simhash_dedup":
             fps = {i: brute_fp(r["text"]) for i, r in before.items()}
@@ -123,6 +133,7 @@ def test_stages_against_brute_force(spark):
                     low = min(label[j] for j in fps if (fps[i] ^ fps[j]).bit_count() <= 4)
                     changed, label[i] = changed or low != label[i], low
             assert set(after) == {i for i in fps if label[i] == i} and len(after) < len(before)
+            assert all(after[i] == before[i] for i in after)
         elif name == "decontaminate":
             assert set(after) == {i for i, r in before.items() if not brute_hits(r["text"], items, 10)[-1]}
         else:
@@ -131,6 +142,7 @@ def test_stages_against_brute_force(spark):
                 sizes[r["source"]] = sizes.get(r["source"], 0) + len((r["text"] or "").split())
             want = filled(sizes, MixParams())
             assert all(abs(r["target"] - want[r["source"]]) < 1e-6 and 0 < r["taken"] <= 3 * r["size"] for r in after.values())
+            assert all(r["text"] == before[i]["text"] and r["lang"] == before[i]["lang"] and r["size"] == len(r["text"].split()) for i, r in after.items())
             for s, n in want.items():
                 got = sum(r["taken"] for r in after.values() if r["source"] == s)
                 assert abs(got - n) <= 2 * MixParams().block
