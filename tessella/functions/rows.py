@@ -2,19 +2,36 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 
 
 def without_close(at: np.ndarray, green: np.ndarray, spacing: float, share: float = 0.7) -> np.ndarray:
-    """Indices kept after dropping, again and again, the less green of the closest pair until no gap is below ``share`` of the spacing."""
-    keep = np.argsort(at, kind="stable")
-    while len(keep) > 1:
-        gaps = np.diff(at[keep])
-        k = int(gaps.argmin())
-        if gaps[k] >= share * spacing:
-            break
-        keep = np.delete(keep, k if green[keep[k]] < green[keep[k + 1]] else k + 1)
-    return np.sort(keep)
+    """Indices kept so that no gap is below ``share`` of the spacing: the narrowest gap (the leftmost of equal ones) loses its less green end (the right one of equal ones), and so on.
+
+    Gaps wait in a heap and rows are linked to their neighbours, so that a removal costs the logarithm of the rows.
+    """
+    order = np.argsort(at, kind="stable").tolist()
+    n, least = len(order), share * spacing
+    before, after, gone = list(range(-1, n - 1)), list(range(1, n + 1)), [False] * n
+    gap = lambda i, j: (float(at[order[j]] - at[order[i]]), i, j)
+    waiting = [gap(i, i + 1) for i in range(n - 1)]
+    heapq.heapify(waiting)
+    while waiting and waiting[0][0] < least:
+        _, i, j = heapq.heappop(waiting)
+        if gone[i] or gone[j]:
+            continue
+        loser = i if green[order[i]] < green[order[j]] else j
+        gone[loser] = True
+        left, right = before[loser], after[loser]
+        if left >= 0:
+            after[left] = right
+        if right < n:
+            before[right] = left
+        if left >= 0 and right < n:
+            heapq.heappush(waiting, gap(left, right))
+    return np.sort(np.array([k for k, out in zip(order, gone, strict=True) if not out], int))
 
 
 def grown(evidence: np.ndarray, start: tuple[int, int], level: float, lapse: int) -> tuple[int, int]:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .sequences import numbered
+
 
 def visible(items: DataFrame, role: str, show_missing: bool = False) -> DataFrame:
     """Row-level visibility: inspectors see all; farmers see waste, and missing canopy when they ask for it."""
@@ -24,7 +26,7 @@ def actions(role: str, status: Column) -> Column:
 def search_fields(fields: DataFrame, text: str) -> DataFrame:
     """Fields whose name contains a text, whatever the case; place by score ascending, no score last (101), then given order."""
     hit = fields.where(F.contains(F.lower("name"), F.lit(text.lower())))
-    return hit.withColumn("place", F.row_number().over(W.orderBy(F.coalesce("score", F.lit(101.0)), "ord")).cast("long"))
+    return numbered(hit, [F.coalesce("score", F.lit(101.0)), F.col("ord")], "place")
 
 
 def latest_answers(items: DataFrame, answers: DataFrame, key: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.columns import point_id
+from ..functions.columns import point_id, segment_distance
 from .sequences import runs
 from .stats import field_score, robust_z
 
@@ -22,6 +22,7 @@ class GapParams:
     hidden_share: float = 0.2
     long_green: float = 0.75
     short_green: float = 0.1
+    low_row: float = 0.25
     planting_m: float = 15.0
 
 
@@ -55,25 +56,52 @@ def row_gaps(samples: DataFrame, thresholds: DataFrame, p: GapParams = GapParams
     return inner.unionByName(outer)
 
 
-def gap_points(gaps: DataFrame, samples: DataFrame, p: GapParams = GapParams()) -> DataFrame:
-    """Gaps as points to visit: green and hidden share over the gap, reason, challenge and confidence.
+def gap_points(gaps: DataFrame, obstacles: DataFrame | None = None, rule: str = "deviation", p: GapParams = GapParams()) -> DataFrame:
+    """Gaps as points to visit, at the middle of each: id, reason, challenge, confidence and what they come from.
 
-    Gaps hidden over a fifth or more are left out. ``samples``: vineyard_id, row_id, i, x, y, green, seen, dark.
+    ``gaps``: vineyard_id, row_id, kind (``gap`` in a row, ``planting`` at its end), gap_m, green and hidden (shares of
+    it), row_planted (of the whole row), x0, y0, x1, y1. A gap hidden over a fifth is left out. Doubts halve the
+    confidence: green over half of what makes a missed row, a hardly planted row, a row's end. A stretch that an
+    obstacle (obstacle_id, x, y, kind, in_block) reaches has the reason ``obstacle``, whose kind comes along (the
+    nearest's, ties by id), and is no challenge.
     """
-    g = gaps.join(samples.select("vineyard_id", "row_id", "i", "x", "y", "green", "seen", "dark"), ["vineyard_id", "row_id"]).where("i >= start AND i < end")
-    share = lambda c: F.avg(F.col(c).cast("double"))
-    s = g.groupBy("vineyard_id", "row_id", "kind", "start", "end", "gap_m").agg(share("green").alias("green_share"), (1 - share("seen")).alias("hidden"), share("dark").alias("dark_share"), F.avg("x").alias("x"), F.avg("y").alias("y"))
-    s = s.where(F.col("hidden") <= p.hidden_share)
-    planting = (F.col("green_share") < p.short_green) & (F.col("gap_m") <= p.planting_m)
-    challenge = F.when(F.col("gap_m") >= p.end_gap_m, F.col("green_share") < p.long_green).otherwise(F.col("green_share") < p.short_green)
-    doubt = (F.col("dark_share") > 0.2).cast("int") + (F.col("kind") == "end").cast("int") + F.col("green_share").between(0.1, 0.5).cast("int")
-    reason = F.when(planting, "planting").otherwise("gap")
-    return s.select(
-        point_id(reason, F.col("row_id"), F.col("x"), F.col("y")).alias("id"), reason.alias("reason"), challenge.alias("challenge"), "vineyard_id", "row_id", "gap_m", F.col("kind").alias("gap_rule"),
-        F.round("green_share", 3).alias("green_share"), F.round((1 - F.col("hidden")) / F.pow(F.lit(2.0), doubt), 2).alias("confidence"), F.round("x", 3).alias("x"), F.round("y", 3).alias("y"),
+    g = gaps.where(F.col("hidden") <= p.hidden_share).withColumn("x", (F.col("x0") + F.col("x1")) / 2).withColumn("y", (F.col("y0") + F.col("y1")) / 2)
+    if obstacles is None:
+        g = g.withColumn("obstacle_type", F.lit(None).cast("string"))
+    else:
+        most, cell = 6.0, lambda c: F.floor(c / 6.0)
+        key = ["vineyard_id", "row_id", "kind", "x0", "y0", "x1", "y1"]
+        side = lambda a, b: F.sequence(cell(F.least(a, b) - most), cell(F.greatest(a, b) + most))
+        cells = F.flatten(F.transform(side("x0", "x1"), lambda i: F.transform(side("y0", "y1"), lambda j: F.struct(i.alias("i"), j.alias("j")))))
+        o = obstacles.select("obstacle_id", F.col("kind").alias("obstacle_type"), F.col("x").alias("ox"), F.col("y").alias("oy"), reach_of(F.col("kind"), F.col("in_block")).alias("reach"), F.struct(cell(F.col("x")).alias("i"), cell(F.col("y")).alias("j")).alias("cell"))
+        far = segment_distance(*[F.col(c) for c in ("ox", "oy", "x0", "y0", "x1", "y1")])
+        near = g.select(*key, F.explode(cells).alias("cell")).join(o, "cell").withColumn("far", far).where("far <= reach")
+        g = g.join(near.groupBy(*key).agg(F.min_by("obstacle_type", F.struct("far", "obstacle_id")).alias("obstacle_type")), key, "left")
+    free, gap = F.col("obstacle_type").isNull(), F.col("kind") == "gap"
+    reason = F.when(free, F.col("kind")).otherwise("obstacle")
+    doubt = (F.col("green") >= p.long_green / 2).cast("int") + (F.col("row_planted") < p.low_row).cast("int") + (~gap).cast("int")
+    bare = F.when(gap, F.col("green") < F.when(F.col("gap_m") >= p.end_gap_m, p.long_green).otherwise(p.short_green)).otherwise((F.col("green") < p.short_green) & (F.col("gap_m") <= p.planting_m))
+    return g.select(
+        point_id(reason, F.col("row_id"), F.col("x"), F.col("y")).alias("id"), reason.alias("reason"), (free & bare).alias("challenge"), "obstacle_type", "vineyard_id", "row_id",
+        F.round("gap_m", 2).alias("gap_m"), F.when(gap, F.lit(rule)).otherwise("fixed").alias("gap_rule"), F.round("green", 2).alias("green_share"), F.round("row_planted", 2).alias("row_planted"),
+        F.round((1 - F.col("hidden")) / F.pow(F.lit(2.0), doubt), 2).alias("confidence"), "x", "y",
     )
 
 
+def gap_measures(gaps: DataFrame, samples: DataFrame) -> DataFrame:
+    """Gaps (vineyard_id, row_id, kind interior or end, start, end, gap_m) with the shares and end points that ``gap_points`` reads.
+
+    ``samples``: row_id, i, x, y, green, seen, canopy.
+    """
+    rows = samples.groupBy("row_id").agg(F.avg(F.col("canopy").cast("double")).alias("row_planted"))
+    j = gaps.join(samples.select("row_id", "i", "x", "y", "green", "seen"), "row_id").where("i >= start AND i < end")
+    share = lambda c: F.avg(c.cast("double"))
+    m = j.groupBy("vineyard_id", "row_id", "kind", "start", "end", "gap_m").agg(
+        share(F.col("green")).alias("green"), share(~F.col("seen")).alias("hidden"), F.min_by("x", "i").alias("x0"), F.min_by("y", "i").alias("y0"), F.max_by("x", "i").alias("x1"), F.max_by("y", "i").alias("y1")
+    )
+    return m.join(rows, "row_id").withColumn("kind", F.when(F.col("kind") == "interior", "gap").otherwise("planting"))
+
+
 def visit_points(features: DataFrame) -> DataFrame:
     """Waste and inspections with an id, and their kind."""
     return features.where((F.col("label") == "waste") | ((F.col("label") == "inspection") & F.col("id").isNotNull())).withColumn("kind", F.when(F.col("label") == "waste", "waste").otherwise(F.col("reason")))
@@ -97,23 +125,26 @@ def scores(points: DataFrame, records: DataFrame, fields: DataFrame) -> DataFram
 
 
 def stray_rows(features: DataFrame, share: float = 0.7, span: float = 1.4) -> DataFrame:
-    """(pattern_id, row_id) kept by a scan across each pattern: a middle row goes when both its gaps are below 0.7 steps and add up to 0.7 to 1.4.
+    """(pattern_id, row_id) kept by a scan of each pattern's rows in the order of their ids: a middle row goes when it is closer than 0.7 steps to the last row kept and to the next one, and these two distances add up to 0.7 to 1.4 steps.
 
-    ``features``: pattern_id, row_id, v, step. The left neighbour is the last row kept, so this is an ordered fold.
+    ``features``: pattern_id, row_id, v, step (of the pattern). An ordered fold over positions, since the left neighbour
+    is the last row kept; one pattern's rows are few.
     """
-    item = F.struct("v", "row_id", "step")
-    start = F.expr("cast(array() as array<struct<v:double,row_id:string,step:double>>)")
+    item = F.struct("row_id", "v", "step")
     grouped = features.groupBy("pattern_id").agg(F.array_sort(F.collect_list(item)).alias("s"))
+    apart = lambda i, j: F.abs(F.get("s", i)["v"] - F.get("s", j)["v"])
 
-    def step(kept: Column, x: Column) -> Column:
-        i = F.array_position("s", x)
-        after = F.get("s", i.cast("int"))
-        last = F.get(kept, F.size(kept) - 1)
-        a, b = x["v"] - last["v"], after["v"] - x["v"]
-        stray = (F.size(kept) > 0) & after.isNotNull() & (a < share * x["step"]) & (b < share * x["step"]) & (a + b).between(share * x["step"], span * x["step"])
-        return F.when(F.coalesce(stray, F.lit(False)), kept).otherwise(F.concat(kept, F.array(x)))
+    def scan(state: Column, i: Column) -> Column:
+        step = F.get("s", i)["step"]
+        left, right = apart(i, state["last"]), apart(i + 1, i)
+        stray = (F.greatest(left, right) < share * step) & (left + right).between(share * step, span * step)
+        gone = F.coalesce(stray & (i > 0) & (i < F.size("s") - 1), F.lit(False))
+        return F.struct(F.when(gone, state["last"]).otherwise(i).alias("last"), F.when(gone, F.concat(state["gone"], F.array(i))).otherwise(state["gone"]).alias("gone"))
 
-    return grouped.select("pattern_id", F.explode(F.aggregate("s", start, step)).alias("r")).select("pattern_id", "r.row_id", "r.v")
+    start = F.struct(F.lit(0).alias("last"), F.expr("cast(array() as array<int>)").alias("gone"))
+    gone = F.aggregate(F.sequence(F.lit(0), F.size("s") - 1), start, scan, lambda a: a["gone"])
+    kept = grouped.select("pattern_id", F.posexplode("s").alias("i", "r"), gone.alias("gone")).where(~F.array_contains("gone", F.col("i")))
+    return kept.select("pattern_id", "r.row_id", "r.v")
 
 
 def bare_outer_rows(rows: DataFrame, share: float = 0.3, least: float = 0.1, most: int = 2) -> DataFrame:
@@ -158,33 +189,32 @@ def choose_scenes(items: DataFrame, least_clear: float = 0.99) -> DataFrame:
     return greedy_spacing(items.where(F.col("clear") >= least_clear), "site", "date", 4, 3)
 
 
-@dataclass(frozen=True)
-class WasteParams:
-    white: float = 60.0
-    white_pile: float = 40.0
-    colour: float = 45.0
-    least_area: float = 0.02
-    pile_area: float = 0.25
-    most_area: float = 12.0
-    green: float = 0.35
-    row_m: float = 0.35
-    density: int = 12
-
-
-def accepted(p: WasteParams = WasteParams()) -> Column:
-    """Tiers of a blob: strict, small and bright, or pile; null if none. Columns white, colour, area_m2, ring_green, row_m, density, fill, location."""
-    clear = (F.col("ring_green") <= p.green) & F.col("area_m2").between(p.least_area, p.most_area)
-    strict = clear & ((F.col("white") >= p.white) | (F.col("colour") >= p.colour)) & (F.col("row_m") >= p.row_m) & (F.col("density") <= p.density)
-    small = clear & (F.col("white") >= 1.5 * p.white) & (F.col("fill") >= 0.5)
-    pile = (F.col("area_m2") >= p.pile_area) & (F.col("white") >= p.white_pile) & (F.col("location") != "interrow")
-    return F.when(strict, "strict").when(small, "small_bright").when(pile, "pile")
-
-
 def location_of(in_interrow: Column, in_block: Column, block_m: Column, reach: float = 10.0) -> Column:
     """Containment in priority order: inter-row, block, headland near a block, outside."""
     return F.when(in_interrow, "interrow").when(in_block, "block").when(block_m <= reach, "headland").otherwise("outside")
 
 
+def located(points: DataFrame, interrows: DataFrame, blocks: DataFrame, reach: float = 10.0) -> DataFrame:
+    """(id, location) of points (id, x, y): in an inter-row, in a block, within reach of a block, outside. Both sides are boxes (x0, y0, x1, y1), dealt to cells of the reach."""
+    from .joins import cells
+
+    at = F.struct(F.floor(F.col("x") / reach).alias("i"), F.floor(F.col("y") / reach).alias("j")).alias("cell")
+    out = points.select("id", "x", "y", at)
+    for name, boxes, pad in (("row_m", interrows, 0.0), ("block_m", blocks, reach)):
+        padded = boxes.select("x0", "y0", "x1", "y1", (F.col("x0") - pad).alias("a0"), (F.col("y0") - pad).alias("b0"), (F.col("x1") + pad).alias("a1"), (F.col("y1") + pad).alias("b1"))
+        dealt = padded.withColumn("cell", F.explode(cells("a0", "b0", "a1", "b1", reach, reach)))
+        side = lambda lo, v, hi: F.greatest(F.col(lo) - F.col(v), F.lit(0.0), F.col(v) - F.col(hi))
+        far = F.sqrt(F.pow(side("x0", "x", "x1"), 2) + F.pow(side("y0", "y", "y1"), 2))
+        out = out.join(points.select("id", "x", "y", at).join(dealt, "cell").groupBy("id").agg(F.min(far).alias(name)), "id", "left")
+    return out.select("id", location_of(F.coalesce(F.col("row_m") <= 0, F.lit(False)), F.coalesce(F.col("block_m") <= 0, F.lit(False)), F.col("block_m"), reach).alias("location"))
+
+
+def owner_majority(pixels: DataFrame) -> DataFrame:
+    """(blob, owner, pixels): the owner of most of a blob's pixels, the smallest of equal ones. ``pixels``: blob, owner."""
+    n = pixels.groupBy("blob", "owner").agg(F.count("*").alias("n"))
+    return n.groupBy("blob").agg(F.max_by("owner", F.struct("n", -F.col("owner"))).alias("owner"), F.sum("n").alias("pixels"))
+
+
 def merged_boxes(boxes: DataFrame, members: DataFrame) -> DataFrame:
     """Envelopes of touching boxes: ``members`` is (id, root) of their components; location by rank, areas added, tiles in order."""
     rank = F.when(F.col("location") == "interrow", 0).when(F.col("location") == "block", 1).when(F.col("location") == "headland", 2).otherwise(3)
@@ -206,9 +236,9 @@ def plot_scores(best: DataFrame) -> DataFrame:
     return s.select("half", ratio("m50").alias("f1_50"), ratio("m75").alias("f1_75"), F.element_at("v", (F.floor(F.size("v") / 2) + 1).cast("int")).alias("median_iou"))
 
 
-def reach_of(kind: Column, in_block: Column, own_m: float = 0.3, tree_m: float = 2.0, building_m: float = 6.0) -> Column:
-    """How far an obstacle reaches: those half inside a block by a little, else trees and buildings by their kind."""
-    return F.when(in_block >= 0.5, own_m).when(kind == "building", building_m).otherwise(tree_m)
+def reach_of(kind: Column, in_block: Column, tree_m: float = 2.0, building_m: float = 6.0) -> Column:
+    """How far an obstacle reaches: by its own kind if at least half of it is in a block (or nothing is known of that), else like a tree."""
+    return F.when((F.coalesce(in_block, F.lit(1.0)) >= 0.5) & (kind == "building"), building_m).otherwise(tree_m)
 
 
 def near_obstacles(points: DataFrame, obstacles: DataFrame, most: float = 6.0) -> DataFrame:

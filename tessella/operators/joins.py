@@ -6,6 +6,7 @@ lies in its neighbourhood. Results that are lists of pairs are as large as the p
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -70,6 +71,15 @@ def overlaps(left: DataFrame, right: DataFrame, parts: list[str], cx: float, cy:
     return j.select(*parts, "a", "b", ((hi["x1"] - lo["x0"]) * (hi["y1"] - lo["y0"])).alias("overlap"), area("a").alias("area_a"), area("b").alias("area_b"))
 
 
+def touching(boxes: DataFrame, cell: float) -> DataFrame:
+    """Pairs (a, b), a < b, of boxes (id, x0, y0, x1, y1) that share a point; each is found in the cell of the meeting's lower corner."""
+    b = boxes.select("id", "x0", "y0", "x1", "y1", F.explode(cells("x0", "y0", "x1", "y1", cell, cell)).alias("cell"))
+    other = b.select(F.col("id").alias("b"), *[F.col(c).alias(f"o{c}") for c in ("x0", "y0", "x1", "y1")], "cell")
+    j = b.join(other, "cell").where("id < b AND x0 <= ox1 AND ox0 <= x1 AND y0 <= oy1 AND oy0 <= y1")
+    low = (F.floor(F.greatest("x0", "ox0") / cell) == F.col("cell.i")) & (F.floor(F.greatest("y0", "oy0") / cell) == F.col("cell.j"))
+    return j.where(low).select(F.col("id").alias("a"), "b")
+
+
 def max_overlap(left: DataFrame, pairs: DataFrame, share: float) -> DataFrame:
     """Left ids with the partner of the largest overlap (ties: the larger id), accepted at ``share`` of the smaller area."""
     best = pairs.groupBy("a").agg(F.max(F.struct("overlap", "b", "area_a", "area_b")).alias("m"))
@@ -77,11 +87,21 @@ def max_overlap(left: DataFrame, pairs: DataFrame, share: float) -> DataFrame:
     return left.select(F.col("id").alias("a")).join(best, "a", "left").select("a", F.when(ok, F.col("m.b")).alias("b"), F.when(ok, F.col("m.overlap")).alias("overlap"))
 
 
+def _grouped(rows: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """rows (with ``node``) and the root of each one's component, itself where it has no edge."""
+    roots = connected(edges, scratch)
+    return rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
 def greedy_match(scored: DataFrame) -> DataFrame:
     """One-to-one matching of (part, i, j, score): by score, i, j descending, both sides unused; each part on its own.
 
-    A part (a tile, a brand) is bounded; pairs that cannot meet belong to different parts.
+    Pairs are matched inside the connected components of the pairs that share a side, since others can't compete; a
+    component is a neighbourhood of objects that overlap each other. A hash names the nodes: equal hashes would only
+    join two components.
     """
+    scratch = Scratch(scored.sparkSession, "matching")
+    s = scratch.write(scored.select("part", "i", "j", F.col("score").cast("double").alias("score"), F.xxhash64("part", F.lit(0), "i").alias("node"), F.xxhash64("part", F.lit(1), "j").alias("other")), "pairs")
 
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["score", "i", "j"], ascending=False)
@@ -94,27 +114,36 @@ def greedy_match(scored: DataFrame) -> DataFrame:
         return pdf.iloc[keep][["part", "i", "j", "score"]]
 
     kinds = dict(scored.dtypes)
-    return scored.select("part", "i", "j", "score").groupBy("part").applyInPandas(match, f"part {kinds['part']}, i {kinds['i']}, j {kinds['j']}, score double")
+    found = _grouped(s, s.select(F.col("node").alias("a"), F.col("other").alias("b")), scratch)
+    return scratch.settle(found.groupBy("part", "root").applyInPandas(lambda pdf: match(pdf), f"part {kinds['part']}, i {kinds['i']}, j {kinds['j']}, score double"))
 
 
-def suppressed(boxes: DataFrame, reach: float, cell: float) -> DataFrame:
-    """Greedy suppression, best score first: points (part, id, x, y, score) farther than ``reach`` from every kept better one.
+def suppressed(points: DataFrame, reach: float) -> DataFrame:
+    """Greedy suppression, best score first (ties: the smaller id): points (part, id, x, y, score) farther than ``reach`` from every better one that is kept.
 
-    Points are grouped by the connected neighbourhoods of their part.
+    Points of one part within reach of each other are found by cells and grouped by connected neighbourhoods; each is
+    decided on its own. Points without coordinates meet nothing.
     """
+    scratch = Scratch(points.sparkSession, "suppression")
+    p = scratch.write(points.withColumn("node", F.xxhash64("part", "id")), "points")
+    cell = lambda c: F.floor(F.col(c) / reach)
+    here = p.select("part", F.col("node").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), cell("x").alias("i"), cell("y").alias("j"))
+    around = F.explode(F.array(*[F.struct((cell("x") + i).alias("i"), (cell("y") + j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("c")
+    there = p.select("part", F.col("node").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), around).select("part", "b", "bx", "by", "c.i", "c.j")
+    near = here.join(there, ["part", "i", "j"]).where((F.col("a") < F.col("b")) & (F.pow(F.col("ax") - F.col("bx"), 2) + F.pow(F.col("ay") - F.col("by"), 2) <= reach * reach))
+    found = _grouped(p, near.select("a", "b"), scratch)
 
     def keep(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["score", "id"], ascending=[False, True])
-        grid: dict[tuple, list] = {}
-        rows = []
-        for n, (x, y) in enumerate(zip(pdf["x"], pdf["y"], strict=True)):
-            i, j = int(x // cell), int(y // cell)
-            near = [p for a in (i - 1, i, i + 1) for b in (j - 1, j, j + 1) for p in grid.get((a, b), ())]
-            if all((x - p[0]) ** 2 + (y - p[1]) ** 2 > reach * reach for p in near):
-                grid.setdefault((i, j), []).append((x, y))
+        if len(pdf) == 1:
+            return pdf[names]
+        x, y = pdf["x"].to_numpy(), pdf["y"].to_numpy()
+        free, rows = np.ones(len(pdf), bool), []
+        for n in range(len(pdf)):
+            if free[n]:
                 rows.append(n)
-        return pdf.iloc[rows]
-
-    return boxes.groupBy("part").applyInPandas(keep, boxes.schema)
-
+                free &= (x - x[n]) ** 2 + (y - y[n]) ** 2 > reach * reach
+        return pdf.iloc[rows][names]
 
+    names = points.columns
+    return scratch.settle(found.groupBy("part", "root").applyInPandas(keep, points.schema))

@@ -94,6 +94,20 @@ def header(features: DataFrame, routes: DataFrame) -> DataFrame:
     return s.crossJoin(r)  # one row each
 
 
+def blocks(patterns: DataFrame) -> DataFrame:
+    """Patterns (block_id, pattern_id, area_m2, row_count) as one record a block: rows added, the main pattern (largest area, then larger id), patterns by area. A block's own patterns give the same record again."""
+    by_area = F.sort_array(F.collect_list(F.struct((-F.col("area_m2")).alias("less"), "pattern_id", "area_m2", "row_count")))
+    out = patterns.groupBy("block_id").agg(F.sum("row_count").alias("row_count"), F.max_by("pattern_id", F.struct("area_m2", "pattern_id")).alias("main_pattern"), by_area.alias("p"))
+    return out.withColumn("patterns", F.transform("p", lambda x: x.dropFields("less"))).drop("p")
+
+
+def row_records(pieces: DataFrame, keys: list[str], least: float = 0.05) -> DataFrame:
+    """Pieces (keys, piece, start, end) as one record a row: axis (the longest piece), extent, and its pieces longer than ``least`` in order."""
+    size = F.col("end") - F.col("start")
+    kept = F.sort_array(F.collect_list(F.when(size > least, F.struct("start", "end", "piece"))))
+    return pieces.groupBy(*keys).agg(F.max_by("piece", F.struct(size.alias("size"), "piece")).alias("axis"), F.min("start").alias("lo"), F.max("end").alias("hi"), kept.alias("pieces"))
+
+
 def svg_parcels(svg: DataFrame, least_area: float = 1.0) -> DataFrame:
     """Unfilled paths of SVG text (one column, svg) as rings in pixels: id, points, area."""
     paths = F.regexp_extract_all("svg", F.lit(r'(<path[^>]*>)'), F.lit(1))

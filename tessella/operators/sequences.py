@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch
+
 
 def runs(df: DataFrame, key: str, order: list[str], flag: Column) -> DataFrame:
     """Run-length encoding by gaps and islands: key, flag, start, end (half open, positions in order), length."""
@@ -69,16 +72,29 @@ def greedy_spacing(df: DataFrame, key: str, day: str, least: int, keep: int) ->
 
 
 def pack(df: DataFrame, key: str, order: str, size: str, limit: float) -> DataFrame:
-    """Greedy next-fit in order, within each key: part numbers from 1. An ordered fold over one key's bounded inventory."""
-    item = F.struct(F.col(order).alias("o"), F.col(size).cast("double").alias("s"))
-    start = F.struct(F.lit(1).alias("part"), F.lit(0.0).alias("used"), F.expr("cast(array() as array<struct<o:string,part:int>>)").alias("out"))
-    step = lambda a, x: F.struct(
-        F.when((a["used"] > 0) & (a["used"] + x["s"] > limit), a["part"] + 1).otherwise(a["part"]).alias("part"),
-        F.when((a["used"] > 0) & (a["used"] + x["s"] > limit), x["s"]).otherwise(a["used"] + x["s"]).alias("used"),
-        F.concat(a["out"], F.array(F.struct(x["o"].cast("string").alias("o"), F.when((a["used"] > 0) & (a["used"] + x["s"] > limit), a["part"] + 1).otherwise(a["part"]).alias("part")))).alias("out"),
-    )
-    folded = df.groupBy(key).agg(F.aggregate(F.array_sort(F.collect_list(item)), start, step, lambda a: a["out"]).alias("x"))
-    return folded.select(key, F.inline("x")).withColumnRenamed("o", order)
+    """Greedy next-fit in order, within each key: part numbers from 1; linear in a key's rows, which are one inventory."""
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order, kind="stable")
+        part, used, parts = 1, 0.0, []
+        for s in pdf[size].to_numpy(float):
+            if used > 0 and used + s > limit:
+                part, used = part + 1, 0.0
+            used += s
+            parts.append(part)
+        return pdf[[key, order]].assign(part=parts)
+
+    kinds = dict(df.dtypes)
+    return df.select(key, order, F.col(size).cast("double").alias(size)).groupBy(key).applyInPandas(fit, f"`{key}` {kinds[key]}, `{order}` {kinds[order]}, part int")
+
+
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """df with each row's place in one order of all rows, from 1, without a task that sees all rows: ranges are sorted on their own and start where those before them end. Give an order without ties."""
+    scratch = Scratch(df.sparkSession, "numbered")
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    d = scratch.write(ranged.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), "ranges")
+    sizes = d.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))  # a row for each range
+    return d.join(F.broadcast(sizes.drop("_n")), "_part").withColumn(name, F.col("_before") + F.col("_row") + 1).drop("_part", "_row", "_before")
 
 
 def local_maxima(df: DataFrame, key: str, i: str, value: str, reach: int, above: Column) -> DataFrame:
@@ -91,6 +107,11 @@ def top_k(df: DataFrame, key: str, order: list[Column], k: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy(*order)).cast("long")).where(F.col("rank") <= k)
 
 
+def placed(df: DataFrame, key: list[str], order: list[Column], name: str) -> DataFrame:
+    """df with each row's place in the order of its key's list, from 1; give an order without ties."""
+    return df.withColumn(name, F.row_number().over(W.partitionBy(*key).orderBy(*order)).cast("long"))
+
+
 def within_budget(df: DataFrame, key: str, order: list[str], length: str, budget: int) -> DataFrame:
     """Per key: rows shown while the running length stays within the budget, and how many more there are."""
     w = W.partitionBy(key).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)

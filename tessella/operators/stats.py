@@ -80,11 +80,18 @@ def otsu(df: DataFrame, value: str, bins: int = 256) -> DataFrame:
     return h.agg(F.max_by(F.struct("bin", (F.col("lo") + (F.col("bin") + 1) * width).alias("threshold")), F.struct(F.round("between", 3), -F.col("bin"))).alias("best")).select("best.*")
 
 
-def auc(df: DataFrame, label: Column, value: str) -> DataFrame:
-    """One row: area under the ROC curve by rank sums over distinct values; ties count half."""
-    c = df.groupBy(value).agg(F.count_if(label).alias("p"), F.count_if(~label).alias("q"))
-    below = F.coalesce(F.sum("q").over(W.orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    s = c.withColumn("wins", F.col("p") * (below + F.col("q") / 2))
+def auc(df: DataFrame, label: Column, value: str, slices: int = 256) -> DataFrame:
+    """One row: area under the ROC curve by rank sums over distinct values; ties count half. Null values are left out.
+
+    Distinct values are cut into slices at quantiles; running counts are taken inside the slices and over their sums, so
+    that no task orders all values.
+    """
+    c = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count_if(label).alias("p"), F.count_if(~label).alias("q"))
+    cuts = c.agg(F.percentile_approx("v", F.array(*[F.lit((k + 1) / slices) for k in range(slices - 1)]), 10 * slices).alias("cuts"))  # one row
+    c = c.crossJoin(F.broadcast(cuts)).select("v", "p", "q", F.size(F.filter("cuts", lambda x: x < F.col("v"))).alias("slice"))
+    sums = c.groupBy("slice").agg(F.sum("q").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(W.orderBy("slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))  # ``slices`` rows at most
+    inside = F.coalesce(F.sum("q").over(W.partitionBy("slice").orderBy("v").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    s = c.withColumn("inside", inside).join(F.broadcast(sums.select("slice", "before")), "slice").withColumn("wins", F.col("p") * (F.col("before") + F.col("inside") + F.col("q") / 2))
     return s.agg(F.sum("p").alias("positives"), F.sum("q").alias("negatives"), F.try_divide(F.sum("wins"), (F.sum("p") * F.sum("q")).cast("double")).alias("auc"))
 
 

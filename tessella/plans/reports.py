@@ -143,19 +143,6 @@ def q30_scorecard(spark, sf):
     return j.select("source", F.round(f, 6).alias("f1"), F.round(0.6 * F.col("m") / F.col("r") + 0.4 * f, 6).alias("canopy"), F.round(S.counts_score(F.col("p"), F.col("r"), 0.8), 6).alias("counts"))
 
 
-@query(
-    """SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_discount, l_tax, CASE WHEN l_quantity >= 45 AND l_discount <= 0.02 THEN 'strict' WHEN l_quantity < 10 AND l_tax >= 0.06 THEN 'small_bright' WHEN l_discount >= 0.08 THEN 'pile' ELSE 'none' END AS tier,
-CASE WHEN l_quantity < 5 THEN 'cover' WHEN l_discount < 0.015 THEN 'contrast' WHEN l_tax > 0.04 AND l_quantity < 25 THEN 'pieces' ELSE 'kept' END AS reason,
-array_to_string(list_filter([CASE WHEN l_quantity < 5 THEN 'tiny' END, CASE WHEN l_discount = 0 THEN 'plain' END, CASE WHEN l_tax >= 0.08 THEN 'tax' END], lambda x: x IS NOT NULL), ',') AS flags FROM lineitem"""
-)
-def q27_rule_tiers(spark, sf):
-    q, d, t = F.col("l_quantity"), F.col("l_discount"), F.col("l_tax")
-    tier = F.when((q >= 45) & (d <= 0.02), "strict").when((q < 10) & (t >= 0.06), "small_bright").when(d >= 0.08, "pile").otherwise("none")
-    reason = F.when(q < 5, "cover").when(d < 0.015, "contrast").when((t > 0.04) & (q < 25), "pieces").otherwise("kept")
-    flags = F.array_join(F.filter(F.array(F.when(q < 5, "tiny"), F.when(d == 0, "plain"), F.when(t >= 0.08, "tax")), lambda x: x.isNotNull()), ",")
-    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_discount", "l_tax", tier.alias("tier"), reason.alias("reason"), flags.alias("flags"))
-
-
 @query(
     """SELECT rule, count(*) AS problems, min(k) AS first_key FROM (
 SELECT 'no customer' AS rule, o_orderkey AS k FROM orders LEFT JOIN customer ON o_custkey = c_custkey WHERE c_custkey IS NULL UNION ALL SELECT 'no order', l_orderkey FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey WHERE o_orderkey IS NULL
@@ -252,11 +239,11 @@ def q44_weighted_fit(spark, sf):
 
 
 @query(
-    """SELECT a.s_nationkey AS nation, round(median((b.s_acctbal - a.s_acctbal) / (b.s_suppkey - a.s_suppkey)), 6) AS slope, count(*) AS pairs FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND b.s_suppkey > a.s_suppkey GROUP BY 1"""
+    """WITH o AS (SELECT o_custkey AS c, date_diff('day', DATE '1990-01-01', o_orderdate::DATE) AS x, o_totalprice AS y FROM orders) SELECT a.c AS customer, round(median((b.y - a.y) / (b.x - a.x)), 5) AS slope, count(*) AS pairs FROM o a JOIN o b ON a.c = b.c AND b.x > a.x GROUP BY 1"""
 )
 def q45_theil_sen(spark, sf):
-    s = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("nation"), F.col("s_suppkey").alias("x"), F.col("s_acctbal").alias("y"))
-    return S.theil_sen(s, "nation", "x", "y").select("nation", F.round("slope", 6).alias("slope"), "pairs")
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("customer"), F.date_diff(F.to_date("o_orderdate"), F.lit("1990-01-01").cast("date")).alias("x"), F.col("o_totalprice").alias("y"))
+    return S.theil_sen(o, "customer", "x", "y").select("customer", F.round("slope", 5).alias("slope"), "pairs")
 
 
 @query(
@@ -309,12 +296,3 @@ def q50_route_targets_filter(spark, sf):
 def q54_adaptive_minimum(spark, sf):
     e = table(spark, sf, "events").select("user_id", F.round("value", 2).alias("v"))
     return S.adaptive_minimum(e, "user_id", "v", 5.0, 45.0, 10, 20.0)
-
-
-@query(
-    """SELECT n_name AS block_id, count(*) AS patterns, sum(p)::BIGINT AS total_rows, arg_max(c_mktsegment, (a, c_mktsegment)) AS main FROM (SELECT c_nationkey, c_mktsegment, count(*) AS p, round(sum(c_acctbal), 2) AS a FROM customer GROUP BY ALL) JOIN nation ON c_nationkey = n_nationkey GROUP BY 1"""
-)
-def q55_assign_blocks(spark, sf):
-    c = table(spark, sf, "customer").groupBy("c_nationkey", "c_mktsegment").agg(F.count("*").alias("p"), F.round(F.sum("c_acctbal"), 2).alias("a"))
-    n = table(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("block_id"))
-    return c.join(n, "c_nationkey").groupBy("block_id").agg(F.count("*").alias("patterns"), F.sum("p").alias("total_rows"), F.max_by("c_mktsegment", F.struct("a", "c_mktsegment")).alias("main"))

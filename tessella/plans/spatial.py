@@ -155,19 +155,26 @@ def q47_pixel_nanmedian(spark, sf):
     return p.groupBy("label", (F.col("row") * 8 + F.col("col")).alias("i")).agg(F.round(F.median(F.when(F.col("v") > -0.05, F.col("v"))), 6).alias("med"))
 
 
+_STEPS = "SELECT src::BIGINT AS src, target::BIGINT AS dst, step::BIGINT AS step, node::BIGINT AS node, cost::DOUBLE AS cost"
+
+
 @query(
-    """WITH RECURSIVE t AS (SELECT n_nationkey AS src, n_nationkey AS node, 0 AS step, 0 AS cost FROM nation UNION ALL SELECT t.src, n.n_nationkey, t.step + 1, t.cost + n.n_regionkey + 1 FROM t JOIN nation n ON n.n_nationkey = t.node - 3) SELECT src::INT AS src, node::INT AS node, step::INT AS step, cost::INT AS cost FROM t"""
+    f"""WITH RECURSIVE t AS (SELECT n_nationkey AS src, n_nationkey AS node, 0 AS step, 0 AS cost, [n_nationkey] AS path FROM nation UNION ALL SELECT t.src, n.n_nationkey, t.step + 1, t.cost + n.n_regionkey + 1, list_append(path, n.n_nationkey) FROM t JOIN nation n ON n.n_nationkey = t.node - 3),
+s AS (SELECT t.src, t.node AS target, u.step, u.node, u.cost FROM t JOIN t u ON u.src = t.src AND list_contains(t.path, u.node)) {_STEPS} FROM s"""
 )
 def q51_path_trace(spark, sf):
-    n = table(spark, sf, "nation").select("n_nationkey", "n_regionkey")
-    return spark.sql(
-        """WITH RECURSIVE t(src, node, step, cost) AS (SELECT n_nationkey, n_nationkey, 0, 0 FROM {n} UNION ALL SELECT t.src, n.n_nationkey, t.step + 1, t.cost + n.n_regionkey + 1 FROM t JOIN {n} n ON n.n_nationkey = t.node - 3)
-        SELECT src, node, step, cost FROM t""",
-        n=n,
-    )
+    n = table(spark, sf, "nation")
+    edges = n.select((F.col("n_nationkey") + 3).alias("src"), F.col("n_nationkey").alias("dst"), (F.col("n_regionkey") + 1).alias("cost"))
+    return G.shortest_paths(edges, n.select(F.col("n_nationkey").alias("node")), steps=True)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_OVER}, p AS (SELECT brand AS part, a AS i, b AS j, round(overlap / (area_a + area_b - overlap), 6) AS score FROM o WHERE overlap / (area_a + area_b - overlap) >= 0.1),
+k AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY score DESC, i DESC, j DESC) AS k FROM p),
+r AS (SELECT part, k, i, j, score, true AS kept, [i] AS li, [j] AS lj FROM k WHERE k = 1 UNION ALL SELECT k.part, k.k, k.i, k.j, k.score, NOT list_contains(li, k.i) AND NOT list_contains(lj, k.j),
+ CASE WHEN list_contains(li, k.i) OR list_contains(lj, k.j) THEN li ELSE list_append(li, k.i) END, CASE WHEN list_contains(li, k.i) OR list_contains(lj, k.j) THEN lj ELSE list_append(lj, k.j) END FROM r JOIN k ON k.part = r.part AND k.k = r.k + 1)
+SELECT part, i, j, score FROM r WHERE kept"""
+)
 def q52_greedy_match(spark, sf):
     p = _pairs(spark, sf)
     # tried: the filter may run before the join's own condition, on boxes that don't meet
@@ -186,10 +193,15 @@ def q53_shortest_cost(spark, sf):
     return G.shortest_paths(e, n.select(k.alias("node"))).select("src", "dst", "cost")
 
 
-@query()
+@query(
+    """WITH RECURSIVE p AS (SELECT c_mktsegment AS part, c_custkey AS id, c_acctbal AS x, c_custkey % 997 * 11.0::DOUBLE AS y, (c_custkey * 7919 % 10007)::DOUBLE AS score FROM customer), k AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY score DESC, id) AS k FROM p),
+r AS (SELECT part, k, id, x, y, score, true AS kept, [{'x': x, 'y': y}] AS l FROM k WHERE k = 1 UNION ALL SELECT part, k, id, x, y, score, ok, CASE WHEN ok THEN list_append(l, {'x': x, 'y': y}) ELSE l END
+ FROM (SELECT k.*, r.l, len(list_filter(r.l, lambda q: pow(q.x - k.x, 2) + pow(q.y - k.y, 2) <= 22500)) = 0 AS ok FROM r JOIN k ON k.part = r.part AND k.k = r.k + 1))
+SELECT part, id, x, y, score FROM r WHERE kept"""
+)
 def q57_suppressed_points(spark, sf):
     p = table(spark, sf, "customer").select(F.col("c_mktsegment").alias("part"), F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("x"), (F.col("c_custkey") % 997 * 11.0).alias("y"), (F.col("c_custkey") * 7919 % 10007).cast("double").alias("score"))
-    return J.suppressed(p, 150.0, 150.0)
+    return J.suppressed(p, 150.0)
 
 
 @query(

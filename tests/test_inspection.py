@@ -31,11 +31,15 @@ def test_gaps(spark):
     assert ("V1a-R002", "interior", 4.9) in {(r["row_id"], r["kind"], r["gap_m"]) for r in I.row_gaps(s, tight).collect()}
     shared = samples(spark, {f"V1a-R00{i}": [(260, 400)] for i in range(1, 6)})
     assert I.row_gaps(shared, none).count() == 0  # an end that all rows share is no gap
-    points = I.gap_points(I.row_gaps(s, none), s).toPandas().set_index("row_id")
-    assert points.loc["V1a-R001", "confidence"] == 1.0 and points.loc["V1a-R003", "confidence"] == 0.5
-    assert points.loc["V1a-R001", "reason"] == "planting" and points["challenge"].all()
+    points = I.gap_points(I.gap_measures(I.row_gaps(s, none), s)).toPandas().set_index("row_id")
+    assert points.loc["V1a-R001", "confidence"] == 1.0 and points.loc["V1a-R003", "confidence"] == 0.5  # a row's end is in doubt
+    assert points["reason"].to_dict() == {"V1a-R001": "gap", "V1a-R003": "planting"} and points["challenge"].all()
     hidden = s.withColumn("seen", F.col("i") % 2 == 0)
-    assert I.gap_points(I.row_gaps(s, none), hidden).count() == 0
+    assert I.gap_points(I.gap_measures(I.row_gaps(s, none), hidden)).count() == 0
+    y = {r["row_id"]: r["y"] for r in s.select("row_id", "y").distinct().collect()}
+    tree = spark.createDataFrame([("t", 8.0, y["V1a-R001"] - 1.5, "tree", 0.9), ("b", 16.0, y["V1a-R003"] + 3.0, "building", 0.2)], "obstacle_id string, x double, y double, kind string, in_block double")
+    near = I.gap_points(I.gap_measures(I.row_gaps(s, none), s), tree).toPandas().set_index("row_id")
+    assert near.loc["V1a-R001", ["reason", "obstacle_type", "challenge"]].tolist() == ["obstacle", "tree", False] and near.loc["V1a-R003", "reason"] == "planting"  # a building off the block reaches as far as a tree
 
 
 def test_structure(spark):
@@ -55,6 +59,8 @@ def test_outer_and_stray_rows(spark):
     assert {r["row_id"] for r in I.bare_outer_rows(rows).collect()} == {"r0", "r1", "r8"}  # a bare row between good ones stays
     f = spark.createDataFrame([("p", f"r{i}", v, 2.5) for i, v in enumerate((0.0, 2.5, 3.6, 5.0, 7.5))], "pattern_id string, row_id string, v double, step double")
     assert sorted(r["row_id"] for r in I.stray_rows(f).collect()) == ["r0", "r1", "r3", "r4"]
+    back = f.withColumn("v", -F.col("v")).unionByName(f.where("row_id < 'r2'").withColumn("pattern_id", F.lit("q")))
+    assert sorted((r["pattern_id"], r["row_id"]) for r in I.stray_rows(back).collect()) == [("p", "r0"), ("p", "r1"), ("p", "r3"), ("p", "r4"), ("q", "r0"), ("q", "r1")]
 
 
 def test_scores(spark):
@@ -82,9 +88,18 @@ def test_zones_and_scenes(spark):
 
 
 def test_waste(spark):
-    cols = "id string, white double, colour double, area_m2 double, ring_green double, row_m double, density int, fill double, location string"
-    b = spark.createDataFrame([("a", 70.0, 0.0, 0.1, 0.1, 1.0, 1, 0.9, "block"), ("b", 95.0, 0.0, 0.1, 0.1, 0.0, 99, 0.9, "block"), ("c", 45.0, 0.0, 0.5, 0.9, 0.0, 99, 0.1, "outside"), ("d", 45.0, 0.0, 0.5, 0.9, 0.0, 99, 0.1, "interrow")], cols)
-    assert {r["id"]: r["t"] for r in b.select("id", I.accepted().alias("t")).collect()} == {"a": "strict", "b": "small_bright", "c": "pile", "d": None}
+    from tessella.operators.rules import waste_tier
+
+    blob = {"kind": "white", "location": None, "area_m2": 0.1, "length_m": 0.3, "width_m": 0.2, "w_m": 0.4, "h_m": 0.2, "lum": 230.0, "lum_std": 12.0, "chroma": 10.0, "dev": 160.0, "hue": 30.0, "fill": 0.5, "ring_green": 0.8, "density": 0.01, "structure": 0.0, "clipped": 0.2, "row_m": 1.0, "forbidden_m": 50.0}
+    cases = {
+        "strict": {}, "small_bright": {"dev": 120.0}, "pile": {"area_m2": 0.5, "lum": 210.0, "dev": 115.0}, "colour": {"kind": "colour", "chroma": 90.0}, "scrap": {"location": "block", "ring_green": 0.0},
+        "white": {"location": "headland", "chroma": 22.0}, "blue": {"location": "outside", "kind": "colour", "hue": 200.0, "lum_std": 25.0},
+    }
+    none = [{"length_m": 0.7}, {"area_m2": 2.0}, {"kind": "black"}, {"row_m": 0.3}, {"location": "outside", "density": 0.2}, {"location": "outside", "lum": 222.0}, {"location": "block", "structure": 1.0}, {"location": "headland", "forbidden_m": 5.0}]
+    rows = [(name, *(blob | c).values()) for name, c in [*cases.items(), *((f"none{i}", c) for i, c in enumerate(none))]]
+    types = ", ".join(f"{k} {'string' if k in ('kind', 'location') else 'double'}" for k in blob)
+    got = {r["name"]: r["tier"] for r in spark.createDataFrame(rows, f"name string, {types}").select("name", waste_tier().alias("tier")).collect()}
+    assert got == {k: k for k in cases} | {f"none{i}": None for i in range(len(none))}
     boxes = spark.createDataFrame([(1, 0.0, 0.0, 2.0, 2.0, "outside", 1.0, "t2"), (2, 1.0, 1.0, 3.0, 3.0, "block", 2.0, "t1"), (3, 9.0, 9.0, 10.0, 10.0, "outside", 1.0, "t1")], "id long, x0 double, y0 double, x1 double, y1 double, location string, area_m2 double, tile string")
     pairs = J.overlaps(boxes, boxes, [], 4.0, 4.0).select("a", "b")
     members = J.components(boxes.select(F.col("id").alias("node")), pairs).withColumnRenamed("node", "id")
@@ -185,7 +200,7 @@ def test_scene_operators(spark):
 
 def test_obstacles_peers_owners(spark):
     p = spark.createDataFrame([("a", 0.0, 0.0), ("b", 5.0, 0.0), ("c", 50.0, 0.0)], "id string, x double, y double")
-    o = spark.createDataFrame([("tree", 1.5, 0.0, "tree", 0.0), ("house", 10.5, 0.0, "building", 0.1), ("inner", 50.2, 0.0, "tree", 0.9), ("far", 51.0, 0.0, "tree", 0.9)], "obstacle_id string, x double, y double, kind string, in_block double")
+    o = spark.createDataFrame([("tree", 1.5, 0.0, "tree", 0.0), ("house", 10.5, 0.0, "building", 0.8), ("inner", 50.2, 0.0, "tree", 0.9), ("far", 51.0, 0.0, "tree", 0.9)], "obstacle_id string, x double, y double, kind string, in_block double")
     assert {r["id"]: r["obstacle_id"] for r in I.near_obstacles(p, o).collect()} == {"a": "tree", "b": "house", "c": "inner"}
     plots = spark.createDataFrame([(i, "v" if i < 6 else "s", float(i)) for i in range(8)], "plot int, cover string, value double")
     z = {r["plot"]: r["z"] for r in I.peer_z(plots).collect()}

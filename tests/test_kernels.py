@@ -197,6 +197,10 @@ def test_budget():
 def test_route_check():
     walk = np.array([[0, 0], [50, 0], [0, 0.0]])
     ok = graph.check_route(walk, np.array([[10, 1], [40, 3.0]]), 1.0, 0.0, 0.0, walk[0], walk[-1])
+    far = graph.check_route(walk, np.empty((0, 2)), 1.0, 0.5, 0.0, walk[0] + 9, walk[-1])
+    assert far["scores"] and not far["legal"] and not far["closed"]  # the score asks for the share outside alone
+    still = graph.check_route(walk[:1], np.empty((0, 2)), 0.0, 0.0, 0.0, walk[0], walk[0])
+    assert still["outside_share"] == 1.0 and not still["scores"]
     assert ok["visited"] == 1 and ok["legal"] and ok["closed"] and ok["scores"]
     assert not graph.check_route(walk, np.empty((0, 2)), 3.0, 0.0, 0.0, walk[0], walk[-1])["legal"]
     assert not graph.check_route(walk, np.empty((0, 2)), 0.0, 0.0, 0.0, walk[0] + 9, walk[-1])["closed"]
@@ -283,6 +287,18 @@ def test_row_kernels():
     from tessella.functions import rows as K
 
     assert K.without_close(np.array([0, 2.5, 3.2, 5.0]), np.array([1, 1, 0.2, 1]), 2.5).tolist() == [0, 1, 3]
+    rng = np.random.default_rng(3)
+    for _ in range(40):
+        at, green = rng.choice(np.arange(60) / 4, 25, replace=False), rng.random(25)
+        kept = sorted(range(25), key=lambda i: at[i])
+        while True:  # the rule, literally
+            pairs = [(at[b] - at[a], k) for k, (a, b) in enumerate(zip(kept[:-1], kept[1:], strict=True))]
+            size, k = min(pairs, default=(9.0, 0))
+            if size >= 0.7:
+                break
+            kept.pop(k if green[kept[k]] < green[kept[k + 1]] else k + 1)
+        assert K.without_close(at, green, 1.0).tolist() == sorted(kept)
+    assert K.without_close(np.empty(0), np.empty(0), 1.0).tolist() == []
     e = np.array([1, 0, 0, 1, 1, 1, 0, 1, 0, 0, 0, 0, 1.0])
     assert K.grown(e, (4, 5), 0.5, 2) == (0, 8) and K.grown(e, (4, 5), 0.5, 0) == (3, 6)
     assert K.grown_rows(np.array([[1, 1], [0, 0], [1, 1], [1, 0.9], [1, 1.0]]), 3, 0.5) == [2, 3, 4]
