@@ -95,3 +95,56 @@ def circular_gap(a: Column, b: Column, bins: int) -> Column:
 
 def cover_class(green: Column) -> Column:
     return F.when(green.isNull(), "unassessable").when(green < 0.25, "bare_soil").when(green > 0.75, "vegetation").otherwise("mixed")
+
+
+def clip_segment(x0: Column, y0: Column, x1: Column, y1: Column, left: Column, low: Column, right: Column, high: Column) -> Column:
+    """Parameters (lo, hi) of the part of a segment inside a box; null where it stays outside or only touches. Each side bounds one of the two by the line's crossing with it."""
+    enter, leave = [F.lit(0.0)], [F.lit(1.0)]
+    outside = F.lit(False)
+    for at, d, a, b in ((x0, x1 - x0, left, right), (y0, y1 - y0, low, high)):
+        enter.append(F.when(d != 0, F.least((a - at) / d, (b - at) / d)))
+        leave.append(F.when(d != 0, F.greatest((a - at) / d, (b - at) / d)))
+        outside = outside | ((d == 0) & ~at.between(a, b))
+    lo, hi = F.greatest(*enter), F.least(*leave)
+    return F.when(~outside & (lo < hi), F.struct(lo.alias("lo"), hi.alias("hi")))
+
+
+def row_frame(x: Column, y: Column, degrees: Column) -> tuple[Column, Column]:
+    """(u along, v across) in the frame of rows at an angle."""
+    a = F.radians(degrees)
+    return x * F.cos(a) + y * F.sin(a), y * F.cos(a) - x * F.sin(a)
+
+
+def snapped_ring(points: Column, grid: float) -> Column:
+    """Ring on a grid: every vertex rounded, vertices equal to the one before (the last before the first) left out; null below three."""
+    on = F.transform(points, lambda p: F.struct((F.floor(p["x"] / grid + 0.5) * grid).alias("x"), (F.floor(p["y"] / grid + 0.5) * grid).alias("y")))
+    kept = F.filter(on, lambda p, i: p != F.element_at(on, F.when(i == 0, F.lit(-1)).otherwise(i)))
+    return F.when(F.size(kept) >= 3, kept)
+
+
+def box_gap(a: dict[str, Column], b: dict[str, Column]) -> Column:
+    """Length of the shortest line between two boxes (x0, y0, x1, y1); 0 where they meet."""
+    side = lambda lo, hi: F.greatest(a[lo] - b[hi], F.lit(0.0), b[lo] - a[hi])
+    return F.sqrt(F.pow(side("x0", "x1"), 2) + F.pow(side("y0", "y1"), 2))
+
+
+def one_lattice(a: dict[str, Column], b: dict[str, Column], degrees: float = 3.0, spacing: float = 0.08, wave: tuple[float, float] = (0.4, 1.5), phase: float = 0.2) -> Column:
+    """Two fits (angle, spacing, wave, phase in turns) are rows of one lattice: nearly one angle and spacing, waves alike in strength, in step."""
+    turn = F.abs(F.pmod(a["angle"] - b["angle"] + 90, F.lit(180.0)) - 90)
+    step = F.abs(F.pmod(a["phase"] - b["phase"] + 0.5, F.lit(1.0)) - 0.5)
+    alike = F.abs(a["spacing"] - b["spacing"]) <= spacing * F.least(a["spacing"], b["spacing"])
+    return (turn <= degrees) & alike & (b["wave"] >= wave[0] * a["wave"]) & (b["wave"] <= wave[1] * a["wave"]) & (step <= phase)
+
+
+def overview(wanted: Column, levels: tuple[int, ...] = (2, 4, 8, 16)) -> Column:
+    """The coarsest overview that isn't coarser than wanted; 1 is the full resolution."""
+    out = F.lit(1)
+    for k in levels:
+        out = F.when(wanted >= k, F.lit(k)).otherwise(out)
+    return out
+
+
+def known_name(name: Column, known: Column) -> Column:
+    """A name without its numeric prefix, where the rest is a known name (an array); else as it is."""
+    bare = F.regexp_replace(name, "^[0-9]+_", "")
+    return F.when(F.array_contains(known, bare), bare).otherwise(name)

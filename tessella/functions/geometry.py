@@ -372,3 +372,42 @@ def slices(ring: np.ndarray, direction: np.ndarray, step: float) -> list[tuple[i
             centre = np.array([((x + np.roll(x, -1)) * cross).sum(), ((y + np.roll(y, -1)) * cross).sum()]) / (3 * cross.sum())
             out.append((k, area(part), centre @ turn))
     return out
+
+
+def moved_edges(ring: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """A convex ring with every edge moved outward by its own distance (inward where negative) and neighbours cut again; empty where an edge is left without length."""
+    if area(ring) == 0:
+        return np.empty((0, 2))
+    r = np.asarray(ring, float)
+    if np.sum(r[:, 0] * np.roll(r[:, 1], -1) - np.roll(r[:, 0], -1) * r[:, 1]) < 0:
+        r, by = r[::-1], np.roll(by[::-1], -1)
+    d = np.roll(r, -1, axis=0) - r
+    d /= np.hypot(d[:, 0], d[:, 1])[:, None]
+    at = r + np.stack((d[:, 1], -d[:, 0]), 1) * np.asarray(by, float)[:, None]  # a point of each moved edge
+    p, e = np.roll(at, 1, axis=0), np.roll(d, 1, axis=0)  # the edge before
+    cross = e[:, 0] * d[:, 1] - e[:, 1] * d[:, 0]
+    w = at - p
+    straight = np.abs(cross) < 1e-12
+    t = (w[:, 0] * d[:, 1] - w[:, 1] * d[:, 0]) / np.where(straight, 1.0, cross)
+    out = np.where(straight[:, None], at, p + e * t[:, None])
+    along = ((np.roll(out, -1, axis=0) - out) * d).sum(1)
+    return out if (along > 0).all() else np.empty((0, 2))
+
+
+def shortest_line(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nearest points of two rings; the same point twice where they meet."""
+    if intersection_area(a, b) > 0:
+        p = np.asarray(intersection(a, b)[0][0], float)
+        return p, p
+    best = (np.inf, a[0], b[0])
+    for first, second, turned in ((a, b, False), (b, a, True)):
+        p, q = second, np.roll(second, -1, axis=0)
+        d = q - p
+        for v in np.asarray(first, float):
+            t = np.clip(((v - p) * d).sum(1) / np.maximum((d * d).sum(1), 1e-300), 0, 1)
+            foot = p + d * t[:, None]
+            far = np.hypot(*(foot - v).T)
+            k = int(far.argmin())
+            if far[k] < best[0]:
+                best = (far[k], foot[k], v) if turned else (far[k], v, foot[k])
+    return best[1], best[2]

@@ -270,5 +270,4 @@ def jittered(points: DataFrame, offsets: list[tuple[float, float]]) -> DataFrame
 
 def owner_of(blobs: DataFrame, pixels: DataFrame) -> DataFrame:
     """The owner that most pixels of a blob belong to (ties: the smaller): blobs (id, row, col), pixels (row, col, owner)."""
-    n = blobs.join(pixels, ["row", "col"]).groupBy("id", "owner").agg(F.count("*").alias("n"))
-    return n.groupBy("id").agg(F.max_by("owner", F.struct("n", -F.col("owner"))).alias("owner"))
+    return owner_majority(blobs.join(pixels, ["row", "col"]).withColumnRenamed("id", "blob")).select(F.col("blob").alias("id"), "owner")
\ No newline at end of file

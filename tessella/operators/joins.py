@@ -147,3 +147,16 @@ def suppressed(points: DataFrame, reach: float) -> DataFrame:
 
     names = points.columns
     return scratch.settle(found.groupBy("part", "root").applyInPandas(keep, points.schema))
+
+
+def merged_lines(segments: DataFrame) -> DataFrame:
+    """Segments (line, k, a, b; a and b name end points) with ``root``, the smallest k of the chain that they form: ends where exactly two segments meet join them."""
+    scratch = Scratch(segments.sparkSession, "lines")
+    s = scratch.write(segments.select("line", F.col("k").cast("long").alias("k"), "a", "b"), "segments")
+    name = lambda k: F.xxhash64("line", k)
+    ends = s.select("line", "k", F.explode(F.array("a", "b")).alias("node"))
+    joints = ends.groupBy("line", "node").agg(F.count("*").alias("n"), F.min("k").alias("lo"), F.max("k").alias("hi")).where("n = 2 AND lo < hi")
+    roots = connected(joints.select(name("lo").alias("a"), name("hi").alias("b")), scratch)
+    named = s.withColumn("node", name("k")).join(roots, "node", "left").withColumn("group", F.coalesce("root", "node")).drop("root")
+    first = named.groupBy("line", "group").agg(F.min("k").alias("root"))
+    return scratch.settle(named.join(first, ["line", "group"]).select("line", "k", "a", "b", "root"))
