@@ -4,6 +4,7 @@ import itertools
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -313,3 +314,38 @@ def test_open_tour_and_outside(spark):
     steps = spark.createDataFrame([("a", 0.0, 0.5, 8.0, 0.5), ("b", 0.0, 0.5, 4.0, 0.5)], "id string, x0 double, y0 double, x1 double, y1 double")
     ok = spark.createDataFrame([(0, c) for c in range(4)], "row int, col int")
     assert {r["id"]: r["outside"] for r in graph.outside_share(steps, ok, 1.0).collect()} == {"a": 0.5, "b": 0.0}
+
+
+def test_shortest_paths_in_waves():
+    """Against relaxing every edge again and again; predecessors carry the distances; nodes out of reach stay so."""
+    rng = np.random.default_rng(5)
+    for n, m in ((1, 0), (30, 40), (60, 400)):
+        edges = pd.DataFrame({"src": rng.integers(0, n, m), "dst": rng.integers(0, n, m), "cost": rng.integers(0, 6, m) / 2})
+        edges = pd.concat([edges, pd.DataFrame({"src": [0], "dst": [n - 1], "cost": [50.0]})])
+        ids, start, near, cost = graph.compressed(edges)
+        best, pred = graph.dijkstra(start, near, cost, 0)
+        want = np.full(len(ids), np.inf)
+        want[0] = 0
+        src = np.repeat(np.arange(len(ids)), np.diff(start))
+        for _ in ids:
+            np.minimum.at(want, near, want[src] + cost)
+        assert np.allclose(best, want)
+        for v in np.flatnonzero(pred >= 0):
+            assert any(src[e] == pred[v] and near[e] == v and np.isclose(best[pred[v]] + cost[e], best[v]) for e in range(len(cost)))
+            assert graph.trace(pred, v)[0] == 0
+
+
+def test_moved_edges_and_shortest_line():
+    from tessella.functions import geometry as g
+
+    tri = np.array([[0, 0], [4, 0], [0, 3.0]])
+    out = g.moved_edges(tri, np.array([1.0, 1.0, 1.0]))
+    r = 1.0  # the inner circle's radius grows by the move: areas go with its square
+    assert g.area(out) == pytest.approx(6 * ((1 + r) / 1) ** 2)
+    assert g.area(g.moved_edges(tri[::-1], np.array([0.0, 0.0, 2.0]))) > 6 and len(g.moved_edges(tri, np.full(3, -1.1))) == 0
+    one = g.moved_edges(np.array([[0, 0], [4, 0], [4, 2], [0, 2.0]]), np.array([0.0, 1.5, 0, 0]))
+    assert g.area(one) == pytest.approx(11)
+    a, b = np.array([[0, 0], [2, 0], [2, 2], [0, 2.0]]), np.array([[5, 1], [7, 0], [7, 3.0]])
+    p, q = g.shortest_line(a, b)
+    assert np.hypot(*(p - q)) == pytest.approx(3) and p.tolist() == [2, 1] and q.tolist() == [5, 1]
+    assert np.hypot(*np.subtract(*g.shortest_line(a, a + 1))) == 0
