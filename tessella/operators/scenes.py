@@ -156,3 +156,9 @@ def candidates(points: DataFrame, nodes: DataFrame, reach: float, k: int) -> Dat
     d = F.sqrt(F.pow(F.col("x") - F.col("nx"), 2) + F.pow(F.col("y") - F.col("ny"), 2))
     per = points.select("id", "x", "y", around).join(n, "cell").where(d <= reach).groupBy("id", "part").agg(F.min(F.struct(d.alias("d"), "node")).alias("m"))
     return per.withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy("m")).cast("long")).where(F.col("rank") <= k).select("id", F.col("m.node").alias("node"), "rank")
+
+
+def answered(requests: DataFrame, known: DataFrame, statuses: tuple[str, ...]) -> DataFrame:
+    """Status requests (id, status, ...) with ``code``: 404 for a point that isn't known, 422 for a status that isn't one, 200."""
+    j = requests.join(known.select("id").distinct().withColumn("_known", F.lit(True)), "id", "left")
+    return j.withColumn("code", F.when(F.col("_known").isNull(), 404).when(~F.coalesce(F.col("status").isin(*statuses), F.lit(False)), 422).otherwise(200)).drop("_known")
