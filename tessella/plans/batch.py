@@ -31,7 +31,7 @@ AREA = {"id": "p_partkey", "x0": "CAST(p_partkey * 131 % 380 AS DOUBLE)", "y0":
 
 
 def tiles(spark, sf) -> DataFrame:
-    n = table(spark, sf, "nation").where("n_nationkey < 12")
+    n = table(spark, sf, "nation")
     col, row = F.col("n_nationkey") % 4, F.floor(F.col("n_nationkey") / 4)
     return n.select(F.concat(F.lit("t"), F.col("n_nationkey").cast("string")).alias("tile"), *[v.cast("double").alias(k) for k, v in (("left", col * 100), ("low", row * 100), ("right", col * 100 + 100), ("high", row * 100 + 100))])
 
@@ -39,12 +39,12 @@ def tiles(spark, sf) -> DataFrame:
 def pixels(spark, sf) -> DataFrame:
     """5 m pixels of the site; green by a rule, from a table so that they are rows at rest."""
     k = F.col("event_id")
-    e = table(spark, sf, "events").where("event_id < 4800")
+    e = table(spark, sf, "events")
     return e.select(F.floor(k / 80).alias("row"), (k % 80).alias("col"), (F.floor(k / 80) * 7 + (k % 80) * 3 + F.floor(k / 37)).alias("m")).select("row", "col", (F.col("m") % 5 < 3).alias("green"))
 
 
-_TILES = "t AS (SELECT 't' || n_nationkey::VARCHAR AS tile, (n_nationkey % 4 * 100)::DOUBLE AS l, (n_nationkey // 4 * 100)::DOUBLE AS b, (n_nationkey % 4 * 100 + 100)::DOUBLE AS r, (n_nationkey // 4 * 100 + 100)::DOUBLE AS h FROM nation WHERE n_nationkey < 12)"
-_PX = "px AS (SELECT event_id // 80 AS row, event_id % 80 AS col, (event_id // 80 * 7 + event_id % 80 * 3 + event_id // 37) % 5 < 3 AS green FROM events WHERE event_id < 4800)"
+_TILES = "t AS (SELECT 't' || n_nationkey::VARCHAR AS tile, (n_nationkey % 4 * 100)::DOUBLE AS l, (n_nationkey // 4 * 100)::DOUBLE AS b, (n_nationkey % 4 * 100 + 100)::DOUBLE AS r, (n_nationkey // 4 * 100 + 100)::DOUBLE AS h FROM nation)"
+_PX = "px AS (SELECT event_id // 80 AS row, event_id % 80 AS col, (event_id // 80 * 7 + event_id % 80 * 3 + event_id // 37) % 5 < 3 AS green FROM events)"
 _LO = "greatest(0, CASE WHEN x1 <> x0 THEN least((l - x0) / (x1 - x0), (r - x0) / (x1 - x0)) ELSE 0 END, CASE WHEN y1 <> y0 THEN least((b - y0) / (y1 - y0), (h - y0) / (y1 - y0)) ELSE 0 END)"
 _HI = "least(1, CASE WHEN x1 <> x0 THEN greatest((l - x0) / (x1 - x0), (r - x0) / (x1 - x0)) ELSE 1 END, CASE WHEN y1 <> y0 THEN greatest((b - y0) / (y1 - y0), (h - y0) / (y1 - y0)) ELSE 1 END)"
 _ROWS = f"""{_TILES}, {_PX}, k AS (SELECT *, {_LO} AS lo, {_HI} AS hi, sqrt(pow(x1 - x0, 2) + pow(y1 - y0, 2)) AS size FROM ({derived_sql("customer", ROW)}), t WHERE NOT ((x1 = x0 AND NOT x0 BETWEEN l AND r) OR (y1 = y0 AND NOT y0 BETWEEN b AND h))),
@@ -101,22 +101,22 @@ def q145_structures(spark, sf):
 
 
 @query(
-    f"""WITH RECURSIVE b AS (SELECT id, x0 - 6 AS x0, y0 - 6 AS y0, x1 + 6 AS x1, y1 + 6 AS y1 FROM ({derived_sql("part", BOX)}) WHERE id % 5 = 0), e AS (SELECT l.id AS a, r.id AS b FROM b l JOIN b r ON l.x0 <= r.x1 AND r.x0 <= l.x1 AND l.y0 <= r.y1 AND r.y0 <= l.y1),
+    f"""WITH RECURSIVE b AS (SELECT id, x0 - 6 AS x0, y0 - 6 AS y0, x1 + 6 AS x1, y1 + 6 AS y1 FROM ({derived_sql("part", BOX)})), e AS (SELECT l.id AS a, r.id AS b FROM b l JOIN b r ON l.x0 <= r.x1 AND r.x0 <= l.x1 AND l.y0 <= r.y1 AND r.y0 <= l.y1),
 r AS (SELECT id AS node, id AS root FROM b UNION SELECT e.b, r.root FROM r JOIN e ON r.node = e.a), c AS (SELECT node, min(root) AS root FROM r GROUP BY 1) SELECT root, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, count(*) AS obstacles FROM b JOIN c ON node = id GROUP BY 1"""
 )
 def q146_reach_windows(spark, sf):
-    return B.reach_windows(derived(table(spark, sf, "part"), BOX).where("id % 5 = 0"), Scratch(spark, "windows"), 6.0, 30.0)
+    return B.reach_windows(derived(table(spark, sf, "part"), BOX), Scratch(spark, "windows"), 6.0, 30.0)
 
 
 @query(
-    f"""WITH v AS (SELECT id, x0, y0, x1, y1 FROM ({derived_sql("part", AREA)})), f AS (SELECT id AS f, x0 AS l, y0 AS b, x1 AS r, y1 AS t FROM ({derived_sql("supplier WHERE s_suppkey < 100", PARCEL)})),
+    f"""WITH v AS (SELECT id, x0, y0, x1, y1 FROM ({derived_sql("part", AREA)})), f AS (SELECT id AS f, x0 AS l, y0 AS b, x1 AS r, y1 AS t FROM ({derived_sql("supplier", PARCEL)})),
 o AS (SELECT v.id, sum((least(x1, r) - greatest(x0, l)) * (least(y1, t) - greatest(y0, b))) AS covered FROM v JOIN f ON least(x1, r) > greatest(x0, l) AND least(y1, t) > greatest(y0, b) GROUP BY 1), j AS (SELECT v.id, (x1 - x0) * (y1 - y0) AS area, coalesce(covered, 0) AS covered FROM v LEFT JOIN o USING (id))
 SELECT count(*) FILTER (covered >= 0.5 * area) AS missed_found, count(*) FILTER (covered < 0.5 * area) AS missed_still_missed, round(sum(covered) / sum(area), 6) AS missed_area_recall FROM j"""
 )
 def q147_missed_recall(spark, sf):
     from ..operators import joins as J
 
-    v, f = derived(table(spark, sf, "part"), AREA), derived(table(spark, sf, "supplier").where("s_suppkey < 100"), PARCEL)
+    v, f = derived(table(spark, sf, "part"), AREA), derived(table(spark, sf, "supplier"), PARCEL)
     met = J.overlaps(v, f, [], 60.0, 60.0).select(F.col("a").alias("id"), "b").join(v, "id").join(f.select(F.col("id").alias("b"), *[F.col(c).alias(f"f{c}") for c in ("x0", "y0", "x1", "y1")]), "b")
     cut = met.select("id", F.greatest("x0", "fx0").alias("x0"), F.greatest("y0", "fy0").alias("y0"), F.least("x1", "fx1").alias("x1"), F.least("y1", "fy1").alias("y1"))
     j = v.join(A.box_union_area(cut, "id", 60.0, 60.0).withColumnRenamed("area", "covered"), "id", "left").na.fill(0.0, ["covered"]).withColumn("area", (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")))
