@@ -349,3 +349,18 @@ def test_moved_edges_and_shortest_line():
     p, q = g.shortest_line(a, b)
     assert np.hypot(*(p - q)) == pytest.approx(3) and p.tolist() == [2, 1] and q.tolist() == [5, 1]
     assert np.hypot(*np.subtract(*g.shortest_line(a, a + 1))) == 0
+
+
+def test_solved_by_measured_legs():
+    """Legs that the estimate overrates come back once they are measured; what is really outside goes, a run at a time."""
+    rng = np.random.default_rng(7)
+    xy = rng.random((9, 2)) * 100
+    cost = np.hypot(*(xy[:, None] - xy[None]).transpose(2, 0, 1))
+    true = np.zeros((9, 9))
+    true[[7, 8], :] = true[:, [7, 8]] = 40.0
+    estimate = np.where(true > 0, true, 0.4)  # far too careful everywhere
+    asked = []
+    keep, gone, metres, fits = graph.solved(cost, estimate, lambda a, b: asked.append((a, b)) or true[a, b])
+    assert fits and metres == 0 and set(gone) >= {7, 8} and len(set(asked)) == len(asked) and set(keep) | set(gone) == set(range(9))
+    keep, gone, metres, fits = graph.solved(cost, true / 2, lambda a, b: true[a, b])
+    assert fits and sorted(gone) == [7, 8] and sorted(keep) == list(range(7))
