@@ -143,26 +143,34 @@ def q30_scorecard(spark, sf):
     return j.select("source", F.round(f, 6).alias("f1"), F.round(0.6 * F.col("m") / F.col("r") + 0.4 * f, 6).alias("canopy"), F.round(S.counts_score(F.col("p"), F.col("r"), 0.8), 6).alias("counts"))
 
 
+#: Orders as annotated shapes: the label by the key, and now and then a wrong shape, attribute, domain, id, image or place.
+SHAPE = {
+    "k": "o_orderkey", "tile": "concat('m', CAST(o_custkey % 6 AS STRING))", "label": "CASE o_orderkey % 5 WHEN 0 THEN 'row' WHEN 1 THEN 'vineyard' WHEN 2 THEN 'interrow_area' WHEN 3 THEN 'waste' ELSE 'thing' END",
+    "tag": "CASE WHEN o_orderkey % 13 = 0 THEN 'mask' WHEN o_orderkey % 5 = 0 THEN 'polyline' WHEN o_orderkey % 5 = 3 THEN 'box' ELSE 'polygon' END",
+    "value": "CASE WHEN o_custkey % 11 = 0 THEN 'odd' WHEN o_orderkey % 5 = 0 THEN 'regular' ELSE 'mixed' END", "row_id": "CASE WHEN o_custkey % 17 = 0 THEN '' ELSE 'r' END", "short": "o_orderkey % 7 = 0", "x": "CAST(o_custkey % 1000 AS DOUBLE) / 18",
+}
+
+
 @query(
-    """SELECT rule, count(*) AS problems, min(k) AS first_key FROM (
-SELECT 'no customer' AS rule, o_orderkey AS k FROM orders LEFT JOIN customer ON o_custkey = c_custkey WHERE c_custkey IS NULL UNION ALL SELECT 'no order', l_orderkey FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey WHERE o_orderkey IS NULL
-UNION ALL SELECT 'status domain', o_orderkey FROM orders WHERE o_orderstatus NOT IN ('F', 'O') UNION ALL SELECT 'duplicate line', l_orderkey FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1 UNION ALL SELECT 'discount range', l_orderkey FROM lineitem WHERE l_discount > 0.09) GROUP BY rule"""
+    f"""WITH s AS (SELECT {", ".join(f"{e} AS {n}" for n, e in SHAPE.items())} FROM orders), r AS (SELECT k, tile, label, unnest([CASE WHEN tile = 'm5' THEN 'unknown image' END, CASE WHEN label = 'thing' THEN 'unknown label' END, CASE WHEN tag = 'mask' AND label <> 'thing' THEN 'wrong shape' END, CASE WHEN short AND label <> 'thing' THEN 'attribute set' END,
+CASE WHEN label = 'row' AND value = 'odd' AND NOT short THEN 'domain of row_structure' END, CASE WHEN label = 'interrow_area' AND value = 'odd' AND NOT short THEN 'domain of interrow_cover' END, CASE WHEN label = 'row' AND row_id = '' THEN 'empty id' END, CASE WHEN tile <> 'm5' AND x > 51.2 + 1e-6 THEN 'off the image' END]) AS rule FROM s)
+SELECT rule, count(*) AS problems, count(DISTINCT tile) AS tiles FROM r WHERE rule IS NOT NULL GROUP BY 1"""
 )
 def q36_validator_report(spark, sf):
-    o, l = table(spark, sf, "orders"), table(spark, sf, "lineitem")
-    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"))
-    bad = lambda name, df, k: df.select(F.lit(name).alias("rule"), F.col(k).alias("k"))
-    found = [
-        bad("no customer", o.join(c, "o_custkey", "left_anti"), "o_orderkey"),
-        bad("no order", l.join(o.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_anti"), "l_orderkey"),
-        bad("status domain", o.where(~F.col("o_orderstatus").isin("F", "O")), "o_orderkey"),
-        bad("duplicate line", l.groupBy("l_orderkey", "l_linenumber").count().where("count > 1"), "l_orderkey"),
-        bad("discount range", l.where("l_discount > 0.09"), "l_orderkey"),
-    ]
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out.groupBy("rule").agg(F.count("*").alias("problems"), F.min("k").alias("first_key"))
+    from ..sources.features import ATTRIBUTES, annotation_problems
+
+    s = table(spark, sf, "orders").select(*[F.expr(e).alias(n) for n, e in SHAPE.items()])
+    closed = {"row": "row_structure", "interrow_area": "interrow_cover"}
+    value = lambda name, label: F.col("value") if name == closed.get(label) else F.col("row_id") if name == "row_id" else F.lit("v")
+    props = F.lit(None).cast("map<string,string>")
+    for label, names in ATTRIBUTES.items():
+        kept = names[:-1]  # a short set lacks the last one
+        made = lambda ns, label=label: F.create_map(*[x for n in ns for x in (F.lit(n), value(n, label))]) if ns else F.expr("cast(map() as map<string,string>)")
+        props = F.when(F.col("label") == label, F.when(F.col("short"), made(kept)).otherwise(made(names))).otherwise(props)
+    point = F.array(F.struct(F.col("x").alias("x"), F.lit(-1.0).alias("y")))
+    shapes = s.select("tile", "tag", "label", point.alias("points"), F.coalesce(props, F.expr("cast(map() as map<string,string>)")).alias("properties"))
+    known = table(spark, sf, "nation").where("n_nationkey < 5").select(F.concat(F.lit("m"), F.col("n_nationkey").cast("string")).alias("name"), F.lit(0.0).alias("left"), F.lit(0.0).alias("top"))
+    return annotation_problems(shapes, known).groupBy("rule").agg(F.count("*").alias("problems"), F.count_distinct("tile").alias("tiles"))
 
 
 @query(
@@ -214,10 +222,8 @@ def q41_overlay_anti(spark, sf):
 SELECT field, open, fixed, dismissed, round(greatest(0, rows_m - walk_m), 2) AS saved_m, round(greatest(0, rows_m - walk_m) / 1.1 / 60, 3) AS minutes, round(greatest(0, rows_m - walk_m) / 1.1 / 3600 * 12, 2) AS money FROM s"""
 )
 def q42_savings(spark, sf):
-    st = F.col("o_orderstatus")
-    s = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("field")).agg(F.count_if(st == "O").alias("open"), F.count_if(st == "F").alias("fixed"), F.count_if(st == "P").alias("dismissed"), F.sum("o_totalprice").alias("r"), F.coalesce(F.sum(F.when(st != "O", F.col("o_totalprice"))), F.lit(0.0)).alias("w"))
-    saved = F.greatest(F.lit(0.0), F.col("r") - F.col("w"))
-    return s.select("field", "open", "fixed", "dismissed", F.round(saved, 2).alias("saved_m"), F.round(saved / 1.1 / 60, 3).alias("minutes"), F.round(saved / 1.1 / 3600 * 12, 2).alias("money"))
+    out = S.savings(table(spark, sf, "orders"), "o_custkey", "o_orderstatus", "o_totalprice")
+    return out.select("field", "open", "fixed", "dismissed", F.round("saved_m", 2).alias("saved_m"), F.round("minutes", 3).alias("minutes"), F.round("money", 2).alias("money"))
 
 
 @query(
