@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import clip_segment, segment_distance
+from ..scratch import Scratch
 from .sequences import runs
 
 
@@ -24,6 +25,7 @@ def shared_fit(df: DataFrame, pattern: str, row: str, u: str, v: str, w: str, li
     """
     d = df.select(F.col(pattern).alias("p"), F.col(row).alias("r"), F.col(u).cast("double").alias("u"), F.col(v).cast("double").alias("v"), F.col(w).cast("double").alias("w"))
     mean = lambda c: F.sum(F.col("w") * F.col(c)) / F.sum("w")
+    scratch = Scratch(df.sparkSession, "fit")
     fit = d.groupBy("p", "r").agg(F.lit(0.0).alias("slope"), mean("v").alias("offset"))
     for limit in limits:
         fit = fit.drop("n")
@@ -35,8 +37,9 @@ def shared_fit(df: DataFrame, pattern: str, row: str, u: str, v: str, w: str, li
         slope = rows.groupBy("p").agg(F.when(F.sum("suu") > 1e-9, F.sum("suv") / F.sum("suu")).otherwise(0.0).alias("new"))
         fit = fit.join(rows.select("p", "r", "n", "mu", "mv"), ["p", "r"], "left").join(slope, "p", "left")
         offset = F.when(F.col("n").isNotNull(), F.col("mv") - F.col("new") * F.col("mu")).otherwise(F.col("offset"))
-        fit = fit.select("p", "r", F.coalesce("new", "slope").alias("slope"), offset.alias("offset"), F.coalesce("n", F.lit(0)).alias("n"))
-    return fit.withColumnsRenamed({"p": pattern, "r": row})
+        # a row for each row of vines; at rest, since a round reads the one before several times
+        fit = scratch.write(fit.select("p", "r", F.coalesce("new", "slope").alias("slope"), offset.alias("offset"), F.coalesce("n", F.lit(0)).alias("n")), "round")
+    return scratch.settle(fit.withColumnsRenamed({"p": pattern, "r": row}))
 
 
 def along_walk(walk: DataFrame, targets: DataFrame, reach: float) -> DataFrame:
