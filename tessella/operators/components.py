@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from ..scratch import Scratch
 
 HOT_SHARE = 1000
-#: Edges that a task contracts at a time.
+#: Edges that a task contracts at a time, and edges that a task is given where few are left.
 CHUNK = 1 << 20
+LOT = 1 << 18
 
 
 def hot_rows(rows: int) -> int:
@@ -87,17 +88,26 @@ def _settled(stars: DataFrame) -> bool:
 def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:
     """Connected components of (a, b) edges, ids of type long: rows (node, root), root the smallest id.
 
-    Tasks contract their own edges, a bounded number at a time; what is left alternates large-star and small-star
+    Tasks contract their own edges, a bounded number at a time, and again in fewer tasks of a bounded number of edges
+    each; what is left alternates large-star and small-star
     contraction, each a pre-aggregated minimum, and every round is written to the shared folder and the one before
     it deleted. The number of rounds grows with the logarithm of the longest path; the number of edges never grows.
     Nodes without an edge to another node have no row; null ends make no edge.
     """
     contracted = lambda e: e.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).mapInArrow(_contract, "a long, b long")
     ordered = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b")
+    stars = lambda e: e.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(e.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
     now = scratch.write(contracted(ordered.distinct()), "edges")
     for _ in range(rounds):
         if _settled(now):
-            return now.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(now.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
+            return stars(now)
+        # what fits few tasks is contracted there once more; what fits one is done
+        n = now.count()
+        fewer = scratch.write(contracted(now.coalesce(-(-n // LOT))), "edges")
+        scratch.drop(now)
+        now = fewer
+        if n <= LOT:
+            return stars(now)
         n = now.count()
         mirrored = now.select(F.col("b").alias("u"), F.col("a").alias("v")).unionByName(now.select(F.col("a").alias("u"), F.col("b").alias("v")))
         # large star: every larger neighbour of u points to the smallest id around u

@@ -87,42 +87,43 @@ def max_overlap(left: DataFrame, pairs: DataFrame, share: float) -> DataFrame:
     return left.select(F.col("id").alias("a")).join(best, "a", "left").select("a", F.when(ok, F.col("m.b")).alias("b"), F.when(ok, F.col("m.overlap")).alias("overlap"))
 
 
-def _grouped(rows: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """rows (with ``node``) and the root of each one's component, itself where it has no edge."""
-    roots = connected(edges, scratch)
-    return rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+def _lots(rows: DataFrame, edges: DataFrame, scratch: Scratch, mean: int = 8192) -> tuple[DataFrame, DataFrame]:
+    """rows (with ``node``) of components of two or more, with their ``root`` and a ``lot`` of whole components, about ``mean`` rows; and the rows that stand alone."""
+    roots = scratch.write(connected(edges, scratch), "roots")
+    lots = max(1, roots.count() // mean)
+    met = rows.join(roots, "node").withColumn("lot", F.pmod(F.xxhash64("root"), F.lit(lots)))
+    return met, rows.join(roots.select("node"), "node", "left_anti")
 
 
 def greedy_match(scored: DataFrame) -> DataFrame:
     """One-to-one matching of (part, i, j, score): by score, i, j descending, both sides unused; each part on its own.
 
     Pairs are matched inside the connected components of the pairs that share a side, since others can't compete; a
-    component is a neighbourhood of objects that overlap each other. A hash names the nodes: equal hashes would only
-    join two components.
+    component is a neighbourhood of objects that overlap each other, and a task takes many. A hash names the nodes: equal
+    hashes would only join two components.
     """
     scratch = Scratch(scored.sparkSession, "matching")
     s = scratch.write(scored.select("part", "i", "j", F.col("score").cast("double").alias("score"), F.xxhash64("part", F.lit(0), "i").alias("node"), F.xxhash64("part", F.lit(1), "j").alias("other")), "pairs")
 
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["score", "i", "j"], ascending=False)
-        left, right, keep = set(), set(), []
-        for n, (i, j) in enumerate(zip(pdf["i"], pdf["j"], strict=True)):
-            if i not in left and j not in right:
-                left.add(i)
-                right.add(j)
+        used, keep = set(), []
+        for n, (a, b) in enumerate(zip(pdf["node"], pdf["other"], strict=True)):
+            if a not in used and b not in used:
+                used.update((a, b))
                 keep.append(n)
         return pdf.iloc[keep][["part", "i", "j", "score"]]
 
     kinds = dict(scored.dtypes)
-    found = _grouped(s, s.select(F.col("node").alias("a"), F.col("other").alias("b")), scratch)
-    return scratch.settle(found.groupBy("part", "root").applyInPandas(lambda pdf: match(pdf), f"part {kinds['part']}, i {kinds['i']}, j {kinds['j']}, score double"))
+    found, _ = _lots(s, s.select(F.col("node").alias("a"), F.col("other").alias("b")), scratch)
+    return scratch.settle(found.groupBy("lot").applyInPandas(match, f"part {kinds['part']}, i {kinds['i']}, j {kinds['j']}, score double"))
 
 
 def suppressed(points: DataFrame, reach: float) -> DataFrame:
     """Greedy suppression, best score first (ties: the smaller id): points (part, id, x, y, score) farther than ``reach`` from every better one that is kept.
 
-    Points of one part within reach of each other are found by cells and grouped by connected neighbourhoods; each is
-    decided on its own. Points without coordinates meet nothing.
+    Points of one part within reach of each other are found by cells and grouped by connected neighbourhoods, each of
+    which is decided on its own, many in a task. Points that meet none stay, those without coordinates among them.
     """
     scratch = Scratch(points.sparkSession, "suppression")
     p = scratch.write(points.withColumn("node", F.xxhash64("part", "id")), "points")
@@ -131,22 +132,23 @@ def suppressed(points: DataFrame, reach: float) -> DataFrame:
     around = F.explode(F.array(*[F.struct((cell("x") + i).alias("i"), (cell("y") + j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("c")
     there = p.select("part", F.col("node").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), around).select("part", "b", "bx", "by", "c.i", "c.j")
     near = here.join(there, ["part", "i", "j"]).where((F.col("a") < F.col("b")) & (F.pow(F.col("ax") - F.col("bx"), 2) + F.pow(F.col("ay") - F.col("by"), 2) <= reach * reach))
-    found = _grouped(p, near.select("a", "b"), scratch)
+    found, alone = _lots(p, near.select("a", "b"), scratch)
 
     def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "id"], ascending=[False, True])
-        if len(pdf) == 1:
-            return pdf[names]
-        x, y = pdf["x"].to_numpy(), pdf["y"].to_numpy()
-        free, rows = np.ones(len(pdf), bool), []
-        for n in range(len(pdf)):
-            if free[n]:
-                rows.append(n)
-                free &= (x - x[n]) ** 2 + (y - y[n]) ** 2 > reach * reach
+        pdf = pdf.sort_values(["root", "score", "id"], ascending=[True, False, True])
+        ends = np.flatnonzero(np.diff(pdf["root"].to_numpy(), append=np.int64(0)) != 0) + 1
+        x, y, rows, lo = pdf["x"].to_numpy(), pdf["y"].to_numpy(), [], 0
+        for hi in [*ends[ends < len(pdf)], len(pdf)]:
+            free = np.ones(hi - lo, bool)
+            for n in range(lo, hi):
+                if free[n - lo]:
+                    rows.append(n)
+                    free &= (x[lo:hi] - x[n]) ** 2 + (y[lo:hi] - y[n]) ** 2 > reach * reach
+            lo = hi
         return pdf.iloc[rows][names]
 
     names = points.columns
-    return scratch.settle(found.groupBy("part", "root").applyInPandas(keep, points.schema))
+    return scratch.settle(found.groupBy("lot").applyInPandas(keep, points.schema).unionByName(alone.select(*names)))
 
 
 def merged_lines(segments: DataFrame) -> DataFrame:
