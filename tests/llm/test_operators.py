@@ -94,6 +94,41 @@ def test_quality_verdict(spark):
     assert all(out[i] for i, _, _ in plain) and not any(out[i] for i, _, _ in noisy)
 
 
+def test_quality_references(spark, docs):
+    """Common words and classes of every language, with the prior, from plain counts; long words and rare languages included."""
+    p = quality.QualityParams(prior_words=50, prior_chars=80, common_share=0.02)
+    long = [(900 + i, "extraordinarily long " * 40 + "Ünïcödé", "long", "a", 9) for i in range(2)] + [(950, "one", "rare", "a", 3)]
+    every = docs.select("doc_id", "text", "lang").unionByName(spark.createDataFrame([r[:3] for r in long], "doc_id long, text string, lang string"))
+    scratch = Scratch(spark, "test")
+    got = {r["key"]: r for r in quality.references(scratch.write(quality.word_counts(every)), scratch, p).collect()}
+    counts, chars = {}, {}
+    for _, text, lang, _, _ in rows() + long:
+        for w in WORD.findall(text or ""):
+            key = "\x00" if lang is None else lang
+            counts.setdefault(key, Counter())[w.lower()] += 1
+            k = [sum(c in s for c in w) for s in ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", ".,;:'\"()-", "!?@[]\\^_`{}~+=/", quality.SYMBOLS)]
+            k.append(sum(ord(c) >= 128 for c in w))
+            chars[key] = chars.get(key, 0) + np.array([len(w) - sum(k), *k])
+    pool, total = sum(counts.values(), Counter()), sum(chars.values())
+    assert set(got) == set(counts) and {"long", "rare"} <= set(got)
+    for key, c in counts.items():
+        n, m = sum(c.values()), sum(pool.values())
+        want = {w: (c[w] + 50 * pool[w] / m) / (n + 50) for w in pool}
+        want = {w: x for w, x in want.items() if x >= 0.02}
+        assert {x["word"]: round(x["share"], 9) for x in got[key]["common"]} == {w: round(x, 9) for w, x in want.items()}
+        assert np.allclose(got[key]["ref_classes"], (chars[key] + 80 * total / total.sum()) / (chars[key].sum() + 80))
+    assert "extraordinarily" in {x["word"] for x in got["long"]["common"]}
+
+
+def test_quality_of_a_rare_language(spark):
+    """A language of one text is held against the others' words too: prose passes, noise doesn't."""
+    rng = random.Random(2)
+    prose = lambda n: " ".join(rng.choice("the of and to in stream valley copper lantern meadow".split()) for _ in range(n))
+    rows_ = [(i, prose(120), "en") for i in range(60)] + [(100, prose(70), "xx"), (101, " ".join(rng.choice(["a%b", "c*d", "e|f", "g$h"]) + str(i) for i in range(70)), "yy")]
+    out = {r["doc_id"]: r["kept"] for r in quality.judged(spark.createDataFrame(rows_, "doc_id long, text string, lang string")).collect()}
+    assert all(out[i] for i in range(60)) and out[100] and not out[101]
+
+
 def test_quality_shuffled_reference_agrees(docs):
     wide, narrow = (collected(quality.judged(docs, broadcast_bytes=b).drop("row")) for b in (1 << 25, 0))
     assert wide == narrow
@@ -761,6 +796,8 @@ def test_components(spark, monkeypatch, chunk):
     real = C._contract
     monkeypatch.setattr(C, "_contract", lambda batches: (out for b in batches for k in range(0, b.num_rows, chunk) for out in real(iter([b.slice(k, chunk)]))))
     monkeypatch.setattr(C, "hot_rows", lambda rows: 5)
+    if chunk == 3:
+        monkeypatch.setattr(C, "LOT", 1)
     rng = random.Random(8)
     edges = [(i, i + 1) for i in range(0, 50)] + [(100, 100 + i) for i in range(30)] + [(rng.randrange(200, 400), rng.randrange(200, 400)) for _ in range(90)] + [(7, 7), (None, 3)]
     df = spark.createDataFrame(edges, "a long, b long").repartition(5)
