@@ -15,7 +15,7 @@ results. Payloads never move: the result refers to a record.
 
 What no response can answer (null URLs and times) leaves at once. Responses and questions are reduced to one row for
 each URL and time before they meet, so that repeats of one moment are no group. A URL of more than ``hot_rows`` such
-rows is cut into slices of about as many at quantiles of its times; each slice's last response is handed on to the next
+rows (if not given: over a thousandth of all, and at most 100,000) is cut into slices at quantiles of its times; each slice's last response is handed on to the next
 through one row a slice. Answers go back to the revisits by URL and time, hot ones by broadcast.
 """
 
@@ -48,7 +48,7 @@ def hot_moment(answers: DataFrame) -> int:
     return hot_rows_of(answers.agg(F.sum("n")).first()[0] or 0)
 
 
-def resolve(records: DataFrame, hot_rows: int = 100_000, slices: int = 1000, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def resolve(records: DataFrame, hot_rows: int | None = None, slices: int = 1000, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """A row for each revisit: record_id, canonical, refers_to, state, headers.
 
     ``records``: record_id, url, ts (long), kind (``response`` or ``revisit``), etag, last_modified, digest,
@@ -64,7 +64,8 @@ def resolve(records: DataFrame, hot_rows: int = 100_000, slices: int = 1000, bro
     full = r.where(dated & (F.col("kind") == "response")).groupBy(moment).agg(top).select("moment", F.lit(False).alias("asked"), F.lit(0).cast("long").alias("n"), "top")
     asked = r.where(dated & (F.col("kind") == "revisit")).groupBy(moment).agg(F.count("*").alias("n"))
     line = scratch.write(full.unionByName(asked.withColumn("asked", F.lit(True)), allowMissingColumns=True).select("moment.canonical", "moment.ts", "asked", "n", "top"), "moments")
-    hot = scratch.small(line.groupBy("canonical").agg(F.count("*").alias("rows")).where(F.col("rows") > hot_rows), broadcast_bytes)
+    limit = hot_rows or min(100_000, hot_rows_of(line.count()))
+    hot = scratch.small(line.groupBy("canonical").agg(F.count("*").alias("rows")).where(F.col("rows") > limit), broadcast_bytes)
     shares = F.array(*[F.lit((k + 1) / slices) for k in range(slices - 1)])
     cuts = line.join(hot, "canonical").groupBy("canonical").agg(F.percentile_approx("ts", shares, 10 * slices).alias("cuts"))
     cuts = scratch.small(cuts, broadcast_bytes)
