@@ -137,7 +137,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return d.where("word <> ''").groupBy("key", "word").agg(F.count("*").alias("n"))
 
 
-def references(counted: DataFrame, params: QualityParams = QualityParams()) -> DataFrame:
+def references(counted: DataFrame, scratch: Scratch, params: QualityParams = QualityParams()) -> DataFrame:
     """A row for each language (``key``) that has words: shares of character classes, and common words with their shares.
 
     ``counted``: as ``word_counts`` makes it, at rest.
@@ -145,14 +145,19 @@ def references(counted: DataFrame, params: QualityParams = QualityParams()) -> D
     kinds = [f"k{i}" for i in range(len(CLASSES) + 1)]
     per_word = counted.withColumn("r", rare(F.col("word"))).select("key", "n", F.length("word").alias("word_chars"), F.length("word").alias("n_chars"), *class_columns(F.col("r")))
     totals = per_word.groupBy("key").agg(F.sum("n").alias("words"), *[F.sum(c * F.col("n")).alias(k) for k, c in zip(kinds, class_counts(), strict=True)])  # a row for each language
+    totals = scratch.small(totals)
     low = counted.groupBy("key", F.lower("word").alias("word")).agg(F.sum("n").alias("n"))
-    pooled = low.groupBy("word").agg(F.sum("n").alias("n_all"))
+    frequent = low.join(totals.select("key", "words"), "key").where(F.col("n") >= params.common_share * F.col("words"))
+    # a word common in all languages together is so in one of them, so these are all that can be common, prior included
+    wanted = scratch.small(frequent.select("word").distinct())  # at most 1 / share words for each language
+    some = scratch.write(low.join(wanted, "word", "left_semi"), "frequent")
     whole = totals.agg(F.sum("words").alias("all_words"), *[F.sum(k).alias(f"all_{k}") for k in kinds])  # one row
-    often = pooled.crossJoin(F.broadcast(whole.select("all_words"))).where(F.col("n_all") >= params.common_share * F.col("all_words")).agg(F.collect_set("word").alias("often"))  # at most 1 / share words
+    pooled = some.groupBy("word").agg(F.sum("n").alias("n_all"))
+    often = pooled.crossJoin(F.broadcast(whole.select("all_words"))).where(F.col("n_all") >= params.common_share * F.col("all_words")).agg(F.collect_set("word").alias("often"))  # one row
     langs = totals.crossJoin(F.broadcast(whole)).crossJoin(F.broadcast(often))  # one row each on the right
-    own = low.join(F.broadcast(totals.select("key", "words")), "key").where(F.col("n") >= params.common_share * F.col("words")).select("key", "word")
-    asked = own.unionByName(langs.select("key", F.explode("often").alias("word"))).distinct()  # at most 2 / share words for each language
-    found = asked.join(low, ["key", "word"], "left").join(pooled, "word").join(F.broadcast(langs.select("key", "words", "all_words")), "key")
+    own = some.join(totals.select("key", "words"), "key").where(F.col("n") >= params.common_share * F.col("words")).select("key", "word")
+    asked = own.unionByName(langs.select("key", F.explode("often").alias("word"))).distinct()
+    found = asked.join(some, ["key", "word"], "left").join(pooled, "word").join(langs.select("key", "words", "all_words"), "key")
     share = (F.coalesce("n", F.lit(0)) + params.prior_words * (F.col("n_all") / F.col("all_words"))) / (F.col("words") + params.prior_words)
     common = found.withColumn("share", share).where(F.col("share") >= params.common_share).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("word", "share"))).alias("common"))
     every, mine = sum(F.col(f"all_{k}") for k in kinds), sum(F.col(k) for k in kinds)
@@ -167,7 +172,7 @@ def judged(docs: DataFrame, params: QualityParams = QualityParams(), broadcast_b
     """
     scratch = Scratch(docs.sparkSession, "quality")
     counted = scratch.write(word_counts(docs), "words")
-    ref = scratch.write(references(counted, params).coalesce(1), "languages")  # a row for each language
+    ref = scratch.write(references(counted, scratch, params).coalesce(1), "languages")  # a row for each language
     scratch.drop(counted)
     if scratch.bytes(ref) * 8 <= broadcast_bytes:
         ref = F.broadcast(ref)
