@@ -170,9 +170,9 @@ def row_structure(samples: DataFrame, step_m: float = 0.05, hole_m: float = 5.0,
 
 
 def disrupted_pieces(pieces: DataFrame, hole_m: float = 5.0) -> DataFrame:
-    """All pieces of a row on a tile are disrupted when two neighbours lie 5 m apart or more. ``pieces``: tile, row_id, start, end, row_structure."""
+    """All pieces of a row on a tile are disrupted when two neighbours, by start and then end, lie 5 m apart or more. ``pieces``: tile, row_id, start, end, row_structure."""
     w = W.partitionBy("tile", "row_id")
-    gap = F.lead("start").over(w.orderBy("start")) - F.col("end")
+    gap = F.lead("start").over(w.orderBy("start", "end")) - F.col("end")
     return pieces.withColumn("_gap", gap).withColumn("row_structure", F.when(F.max("_gap").over(w) >= hole_m, "disrupted").otherwise(F.col("row_structure"))).drop("_gap")
 
 

@@ -54,6 +54,14 @@ def test_pieces(spark):
     assert got == {("r", 0.0): "disrupted", ("r", 9.5): "disrupted", ("q", 0.0): "regular", ("q", 8.0): "regular"}
 
 
+def test_pieces_of_one_start(spark):
+    """Of pieces that start together the longest is the next one's neighbour, in whatever order they come."""
+    same = [(0.0, 10.0), (0.0, 2.0), (12.0, 13.0)]
+    rows = [("t", name, a, b, "regular") for name, ps in (("down", same), ("up", same[1::-1] + same[2:])) for a, b in ps]
+    p = spark.createDataFrame(rows, "tile string, row_id string, start double, end double, row_structure string").coalesce(1)
+    assert {(r["row_id"], r["row_structure"]) for r in I.disrupted_pieces(p).collect()} == {("down", "regular"), ("up", "regular")}
+
+
 def test_outer_and_stray_rows(spark):
     rows = spark.createDataFrame([("p", f"r{i}", float(i), c) for i, c in enumerate((0.05, 0.1, 0.6, 0.02, 0.7, 0.6, 0.6, 0.6, 0.1))], "pattern_id string, row_id string, v double, cover double")
     assert {r["row_id"] for r in I.bare_outer_rows(rows).collect()} == {"r0", "r1", "r8"}  # a bare row between good ones stays
