@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -127,24 +130,32 @@ def scores(points: DataFrame, records: DataFrame, fields: DataFrame) -> DataFram
 def stray_rows(features: DataFrame, share: float = 0.7, span: float = 1.4) -> DataFrame:
     """(pattern_id, row_id) kept by a scan of each pattern's rows in the order of their ids: a middle row goes when it is closer than 0.7 steps to the last row kept and to the next one, and these two distances add up to 0.7 to 1.4 steps.
 
-    ``features``: pattern_id, row_id, v, step (of the pattern). An ordered fold over positions, since the left neighbour
-    is the last row kept; one pattern's rows are few.
+    ``features``: pattern_id, row_id, v, step (of the pattern). Rows pass in order, a batch at a time, and only the last
+    row kept is carried, since it is the left neighbour; a pattern may have any number of rows.
     """
-    item = F.struct("row_id", "v", "step")
-    grouped = features.groupBy("pattern_id").agg(F.array_sort(F.collect_list(item)).alias("s"))
-    apart = lambda i, j: F.abs(F.get("s", i)["v"] - F.get("s", j)["v"])
-
-    def scan(state: Column, i: Column) -> Column:
-        step = F.get("s", i)["step"]
-        left, right = apart(i, state["last"]), apart(i + 1, i)
-        stray = (F.greatest(left, right) < share * step) & (left + right).between(share * step, span * step)
-        gone = F.coalesce(stray & (i > 0) & (i < F.size("s") - 1), F.lit(False))
-        return F.struct(F.when(gone, state["last"]).otherwise(i).alias("last"), F.when(gone, F.concat(state["gone"], F.array(i))).otherwise(state["gone"]).alias("gone"))
-
-    start = F.struct(F.lit(0).alias("last"), F.expr("cast(array() as array<int>)").alias("gone"))
-    gone = F.aggregate(F.sequence(F.lit(0), F.size("s") - 1), start, scan, lambda a: a["gone"])
-    kept = grouped.select("pattern_id", F.posexplode("s").alias("i", "r"), gone.alias("gone")).where(~F.array_contains("gone", F.col("i")))
-    return kept.select("pattern_id", "r.row_id", "r.v")
+    w = W.partitionBy("pattern_id").orderBy("row_id", "v", "step")
+    step, v = F.col("step").cast("double"), F.col("v").cast("double")
+    right = F.abs(F.lead(v).over(w) - v)  # null on the last row, which stays
+    ordered = features.select("pattern_id", "row_id", "v", v.alias("_v"), step.alias("_step"), right.alias("_right"), (F.row_number().over(w) == 1).alias("_first"))
+    names = ["pattern_id", "row_id", "v"]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carried = np.nan
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            at, size, after = (batch[c].to_numpy(zero_copy_only=False).astype(float) for c in ("_v", "_step", "_right"))
+            kept = np.ones(len(at), bool)
+            for i in np.flatnonzero((after < share * size) & ~batch["_first"].to_numpy(zero_copy_only=False)):
+                if i and kept[i - 1]:
+                    carried = at[i - 1]
+                before = abs(at[i] - carried)
+                kept[i] = not (before < share * size[i] and share * size[i] <= before + after[i] <= span * size[i])
+            if kept[-1]:
+                carried = at[-1]
+            yield batch.select(names).filter(pa.array(kept))
+
+    return ordered.mapInArrow(scan, features.select(names).schema)
 
 
 def bare_outer_rows(rows: DataFrame, share: float = 0.3, least: float = 0.1, most: int = 2) -> DataFrame:

@@ -3,6 +3,7 @@
 import json
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,6 +72,26 @@ def test_outer_and_stray_rows(spark):
     assert sorted((r["pattern_id"], r["row_id"]) for r in I.stray_rows(back).collect()) == [("p", "r0"), ("p", "r1"), ("p", "r3"), ("p", "r4"), ("q", "r0"), ("q", "r1")]
 
 
+def test_stray_rows_of_long_patterns(spark):
+    """Patterns of more rows than a batch or a list takes, against the plain scan; rows without a place stay."""
+    rng = np.random.default_rng(5)
+    v = np.cumsum(rng.choice([0.3, 0.8, 1.1, 1.3, 2.5], 60_000))
+    rows = [(f"p{i // 50_000}", f"r{i:06}", None if i % 997 == 5 else float(x), 2.5) for i, x in enumerate(v)]
+    want, last = [], None
+    for i, (pattern, row, x, step) in enumerate(rows):
+        after = rows[i + 1][2] if i + 1 < len(rows) and rows[i + 1][0] == pattern else None
+        if i and rows[i - 1][0] == pattern and None not in (x, last, after):
+            a, b = abs(x - last), abs(after - x)
+            if max(a, b) < 0.7 * step and 0.7 * step <= a + b <= 1.4 * step:
+                continue
+        want.append((pattern, row))
+        last = x
+    f = spark.createDataFrame(rows, "pattern_id string, row_id string, v double, step double").repartition(5)
+    assert 40_000 < len(want) < 59_000
+    assert sorted((r["pattern_id"], r["row_id"]) for r in I.stray_rows(f).collect()) == want
+    assert "collect_list" not in I.stray_rows(f)._jdf.queryExecution().toString()
+
+
 def test_scores(spark):
     points = spark.createDataFrame([("w1", "A", "waste", 0.0), ("g1", "A", "gap", 6.0), ("g2", "A", "gap", 6.0), ("w2", "B", "waste", 0.0)], "id string, vineyard_id string, kind string, gap_m double")
     log = spark.createDataFrame([(1, "w1", "farmer", "done"), (2, "w1", "inspector", "open"), (3, "g1", "farmer", "planted"), (4, "w1", "farmer", "done")], "seq long, id string, role string, status string")
