@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..scratch import Scratch
 
 
 def upsert(log: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -149,13 +150,37 @@ def snapped(points: DataFrame, nodes: DataFrame, reach: float = 25.0) -> DataFra
 
 
 def candidates(points: DataFrame, nodes: DataFrame, reach: float, k: int) -> DataFrame:
-    """Up to ``k`` nodes of each point within ``reach``, the nearest of each local component: id, node, rank. ``nodes``: node, x, y, part."""
-    cell = lambda c: F.floor(F.col(c) / reach)
-    around = F.explode(F.array(*[F.struct((cell("x") + i).alias("i"), (cell("y") + j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("cell")
-    n = nodes.select("node", "part", F.col("x").alias("nx"), F.col("y").alias("ny"), F.struct(cell("x").alias("i"), cell("y").alias("j")).alias("cell"))
-    d = F.sqrt(F.pow(F.col("x") - F.col("nx"), 2) + F.pow(F.col("y") - F.col("ny"), 2))
-    per = points.select("id", "x", "y", around).join(n, "cell").where(d <= reach).groupBy("id", "part").agg(F.min(F.struct(d.alias("d"), "node")).alias("m"))
-    return per.withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy("m")).cast("long")).where(F.col("rank") <= k).select("id", F.col("m.node").alias("node"), "rank")
+    """Up to ``k`` nodes of each point within ``reach``, the nearest of each local component: id, node, rank. ``nodes``: node, x, y, part.
+
+    Places are met once. The search starts with the radius in which a crowd has some nodes and widens by three: a
+    place that has k components within a radius has its nearest, and only the others look on.
+    """
+    scratch = Scratch(points.sparkSession, "candidates")
+    n = nodes.groupBy("part", F.col("x").alias("nx"), F.col("y").alias("ny")).agg(F.min("node").alias("node"))
+    n = scratch.write(n, "nodes")
+    left = scratch.write(points.select("x", "y").distinct(), "places")
+    # how many others a node has in its cell, on average over the nodes: crowds count by their nodes, not by their cells
+    small = reach / 16
+    own = n.groupBy(F.floor(F.col("nx") / small), F.floor(F.col("ny") / small)).agg(F.count("*").alias("n"))
+    crowd = own.agg((F.sum(F.col("n") * (F.col("n") - 1)) / F.sum("n")).alias("n")).first()["n"] or 0.0
+    radii, r = [], small * math.sqrt(2 * k / (math.pi * max(crowd, 1e-6)))
+    while r < reach / 2:
+        radii.append(r)
+        r *= 3
+    found = None
+    for r in [*radii, reach]:
+        cell = lambda c, r=r: F.floor(F.col(c) / r)
+        around = F.explode(F.array(*[F.struct((cell("x") + i).alias("i"), (cell("y") + j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("cell")
+        d = F.sqrt(F.pow(F.col("x") - F.col("nx"), 2) + F.pow(F.col("y") - F.col("ny"), 2))
+        near = left.select("x", "y", around).join(n.withColumn("cell", F.struct(cell("nx").alias("i"), cell("ny").alias("j"))), "cell")
+        per = near.where(d <= r).groupBy("x", "y", "part").agg(F.min(F.struct(d.alias("d"), "node")).alias("m"))
+        w = W.partitionBy("x", "y")
+        per = per.withColumn("rank", F.row_number().over(w.orderBy("m")).cast("long")).withColumn("parts", F.count("*").over(w))
+        per = scratch.write(per.where((F.col("rank") <= k) & ((F.col("parts") >= k) | F.lit(r == reach))).select("x", "y", F.col("m.node").alias("node"), "rank"), "found")
+        found = per if found is None else found.unionByName(per)
+        if r < reach:
+            left = scratch.write(left.join(per.where("rank = 1"), ["x", "y"], "left_anti"), "left")
+    return scratch.settle(points.select("id", "x", "y").join(found, ["x", "y"]).select("id", "node", "rank"))
 
 
 def answered(requests: DataFrame, known: DataFrame, statuses: tuple[str, ...]) -> DataFrame:

@@ -3,9 +3,11 @@
 import threading
 from contextlib import contextmanager
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tessella.operators import measures as M
+from tessella.operators import scenes as S
 
 
 @contextmanager
@@ -27,3 +29,27 @@ def test_edges(spark):
     with within(spark, 40):
         got = {(r["place"], r["distance"], r["n"]) for r in M.edge_distance(p, e, 12.0).groupBy((k % 4).alias("place"), F.round("distance", 6).alias("distance")).agg(F.count("*").alias("n")).collect()}
     assert got == {(0, 10.0, 25_000), (1, 11.18034, 25_000), (2, None, 25_000), (3, None, 25_000)}
+
+
+def test_candidates(spark):
+    """Two crowds, of nodes at one place and of nodes side by side, and lone nodes far off, against all pairs of what can matter."""
+    rng = np.random.default_rng(3)
+    lone = [(9_000_000 + i, float(x), float(y), f"p{i % 4}") for i, (x, y) in enumerate(rng.uniform(1000, 3000, (400, 2)))]
+    k = F.col("id")
+    one = spark.range(60_000).select(k.alias("node"), F.lit(5.0).alias("x"), F.lit(5.0).alias("y"), F.concat(F.lit("p"), k % 4).alias("part"))
+    many = spark.range(1_000_000, 1_040_000).select(k.alias("node"), (k % 200 / 4).alias("x"), (F.floor(k / 200) % 200 / 4 + 100).alias("y"), F.concat(F.lit("p"), (k * 7919 % 1009 % 4)).alias("part"))
+    nodes = one.unionByName(many).unionByName(spark.createDataFrame(lone, one.schema))
+    at = [(6.0, 5.0)] * 30_000 + [(x / 2 + 0.1, y / 2 + 100.2) for x in range(100) for y in range(100)] + [(float(x), float(y)) for x, y in rng.uniform(1000, 3000, (50, 2))] + [(-900.0, -900.0)]
+    points = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(at)], "id long, x double, y double").cache()
+    with within(spark, 60):
+        out = S.candidates(points, nodes, 120.0, 3).collect()
+    got = {}
+    for r in sorted(out, key=lambda r: (r["id"], r["rank"])):
+        got.setdefault(r["id"], []).append(r["node"])
+    table = nodes.where("node < 4 OR node >= 1000000").toPandas()
+    nx, ny, part, node = (table[c].to_numpy() for c in ("x", "y", "part", "node"))
+    assert all(got[i] == [0, 1, 2] for i in range(0, 30_000, 997))
+    for i in [*range(30_000, 40_000, 397), *range(40_000, 40_051)]:
+        d = np.sqrt((at[i][0] - nx) ** 2 + (at[i][1] - ny) ** 2)
+        best = sorted(min(zip(d[on], node[on], strict=True)) for p in ("p0", "p1", "p2", "p3") if (on := (part == p) & (d <= 120)).any())
+        assert got.get(i, []) == [v for _, v in best[:3]], at[i]
