@@ -41,7 +41,7 @@ def join_unique(df: DataFrame, unique: DataFrame, key: str, hot: DataFrame) -> D
     return df.join(few, key).unionByName(df.join(hot, key, "left_anti").join(unique, key))
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(root, node) of every node that isn't the smallest of its component among these edges."""
     ids, place = np.unique(np.concatenate((a, b)), return_inverse=True)
     x, y = place[: len(a)], place[len(a) :]
@@ -66,7 +66,7 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held, size = [], 0
 
     def out() -> pa.RecordBatch:
-        a, b = _forest(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
+        a, b = forest(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     for batch in batches:

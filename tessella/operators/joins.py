@@ -6,13 +6,17 @@ lies in its neighbourhood. Results that are lists of pairs are as large as the p
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
 from .components import components as connected
+from .components import forest
 
 
 def within_distance(df: DataFrame, key: str, x: str, reach: float, parts: list[str] | None = None) -> DataFrame:
@@ -80,6 +84,72 @@ def touching(boxes: DataFrame, cell: float) -> DataFrame:
     return j.where(low).select(F.col("id").alias("a"), "b")
 
 
+def _swept(x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (a, b) of boxes that hang together wherever boxes share a point, a few for each box: a sweep along x that keeps, for every y at which a side lies, how far the boxes there reach and the last of them."""
+    # boxes that are the same are swept once
+    order = np.lexsort((y1, x1, y0, x0))
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([np.diff(c[order]) != 0 for c in (x0, y0, x1, y1)], axis=0)
+    first = order[new][np.cumsum(new) - 1]
+    a, b = first[~new].tolist(), order[~new].tolist()
+    ys = np.unique(np.concatenate((y0, y1)))
+    far, last = np.full(len(ys), -np.inf), np.zeros(len(ys), np.int64)
+    kept = order[new]
+    for n, lo, hi, left, right in zip(*[c.tolist() for c in (kept, np.searchsorted(ys, y0[kept]), np.searchsorted(ys, y1[kept]) + 1, x0[kept], x1[kept])], strict=True):
+        reach, names = far[lo:hi], last[lo:hi]
+        met = names[reach >= left]
+        if met.size:
+            one = met[0]
+            a.append(one)
+            others = met[met != one]
+            if others.size:
+                a += np.unique(others).tolist()
+            b += [n] * (len(a) - len(b))
+        # boxes there that reach on hold this point, so they hang together with it
+        names[:] = n
+        np.maximum(reach, right, out=reach)
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def meetings(boxes: DataFrame, cell: float) -> DataFrame:
+    """Pairs (a, b) of boxes (id, x0, y0, x1, y1) with the components of ``touching``, but at most one for each box and cell, however crowded: each cell is swept, and one is in memory at a time."""
+    b = boxes.select(F.col("id").cast("long").alias("id"), *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")])
+    dealt = b.withColumn("cell", F.explode(cells("x0", "y0", "x1", "y1", cell, cell)))
+    tasks = int(boxes.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by number: small rows are much work here, and would be put together by their size
+    dealt = dealt.select("cell.i", "cell.j", "id", "x0", "y0", "x1", "y1").repartition(tasks, "i", "j").sortWithinPartitions("i", "j")
+
+    def pairs(table: pa.Table) -> pa.RecordBatch:
+        v = [table[c].to_numpy() for c in ("i", "j", "id", "x0", "y0", "x1", "y1")]
+        ends = np.flatnonzero((np.diff(v[0]) != 0) | (np.diff(v[1]) != 0)) + 1
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for lo, hi in zip([0, *ends], [*ends, len(v[0])], strict=True):
+            if hi - lo > 1:
+                p, q = _swept(*[c[lo:hi] for c in v[3:]])
+                a.append(v[2][lo:hi][p])
+                b.append(v[2][lo:hi][q])
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in forest(np.concatenate(a), np.concatenate(b))], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            i, j = batch["i"].to_numpy(), batch["j"].to_numpy()
+            # the last cell of a batch may go on in the next one
+            cut = int(np.argmax((i == i[-1]) & (j == j[-1])))
+            if held and (cut or (i[0], j[0]) != last):
+                yield pairs(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                held = []
+            elif cut:
+                yield pairs(pa.Table.from_batches([batch.slice(0, cut)]))
+            held.append(batch.slice(cut))
+            last = (i[-1], j[-1])
+        if held:
+            yield pairs(pa.Table.from_batches(held))
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
 def max_overlap(left: DataFrame, pairs: DataFrame, share: float) -> DataFrame:
     """Left ids with the partner of the largest overlap (ties: the larger id), accepted at ``share`` of the smaller area."""
     best = pairs.groupBy("a").agg(F.max(F.struct("overlap", "b", "area_a", "area_b")).alias("m"))

@@ -6,8 +6,11 @@ from contextlib import contextmanager
 import numpy as np
 from pyspark.sql import functions as F
 
+from tessella.operators import batch as B
+from tessella.operators import joins as J
 from tessella.operators import measures as M
 from tessella.operators import scenes as S
+from tessella.scratch import Scratch
 
 
 @contextmanager
@@ -63,3 +66,30 @@ def test_review_items(spark):
     with within(spark, 40):
         got = M.review_items(p, c, 8.0).groupBy("x", "canopies").agg(F.count("*").alias("n"), F.max("place").alias("last")).collect()
     assert {(r["x"], r["canopies"], r["n"], r["last"]) for r in got} == {(10.0, 25_000, 50_000, 20_000), (500.0, 0, 50_000, 20_000)}
+
+
+def test_meetings(spark):
+    """The components of all touching pairs, of boxes of all sizes that share corners, sides, or nothing, in batches that cut cells."""
+    rng = np.random.default_rng(11)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+        for most, grid in ((3, 60), (9, 90), (2, 30)):
+            lo, size = rng.integers(0, grid, (300, 2)) - 5, rng.integers(0, most + 1, (300, 2))
+            rows = [(1000 - i, *map(float, (x, y, x + w, y + h))) for i, ((x, y), (w, h)) in enumerate(zip(lo, size, strict=True))]
+            b = spark.createDataFrame(rows, "id long, x0 double, y0 double, x1 double, y1 double")
+            nodes = b.select(F.col("id").alias("node"))
+            want, got = ({tuple(r) for r in J.components(nodes, e).collect()} for e in (J.touching(b, 8.0), J.meetings(b, 8.0)))
+            assert got == want and 1 < len({r for _, r in want}) < 300
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+def test_reach_windows(spark):
+    """60,000 boxes in one cell and two boxes apart."""
+    k = F.col("id")
+    b = spark.range(60_002).select("id", (k % 20 + F.when(k < 60_000, 0.0).otherwise(500.0)).alias("x0"), (k % 7).cast("double").alias("y0"))
+    b = b.withColumn("x1", F.col("x0") + 1 + k % 3).withColumn("y1", F.col("y0") + 1 + k % 2)
+    with within(spark, 40):
+        got = sorted(tuple(r) for r in B.reach_windows(b, Scratch(spark, "windows"), 6.0, 30.0).collect())
+    assert [(r[0], r[-1]) for r in got] == [(0, 60_000), (60_000, 2)]
