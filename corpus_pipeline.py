@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import Scratch, table
+from tessella.llm.common import Scratch, lean_batches, table
 from tessella.llm.decontaminate import contamination
 from tessella.llm.lines import LineParams, clean
 from tessella.llm.mix import MixParams, plan, taken
@@ -45,6 +45,7 @@ def _numbered(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The row of the smallest id stays of each group. Rows are judged by their texts alone, whether they share an id, have their own or have none."""
+    lean_batches(spark)
     scratch = Scratch(spark, "dedup")
     rows = _numbered(docs, scratch)
     kept = scratch.write(leaders(rows, "rid"), "kept")
@@ -56,11 +57,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a benchmark passage go."""
+    lean_batches(spark)
     return contamination(docs, table(spark, sf_dir, "benchmark"), keep=COLUMNS).where("NOT contaminated").select("row.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, with size, source_size, target and taken: how many of their words it takes, repeats counted."""
+    lean_batches(spark)
     scratch = Scratch(spark, "mixed")
     rows = _numbered(docs, scratch)
     planned = plan(rows, MixParams(), keep=("rid",))

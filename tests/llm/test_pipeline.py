@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -146,3 +147,20 @@ def test_stages_against_brute_force(spark):
             for s, n in want.items():
                 got = sum(r["taken"] for r in after.values() if r["source"] == s)
                 assert abs(got - n) <= 2 * MixParams().block
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    """After a stage, Python gets texts by the few megabytes; a smaller limit stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    old = spark.conf.get(name)
+    try:
+        spark.conf.set(name, str(64 << 20))
+        docs = spark.range(64).selectExpr("id AS doc_id", "repeat('word word ', 50000) AS text", "'en' AS lang", "'s' AS source", "500000L AS n_chars").coalesce(1)
+        P.decontaminate(spark, docs, "/root/testdata/sf0.001")
+        sizes = [r["n"] for r in docs.select("text").mapInArrow(lambda bs: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in bs), "n long").collect()]
+        assert sum(sizes) > 32_000_000 and max(sizes) < 6_000_000
+        spark.conf.set(name, "1000")
+        P.decontaminate(spark, docs, "/root/testdata/sf0.001")
+        assert spark.conf.get(name) == "1000"
+    finally:
+        spark.conf.set(name, old)
