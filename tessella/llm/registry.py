@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("op1_language", "op2_lines", "op3_mix", "op4_revisits", "op5_simhash", "op6_tokens", "op7_licenses", "op8_decontaminate", "op9_hmm", "op10_quality", "op11_whitening")
+MODULES = ("op1_language", "op2_lines", "op3_mix", "op4_revisits", "op5_simhash", "op6_tokens", "op7_licenses", "op8_decontaminate", "op9_hmm", "op10_quality", "op11_whitening", "op12_packing", "op13_trie")
 
 
 def queries() -> dict:
