@@ -46,7 +46,7 @@ ROLLED = "depth long, k1 long, k2 long, p1 long, p2 long, conv_id long, n_convs
 @dataclass(frozen=True)
 class TrieParams:
     #: A prefix is heavy beyond this many conversations, or a ``share``-th of all turns, whichever is more.
-    heavy: int = 1024
+    heavy: int = 64
     share: int = 1 << 16
     #: Levels of a unit's trie, and nodes from which a shard's trie is closed.
     band: int = 4096
