@@ -116,9 +116,9 @@ def intersection_area(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def iou(a: np.ndarray, b: np.ndarray) -> float:
-    both = intersection_area(a, b)
-    either = area(a) + area(b) - both
-    return both / either if either > 0 else 0.0
+    """Of the even-odd areas, so a ring that crosses itself is like itself."""
+    either = union_area([a, b])
+    return intersection_area(a, b) / either if either > 0 else 0.0
 
 
 def inside_capsule(p: np.ndarray, q: np.ndarray, a: np.ndarray, b: np.ndarray, reach: float) -> float:
