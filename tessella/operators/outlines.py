@@ -75,6 +75,11 @@ def passed(edges: DataFrame, c: int) -> DataFrame:
     return e.withColumn("j", F.explode(F.sequence(_column(lo, c), _column(hi, c))))
 
 
+def by_cell(df: DataFrame) -> DataFrame:
+    """Dealt by cell to a set number of tasks: small rows are much work here, and would be put together by their size."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "k", "i", "j")
+
+
 def _turn(ax, ay, bx, by, px, py) -> Column:
     """Sign of p beside the line from a to b: 1 to the left, -1 to the right, 0 on it."""
     return F.signum((bx - ax) * (py - ay) - (by - ay) * (px - ax)).cast("int")
@@ -82,7 +87,7 @@ def _turn(ax, ay, bx, by, px, py) -> Column:
 
 def _cuts(edges: DataFrame, c: int) -> DataFrame:
     """(id, x, y): points inside edges at which another edge crosses or ends."""
-    near = passed(edges.select("id", "k", *ENDS), c)
+    near = by_cell(passed(edges.select("id", "k", *ENDS), c))
     a = near.select("k", "i", "j", F.col("id").alias("a"), *[F.col(n).alias(f"a_{n}") for n in ENDS])
     b = near.select("k", "i", "j", F.col("id").alias("b"), *[F.col(n).alias(f"b_{n}") for n in ENDS])
     box = " AND ".join(f"least(a_{z}0, a_{z}1) <= greatest(b_{z}0, b_{z}1) AND least(b_{z}0, b_{z}1) <= greatest(a_{z}0, a_{z}1)" for z in "xy")
@@ -158,7 +163,7 @@ def boundary(edges: DataFrame, scratch: Scratch, even_odd: bool, cell: int | Non
     corners = corners.withColumn("before", F.coalesce(F.sum("s").over(W.partitionBy("k", "j").orderBy("i").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     # from the corner up the cell's left side to the height of the point, then right
     local = passed(e, c).withColumn("s", sign).select("k", "i", "j", *ENDS, "s", F.col("id").alias("other"))
-    near = point.join(local, ["k", "i", "j"])
+    near = by_cell(point).join(by_cell(local), ["k", "i", "j"])
     at = lambda hx, hy: F.signum(x * (hy - 2 * F.col("y0")) - y * (hx - 2 * F.col("x0"))).cast("int")
     side_x, low_y = 2 * c * F.col("i") + 1, 2 * c * F.col("j") + 1
     spans = (2 * F.col("x0") < side_x) != (2 * F.col("x1") < side_x)
