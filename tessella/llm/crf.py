@@ -19,6 +19,7 @@ predictions, and lang for training.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -243,19 +244,28 @@ def fit(texts: list[str], labels: list[str], p: CrfParams = CrfParams()) -> Crf
 
 
 def sample(docs: DataFrame, p: CrfParams = CrfParams()) -> tuple[list[str], list[str]]:
-    """Texts and labels to fit on: a bounded number for each language, drawn by hash of doc_id."""
+    """Texts and labels to fit on: a bounded number for each language, drawn by hash of id and text, whether ids are null or repeated."""
     d = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod(F.col("doc_id"), 3) != 1) & F.col("text").rlike(r"\p{L}"))
     scratch = Scratch(docs.sparkSession, "language")
     sizes = scratch.small(d.groupBy("lang").agg(F.count("*").alias("n")))
     quota = max(1, min(p.per_lang, p.max_docs // max(1, sizes.count())))
-    place = F.pmod(F.xxhash64("doc_id", F.lit(p.seed)), F.lit(1 << 40)) / float(1 << 40)
+    place = F.pmod(F.xxhash64("doc_id", "text", F.lit(p.seed)), F.lit(1 << 40)) / float(1 << 40)
     # a text of more than max_chars: a stretch of it, from anywhere
-    begin = F.when(F.length("text") > p.max_chars, F.pmod(F.xxhash64("doc_id", F.lit(p.seed + 1)), F.length("text") - p.max_chars + 1)).otherwise(0)
+    begin = F.when(F.length("text") > p.max_chars, F.pmod(F.xxhash64("doc_id", "text", F.lit(p.seed + 1)), F.length("text") - p.max_chars + 1)).otherwise(0)
     # about twice as many as needed, then the first of each language by hash; tasks hand on no more than the quota of each
-    drawn = d.join(sizes, "lang").withColumn("place", place).where(F.col("place") * F.col("n") <= 2.0 * quota + 20)
-    drawn = drawn.select("lang", "place", "doc_id", F.expr("text").substr((begin + 1).cast("int"), F.lit(p.max_chars)).alias("text"))
-    first = drawn.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy("place", "doc_id", "text"))).where(F.col("rank") <= quota)
-    rows = first.select("lang", "rank", "text").collect()  # ``quota`` rows of each language
+    placed = d.join(sizes, "lang").withColumn("place", place)
+
+    def first(drawn: DataFrame) -> list:
+        """``quota`` rows of each language at most."""
+        drawn = drawn.select("lang", "place", "doc_id", F.expr("text").substr((begin + 1).cast("int"), F.lit(p.max_chars)).alias("text"))
+        return drawn.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy("place", "doc_id", "text"))).where(F.col("rank") <= quota).select("lang", "rank", "text").collect()
+
+    rows = first(placed.where(F.col("place") * F.col("n") <= 2.0 * quota + 20))
+    # rows that are all alike stand or fall together: a language that is left short is taken without thinning
+    got = Counter(r["lang"] for r in rows)
+    lacking = [r["lang"] for r in sizes.collect() if got[r["lang"]] < min(quota, r["n"])]
+    if lacking:
+        rows = [r for r in rows if r["lang"] not in lacking] + first(placed.where(F.col("lang").isin(lacking)))
     scratch.drop(sizes)
     rows.sort(key=lambda r: (r["lang"], r["rank"]))
     return [r["text"] for r in rows], [r["lang"] for r in rows]

@@ -44,6 +44,8 @@ class MixParams:
     block: int = 64
     shard: int = 256
     seed: int = 2025
+    #: How far from its target chance may leave a source, as a share of it.
+    tolerance: float = 0.01
     #: Mean rows of a bucket of running totals, and shards of a group.
     bucket_rows: int = 2048
     group_shards: int = 64
@@ -62,6 +64,11 @@ def _mix64(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+def multinomial(rng: np.random.Generator, n: int, share: np.ndarray) -> np.ndarray:
+    """Source counts of a shard of n slots."""
+    return rng.multinomial(n, share)
+
+
 def permuted(k: np.ndarray, n: int, key: int) -> np.ndarray:
     """Image of each k in 0..n-1 under the permutation of ``key``: a Feistel network on the next even number of bits, walked until it falls inside."""
     if n <= 1:
@@ -113,11 +120,12 @@ def _running(sized: DataFrame) -> DataFrame:
 @dataclass(frozen=True)
 class Mix:
     sources: DataFrame  # source, source_size, order, target, blocks, slots
-    slots: DataFrame  # shard, order (of the source), k, index (of the block)
+    slots: DataFrame  # shard, slot (in the shard), order (of the source), k, index (of the block)
     pieces: DataFrame  # doc_id, order, index, words: of each document in each block
     docs: DataFrame  # doc_id, order, size, at: where each document's words begin in its source, null without words; and the columns of keep
     keep: tuple[str, ...]
     scratch: Scratch  # tables at rest that all of these read
+    block: int  # words of a block
 
 
 def plan(docs: DataFrame, p: MixParams = MixParams(), keep: tuple[str, ...] = ()) -> Mix:
@@ -140,31 +148,55 @@ def plan(docs: DataFrame, p: MixParams = MixParams(), keep: tuple[str, ...] = ()
     pieces = placed.select("doc_id", "h", "size", "order", "at", F.explode(F.sequence(lo, hi)).alias("index"))
     pieces = pieces.withColumn("words", F.least(F.col("at") + F.col("size"), (F.col("index") + 1) * p.block) - F.greatest(F.col("at"), F.col("index") * p.block))
     blank = dealt.where("size = 0").drop("rows").withColumn("at", F.lit(None).cast("long"))
-    return Mix(s, _slots(s, p), pieces, placed.drop("bucket").unionByName(blank), keep, scratch)
+    return Mix(s, _slots(s, p, scratch), pieces, placed.drop("bucket").unionByName(blank), keep, scratch, p.block)
+
+
+SLOT = "shard long, slot long, order int, k long, index long"
+
 
+def settled(drawn: np.ndarray, want: np.ndarray, top: np.ndarray, tolerance: float) -> np.ndarray:
+    """Slots of each source: those drawn, unless they leave the bounds; as many in all as wanted."""
+    lo = np.ceil(want * (1 - tolerance)).astype(np.int64)
+    hi = np.maximum(want, np.minimum(top, np.floor(want * (1 + tolerance)).astype(np.int64)))
+    out = np.clip(drawn, lo, hi)
+    over = int(out.sum() - want.sum())
+    room = out - lo if over > 0 else hi - out
+    before = np.concatenate(([0], np.cumsum(room)[:-1]))
+    return out - np.sign(over) * np.clip(abs(over) - before, 0, room)
 
-def _slots(s: DataFrame, p: MixParams) -> DataFrame:
-    """(shard, order, k, index) of every slot."""
+
+def _slots(s: DataFrame, p: MixParams, scratch: Scratch) -> DataFrame:
+    """(shard, slot, order, k, index) of every slot."""
     spark = s.sparkSession
     # one row for each source: what a multinomial needs
     known = [(r["order"], r["slots"], r["blocks"]) for r in s.where("slots > 0").orderBy("order").collect()]
     if not known:
-        return spark.createDataFrame([], "shard long, order int, k long, index long")
+        return spark.createDataFrame([], SLOT)
     order, want, blocks = (np.array(x) for x in zip(*known, strict=True))
     share, total = want / want.sum(), int(want.sum())
     shards = -(-total // p.shard)
     groups = -(-shards // p.group_shards)
 
+    draws = multinomial
+
     def counts(g: int) -> np.ndarray:
         """Source counts of each shard of a group; the last shard may be smaller."""
         ids = np.arange(g * p.group_shards, min(shards, (g + 1) * p.group_shards))
-        return np.array([np.random.default_rng([p.seed, int(i)]).multinomial(min(p.shard, total - i * p.shard), share) for i in ids])
+        return np.array([draws(np.random.default_rng([p.seed, int(i)]), min(p.shard, total - i * p.shard), share) for i in ids])
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for g in b.column(0).to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(order), g)), pa.array(np.arange(len(order))), pa.array(counts(g).sum(0))], ["g", "i", "n"])
 
+    drawn = scratch.write(spark.range(groups).repartition(max(1, min(groups, 4096)), "id").mapInArrow(sums, "g long, i long, n long"), "drawn")
+    # a row for each source again
+    totals = {r["i"]: r["n"] for r in drawn.groupBy("i").agg(F.sum("n").alias("n")).collect()}
+    got = np.array([totals.get(i, 0) for i in range(len(order))])
+    most = settled(got, want, p.repeats * blocks, p.tolerance)
+    short = np.maximum(most - got, 0)
+    first = np.concatenate(([0], np.cumsum(short)[:-1]))  # of each source's slots in the closing shards
+
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for g, offsets in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -172,29 +204,33 @@ def _slots(s: DataFrame, p: MixParams) -> DataFrame:
                 c = counts(g)
                 shards_of = g * p.group_shards + np.arange(len(c))
                 for i in np.flatnonzero(c.any(0)):
-                    k = np.arange(at[i], min(at[i] + c[:, i].sum(), want[i]))  # beyond its target the closing shard gives the slot away
+                    k = np.arange(at[i], min(at[i] + c[:, i].sum(), most[i]))  # what is beyond is given away
                     if len(k):
-                        yield made(np.repeat(shards_of, c[:, i])[: len(k)], i, k)
+                        n = c[:, i]
+                        slot = np.repeat(c[:, :i].sum(1) - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                        yield made(np.repeat(shards_of, n)[: len(k)], slot[: len(k)], i, k)
 
-    def made(shard: np.ndarray, i: int, k: np.ndarray) -> pa.RecordBatch:
+    def made(shard: np.ndarray, slot: np.ndarray, i: int, k: np.ndarray) -> pa.RecordBatch:
         epoch, index = k // blocks[i], np.empty(len(k), np.int64)
         for e in np.unique(epoch):
             index[epoch == e] = permuted(k[epoch == e] % blocks[i], int(blocks[i]), hash((p.seed, int(order[i]), int(e))))
-        return pa.RecordBatch.from_arrays([pa.array(shard), pa.array(np.full(len(k), order[i], np.int32)), pa.array(k), pa.array(index)], ["shard", "order", "k", "index"])
+        return pa.RecordBatch.from_arrays([pa.array(shard), pa.array(slot), pa.array(np.full(len(k), order[i], np.int32)), pa.array(k), pa.array(index)], ["shard", "slot", "order", "k", "index"])
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, lo, hi in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
-                yield made(np.full(hi - lo, shards), i, np.arange(lo, hi))
+                place = first[i] + np.arange(lo, hi) - got[i]
+                yield made(shards + place // p.shard, place % p.shard, i, np.arange(lo, hi))
 
-    drawn = spark.range(groups).repartition(max(1, min(groups, 4096)), "id").mapInArrow(sums, "g long, i long, n long")
-    drawn = drawn.withColumn("offset", F.sum("n").over(W.partitionBy("i").orderBy("g").rowsBetween(W.unboundedPreceding, -1)))
-    by_group = drawn.groupBy("g").agg(F.collect_list(F.struct("i", F.coalesce("offset", F.lit(0)).alias("offset"))).alias("offsets")).repartition(max(1, min(groups, 4096)), "g")
-    schema = "shard long, order int, k long, index long"
-    short = spark.createDataFrame([(i, int(n)) for i, n in enumerate(want)], "i long, want long").join(drawn.groupBy("i").agg(F.sum("n").alias("n")), "i").where("n < want")
-    # slots to make up are dealt in runs, so that one source's are no single task's
-    runs = short.select("i", "want", F.explode(F.sequence("n", F.col("want") - 1, F.lit(65536))).alias("lo")).select("i", "lo", F.least(F.col("lo") + 65536, "want").alias("hi"))
-    return by_group.mapInArrow(draw, schema).unionByName(runs.mapInArrow(close, schema))
+    offset = F.coalesce(F.sum("n").over(W.partitionBy("i").orderBy("g").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    by_group = drawn.withColumn("offset", offset).groupBy("g").agg(F.collect_list(F.struct("i", "offset")).alias("offsets")).repartition(max(1, min(groups, 4096)), "g")
+    out = by_group.mapInArrow(draw, SLOT)
+    if short.any():
+        # slots to make up are dealt in runs, so that one source's are no single task's
+        gaps = spark.createDataFrame([(int(i), int(got[i]), int(most[i])) for i in np.flatnonzero(short)], "i long, n long, most long")
+        runs = gaps.select("i", "most", F.explode(F.sequence("n", F.col("most") - 1, F.lit(65536))).alias("lo")).select("i", "lo", F.least(F.col("lo") + 65536, "most").alias("hi"))
+        out = out.unionByName(runs.mapInArrow(close, SLOT))
+    return out
 
 
 def _known(sources: DataFrame, most: int = 100_000) -> DataFrame:
@@ -202,11 +238,17 @@ def _known(sources: DataFrame, most: int = 100_000) -> DataFrame:
     return F.broadcast(sources) if sources.count() <= most else sources
 
 
-def taken(mix: Mix) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken of every row, and its kept columns."""
-    used = mix.slots.groupBy("order", "index").agg(F.count("*").alias("times"))
-    words = mix.pieces.join(used, ["order", "index"]).groupBy("order", "h", "size", "at").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+def taken(mix: Mix, places: bool = False) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken of every row, and its kept columns.
+
+    With ``places`` also slots: (shard, slot, block, from, words) of all of the row's stretches, from being the place in
+    the block; there are at most ``repeats`` of them for each block that the row reaches into.
+    """
+    used = mix.slots.groupBy("order", "index").agg(F.count("*").alias("times"), *([F.collect_list(F.struct("shard", "slot")).alias("into")] if places else []))
+    begin = F.greatest(F.col("at") - F.col("index") * mix.block, F.lit(0)).alias("from")
+    stretch = F.flatten(F.collect_list(F.transform("into", lambda x: F.struct(x["shard"].alias("shard"), x["slot"].alias("slot"), F.col("index").alias("block"), F.col("from").alias("from"), F.col("words").alias("words"))))) if places else None
+    words = mix.pieces.join(used, ["order", "index"]).withColumn("from", begin).groupBy("order", "h", "size", "at").agg(F.sum(F.col("words") * F.col("times")).alias("taken"), *([F.sort_array(stretch).alias("slots")] if places else []))
     # a row of words is known by where it begins in its source; ids may be null or repeated
     out = mix.docs.select(*mix.keep, "doc_id", "h", "size", "order", "at").join(words, ["order", "h", "size", "at"], "left")
     known = _known(mix.sources).select("order", "source", "source_size", "target")
-    return out.join(known, "order").select(*mix.keep, "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return out.join(known, "order").select(*mix.keep, "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), *(["slots"] if places else []))

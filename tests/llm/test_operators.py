@@ -237,12 +237,32 @@ def test_mix(docs):
     assert out[cols].sort_values(cols).reset_index(drop=True).equals(again[cols].sort_values(cols).reset_index(drop=True))
 
 
-def test_mix_takes_what_the_draws_say(docs):
-    """Words of every row, from the slots of each source one after the other and the blocks that its permutations name."""
-    p = mix.MixParams(block=16, shard=8, bucket_rows=5, group_shards=4)
+def drawn_slots(sources, p, rng=np.random.default_rng):
+    """{order: slots} from every shard's own draw: what is beyond the bounds goes to those short of theirs, then to those with room."""
+    sources = sorted((s for s in sources if s["slots"] > 0), key=lambda s: s["order"])
+    want = [s["slots"] for s in sources]
+    total, n = sum(want), [0] * len(want)
+    for shard in range(-(-total // p.shard)):
+        for i, c in enumerate(rng([p.seed, shard]).multinomial(min(p.shard, total - shard * p.shard), np.array(want) / total)):
+            n[i] += int(c)
+    low = [math.ceil(w * (1 - p.tolerance)) for w in want]
+    high = [max(w, min(p.repeats * s["blocks"], math.floor(w * (1 + p.tolerance)))) for w, s in zip(want, sources, strict=True)]
+    out = [min(max(x, lo), hi) for x, lo, hi in zip(n, low, high, strict=True)]
+    for i in range(len(out)):
+        over = sum(out) - total
+        out[i] = max(low[i], out[i] - over) if over > 0 else min(high[i], out[i] - over)
+    assert sum(out) == total
+    return {s["order"]: x for s, x in zip(sources, out, strict=True)}, n
+
+
+@pytest.mark.parametrize("tolerance", [0.01, 1.0])
+def test_mix_takes_what_the_draws_say(docs, tolerance):
+    """Words of every row, from the counts that the shards draw and the blocks that the sources' permutations name."""
+    p = mix.MixParams(block=16, shard=8, bucket_rows=5, group_shards=4, tolerance=tolerance)
     m = mix.plan(docs, p)
-    out = mix.taken(m).collect()
+    out = mix.taken(m, places=True).collect()
     order = {r["source"]: r for r in m.sources.collect()}
+    slots, drawn = drawn_slots(order.values(), p)
     at = {}
     for r in m.docs.where("size > 0").collect():
         at.setdefault(r["order"], []).append((r["at"], r["size"], r["doc_id"]))
@@ -252,13 +272,34 @@ def test_mix_takes_what_the_draws_say(docs):
         assert [x[0] for x in stream] == [sum(y[1] for y in stream[:i]) for i in range(len(stream))]
         owner = [i for i, x in enumerate(stream) for _ in range(x[1])]
         words = Counter()
-        for k in range(s["slots"]):
+        for k in range(slots.get(s["order"], 0)):
             epoch = k // s["blocks"]
             b = int(mix.permuted(np.array([k % s["blocks"]]), s["blocks"], hash((p.seed, s["order"], epoch)))[0])
             words.update(owner[b * p.block : (b + 1) * p.block])
         want.update((repr(x[2]), x[1], words[i]) for i, x in enumerate(stream))
     assert Counter((repr(r["doc_id"]), r["size"], r["taken"]) for r in out if r["size"]) == want
-    assert sum(r["slots"] for r in order.values()) > 100
+    assert sum(slots.values()) > 100
+    if tolerance == 1.0:  # chance is left alone, but for the limit of repeats
+        assert all(x == d or x < d and x >= 3 * s["blocks"] or x > d for (o, x), d in zip(slots.items(), drawn, strict=True) for s in order.values() if s["order"] == o)
+        assert any(slots.get(s["order"], 0) != s["slots"] for s in order.values())
+    # slots of a shard are its own, and the stretches of a slot fill its block
+    table_of = [(r["shard"], r["slot"]) for r in m.slots.collect()]
+    assert len(set(table_of)) == len(table_of) == sum(slots.values()) and all(0 <= s < p.shard for _, s in table_of)
+    filled_ = Counter()
+    for r in out:
+        assert sum(x["words"] for x in r["slots"] or []) == r["taken"]
+        for x in r["slots"] or []:
+            filled_[x["shard"], x["slot"]] += x["words"]
+            assert 0 <= x["from"] and x["from"] + x["words"] <= p.block
+    assert set(filled_) == set(table_of) and max(filled_.values()) == p.block
+
+
+def test_other_draws_give_another_mix(docs, monkeypatch):
+    p = mix.MixParams(block=16, shard=8, bucket_rows=5, group_shards=4)
+    of = lambda q: sorted((repr(r["doc_id"]), r["size"], r["taken"]) for r in mix.taken(mix.plan(docs, q)).collect())
+    one = of(p)
+    monkeypatch.setattr(mix, "multinomial", lambda rng, n, share: np.eye(len(share), dtype=np.int64)[0] * n)
+    assert of(p) != one
 
 
 def test_mix_of_one_id(spark):
@@ -662,6 +703,16 @@ def test_language_sample(spark):
     assert crf.bits_for(4, 16 << 20) == 15 and crf.bits_for(1000, 16 << 20) == 12
 
 
+def test_language_sample_of_repeated_ids(spark):
+    """Null ids, repeated ids in training and rows that are all alike: every language has its quota, or all its rows."""
+    p = crf.CrfParams(per_lang=150, max_docs=90_000)
+    train = [i for i in range(60) if zlib.crc32(str(i).encode()) % 3 != 1]
+    docs = [(None, f"english words {i}", "en") for i in range(300)] + [(None, f"deutsche Woerter {i}", "de") for i in range(2000)]
+    docs += [(train[i % 5], f"mots {i}", "fr") for i in range(2000)] + [(train[0], "igual", "es")] * 2000 + [(None, "kaikki", "fi")] * 90
+    got = Counter(crf.sample(spark.createDataFrame(docs, "doc_id long, text string, lang string"), p)[1])
+    assert got == {"en": 150, "de": 150, "fr": 150, "es": 150, "fi": 90}
+
+
 def test_language_edges(docs, empty):
     model = crf.fit(*crf.sample(docs))
     out = {(r["doc_id"], r["lang_pred"]) for r in crf.predict(docs, model).collect()}
