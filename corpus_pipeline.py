@@ -5,7 +5,7 @@ Every stage takes (spark, docs, sf_dir), works on all rows that its predecessor
 is written as Parquet and read again. All but the last return the columns of ``documents`` and no others, so extra
 columns of an input go. Empty inputs give empty outputs. A null text is rejected by the first stage, having no
 words. A document of which line dedup leaves nothing keeps an empty text. ``n_chars`` follows the text. The last
-stage's rows are the corpus: whole texts, and for each how many of its words to take.
+stage's rows are the corpus: whole texts, and for each how many of its words to take and where they go.
 """
 
 from __future__ import annotations
@@ -62,13 +62,13 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with size, source_size, target and taken: how many of their words it takes, repeats counted."""
+    """The documents that the mix takes, with size, source_size, target, taken (how many of their words it takes, repeats counted) and slots: the shards and slots that their stretches fill."""
     lean_batches(spark)
     scratch = Scratch(spark, "mixed")
     rows = _numbered(docs, scratch)
     planned = plan(rows, MixParams(), keep=("rid",))
-    counts = planned.scratch.settle(taken(planned).where("taken > 0").select("rid", "size", "source_size", "target", "taken"))
-    return rows.join(scratch.small(counts), "rid").select(*COLUMNS, "size", "source_size", "target", "taken")
+    counts = planned.scratch.settle(taken(planned, places=True).where("taken > 0").select("rid", "size", "source_size", "target", "taken", "slots"))
+    return rows.join(scratch.small(counts), "rid").select(*COLUMNS, "size", "source_size", "target", "taken", "slots")
 
 
 STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("simhash_dedup", near_duplicates), ("decontaminate", decontaminate), ("mix", mix)]
