@@ -17,31 +17,6 @@ def _cells(x0: Column, y0: Column, x1: Column, y1: Column, size: float) -> Colum
     return F.flatten(F.transform(side(x0, x1), lambda i: F.transform(side(y0, y1), lambda j: F.struct(i.alias("i"), j.alias("j")))))
 
 
-def shared_fit(df: DataFrame, pattern: str, row: str, u: str, v: str, w: str, limits: tuple[float, ...] = (0.8, 0.3, 0.15, 0.15)) -> DataFrame:
-    """(pattern, row, slope, offset, n): one slope for all rows of a pattern and an offset for each row, by weighted least squares.
-
-    Each round leaves out what lies farther from the round before than its limit (the first from the row's plain
-    mean); a round is two grouped sums, of rows and of patterns. Rows of which nothing is left keep their last offset.
-    """
-    d = df.select(F.col(pattern).alias("p"), F.col(row).alias("r"), F.col(u).cast("double").alias("u"), F.col(v).cast("double").alias("v"), F.col(w).cast("double").alias("w"))
-    mean = lambda c: F.sum(F.col("w") * F.col(c)) / F.sum("w")
-    scratch = Scratch(df.sparkSession, "fit")
-    fit = d.groupBy("p", "r").agg(F.lit(0.0).alias("slope"), mean("v").alias("offset"))
-    for limit in limits:
-        fit = fit.drop("n")
-        near = d.join(fit, ["p", "r"]).where(F.abs(F.col("v") - F.col("offset") - F.col("slope") * F.col("u")) <= limit)
-        rows = near.groupBy("p", "r").agg(
-            F.count("*").alias("n"), mean("u").alias("mu"), mean("v").alias("mv"), (F.sum(F.col("w") * F.col("u") * F.col("u")) - F.sum(F.col("w") * F.col("u")) * F.sum(F.col("w") * F.col("u")) / F.sum("w")).alias("suu"),
-            (F.sum(F.col("w") * F.col("u") * F.col("v")) - F.sum(F.col("w") * F.col("u")) * F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("suv"),
-        )
-        slope = rows.groupBy("p").agg(F.when(F.sum("suu") > 1e-9, F.sum("suv") / F.sum("suu")).otherwise(0.0).alias("new"))
-        fit = fit.join(rows.select("p", "r", "n", "mu", "mv"), ["p", "r"], "left").join(slope, "p", "left")
-        offset = F.when(F.col("n").isNotNull(), F.col("mv") - F.col("new") * F.col("mu")).otherwise(F.col("offset"))
-        # a row for each row of vines; at rest, since a round reads the one before several times
-        fit = scratch.write(fit.select("p", "r", F.coalesce("new", "slope").alias("slope"), offset.alias("offset"), F.coalesce("n", F.lit(0)).alias("n")), "round")
-    return scratch.settle(fit.withColumnsRenamed({"p": pattern, "r": row}))
-
-
 def along_walk(walk: DataFrame, targets: DataFrame, reach: float) -> DataFrame:
     """Targets (id, walk, x, y) with the distance of their walk (walk, place, x, y) and the metres walked when it first comes within reach; targets out of reach have neither.
 

@@ -15,6 +15,7 @@ from ..operators import graph as G
 from ..operators import inspection as I
 from ..operators import joins as J
 from ..operators import measures as M
+from ..operators import refit as RF
 from ..operators import rollup as R
 from .reports import table
 from .rules import BOX, PIECE, _segment_sql, derived, derived_sql
@@ -189,20 +190,71 @@ def q121_edge_distance(spark, sf):
 FIT = {"p": "CAST(user_id % 5 AS INT)", "r": "CAST(user_id AS INT)", "u": "CAST(event_id % 200 AS DOUBLE) / 4", "v": "CAST(user_id AS DOUBLE) + CAST(event_id % 200 AS DOUBLE) / 4 * 0.01 + (value - 50) / 60", "w": "CAST(1 + event_id % 3 AS DOUBLE)"}
 
 
-def _fit_sql(limits=(0.8, 0.3, 0.15, 0.15)) -> str:
-    out = f"d AS ({derived_sql('events WHERE value IS NOT NULL', FIT)}), f0 AS (SELECT p, r, 0::DOUBLE AS slope, sum(w * v) / sum(w) AS off, 0 AS n FROM d GROUP BY ALL)"
+def _moments_sql(where: str, fit: str) -> str:
+    """Sums of d over the rows of a fit, as operators/refit.py has them."""
+    return f"""SELECT p, r, n, cu + su / sw AS mu, cv + sv / sw AS mv, round(suu - su * su / sw)::HUGEINT AS suu, round(suv - su * sv / sw)::HUGEINT AS suv FROM (
+SELECT d.p, d.r, cu, cv, count(*) AS n, sum(w)::DOUBLE AS sw, sum(w * (u - cu))::DOUBLE AS su, sum(w * (v - cv))::DOUBLE AS sv, sum(w * (u - cu) * (u - cu))::DOUBLE AS suu, sum(w * (u - cu) * (v - cv))::DOUBLE AS suv FROM d JOIN {fit} f ON f.p = d.p AND f.r = d.r WHERE {where} GROUP BY ALL)"""
+
+
+def _slopes_sql(sums: str) -> str:
+    return f"SELECT p, CASE WHEN sum(suu) > 0 THEN round(sum(suv)::DOUBLE / sum(suu)::DOUBLE, 12) ELSE 0 END AS s FROM {sums} GROUP BY 1"
+
+
+def _fit_sql(limits=(8000.0, 3000.0, 1500.0, 1500.0)) -> str:
+    out = f"d AS (SELECT p, r, round(u * 10000)::BIGINT AS u, round(v * 10000)::BIGINT AS v, round(w * 1000)::BIGINT AS w FROM ({derived_sql('events WHERE value IS NOT NULL', FIT)})), f0 AS (SELECT *, round(mu)::BIGINT AS cu, round(off)::BIGINT AS cv FROM (SELECT p, r, 0::DOUBLE AS slope, round(sum(w * v)::DOUBLE / sum(w)::DOUBLE, 3) AS off, round(sum(w * u)::DOUBLE / sum(w)::DOUBLE, 3) AS mu, 0 AS n FROM d GROUP BY ALL))"
     for k, limit in enumerate(limits):
-        out += f""", r{k} AS (SELECT d.p, d.r, count(*) AS n, sum(w * u) / sum(w) AS mu, sum(w * v) / sum(w) AS mv, sum(w * u * u) - sum(w * u) * sum(w * u) / sum(w) AS suu, sum(w * u * v) - sum(w * u) * sum(w * v) / sum(w) AS suv FROM d JOIN f{k} f ON f.p = d.p AND f.r = d.r WHERE abs(v - off - slope * u) <= {limit} GROUP BY ALL),
-s{k} AS (SELECT p, CASE WHEN sum(suu) > 1e-9 THEN sum(suv) / sum(suu) ELSE 0 END AS s FROM r{k} GROUP BY 1), f{k + 1} AS (SELECT f.p, f.r, coalesce(s, slope) AS slope, CASE WHEN q.n IS NOT NULL THEN mv - s * mu ELSE off END AS off, coalesce(q.n, 0) AS n FROM f{k} f LEFT JOIN r{k} q ON q.p = f.p AND q.r = f.r LEFT JOIN s{k} g ON g.p = f.p)"""
+        out += f""", r{k} AS ({_moments_sql(f"abs(v::DOUBLE - off - slope * u::DOUBLE) <= {limit}::DOUBLE", f"f{k}")}), s{k} AS ({_slopes_sql(f"r{k}")}),
+f{k + 1} AS (SELECT f.p, f.r, coalesce(s, slope) AS slope, CASE WHEN q.n IS NOT NULL THEN round(mv - s * q.mu, 3) ELSE off END AS off, coalesce(q.n, 0) AS n, cu, cv FROM f{k} f LEFT JOIN r{k} q ON q.p = f.p AND q.r = f.r LEFT JOIN s{k} g ON g.p = f.p)"""
     return out
 
 
-@query(f"""WITH {_fit_sql()} SELECT p, r, round(slope, 5) AS slope, round(off, 4) AS "offset", n FROM f4""")
+@query(f"""WITH {_fit_sql()} SELECT p, r, round(slope, 5) AS slope, round(off / 10000, 4) AS "offset", n FROM f4""")
 def q122_shared_fit(spark, sf):
-    out = M.shared_fit(derived(table(spark, sf, "events").where("value IS NOT NULL"), FIT), "p", "r", "u", "v", "w")
+    out = RF.shared_fit(derived(table(spark, sf, "events").where("value IS NOT NULL"), FIT), "p", "r", "u", "v", "w")
     return out.select("p", "r", F.round("slope", 5).alias("slope"), F.round("offset", 4).alias("offset"), "n")
 
 
+VINES = {"p": "CAST(c_custkey % 25 AS INT)", "r": "c_custkey", "v_row": "CAST(floor(c_custkey / 25) AS DOUBLE) * 2.5", "start": "CAST(c_custkey % 7 AS DOUBLE)", "end": "CAST(20 + c_custkey % 13 AS DOUBLE)"}
+SLICE = {
+    "id": "o_orderkey", "p": "CAST(o_custkey % 25 AS INT)", "u": "CAST(o_orderkey % 61 AS DOUBLE) / 2", "w": "CAST(1 + o_orderkey % 3 AS DOUBLE)",
+    "v": "CAST(floor(o_custkey / 25) AS DOUBLE) * 2.5 + CAST(o_orderkey % 61 AS DOUBLE) / 2 * 0.004 + CAST(o_custkey * 37 % 17 - 8 AS DOUBLE) / 9.5 + CAST(o_orderkey % 11 - 5 AS DOUBLE) / 100",
+}
+
+
+def _refit_sql(limits=(8000.0, 3000.0, 1500.0, 1500.0)) -> str:
+    quoted = derived_sql("customer", {k: v for k, v in VINES.items() if k not in ("start", "end")} | {"s": VINES["start"], "e": VINES["end"]})
+    out = f"""rw AS (SELECT p, r, round(v_row * 10000)::BIGINT AS v_row, round(s * 10000)::BIGINT AS s, round(e * 10000)::BIGINT AS e FROM ({quoted})),
+pt AS (SELECT id, p, round(u * 10000)::BIGINT AS u, round(v * 10000)::BIGINT AS v, round(w * 1000)::BIGINT AS w FROM ({derived_sql("orders", SLICE)})),
+d AS (SELECT p, m[2] AS r, u, m[3] AS v, w FROM (SELECT pt.id, pt.p, u, w, min((abs(v - v_row), r, v - v_row)) AS m FROM pt JOIN rw ON rw.p = pt.p WHERE abs(v - v_row) <= 8000 AND u BETWEEN s - 5000 AND e + 5000 GROUP BY ALL)),
+cv AS (SELECT p, r, count(DISTINCT u // 5000) * 5000 AS cover FROM d WHERE u >= 0 GROUP BY ALL),
+f0 AS (SELECT rw.p, rw.r, v_row, s, e, coalesce(cover, 0) AS cover, coalesce(cover, 0) >= greatest(30000::DOUBLE, 0.2::DOUBLE * (e - s)) AS supported, (s + e) // 2 AS cu, 0 AS cv, ((s + e) // 2)::DOUBLE AS centre, 0::DOUBLE AS slope, 0::DOUBLE AS off, 0 AS n FROM rw LEFT JOIN cv ON cv.p = rw.p AND cv.r = rw.r)"""
+    for k, limit in enumerate(limits):
+        out += f""", r{k} AS ({_moments_sql(f"supported AND abs(v::DOUBLE - off - slope * (u::DOUBLE - centre)) <= {limit}::DOUBLE", f"f{k}")}), s{k} AS ({_slopes_sql(f"r{k}")}),
+f{k + 1} AS (SELECT f.p, f.r, v_row, s, e, cover, supported, cu, cv, CASE WHEN q.n IS NOT NULL THEN round(mu, 3) ELSE centre END AS centre, coalesce(g.s1, 0) AS slope, CASE WHEN q.n IS NOT NULL THEN round(mv, 3) ELSE 0 END AS off, coalesce(q.n, 0) AS n FROM f{k} f LEFT JOIN r{k} q ON q.p = f.p AND q.r = f.r LEFT JOIN (SELECT p, s AS s1 FROM s{k}) g ON g.p = f.p)"""
+    shift = lambda w, at: f"(CASE WHEN {w}moved THEN {w}off ELSE 0 END + {w}slope * ({at}::DOUBLE - {w}centre))"
+    names = ("moved", "off", "slope", "centre", "v_row", "s", "e")
+    beside = ", ".join(f"lead({c}) OVER w AS b_{c}" for c in names)
+    lo, hi = "greatest(s, b_s)", "least(e, b_e)"
+    gap = lambda at: f"((b_v_row - v_row)::DOUBLE + {shift('b_', at)} - {shift('', at)})"
+    bad = f"{hi} > {lo} AND b_v_row > v_row AND (least({gap(lo)}, {gap(hi)}) < (1 - 0.4::DOUBLE) * (b_v_row - v_row)::DOUBLE OR greatest({gap(lo)}, {gap(hi)}) > (1 + 0.4::DOUBLE) * (b_v_row - v_row)::DOUBLE)"
+    # one move a pattern and round: the largest, on a tie the first
+    return f"""{out}, st AS (
+SELECT 0 AS round, p, r, v_row, s, e, centre, slope, off, cover, supported, supported AND n > 0 AS moved FROM f4
+UNION ALL SELECT round + 1, p, r, v_row, s, e, centre, slope, off, cover, supported, moved AND r <> worst.r FROM (
+SELECT *, max(CASE WHEN fault THEN {{'size': abs(off), 'first': -k, 'r': r}} END) OVER (PARTITION BY p) AS worst FROM (
+SELECT *, moved AND (coalesce(wrong AND mine, false) OR coalesce(lag(wrong AND NOT mine) OVER w, false)) AS fault FROM (
+SELECT *, CASE WHEN moved THEN abs(off) ELSE -1 END >= CASE WHEN b_moved THEN abs(b_off) ELSE -1 END AS mine, {bad} AS wrong FROM (
+SELECT *, row_number() OVER w AS k, {beside} FROM st WINDOW w AS (PARTITION BY p ORDER BY v_row, r))) WINDOW w AS (PARTITION BY p ORDER BY v_row, r))) WHERE worst IS NOT NULL),
+en AS (SELECT p, r, v_row, s, e, centre, slope, off, cover, supported, arg_max(moved, round) AS moved, arg_min(moved, round) AS first FROM st GROUP BY ALL)
+SELECT p, r, cover / 10000 AS cover, supported, moved, first AND NOT moved AS reverted, round(slope, 9) AS slope, round({shift("", "s")} / 10000, 5) AS shift_start, round({shift("", "e")} / 10000, 5) AS shift_end FROM en"""
+
+
+@query(f"WITH RECURSIVE {_refit_sql()}")
+def q152_refit_rows(spark, sf):
+    out = RF.refit(derived(table(spark, sf, "customer"), VINES), derived(table(spark, sf, "orders"), SLICE))
+    return out.select("p", "r", "cover", "supported", "moved", "reverted", *[F.round(c, n).alias(c) for c, n in (("slope", 9), ("shift_start", 5), ("shift_end", 5))])
+
+
 LATTICE = {"id": "s_suppkey", "g": "s_nationkey % 5", "angle": "CAST(s_suppkey * 53 % 180 AS DOUBLE) / 20", "spacing": "2.0 + CAST(s_suppkey % 9 AS DOUBLE) / 40", "wave": "1.0 + CAST(s_suppkey % 7 AS DOUBLE) / 5", "phase": "CAST(s_suppkey % 11 AS DOUBLE) / 11"}
 
 

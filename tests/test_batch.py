@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tessella.operators import batch as B
-from tessella.operators import measures as M
+from tessella.operators import refit as RF
 from tessella.operators import sequences as Q
 
 
@@ -51,5 +51,5 @@ def test_numbered(spark):
 def test_shared_fit_finds_the_slope(spark):
     """Outliers go in the first rounds; a row far from all keeps its own offset."""
     rows = [("p", r, u / 2, 0.02 * u / 2 + r + (5.0 if u % 9 == 0 else 0.0), 1.0) for r in range(3) for u in range(60)]
-    out = M.shared_fit(spark.createDataFrame(rows, "p string, r int, u double, v double, w double"), "p", "r", "u", "v", "w").collect()
+    out = RF.shared_fit(spark.createDataFrame(rows, "p string, r int, u double, v double, w double"), "p", "r", "u", "v", "w").collect()
     assert all(abs(r["slope"] - 0.02) < 1e-9 and abs(r["offset"] - r["r"]) < 1e-9 and r["n"] > 40 for r in out)
