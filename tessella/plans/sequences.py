@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import sequences as Q
+from ..streaming import history as H
 from .reports import table
 
 QUERIES: dict = {}
@@ -170,3 +171,11 @@ def x03_session(spark, sf):
     e = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     s = e.groupBy(F.session_window("ts", "12 hours").alias("w"), "user_id").agg(F.count("*").alias("n"))
     return s.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), F.col("w.end").cast("timestamp_ntz").alias("end"), "n")
+
+
+@query(
+    """WITH e AS (SELECT DISTINCT user_id, event_id, event_type, ts FROM events WHERE event_id IS NOT NULL) SELECT user_id, row_number() OVER w AS place, event_id AS seq, CASE WHEN event_id % 3 = 0 THEN 'inspector' ELSE 'farmer' END AS role, event_type AS status, lead(event_id) OVER w IS NULL AS current FROM e WINDOW w AS (PARTITION BY user_id ORDER BY event_id)"""
+)
+def q154_status_history(spark, sf):
+    e = table(spark, sf, "events").select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), F.when(F.col("event_id") % 3 == 0, "inspector").otherwise("farmer").alias("role"), F.col("event_type").alias("status"), F.col("ts").alias("at"), F.lit(None).cast("string").alias("note"))
+    return H.history(e).select(F.col("id").alias("user_id"), F.col("place").cast("long").alias("place"), "seq", "role", "status", "current")
