@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
@@ -157,20 +158,24 @@ def max_overlap(left: DataFrame, pairs: DataFrame, share: float) -> DataFrame:
     return left.select(F.col("id").alias("a")).join(best, "a", "left").select("a", F.when(ok, F.col("m.b")).alias("b"), F.when(ok, F.col("m.overlap")).alias("overlap"))
 
 
-def _lots(rows: DataFrame, edges: DataFrame, scratch: Scratch, mean: int = 8192) -> tuple[DataFrame, DataFrame]:
-    """rows (with ``node``) of components of two or more, with their ``root`` and a ``lot`` of whole components, about ``mean`` rows; and the rows that stand alone."""
+def _lots(rows: DataFrame, edges: DataFrame, scratch: Scratch, large: int, mean: int = 8192) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (with ``node``) of components of two or more nodes, with their ``root``: in lots of whole components, about ``mean`` rows; those of components of more than ``large`` rows; and the rows whose node stands alone."""
     roots = scratch.write(connected(edges, scratch), "roots")
-    lots = max(1, roots.count() // mean)
-    met = rows.join(roots, "node").withColumn("lot", F.pmod(F.xxhash64("root"), F.lit(lots)))
-    return met, rows.join(roots.select("node"), "node", "left_anti")
+    met = scratch.write(rows.join(roots, "node"), "met")
+    sizes = met.groupBy("root").agg(F.count("*").alias("n"))
+    crowds = F.broadcast(scratch.write(sizes.where(F.col("n") > large).select("root"), "crowds"))  # fewer than rows / large
+    lots = max(1, met.count() // mean)
+    small = met.join(crowds, "root", "left_anti").withColumn("lot", F.pmod(F.xxhash64("root"), F.lit(lots)))
+    return small, met.join(crowds, "root"), rows.join(roots.select("node"), "node", "left_anti")
 
 
-def greedy_match(scored: DataFrame) -> DataFrame:
+def greedy_match(scored: DataFrame, large: int = 200_000) -> DataFrame:
     """One-to-one matching of (part, i, j, score): by score, i, j descending, both sides unused; each part on its own.
 
     Pairs are matched inside the connected components of the pairs that share a side, since others can't compete; a
-    component is a neighbourhood of objects that overlap each other, and a task takes many. A hash names the nodes: equal
-    hashes would only join two components.
+    component is a neighbourhood of objects that overlap each other, and a task takes many. Components of more than
+    ``large`` pairs are matched in rounds: a pair that is the best of both its sides is matched, and what shares a side
+    with it goes. A hash names the nodes: equal hashes would only join two components.
     """
     scratch = Scratch(scored.sparkSession, "matching")
     s = scratch.write(scored.select("part", "i", "j", F.col("score").cast("double").alias("score"), F.xxhash64("part", F.lit(0), "i").alias("node"), F.xxhash64("part", F.lit(1), "j").alias("other")), "pairs")
@@ -185,27 +190,40 @@ def greedy_match(scored: DataFrame) -> DataFrame:
         return pdf.iloc[keep][["part", "i", "j", "score"]]
 
     kinds = dict(scored.dtypes)
-    found, _ = _lots(s, s.select(F.col("node").alias("a"), F.col("other").alias("b")), scratch)
-    return scratch.settle(found.groupBy("lot").applyInPandas(match, f"part {kinds['part']}, i {kinds['i']}, j {kinds['j']}, score double"))
-
-
-def suppressed(points: DataFrame, reach: float) -> DataFrame:
+    found, crowded, _ = _lots(s, s.select(F.col("node").alias("a"), F.col("other").alias("b")), scratch, large)
+    out = found.groupBy("lot").applyInPandas(match, f"part {kinds['part']}, i {kinds['i']}, j {kinds['j']}, score double")
+    left = scratch.write(crowded.select(*s.columns).distinct(), "left")
+    while not left.isEmpty():
+        top = F.max(F.struct("score", "i", "j")).alias("top")
+        best = left
+        for side in ("part", "i"), ("part", "j"):
+            best = best.join(left.groupBy(*side).agg(top), list(side)).where((F.col("i") == F.col("top.i")) & (F.col("j") == F.col("top.j"))).drop("top")
+        best = scratch.write(best.select(*s.columns), "matched")
+        out = out.unionByName(best.select("part", "i", "j", "score"))
+        left = scratch.write(left.join(best.select("part", "i"), ["part", "i"], "left_anti").join(best.select("part", "j"), ["part", "j"], "left_anti"), "left")
+    return scratch.settle(out)
+
+
+def suppressed(points: DataFrame, reach: float, large: int = 200_000) -> DataFrame:
     """Greedy suppression, best score first (ties: the smaller id): points (part, id, x, y, score) farther than ``reach`` from every better one that is kept.
 
-    Points of one part within reach of each other are found by cells and grouped by connected neighbourhoods, each of
-    which is decided on its own, many in a task. Points that meet none stay, those without coordinates among them.
+    Points are dealt to cells in which all are within reach of each other. Cells that might hold points in reach of
+    each other hang together; the points of such components, many in a task, are decided in order. Components of more
+    than ``large`` points are decided in rounds. Points without coordinates stay, one without a score comes last.
     """
     scratch = Scratch(points.sparkSession, "suppression")
-    p = scratch.write(points.withColumn("node", F.xxhash64("part", "id")), "points")
-    cell = lambda c: F.floor(F.col(c) / reach)
-    here = p.select("part", F.col("node").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), cell("x").alias("i"), cell("y").alias("j"))
-    around = F.explode(F.array(*[F.struct((cell("x") + i).alias("i"), (cell("y") + j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("c")
-    there = p.select("part", F.col("node").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), around).select("part", "b", "bx", "by", "c.i", "c.j")
-    near = here.join(there, ["part", "i", "j"]).where((F.col("a") < F.col("b")) & (F.pow(F.col("ax") - F.col("bx"), 2) + F.pow(F.col("ay") - F.col("by"), 2) <= reach * reach))
-    found, alone = _lots(p, near.select("a", "b"), scratch)
+    cell = lambda c: F.floor(F.col(c) / (reach * 0.7)).cast("long")
+    p = points.select(*points.columns, cell("x").alias("_i"), cell("y").alias("_j"), F.monotonically_increasing_id().alias("_rid"))
+    p = scratch.write(p.withColumn("node", F.xxhash64("part", "_i", "_j")), "points")
+    placed = p.where("x IS NOT NULL AND y IS NOT NULL")
+    cells = scratch.write(placed.select("part", "_i", "_j", "node").distinct(), "cells")
+    ahead = [(i, j) for i in range(3) for j in range(-2, 3) if (i, j) > (0, 0)]
+    there = cells.select("part", F.col("node").alias("b"), *[F.explode(F.array(*[F.struct((F.col("_i") - i).alias("_i"), (F.col("_j") - j).alias("_j")) for i, j in ahead])).alias("c")]).select("part", "b", "c._i", "c._j")
+    found, crowded, alone = _lots(placed, cells.join(there, ["part", "_i", "_j"]).select(F.col("node").alias("a"), "b"), scratch, large)
+    names = points.columns
 
     def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["root", "score", "id"], ascending=[True, False, True])
+        pdf = pdf.sort_values(["root", "score", "id", "_rid"], ascending=[True, False, True, True])
         ends = np.flatnonzero(np.diff(pdf["root"].to_numpy(), append=np.int64(0)) != 0) + 1
         x, y, rows, lo = pdf["x"].to_numpy(), pdf["y"].to_numpy(), [], 0
         for hi in [*ends[ends < len(pdf)], len(pdf)]:
@@ -217,8 +235,29 @@ def suppressed(points: DataFrame, reach: float) -> DataFrame:
             lo = hi
         return pdf.iloc[rows][names]
 
-    names = points.columns
-    return scratch.settle(found.groupBy("lot").applyInPandas(keep, points.schema).unionByName(alone.select(*names)))
+    # a lone cell keeps its best; points of components are decided together
+    best = F.row_number().over(W.partitionBy("part", "_i", "_j").orderBy(F.col("score").desc_nulls_last(), "id", "_rid"))
+    out = found.groupBy("lot").applyInPandas(keep, points.schema).unionByName(alone.withColumn("_n", best).where("_n = 1").select(*names))
+    return scratch.settle(out.unionByName(p.where("x IS NULL OR y IS NULL").select(*names)).unionByName(_by_rounds(crowded, reach, scratch).select(*names)))
+
+
+def _by_rounds(points: DataFrame, reach: float, scratch: Scratch) -> DataFrame:
+    """The kept ones of ``suppressed``'s points: in each round the best of a cell is kept unless a better one is left within reach, and what is within reach of the kept ones goes. A point meets one of each cell around its own, however crowded they are."""
+    order = F.struct(F.coalesce(-F.col("score").cast("double"), F.lit(float("inf"))).alias("s"), "id", "_rid")
+    left = scratch.write(points.drop("root").withColumn("_order", order), "left")
+    kept = left.where("false")
+    around = F.explode(F.array(*[F.struct((F.col("_i") + i).alias("_i"), (F.col("_j") + j).alias("_j")) for i in range(-2, 3) for j in range(-2, 3)])).alias("c")
+    spread = lambda df: df.select("part", F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("_order").alias("_mine"), around).select("part", "c._i", "c._j", "_x", "_y", "_mine")
+    near = F.pow(F.col("x") - F.col("_x"), 2) + F.pow(F.col("y") - F.col("_y"), 2) <= reach * reach
+    while not left.isEmpty():
+        best = left.groupBy("part", "_i", "_j").agg(F.min_by(F.struct("x", "y", "_order"), "_order").alias("b")).select("part", "_i", "_j", "b.*")
+        best = scratch.write(best, "best")
+        beaten = left.join(spread(best), ["part", "_i", "_j"]).where(near & (F.col("_order") < F.col("_mine"))).select("_mine._rid").distinct()
+        first = scratch.write(best.join(beaten, best["_order._rid"] == beaten["_rid"], "left_anti"), "first")
+        kept = kept.unionByName(left.join(first.select(F.col("_order._rid").alias("_rid")), "_rid", "left_semi").select(*left.columns))
+        gone = left.join(spread(first), ["part", "_i", "_j"]).where(near).select("_rid").distinct()
+        left = scratch.write(left.join(gone, "_rid", "left_anti"), "left")
+    return kept
 
 
 def merged_lines(segments: DataFrame) -> DataFrame:

@@ -93,3 +93,51 @@ def test_reach_windows(spark):
     with within(spark, 40):
         got = sorted(tuple(r) for r in B.reach_windows(b, Scratch(spark, "windows"), 6.0, 30.0).collect())
     assert [(r[0], r[-1]) for r in got] == [(0, 60_000), (60_000, 2)]
+
+
+def _sequential(rows, reach):
+    """Kept rows of (part, id, x, y, score), best first."""
+    kept, by = [], {}
+    for r in sorted(rows, key=lambda r: (-np.inf if r[4] is None else -r[4], r[1]) if r[4] is not None else (np.inf, r[1])):
+        mine = by.setdefault(r[0], [])
+        if r[2] is None or r[3] is None:
+            kept.append(r)
+        elif all((r[2] - k[2]) ** 2 + (r[3] - k[3]) ** 2 > reach * reach for k in mine):
+            mine.append(r)
+            kept.append(r)
+    return sorted(kept, key=str)
+
+
+def test_suppression_in_lots_and_rounds(spark):
+    rng = np.random.default_rng(7)
+    rows = [("a" if i % 3 else "b", i, float(x), float(y), float(s)) for i, (x, y, s) in enumerate(zip(*rng.integers(0, 40, (2, 300)), rng.integers(0, 9, 300), strict=True))]
+    rows += [("a", 1000 + i, 3.0, 4.0, None) for i in range(5)] + [("b", 2000, None, 1.0, 3.0), ("c", 2001, 1e6, -1e6, 1.0), ("c", 2002, 1e6, -1e6, 1.0), ("b", 7, 7.5, 7.5, 9.0), ("b", 7, 7.5, 7.5, 9.0)]
+    rows += [("line", 3000 + i, float(i), 0.0, float(i)) for i in range(30)]
+    df = spark.createDataFrame(rows, "part string, id long, x double, y double, score double").repartition(3)
+    want = _sequential(rows, 3.0)
+    for large in (200_000, 0, 40):
+        assert sorted(map(tuple, J.suppressed(df, 3.0, large).collect()), key=str) == want
+
+
+def test_suppression_of_a_crowd(spark):
+    """40,000 points within reach of each other, and as many beside them: no pairs are made."""
+    k = F.col("id")
+    df = spark.range(80_000).select(F.lit("p").alias("part"), "id", (k % 100 / 1000 + F.when(k < 40_000, 0.0).otherwise(1.2)).alias("x"), (F.floor(k / 100) % 100 / 1000).alias("y"), (k * 7919 % 10_007).cast("double").alias("score"))
+    with within(spark, 100):
+        got = {r["id"] for r in J.suppressed(df, 1.0, 1000).collect()}
+    assert len(got) == 2 and {i < 40_000 for i in got} == {True, False}
+
+
+def test_matching_in_lots_and_rounds(spark):
+    rng = np.random.default_rng(9)
+    rows = [("p", int(i), int(j), float(s)) for i, j, s in zip(rng.integers(0, 30, 300), rng.integers(0, 40, 300), rng.integers(0, 6, 300), strict=True)]
+    rows += [("q", 1, j, 1.0) for j in range(50)] + [("r", i, i + d, float(i)) for i in range(20) for d in (0, 1)]
+    rows = list({r[:3]: r for r in rows}.values())
+    used, want = set(), []
+    for r in sorted(rows, key=lambda r: (r[3], r[1], r[2]), reverse=True):
+        if (r[0], 0, r[1]) not in used and (r[0], 1, r[2]) not in used:
+            used |= {(r[0], 0, r[1]), (r[0], 1, r[2])}
+            want.append(r)
+    df = spark.createDataFrame(rows, "part string, i long, j long, score double").repartition(3)
+    for large in (200_000, 0):
+        assert sorted(map(tuple, J.greedy_match(df, large).collect())) == sorted(want)
