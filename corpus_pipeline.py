@@ -5,11 +5,14 @@ Every stage takes (spark, docs, sf_dir), works on all rows that its predecessor
 is written as Parquet and read again. All but the last return the columns of ``documents`` and no others, so extra
 columns of an input go. Empty inputs give empty outputs. A null text is rejected by the first stage, having no
 words. A document of which line dedup leaves nothing keeps an empty text. ``n_chars`` follows the text. The last
-stage's rows are the corpus: whole texts, and for each how many of its words to take and where they go.
+stage's rows are the corpus: whole texts, and for each how many of its words to take; which block fills which slot of
+which shard is a table of its own, written anew by each run (``shards_path``).
 """
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +22,7 @@ from tessella.llm.lines import LineParams, clean
 from tessella.llm.mix import MixParams, plan, taken
 from tessella.llm.quality import judged
 from tessella.llm.simhash import leaders
+from tessella.scratch import scratch_dir
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -61,14 +65,21 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return contamination(docs, table(spark, sf_dir, "benchmark"), keep=COLUMNS).where("NOT contaminated").select("row.*")
 
 
+def shards_path(spark: SparkSession) -> str:
+    """The table (shard, slot, order of the source, k, index of the block) of the last mix, in the shared folder."""
+    return f"{scratch_dir(spark)}/corpus-shards"
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with size, source_size, target, taken (how many of their words it takes, repeats counted) and slots: the shards and slots that their stretches fill."""
+    """The documents that the mix takes, with size, source_size, target and taken: how many of their words it takes, repeats counted. The slots of its shards are written to ``shards_path``."""
     lean_batches(spark)
     scratch = Scratch(spark, "mixed")
     rows = _numbered(docs, scratch)
     planned = plan(rows, MixParams(), keep=("rid",))
-    counts = planned.scratch.settle(taken(planned, places=True).where("taken > 0").select("rid", "size", "source_size", "target", "taken", "slots"))
-    return rows.join(scratch.small(counts), "rid").select(*COLUMNS, "size", "source_size", "target", "taken", "slots")
+    planned.slots.write.mode("overwrite").parquet(shards_path(spark))
+    planned = replace(planned, slots=spark.read.schema(planned.slots.schema).parquet(shards_path(spark)))
+    counts = planned.scratch.settle(taken(planned).where("taken > 0").select("rid", "size", "source_size", "target", "taken"))
+    return rows.join(scratch.small(counts), "rid").select(*COLUMNS, "size", "source_size", "target", "taken")
 
 
 STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("simhash_dedup", near_duplicates), ("decontaminate", decontaminate), ("mix", mix)]
