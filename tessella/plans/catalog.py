@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("reports", "sequences", "spatial", "details", "rules", "measures", "batch", "outlines", "hops")
+MODULES = ("reports", "sequences", "spatial", "details", "rules", "measures", "batch", "outlines", "hops", "masks")
 
 
 def queries() -> dict:
