@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import masks as M
+from ..operators import overlaps as V
+from ..scratch import Scratch
 from .reports import table
 from .rules import derived, derived_sql
 
@@ -48,3 +50,25 @@ def q156_robust_space(spark, sf):
 
 
 QUERIES |= {"q155_field_masks": q155_field_masks, "q156_robust_space": q156_robust_space}
+
+PLOT = {"k": "lpad(CAST(p_partkey AS STRING), 8, '0')", "field": "CAST(floor(p_partkey / 50) AS INT)", "x0": "p_partkey * 7 % 151", "y0": "p_partkey * 13 % 97", "x1": "p_partkey * 7 % 151 + 4 + p_size % 17", "y1": "p_partkey * 13 % 97 + 5 + p_partkey % 23"}
+LEAST = 12
+
+# one plot a field and round, in order; a plot's cells are taken by all rounds after it
+SQL["q157_without_overlaps"] = f"""WITH RECURSIVE b AS ({derived_sql("part", PLOT).replace("CAST(p_partkey AS STRING)", "p_partkey::VARCHAR")}), o AS (SELECT *, (x1 - x0) * (y1 - y0) AS cells, row_number() OVER (PARTITION BY field ORDER BY (x1 - x0) * (y1 - y0) DESC, k) AS n FROM b),
+c AS (SELECT field, n, i, j FROM (SELECT field, n, unnest(range(x0, x1)) AS i, y0, y1 FROM o) t, unnest(range(y0, y1)) AS r(j)),
+s AS (SELECT 1 AS round, field, n, i, j FROM c WHERE n = 1 AND (SELECT max(cells) FROM o WHERE o.field = c.field) >= {LEAST}
+UNION ALL (WITH t AS (SELECT * FROM s), f AS (SELECT c.*, (SELECT max(round) FROM t) + 1 AS r FROM c WHERE n = (SELECT max(round) FROM t) + 1), g AS (SELECT f.field, f.n, f.i, f.j, f.r, t.i IS NULL AS free, count(*) OVER w AS all_, count(*) FILTER (t.i IS NULL) OVER w AS left_ FROM f LEFT JOIN t ON t.field = f.field AND t.i = f.i AND t.j = f.j WINDOW w AS (PARTITION BY f.field))
+SELECT r, field, n, i, j FROM g WHERE free AND 2 * (all_ - left_) <= all_ AND left_ >= {LEAST} UNION ALL SELECT round + 1, field, n, i, j FROM t WHERE round < (SELECT max(n) FROM o)))
+SELECT o.k, o.cells, coalesce(m.left_, 0) AS "left", m.left_ IS NOT NULL AS kept FROM o LEFT JOIN (SELECT field, n, count(*) AS left_ FROM s WHERE round = (SELECT max(n) FROM o) GROUP BY ALL) m ON m.field = o.field AND m.n = o.n"""
+
+
+def q157_without_overlaps(spark, sf):
+    """Every plot with its cells and those it keeps; parts are not told apart, which SQL can't."""
+    scratch = Scratch(spark, "overlaps")
+    b = derived(table(spark, sf, "part"), PLOT)
+    _, verdicts = V.without_overlaps(M.from_boxes(b, "k"), b.select("k", "field"), LEAST, scratch, whole=False)
+    return scratch.settle(verdicts.select("k", "cells", "left", "kept"))
+
+
+QUERIES["q157_without_overlaps"] = q157_without_overlaps
