@@ -48,7 +48,7 @@ def sequential(plots, field, least, whole):
 def test_bigger_plots_keep_their_ground(spark, whole):
     rng = np.random.default_rng(4)
     rows, field = [], {}
-    for n in range(60):
+    for n in range(36):
         k = f"p{n:02d}"
         field[k] = n % 3
         # plots of two boxes, some across tiles; some are the same size
