@@ -206,17 +206,18 @@ def location_of(in_interrow: Column, in_block: Column, block_m: Column, reach: f
 
 
 def located(points: DataFrame, interrows: DataFrame, blocks: DataFrame, reach: float = 10.0) -> DataFrame:
-    """(id, location) of points (id, x, y): in an inter-row, in a block, within reach of a block, outside. Both sides are boxes (x0, y0, x1, y1), dealt to cells of the reach."""
-    from .joins import cells
+    """(id, location) of points (id, x, y): in an inter-row, in a block, within reach of a block, outside. Both sides are boxes (x0, y0, x1, y1), dealt to cells of the reach. Places and boxes that occur several times are met once."""
+    from .joins import cells, meeting
 
-    at = F.struct(F.floor(F.col("x") / reach).alias("i"), F.floor(F.col("y") / reach).alias("j")).alias("cell")
-    out = points.select("id", "x", "y", at)
+    places = points.select("x", "y").distinct().withColumn("cell", F.struct(F.floor(F.col("x") / reach).alias("i"), F.floor(F.col("y") / reach).alias("j")))
+    out = points.select("id", "x", "y")
     for name, boxes, pad in (("row_m", interrows, 0.0), ("block_m", blocks, reach)):
-        padded = boxes.select("x0", "y0", "x1", "y1", (F.col("x0") - pad).alias("a0"), (F.col("y0") - pad).alias("b0"), (F.col("x1") + pad).alias("a1"), (F.col("y1") + pad).alias("b1"))
+        padded = boxes.select("x0", "y0", "x1", "y1").distinct().select("*", (F.col("x0") - pad).alias("a0"), (F.col("y0") - pad).alias("b0"), (F.col("x1") + pad).alias("a1"), (F.col("y1") + pad).alias("b1"))
         dealt = padded.withColumn("cell", F.explode(cells("a0", "b0", "a1", "b1", reach, reach)))
         side = lambda lo, v, hi: F.greatest(F.col(lo) - F.col(v), F.lit(0.0), F.col(v) - F.col(hi))
         far = F.sqrt(F.pow(side("x0", "x", "x1"), 2) + F.pow(side("y0", "y", "y1"), 2))
-        out = out.join(points.select("id", "x", "y", at).join(dealt, "cell").groupBy("id").agg(F.min(far).alias(name)), "id", "left")
+        near = meeting(places, dealt, ["cell"]).groupBy("x", "y").agg(F.min(far).alias(name))
+        out = out.join(points.select("id", "x", "y").join(near.hint("merge"), ["x", "y"]).groupBy("id").agg(F.min(name).alias(name)).hint("merge"), "id", "left")
     return out.select("id", location_of(F.coalesce(F.col("row_m") <= 0, F.lit(False)), F.coalesce(F.col("block_m") <= 0, F.lit(False)), F.col("block_m"), reach).alias("location"))
 
 

@@ -20,13 +20,24 @@ from .components import components as connected
 from .components import forest
 
 
+def dealt(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows in as many tasks as shuffles have, by their keys: by number, since small rows may be much work, and would be put together by their size."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)
+
+
+def meeting(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on keys (a cell, and parts) that both sides are dealt to. Never by broadcast: Spark's estimates don't know how many rows an explode makes, and the other side of a broadcast stays in the few tasks that read a small file."""
+    return dealt(left, keys).join(dealt(right, keys).hint("merge"), keys, how)
+
+
 def within_distance(df: DataFrame, key: str, x: str, reach: float, parts: list[str] | None = None) -> DataFrame:
     """Pairs (a, b), a < b, of keys whose x differ by less than ``reach`` (and that agree in ``parts``): one-dimensional cells of width ``reach``."""
     parts = parts or []
     d = df.select(key, x, *parts, F.floor(F.col(x) / reach).alias("cell"))
     left = d.select(*parts, F.col(key).alias("a"), F.col(x).alias("xa"), "cell")
     right = d.select(*parts, F.col(key).alias("b"), F.col(x).alias("xb"), F.explode(F.array(F.col("cell") - 1, "cell", F.col("cell") + 1)).alias("cell"))
-    return left.join(right, [*parts, "cell"]).where((F.col("a") < F.col("b")) & (F.abs(F.col("xa") - F.col("xb")) < reach)).select("a", "b")
+    return meeting(left, right, [*parts, "cell"]).where((F.col("a") < F.col("b")) & (F.abs(F.col("xa") - F.col("xb")) < reach)).select("a", "b")
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
