@@ -26,9 +26,16 @@ def dealt(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)
 
 
-def meeting(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Join on keys (a cell, and parts) that both sides are dealt to. Never by broadcast: Spark's estimates don't know how many rows an explode makes, and the other side of a broadcast stays in the few tasks that read a small file."""
-    return dealt(left, keys).join(dealt(right, keys).hint("merge"), keys, how)
+def meeting(left: DataFrame, right: DataFrame, keys: list[str], spread: int = 1) -> DataFrame:
+    """Join on keys (a cell, and parts) that both sides are dealt to. Never by broadcast: Spark's estimates don't know how many rows an explode makes, and the other side of a broadcast stays in the few tasks that read a small file.
+
+    ``spread``: where keys are few, so many tasks share one, each with a part of its left rows and all of its right ones.
+    """
+    if spread > 1:
+        left = left.withColumn("_part", F.pmod(F.xxhash64(*left.columns), F.lit(spread)).cast("int"))
+        right = right.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+        return meeting(left, right, [*keys, "_part"]).drop("_part")
+    return dealt(left, keys).join(dealt(right, keys).hint("merge"), keys)
 
 
 def within_distance(df: DataFrame, key: str, x: str, reach: float, parts: list[str] | None = None) -> DataFrame:
@@ -40,6 +47,16 @@ def within_distance(df: DataFrame, key: str, x: str, reach: float, parts: list[s
     return meeting(left, right, [*parts, "cell"]).where((F.col("a") < F.col("b")) & (F.abs(F.col("xa") - F.col("xb")) < reach)).select("a", "b")
 
 
+def links(df: DataFrame, key: str, x: str, reach: float) -> DataFrame:
+    """Pairs (a, b) of keys with the components of ``within_distance``, but at most two for each row, however crowded: neighbours on the line hang together if any two that they lie between do."""
+    d = df.where(F.col(x).isNotNull() & ~F.isnan(F.col(x).cast("double"))).select(F.col(key).alias("a"), F.col(x).alias("xa"), F.floor(F.col(x) / reach).alias("cell"))
+    w = W.partitionBy("cell").orderBy("xa", "a")
+    inside = d.select("a", "xa", F.lead("a").over(w).alias("b"), F.lead("xa").over(w).alias("xb"))
+    ends = d.groupBy("cell").agg(F.min(F.struct("xa", "a")).alias("lo"), F.max(F.struct("xa", "a")).alias("hi"))
+    across = ends.select("cell", F.col("hi.a").alias("a"), F.col("hi.xa").alias("xa")).join(ends.select((F.col("cell") - 1).alias("cell"), F.col("lo.a").alias("b"), F.col("lo.xa").alias("xb")), "cell").drop("cell")
+    return inside.unionByName(across.select(*inside.columns)).where((F.abs(F.col("xa") - F.col("xb")) < reach) & (F.col("a") != F.col("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, root) for every node, root the smallest id of its component."""
     scratch = Scratch(nodes.sparkSession, "components")
@@ -54,15 +71,34 @@ def large_components(members: DataFrame, least: float) -> DataFrame:
     return members.join(keep, "root")
 
 
+def nearest_on_line(left: DataFrame, right: DataFrame, key: str, other: str, xl: str, xr: str, reach: float, parts: list[str]) -> DataFrame:
+    """(key, best) of the keys that have a right row within ``reach``: best is (d, o), the least distance and its smallest id.
+
+    A row reads its neighbours on either side, in the order of the line, inside a cell that also has the last right row
+    of the cell before and the first of the one after; so crowds cost their rows, not their pairs.
+    """
+    n = right.where(F.col(xr).isNotNull() & ~F.isnan(F.col(xr).cast("double"))).groupBy(*parts, F.col(xr).alias("_x")).agg(F.min(F.struct(F.col(other).alias("o"))).alias("_o"))
+    n = n.select(*parts, "_x", F.col("_o.o").alias("_o"), F.floor(F.col("_x") / reach).alias("cell"))
+    ends = n.groupBy(*parts, "cell").agg(F.min(F.struct("_x", "_o")).alias("lo"), F.max(F.struct("_x", "_o")).alias("hi"))
+    beside = ends.select(*parts, F.explode(F.array(F.struct((F.col("cell") + 1).alias("cell"), F.col("hi").alias("r")), F.struct((F.col("cell") - 1).alias("cell"), F.col("lo").alias("r")))).alias("e"))
+    rows = n.unionByName(beside.select(*parts, F.col("e.r._x").alias("_x"), F.col("e.r._o").alias("_o"), F.col("e.cell").alias("cell")))
+    rows = rows.select(*parts, "cell", "_x", F.struct("_x", "_o").alias("_r"), F.lit(None).cast(left.schema[key].dataType).alias("_key"), F.lit(False).alias("_left"))
+    mine = left.where(F.col(xl).isNotNull() & F.col(key).isNotNull()).select(*parts, F.floor(F.col(xl) / reach).alias("cell"), F.col(xl).alias("_x"), F.lit(None).cast(rows.schema["_r"].dataType).alias("_r"), F.col(key).alias("_key"), F.lit(True).alias("_left"))
+    w = W.partitionBy(*parts, "cell")
+    # right rows come before left ones at the same place, in both directions
+    below = F.last("_r", True).over(w.orderBy("_x", "_left").rowsBetween(W.unboundedPreceding, 0)).alias("_below")
+    above = F.last("_r", True).over(w.orderBy(F.desc("_x"), "_left").rowsBetween(W.unboundedPreceding, 0)).alias("_above")
+    found = rows.unionByName(mine).select("*", below).select("*", above).where("_left").select("_key", "_x", F.explode(F.array("_below", "_above")).alias("_r"))
+    d = F.abs(F.col("_x") - F.col("_r._x"))
+    return found.where(d <= reach).groupBy(F.col("_key").alias(key)).agg(F.min(F.struct(d.alias("d"), F.col("_r._o").alias("o"))).alias("best"))
+
+
 def nearest(left: DataFrame, right: DataFrame, key: str, other: str, xl: str, xr: str, reach: float, parts: list[str]) -> DataFrame:
     """Every left row with its nearest right row no farther than ``reach``; ties by the smallest id; empty string where there is none.
 
     ``other`` is the right side's id, a string.
     """
-    lcell = F.floor(F.col(xl) / reach)
-    cand = left.select(*parts, key, xl, F.explode(F.array(lcell - 1, lcell, lcell + 1)).alias("cell")).join(right.select(*parts, other, xr, F.floor(F.col(xr) / reach).alias("cell")), [*parts, "cell"])
-    d = F.abs(F.col(xl) - F.col(xr))
-    best = cand.where(d <= reach).groupBy(key).agg(F.min(F.struct(d.alias("d"), F.col(other).alias("o"))).alias("best"))
+    best = nearest_on_line(left, right, key, other, xl, xr, reach, parts)
     return left.select(key).join(best, key, "left").select(key, F.coalesce("best.o", F.lit("")).alias("nearest"), F.col("best.d").alias("distance"))
 
 
@@ -81,7 +117,7 @@ def overlaps(left: DataFrame, right: DataFrame, parts: list[str], cx: float, cy:
     r = right.select(*parts, F.col("id").alias("b"), *[F.col(c).alias(f"b_{c}") for c in ("x0", "y0", "x1", "y1")]).withColumn("cell", F.explode(cells("b_x0", "b_y0", "b_x1", "b_y1", cx, cy)))
     lo = {c: F.greatest(f"a_{c}", f"b_{c}") for c in ("x0", "y0")}
     hi = {c: F.least(f"a_{c}", f"b_{c}") for c in ("x1", "y1")}
-    j = l.join(r, [*parts, "cell"]).where((hi["x1"] > lo["x0"]) & (hi["y1"] > lo["y0"]))
+    j = meeting(l, r, [*parts, "cell"]).where((hi["x1"] > lo["x0"]) & (hi["y1"] > lo["y0"]))
     j = j.where((F.floor(lo["x0"] / cx) == F.col("cell.i")) & (F.floor(lo["y0"] / cy) == F.col("cell.j")))
     area = lambda s: (F.col(f"{s}_x1") - F.col(f"{s}_x0")) * (F.col(f"{s}_y1") - F.col(f"{s}_y0"))
     return j.select(*parts, "a", "b", ((hi["x1"] - lo["x0"]) * (hi["y1"] - lo["y0"])).alias("overlap"), area("a").alias("area_a"), area("b").alias("area_b"))
@@ -91,7 +127,7 @@ def touching(boxes: DataFrame, cell: float) -> DataFrame:
     """Pairs (a, b), a < b, of boxes (id, x0, y0, x1, y1) that share a point; each is found in the cell of the meeting's lower corner."""
     b = boxes.select("id", "x0", "y0", "x1", "y1", F.explode(cells("x0", "y0", "x1", "y1", cell, cell)).alias("cell"))
     other = b.select(F.col("id").alias("b"), *[F.col(c).alias(f"o{c}") for c in ("x0", "y0", "x1", "y1")], "cell")
-    j = b.join(other, "cell").where("id < b AND x0 <= ox1 AND ox0 <= x1 AND y0 <= oy1 AND oy0 <= y1")
+    j = meeting(b, other, ["cell"]).where("id < b AND x0 <= ox1 AND ox0 <= x1 AND y0 <= oy1 AND oy0 <= y1")
     low = (F.floor(F.greatest("x0", "ox0") / cell) == F.col("cell.i")) & (F.floor(F.greatest("y0", "oy0") / cell) == F.col("cell.j"))
     return j.where(low).select(F.col("id").alias("a"), "b")
 
@@ -169,6 +205,18 @@ def max_overlap(left: DataFrame, pairs: DataFrame, share: float) -> DataFrame:
     return left.select(F.col("id").alias("a")).join(best, "a", "left").select("a", F.when(ok, F.col("m.b")).alias("b"), F.when(ok, F.col("m.overlap")).alias("overlap"))
 
 
+def max_overlap_of(left: DataFrame, right: DataFrame, parts: list[str], cx: float, cy: float, share: float) -> DataFrame:
+    """``max_overlap`` of two sides of boxes (id, x0, y0, x1, y1). Boxes at the same place meet once: a left one for all of them, the right one with the largest id."""
+    place = [*parts, "x0", "y0", "x1", "y1"]
+    named = left.select("id", *place).join(left.groupBy(*place).agg(F.min("id").alias("first")).hint("merge"), place)
+    firsts = left.groupBy(*place).agg(F.min("id").alias("id"))
+    lasts = right.groupBy(*place).agg(F.max("id").alias("id"))
+    best = max_overlap(firsts, overlaps(firsts, lasts, parts, cx, cy), share)
+    # boxes without a place or a part stay, without a partner
+    met = named.join(best.select(F.col("a").alias("first"), "b", "overlap").hint("merge"), "first").select(F.col("id").alias("a"), "b", "overlap").distinct()
+    return left.select(F.col("id").alias("a")).join(met, "a", "left").select("a", "b", "overlap")
+
+
 def _lots(rows: DataFrame, edges: DataFrame, scratch: Scratch, large: int, mean: int = 8192) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows (with ``node``) of components of two or more nodes, with their ``root``: in lots of whole components, about ``mean`` rows; those of components of more than ``large`` rows; and the rows whose node stands alone."""
     roots = scratch.write(connected(edges, scratch), "roots")
