@@ -193,7 +193,7 @@ SELECT root, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, arg_min
 )
 def q94_merged_boxes(spark, sf):
     b = derived(table(spark, sf, "part"), BOX)
-    members = J.components(b.select(F.col("id").alias("node")), J.touching(b, 20.0)).withColumnRenamed("node", "id")
+    members = J.components(b.select(F.col("id").alias("node")), J.meetings(b, 20.0)).withColumnRenamed("node", "id")
     return I.merged_boxes(b, members).withColumn("tiles", F.array_join("tiles", ","))
 
 
