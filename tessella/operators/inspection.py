@@ -72,14 +72,18 @@ def gap_points(gaps: DataFrame, obstacles: DataFrame | None = None, rule: str =
     if obstacles is None:
         g = g.withColumn("obstacle_type", F.lit(None).cast("string"))
     else:
+        from .joins import meeting
+
         most, cell = 6.0, lambda c: F.floor(c / 6.0)
-        key = ["vineyard_id", "row_id", "kind", "x0", "y0", "x1", "y1"]
+        key = ["x0", "y0", "x1", "y1"]
         side = lambda a, b: F.sequence(cell(F.least(a, b) - most), cell(F.greatest(a, b) + most))
         cells = F.flatten(F.transform(side("x0", "x1"), lambda i: F.transform(side("y0", "y1"), lambda j: F.struct(i.alias("i"), j.alias("j")))))
         o = obstacles.select("obstacle_id", F.col("kind").alias("obstacle_type"), F.col("x").alias("ox"), F.col("y").alias("oy"), reach_of(F.col("kind"), F.col("in_block")).alias("reach"), F.struct(cell(F.col("x")).alias("i"), cell(F.col("y")).alias("j")).alias("cell"))
         far = segment_distance(*[F.col(c) for c in ("ox", "oy", "x0", "y0", "x1", "y1")])
-        near = g.select(*key, F.explode(cells).alias("cell")).join(o, "cell").withColumn("far", far).where("far <= reach")
-        g = g.join(near.groupBy(*key).agg(F.min_by("obstacle_type", F.struct("far", "obstacle_id")).alias("obstacle_type")), key, "left")
+        # stretches and obstacles at the same place meet once
+        o = o.groupBy("ox", "oy", "reach", "cell").agg(F.min_by("obstacle_type", "obstacle_id").alias("obstacle_type"), F.min("obstacle_id").alias("obstacle_id"))
+        near = meeting(g.select(*key).distinct().select(*key, F.explode(cells).alias("cell")), o, ["cell"]).withColumn("far", far).where("far <= reach")
+        g = g.join(near.groupBy(*key).agg(F.min_by("obstacle_type", F.struct("far", "obstacle_id")).alias("obstacle_type")).hint("merge"), key, "left")
     free, gap = F.col("obstacle_type").isNull(), F.col("kind") == "gap"
     reason = F.when(free, F.col("kind")).otherwise("obstacle")
     doubt = (F.col("green") >= p.long_green / 2).cast("int") + (F.col("row_planted") < p.low_row).cast("int") + (~gap).cast("int")
