@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .joins import meeting, nearest_on_line
 from .sequences import numbered
 
 
@@ -47,11 +48,13 @@ def nearest_row(pieces: DataFrame, rows: DataFrame, reach: float = 0.6, extend:
 
     ``pieces``: pattern, piece, u, v; ``rows``: pattern, row, u0, u1, rv.
     """
-    cell = F.floor(F.col("v") / reach)
-    cand = pieces.withColumn("cell", F.explode(F.array(cell - 1, cell, cell + 1))).join(rows.withColumn("cell", F.floor(F.col("rv") / reach)), ["pattern", "cell"])
-    d = F.abs(F.col("v") - F.col("rv"))
-    best = cand.where((F.col("u") >= F.col("u0") - extend) & (F.col("u") <= F.col("u1") + extend) & (d <= reach)).groupBy("piece").agg(F.min(F.struct(d.alias("d"), "row")).alias("m"))
-    return pieces.select("piece").join(best, "piece", "left").select("piece", F.coalesce("m.row", F.lit(-1)).cast("long").alias("row"))
+    # rows of one extent are a line; a piece meets each extent near it once, and on its line the neighbours only
+    cell = lambda c: F.floor(F.col(c) / reach)
+    near = F.explode(F.array(cell("rv") - 1, cell("rv"), cell("rv") + 1)).alias("cell")
+    extents = rows.select("pattern", "u0", "u1", near).distinct()
+    cand = meeting(pieces.withColumn("cell", cell("v")), extents, ["pattern", "cell"]).where((F.col("u") >= F.col("u0") - extend) & (F.col("u") <= F.col("u1") + extend))
+    best = nearest_on_line(cand, rows, "piece", "row", "v", "rv", reach, ["pattern", "u0", "u1"])
+    return pieces.select("piece").join(best, "piece", "left").select("piece", F.coalesce("best.o", F.lit(-1)).cast("long").alias("row"))
 
 
 def propagated(dependents: DataFrame, names: DataFrame) -> DataFrame:
