@@ -29,7 +29,7 @@ _COMPONENTS = """RECURSIVE e AS (SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM
 
 def _blocks(spark, sf):
     s = table(spark, sf, "supplier")
-    return J.components(s.select(F.col("s_suppkey").alias("node")), J.within_distance(s, "s_suppkey", "s_acctbal", 60.0))
+    return J.components(s.select(F.col("s_suppkey").alias("node")), J.links(s, "s_suppkey", "s_acctbal", 60.0))
 
 
 @query(f"WITH {_COMPONENTS} SELECT node, root FROM c")
