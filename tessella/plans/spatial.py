@@ -71,7 +71,7 @@ def _pairs(spark, sf):
 
 @query(f"WITH {_OVER}, m AS (SELECT a, max((overlap, b, area_a, area_b)) AS m FROM o GROUP BY a) SELECT id AS a, CASE WHEN m[1] >= 0.1 * least(m[3], m[4]) THEN m[2] END AS b, CASE WHEN m[1] >= 0.1 * least(m[3], m[4]) THEN round(m[1], 4) END AS overlap FROM box LEFT JOIN m ON box.id = m.a WHERE id % 2 = 0")
 def q12_max_overlap_join(spark, sf):
-    return J.max_overlap(_boxes(spark, sf).where("id % 2 = 0"), _pairs(spark, sf), 0.1).withColumn("overlap", F.round("overlap", 4))
+    return J.max_overlap_of(_boxes(spark, sf).where("id % 2 = 0"), _boxes(spark, sf).where("id % 2 = 1"), ["brand"], *CELL, 0.1).withColumn("overlap", F.round("overlap", 4))
 
 
 @query(f"WITH {_OVER} SELECT brand, a, b, round(overlap, 4) AS overlap FROM o")
