@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..scratch import Scratch
+from .joins import meeting
 
 
 def upsert(log: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -23,11 +24,9 @@ def upsert(log: DataFrame, keys: list[str], order: str) -> DataFrame:
 def by_precedence(sources: list[DataFrame], reach: float) -> DataFrame:
     """Union of labelled points (id, x, y, verdict), earlier sources first: a later point within ``reach`` of an earlier source's is dropped."""
     out = sources[0].select("id", "x", "y", "verdict").withColumn("rank", F.lit(0))
-    cell = lambda c: F.floor(F.col(c) / reach)
     for k, s in enumerate(sources[1:], 1):
-        near = F.explode(F.array(*[F.struct((cell("x") + i).alias("i"), (cell("y") + j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("cell")
-        kept = out.select(F.struct(cell("x").alias("i"), cell("y").alias("j")).alias("cell"), F.col("x").alias("ox"), F.col("y").alias("oy"))
-        hit = s.select("id", "x", "y", near).join(kept, "cell").where(F.sqrt(F.pow(F.col("x") - F.col("ox"), 2) + F.pow(F.col("y") - F.col("oy"), 2)) <= reach).select("id").distinct()
+        kept = out.select(F.lit(0).alias("node"), "x", "y", F.lit(0).alias("part"))
+        hit = _candidates(s.select("id", "x", "y"), kept, reach, 1).select("id").distinct()
         out = out.unionByName(s.select("id", "x", "y", "verdict").join(hit, "id", "left_anti").withColumn("rank", F.lit(k)))
     return out
 
@@ -141,16 +140,18 @@ def to_mercator(lon: Column, lat: Column) -> tuple[Column, Column]:
 
 def snapped(points: DataFrame, nodes: DataFrame, reach: float = 25.0) -> DataFrame:
     """Nearest passable node of each point no farther than ``reach`` (ties: the smaller node): id, node, distance; null where there is none."""
-    cell = lambda c: F.floor(F.col(c) / reach)
-    around = F.explode(F.array(*[F.struct((cell("x") + i).alias("i"), (cell("y") + j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("cell")
-    n = nodes.select("node", F.col("x").alias("nx"), F.col("y").alias("ny"), F.struct(cell("x").alias("i"), cell("y").alias("j")).alias("cell"))
-    d = F.sqrt(F.pow(F.col("x") - F.col("nx"), 2) + F.pow(F.col("y") - F.col("ny"), 2))
-    best = points.select("id", "x", "y", around).join(n, "cell").where(d <= reach).groupBy("id").agg(F.min(F.struct(d.alias("d"), "node")).alias("m"))
+    near = _candidates(points, nodes.select("node", "x", "y", F.lit(0).alias("part")), reach, 1)
+    best = near.groupBy("id").agg(F.min(F.struct("d", "node")).alias("m"))
     return points.select("id").join(best, "id", "left").select("id", F.col("m.node").alias("node"), F.col("m.d").alias("distance"))
 
 
 def candidates(points: DataFrame, nodes: DataFrame, reach: float, k: int) -> DataFrame:
-    """Up to ``k`` nodes of each point within ``reach``, the nearest of each local component: id, node, rank. ``nodes``: node, x, y, part.
+    """Up to ``k`` nodes of each point within ``reach``, the nearest of each local component: id, node, rank. ``nodes``: node, x, y, part."""
+    return _candidates(points, nodes, reach, k).select("id", "node", "rank")
+
+
+def _candidates(points: DataFrame, nodes: DataFrame, reach: float, k: int) -> DataFrame:
+    """``candidates``, with their distance d.
 
     Places are met once. The search starts with the radius in which a crowd has some nodes and widens by three: a
     place that has k components within a radius has its nearest, and only the others look on.
@@ -172,15 +173,15 @@ def candidates(points: DataFrame, nodes: DataFrame, reach: float, k: int) -> Dat
         cell = lambda c, r=r: F.floor(F.col(c) / r)
         around = F.explode(F.array(*[F.struct((cell("x") + i).alias("i"), (cell("y") + j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("cell")
         d = F.sqrt(F.pow(F.col("x") - F.col("nx"), 2) + F.pow(F.col("y") - F.col("ny"), 2))
-        near = left.select("x", "y", around).join(n.withColumn("cell", F.struct(cell("nx").alias("i"), cell("ny").alias("j"))), "cell")
+        near = meeting(left.select("x", "y", around), n.withColumn("cell", F.struct(cell("nx").alias("i"), cell("ny").alias("j"))), ["cell"])
         per = near.where(d <= r).groupBy("x", "y", "part").agg(F.min(F.struct(d.alias("d"), "node")).alias("m"))
         w = W.partitionBy("x", "y")
         per = per.withColumn("rank", F.row_number().over(w.orderBy("m")).cast("long")).withColumn("parts", F.count("*").over(w))
-        per = scratch.write(per.where((F.col("rank") <= k) & ((F.col("parts") >= k) | F.lit(r == reach))).select("x", "y", F.col("m.node").alias("node"), "rank"), "found")
+        per = scratch.write(per.where((F.col("rank") <= k) & ((F.col("parts") >= k) | F.lit(r == reach))).select("x", "y", F.col("m.node").alias("node"), F.col("m.d").alias("d"), "rank"), "found")
         found = per if found is None else found.unionByName(per)
         if r < reach:
             left = scratch.write(left.join(per.where("rank = 1"), ["x", "y"], "left_anti"), "left")
-    return scratch.settle(points.select("id", "x", "y").join(found, ["x", "y"]).select("id", "node", "rank"))
+    return scratch.settle(points.select("id", "x", "y").join(found, ["x", "y"]).select("id", "node", "d", "rank"))
 
 
 def answered(requests: DataFrame, known: DataFrame, statuses: tuple[str, ...]) -> DataFrame:
