@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .joins import cells
+from .joins import cells, meeting
 
 
 def pixels(df: DataFrame, key: str, values: str, width: int) -> DataFrame:
@@ -51,10 +51,10 @@ def box_union_area(boxes: DataFrame, key: str, cx: float, cy: float) -> DataFram
         F.greatest("y0", F.col("cell.j") * cy).alias("y0"),
         F.least("x1", (F.col("cell.i") + 1) * cx).alias("x1"),
         F.least("y1", (F.col("cell.j") + 1) * cy).alias("y1"),
-    ).where("x1 > x0 AND y1 > y0")
+    ).where("x1 > x0 AND y1 > y0").distinct()
     xs = b.select(key, "cell", F.explode(F.array("x0", "x1")).alias("x")).distinct()
     xs = xs.withColumn("nx", F.lead("x").over(W.partitionBy(key, "cell").orderBy("x"))).where("nx IS NOT NULL")
-    s = xs.join(b, [key, "cell"]).where("x0 <= x AND x1 >= nx")
+    s = meeting(xs, b, [key, "cell"]).where("x0 <= x AND x1 >= nx").select(key, "cell", "x", "nx", "y0", "y1").distinct()
     w = W.partitionBy(key, "cell", "x").orderBy("y0", "y1").rowsBetween(W.unboundedPreceding, -1)
     s = s.withColumn("reach", F.max("y1").over(w))
     return s.groupBy(key).agg(F.sum((F.col("nx") - F.col("x")) * F.greatest(F.lit(0.0), F.col("y1") - F.greatest("y0", F.coalesce("reach", "y0")))).alias("area"))
