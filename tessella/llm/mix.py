@@ -244,11 +244,12 @@ def taken(mix: Mix, places: bool = False) -> DataFrame:
     With ``places`` also slots: (shard, slot, block, from, words) of all of the row's stretches, from being the place in
     the block; there are at most ``repeats`` of them for each block that the row reaches into.
     """
+    # merged: Spark estimates slots by the rows of the draws, hundreds of times too few, and would broadcast them
     used = mix.slots.groupBy("order", "index").agg(F.count("*").alias("times"), *([F.collect_list(F.struct("shard", "slot")).alias("into")] if places else []))
     begin = F.greatest(F.col("at") - F.col("index") * mix.block, F.lit(0)).alias("from")
     stretch = F.flatten(F.collect_list(F.transform("into", lambda x: F.struct(x["shard"].alias("shard"), x["slot"].alias("slot"), F.col("index").alias("block"), F.col("from").alias("from"), F.col("words").alias("words"))))) if places else None
-    words = mix.pieces.join(used, ["order", "index"]).withColumn("from", begin).groupBy("order", "h", "size", "at").agg(F.sum(F.col("words") * F.col("times")).alias("taken"), *([F.sort_array(stretch).alias("slots")] if places else []))
+    words = mix.pieces.join(used.hint("merge"), ["order", "index"]).withColumn("from", begin).groupBy("order", "h", "size", "at").agg(F.sum(F.col("words") * F.col("times")).alias("taken"), *([F.sort_array(stretch).alias("slots")] if places else []))
     # a row of words is known by where it begins in its source; ids may be null or repeated
-    out = mix.docs.select(*mix.keep, "doc_id", "h", "size", "order", "at").join(words, ["order", "h", "size", "at"], "left")
+    out = mix.docs.select(*mix.keep, "doc_id", "h", "size", "order", "at").join(words.hint("merge"), ["order", "h", "size", "at"], "left")
     known = _known(mix.sources).select("order", "source", "source_size", "target")
     return out.join(known, "order").select(*mix.keep, "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), *(["slots"] if places else []))
