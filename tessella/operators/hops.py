@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
+from .joins import meeting
 
 
 @dataclass(frozen=True)
@@ -84,29 +85,30 @@ def gaps(rows: DataFrame, nodes: DataFrame, p: HopParams) -> DataFrame:
     r = r.select(*[(F.col(f"{c}0") + t * (F.col(f"{c}1") - F.col(f"{c}0"))).alias(f"p{c}") for c in "xy"], *[((F.col(f"{c}1") - F.col(f"{c}0")) / F.col("m")).alias(f"t{c}") for c in "xy"])
     for name, side in (("a", p.reach), ("b", -p.reach)):
         at = nodes.select(F.col("node").alias(name), F.col("i").alias("_i"), F.col("j").alias("_j"))
-        r = r.withColumns({"_i": F.floor((F.col("px") - side * F.col("ty")) / p.grid), "_j": F.floor((F.col("py") + side * F.col("tx")) / p.grid)}).join(at, ["_i", "_j"]).drop("_i", "_j")
+        r = r.withColumns({"_i": F.floor((F.col("px") - side * F.col("ty")) / p.grid), "_j": F.floor((F.col("py") + side * F.col("tx")) / p.grid)})
+        r = meeting(r, at, ["_i", "_j"]).drop("_i", "_j")
     return r.where("a != b")
 
 
 def clear(hops: DataFrame, rows: DataFrame, canopies: DataFrame, forbidden: DataFrame, nodes: DataFrame, crossings: int, p: HopParams) -> DataFrame:
     """Pairs (a, b) that cross exactly so many rows through a free corridor: a, b, tier, metres."""
     at = lambda s: nodes.select(F.col("node").alias(s), *[((F.col(c) + 0.5) * p.grid).alias(f"{s}{x}") for c, x in (("i", "x"), ("j", "y"))], F.col("outside").alias(f"{s}_out"))
-    h = hops.select("a", "b").distinct().join(at("a"), "a").join(at("b"), "b")
+    h = meeting(meeting(hops.select("a", "b").distinct(), at("a"), ["a"]), at("b"), ["b"])
     s, wide = [F.col(c) for c in ("ax", "ay", "bx", "by")], p.width
     dealt = h.withColumn("cell", F.explode(_box_cells(F.least("ax", "bx") - wide, F.least("ay", "by") - wide, F.greatest("ax", "bx") + wide, F.greatest("ay", "by") + wide, p.cell)))
     ends = [F.col(c) for c in ("x0", "y0", "x1", "y1")]
     line = rows.select("row_id", *ends, F.explode(line_cells(*ends, p.cell)).alias("cell"))
-    crossed = dealt.join(line, "cell").where(segments_meet(s, ends)).groupBy("a", "b").agg(F.count_distinct("row_id").alias("crossed"))
-    h = h.join(crossed.where(F.col("crossed") == crossings).select("a", "b"), ["a", "b"])
-    dealt = dealt.join(crossed.where(F.col("crossed") == crossings).select("a", "b"), ["a", "b"], "left_semi")
+    crossed = meeting(dealt, line, ["cell"]).where(segments_meet(s, ends)).groupBy("a", "b").agg(F.count_distinct("row_id").alias("crossed"))
+    h = h.join(crossed.where(F.col("crossed") == crossings).select("a", "b").hint("merge"), ["a", "b"])
+    dealt = dealt.join(crossed.where(F.col("crossed") == crossings).select("a", "b").hint("merge"), ["a", "b"], "left_semi")
     small = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")) < p.young_m2
     boxes = canopies.select(*ends, F.when(small, 1).otherwise(2).alias("kind")).unionByName(forbidden.select(*ends, F.lit(3).alias("kind")))
     boxes = boxes.withColumn("cell", F.explode(_box_cells(*ends, p.cell)))
-    hit = dealt.join(boxes, "cell").where(corridor_meets(s, ends, wide)).groupBy("a", "b").agg(F.max("kind").alias("hit"))
+    hit = meeting(dealt, boxes, ["cell"]).where(corridor_meets(s, ends, wide)).groupBy("a", "b").agg(F.max("kind").alias("hit"))
     tier = F.when(F.col("hit").isNull(), 1).when(F.col("hit") == 1, 2)
     share = (F.col("a_out") + F.col("b_out")) / 2
     metres = F.sqrt(F.pow(F.col("bx") - F.col("ax"), 2) + F.pow(F.col("by") - F.col("ay"), 2)) * ((1 - share) + share * p.outside_weight)
-    out = h.join(hit, ["a", "b"], "left").withColumn("tier", tier)
+    out = h.join(hit.hint("merge"), ["a", "b"], "left").withColumn("tier", tier)
     most = 2 if p.young_penalty is not None and crossings == 1 else 1
     return out.where(F.col("tier") <= most).select("a", "b", "tier", metres.alias("metres"))
 
@@ -120,17 +122,17 @@ def hop_edges(rows: DataFrame, canopies: DataFrame, forbidden: DataFrame, nodes:
     price = F.col("metres") + F.when(F.col("tier") == 1, p.penalty).otherwise(p.young_penalty or 0.0)
     found = [free.select("a", "b", price.alias("cost"), "tier", F.lit(1).alias("crossed"))]
     if p.rows_max > 1:
-        g = g.join(free.select("a", "b"), ["a", "b"])
+        g = g.join(free.select("a", "b").hint("merge"), ["a", "b"])
         way = lambda sign: g.select(F.col("a" if sign < 0 else "b").alias("start"), F.col("b" if sign < 0 else "a").alias("end"), "px", "py", "tx", "ty", (sign * -F.col("ty")).alias("dx"), (sign * F.col("tx")).alias("dy"))
         xy = lambda s: nodes.select(F.col("node").alias(s), *[((F.col(c) + 0.5) * p.grid).alias(f"{s}_{x}") for c, x in (("i", "x"), ("j", "y"))])
         cell = lambda c: F.floor(F.col(c) / p.near)
         pieces = way(-1).unionByName(way(1))
-        second = scratch.write(pieces.join(xy("start"), "start").select(F.col("start").alias("near"), F.col("end").alias("far"), *[F.col(c).alias(f"q{c}") for c in ("px", "py", "tx", "ty", "dx", "dy")], "start_x", "start_y", F.struct(cell("start_x").alias("i"), cell("start_y").alias("j")).alias("cell")), "pieces")
+        second = scratch.write(meeting(pieces, xy("start"), ["start"]).select(F.col("start").alias("near"), F.col("end").alias("far"), *[F.col(c).alias(f"q{c}") for c in ("px", "py", "tx", "ty", "dx", "dy")], "start_x", "start_y", F.struct(cell("start_x").alias("i"), cell("start_y").alias("j")).alias("cell")), "pieces")
         level = pieces
         for crossings in range(2, p.rows_max + 1):
-            ends = level.join(xy("end"), "end")
+            ends = meeting(level, xy("end"), ["end"])
             around = F.explode(F.array(*[F.struct((cell("end_x") + i).alias("i"), (cell("end_y") + j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("cell")
-            j = ends.select("*", around).join(second, "cell")
+            j = meeting(ends.select("*", around), second, ["cell"])
             ox, oy = F.col("qpx") - F.col("px"), F.col("qpy") - F.col("py")
             close = F.sqrt(F.pow(F.col("end_x") - F.col("start_x"), 2) + F.pow(F.col("end_y") - F.col("start_y"), 2)) <= p.near
             lined = (F.abs(ox * F.col("tx") + oy * F.col("ty")) <= p.align) & (ox * F.col("dx") + oy * F.col("dy") > p.apart) & (F.col("qdx") * F.col("dx") + F.col("qdy") * F.col("dy") > p.parallel)
@@ -138,7 +140,7 @@ def hop_edges(rows: DataFrame, canopies: DataFrame, forbidden: DataFrame, nodes:
             chained = scratch.write(chained.where("start != end").distinct(), "chained")
             free = scratch.write(clear(chained.select(F.col("start").alias("a"), F.col("end").alias("b")), rows, canopies, forbidden, nodes, crossings, p), "clear")
             found.append(free.select("a", "b", (F.col("metres") + crossings * p.penalty).alias("cost"), "tier", F.lit(crossings).alias("crossed")))
-            level = chained.join(free.select(F.col("a").alias("start"), F.col("b").alias("end")), ["start", "end"])
+            level = chained.join(free.select(F.col("a").alias("start"), F.col("b").alias("end")).hint("merge"), ["start", "end"])
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
