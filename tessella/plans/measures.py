@@ -17,6 +17,7 @@ from ..operators import joins as J
 from ..operators import measures as M
 from ..operators import refit as RF
 from ..operators import rollup as R
+from ..operators.joins import dealt, meeting
 from .reports import table
 from .rules import BOX, PIECE, _segment_sql, derived, derived_sql
 
@@ -41,7 +42,8 @@ def rings(df: DataFrame, kernel, schema: str) -> DataFrame:
         for pdf in batches:
             yield pd.DataFrame([t for r in pdf.itertuples(index=False) for t in kernel(r)], columns=names)
 
-    return df.mapInPandas(run, schema)
+    # by number: a row is much work here, and small tables are read in one task
+    return dealt(df, ["id"]).mapInPandas(run, schema)
 
 
 def ring(x0, y0, x1, y1) -> np.ndarray:
@@ -268,7 +270,7 @@ def q123_one_lattice(spark, sf):
     of = lambda s: {c: F.col(f"{s}_{c}") for c in ("angle", "spacing", "wave", "phase")}
     # only near angles can meet: cells of the limit
     cell = lambda s: F.floor(F.col(f"{s}_angle") / 3)
-    j = side("a").withColumn("cell", cell("a")).join(side("b").withColumn("cell", F.explode(F.array(cell("b") - 1, cell("b"), cell("b") + 1))), ["g", "cell"])
+    j = meeting(side("a").withColumn("cell", cell("a")), side("b").withColumn("cell", F.explode(F.array(cell("b") - 1, cell("b"), cell("b") + 1))), ["g", "cell"], spread=16)
     return j.where((F.col("a_id") < F.col("b_id")) & C.one_lattice(of("a"), of("b"))).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
 
 
