@@ -6,6 +6,7 @@ lies in its neighbourhood. Results that are lists of pairs are as large as the p
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -263,6 +264,114 @@ def greedy_match(scored: DataFrame, large: int = 200_000) -> DataFrame:
     return scratch.settle(out)
 
 
+def _matched_places(pairs: DataFrame, members: DataFrame, scratch: Scratch, large: int, mean: int = 8192) -> DataFrame:
+    """(part, i, j, score, a, b): greedy matching of the members (node, id) of places, by score, i, j descending, where ``pairs`` (part, a, b, score) says which places may be matched.
+
+    Connected components of pairs are decided in lots. While one has more than ``large`` pairs, the upper half of the
+    scores goes first, and the rest follows among what is left; but pairs of one score stay together.
+    """
+    kinds = dict(pairs.dtypes) | {"id": dict(members.dtypes)["id"]}
+
+    def match(p: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
+        m = m.sort_values("id", ignore_index=True)  # a member's number in this order stands for its id
+        left = {node: list(at) for node, at in m.groupby("node").indices.items()}
+        rows: list[tuple] = []
+        for score, tied in p.sort_values("score", ascending=False).groupby("score", sort=False):
+            near: dict[int, list[int]] = {}
+            for a, b in zip(tied["a"], tied["b"], strict=True):
+                near.setdefault(a, []).append(b)
+            part = dict(zip(tied["a"], tied["part"], strict=True))
+            heap = [(-left[a][-1], a) for a in near if left[a]]
+            heapq.heapify(heap)
+            while heap:
+                _, a = heapq.heappop(heap)
+                near[a] = [b for b in near[a] if left[b]]
+                if near[a]:
+                    b = max(near[a], key=lambda b: left[b][-1])
+                    rows.append((part[a], left[a].pop(), left[b].pop(), score, a, b))
+                    if left[a]:
+                        heapq.heappush(heap, (-left[a][-1], a))
+        out = pd.DataFrame(rows, columns=["part", "i", "j", "score", "a", "b"])
+        ids = m["id"]
+        return out.assign(i=ids.take(out["i"].astype(int)).to_numpy(), j=ids.take(out["j"].astype(int)).to_numpy())
+
+    out = None
+    while True:
+        top, low = pairs, None
+        while True:
+            roots = scratch.write(connected(top.select("a", "b"), scratch), "roots")
+            lots = top.join(roots.withColumnRenamed("node", "a"), "a")
+            if (lots.groupBy("root").count().agg(F.max("count")).first()[0] or 0) <= large:
+                break
+            least, middle, best = top.agg(F.min("score"), F.percentile_approx("score", 0.5), F.max("score")).first()
+            if least == best:
+                break
+            low = middle if middle > least else best
+            top = scratch.write(top.where(F.col("score") >= low), "top")
+        mine = scratch.write(members.join(roots, "node"), "members")
+        lot = F.pmod(F.xxhash64("root"), F.lit(max(1, max(top.count(), mine.count()) // mean))).alias("lot")
+        schema = f"part {kinds['part']}, i {kinds['id']}, j {kinds['id']}, score double, a long, b long"
+        got = lots.select(*pairs.columns, lot).groupBy("lot").cogroup(mine.select("node", "id", lot).groupBy("lot")).applyInPandas(match, schema)
+        got = scratch.write(got, "matched")
+        out = got if out is None else out.unionByName(got)
+        if low is None:
+            return out
+        members = scratch.write(members.join(_used(got), ["node", "id"], "left_anti"), "members")
+        open_ = scratch.write(members.select("node").distinct(), "open")
+        rest = pairs.where(F.col("score") < low)
+        for side in "a", "b":
+            rest = rest.join(open_.withColumnRenamed("node", side), side, "left_semi")
+        pairs = scratch.write(rest.select(*pairs.columns), "pairs")
+        if pairs.isEmpty():
+            return out
+
+
+def _used(matched: DataFrame) -> DataFrame:
+    return matched.select(F.col("a").alias("node"), F.col("i").alias("id")).unionByName(matched.select(F.col("b").alias("node"), F.col("j").alias("id")))
+
+
+def greedy_match_boxes(left: DataFrame, right: DataFrame, part: str, cx: float, cy: float, least: float, digits: int = 6, large: int = 200_000, most: int = 1 << 20) -> DataFrame:
+    """``greedy_match`` (part, i, j, score) of boxes (id, part, x0, y0, x1, y1) by their share of overlap in union, rounded, where it is at least ``least``; but not by way of all pairs.
+
+    Boxes at the same place are one place with several members, and places meet once. Places are paired from the top
+    score down, as far as there are at most ``most`` pairs or two for each place; what is matched is gone before the next
+    lower scores are paired, so a crowd's pairs are counted but not kept.
+    """
+    scratch = Scratch(left.sparkSession, "matching")
+    place = ["x0", "y0", "x1", "y1"]
+    sides = [df.select(F.col(part).alias("part"), F.lit(k).alias("side"), "id", *place) for k, df in enumerate((left, right))]
+
+    def scored(rows: DataFrame, name: str) -> DataFrame:
+        l, r = (rows.where(F.col("side") == k).select("part", F.col(name).alias("id"), *place) for k in (0, 1))
+        p = overlaps(l, r, ["part"], cx, cy)
+        # tried: the filter may run before the join's own condition, on boxes that don't meet
+        iou = F.try_divide(F.col("overlap"), F.col("area_a") + F.col("area_b") - F.col("overlap"))
+        return p.where(iou >= least).select("part", "a", "b", F.round(iou, digits).alias("score"))
+
+    boxes = scratch.write(sides[0].unionByName(sides[1]).where("part IS NOT NULL").distinct(), "boxes")
+    if not boxes.groupBy("part", "side", "id").count().where("count > 1").isEmpty():
+        # an id with several places is used at all of them at once
+        return greedy_match(scored(boxes, "id").select("part", F.col("a").alias("i"), F.col("b").alias("j"), "score"), large)
+    out = boxes.limit(0).select("part", F.col("id").alias("i"), F.col("id").alias("j"), F.lit(0.0).alias("score"))
+    while True:
+        places = scratch.write(boxes.select("part", "side", *place).distinct().withColumn("node", F.monotonically_increasing_id()), "places")
+        pairs = scored(places, "node").withColumn("_level", F.floor(F.col("score") * 1000))
+        levels = sorted((tuple(r) for r in pairs.groupBy("_level").count().collect()), reverse=True)  # at most 1,001
+        if not levels:
+            break
+        bound = max(most, 2 * places.count())
+        total = np.cumsum([n for _, n in levels])
+        last = max(0, int(np.searchsorted(total, bound, "right")) - 1)
+        kept = scratch.write(pairs.where(F.col("_level") >= levels[last][0]).drop("_level"), "pairs")
+        members = scratch.write(boxes.join(places, ["part", "side", *place]), "members")
+        got = _matched_places(kept, members.select("node", "id"), scratch, large)
+        out = out.unionByName(got.select("part", "i", "j", "score"))
+        if last == len(levels) - 1:
+            break
+        boxes = scratch.write(members.join(_used(got), ["node", "id"], "left_anti").select(*boxes.columns), "boxes")
+    return scratch.settle(out)
+
+
 def suppressed(points: DataFrame, reach: float, large: int = 200_000) -> DataFrame:
     """Greedy suppression, best score first (ties: the smaller id): points (part, id, x, y, score) farther than ``reach`` from every better one that is kept.
 

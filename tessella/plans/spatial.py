@@ -176,10 +176,8 @@ r AS (SELECT part, k, i, j, score, true AS kept, [i] AS li, [j] AS lj FROM k WHE
 SELECT part, i, j, score FROM r WHERE kept"""
 )
 def q52_greedy_match(spark, sf):
-    p = _pairs(spark, sf)
-    # tried: the filter may run before the join's own condition, on boxes that don't meet
-    iou = F.try_divide(F.col("overlap"), F.col("area_a") + F.col("area_b") - F.col("overlap"))
-    return J.greedy_match(p.where(iou >= 0.1).select(F.col("brand").alias("part"), F.col("a").alias("i"), F.col("b").alias("j"), F.round(iou, 6).alias("score")))
+    b = _boxes(spark, sf)
+    return J.greedy_match_boxes(b.where("id % 2 = 0"), b.where("id % 2 = 1"), "brand", *CELL, 0.1)
 
 
 _EDGES = "e AS (SELECT n_nationkey AS s, (n_nationkey * 7 + 1) % 25 AS d, 1 + n_nationkey % 5 AS c FROM nation UNION ALL SELECT n_nationkey, (n_nationkey * 3 + 2) % 25, 2 + n_nationkey % 3 FROM nation)"

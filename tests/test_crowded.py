@@ -141,3 +141,42 @@ def test_matching_in_lots_and_rounds(spark):
     df = spark.createDataFrame(rows, "part string, i long, j long, score double").repartition(3)
     for large in (200_000, 0):
         assert sorted(map(tuple, J.greedy_match(df, large).collect())) == sorted(want)
+
+
+def _matched(rows, least):
+    """(part, i, j, score) of boxes (part, side, id, x0, y0, x1, y1), all pairs one after the other."""
+    pairs, used, want = [], set(), set()
+    for p, _, i, ax0, ay0, ax1, ay1 in (r for r in rows if r[1] == 0):
+        for q, _, j, bx0, by0, bx1, by1 in (r for r in rows if r[1] == 1):
+            w, h = min(ax1, bx1) - max(ax0, bx0), min(ay1, by1) - max(ay0, by0)
+            if p == q and w > 0 and h > 0 and (s := w * h / ((ax1 - ax0) * (ay1 - ay0) + (bx1 - bx0) * (by1 - by0) - w * h)) >= least:
+                pairs.append((round(s, 6), i, j, p))
+    for s, i, j, p in sorted(pairs, reverse=True):
+        if (p, 0, i) not in used and (p, 1, j) not in used:
+            used |= {(p, 0, i), (p, 1, j)}
+            want.add((p, i, j, s))
+    return want
+
+
+def test_matching_of_boxes(spark):
+    """As all pairs one by one: places with several boxes, tied scores, bands of scores, components in rounds, an id at two places."""
+    rng = np.random.default_rng(5)
+    rows = list({(f"p{i % 2}", i // 2 % 2, i, float(x), float(y), float(x + w), float(y + h)) for i, (x, y, w, h) in enumerate(rng.integers((0, 0, 1, 1), (12, 12, 5, 5), (400, 4)))})
+    kind = "part string, side int, id long, x0 double, y0 double, x1 double, y1 double"
+    for extra in ([], [("p0", 0, 4, 3.0, 3.0, 6.0, 6.0)]):
+        df = spark.createDataFrame(rows + extra, kind)
+        want = _matched(rows + extra, 0.1)
+        for large, most in ((200_000, 1 << 20), (10, 1 << 20), (10, 1)):
+            got = J.greedy_match_boxes(df.where("side = 0"), df.where("side = 1"), "part", 5.0, 5.0, 0.1, large=large, most=most)
+            assert {tuple(r) for r in got.collect()} == want
+    assert J.greedy_match_boxes(df.limit(0), df.where("side = 1"), "part", 5.0, 5.0, 0.1).count() == 0
+
+
+def test_matching_of_a_crowd(spark):
+    """40,000 boxes at two places that overlap, and one box apart: no pairs of boxes are made."""
+    k = F.col("id")
+    b = spark.range(40_001).select("id", F.lit("p").alias("part"), F.when(k < 40_000, k % 2 * 1.0).otherwise(90.0).alias("x0"), F.lit(0.0).alias("y0"))
+    b = b.withColumn("x1", F.col("x0") + 4).withColumn("y1", F.col("y0") + 4)
+    with within(spark, 60):
+        got = sorted((r["i"], r["j"]) for r in J.greedy_match_boxes(b.where("id % 2 = 0"), b.where("id % 2 = 1"), "part", 40.0, 60.0, 0.1).collect())
+    assert got == [(i, i + 1) for i in range(0, 40_000, 2)]
