@@ -21,14 +21,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import noding
 from ..scratch import Scratch
+from .joins import dealt
 
 ENDS = ("x0", "y0", "x1", "y1")
 MAX_ROUNDS = 64
+#: Edges of small groups taken at a time.
+SOME = 2048
 
 
 def ring_edges(points: DataFrame, key: str, grid: float) -> DataFrame:
@@ -310,10 +315,58 @@ def ring_areas(corners: DataFrame) -> DataFrame:
     return corners.groupBy("k", "ring").agg(F.count("*").alias("corners"), twice.alias("twice"), F.sum(F.hypot(F.col("x1") - F.col("x"), F.col("y1") - F.col("y"))).alias("perimeter"))
 
 
-def repaired(points: DataFrame, key: str, grid: float, scratch: Scratch, cell: int | None = None) -> DataFrame:
-    """Rings of the even-odd area of each ring of points (key, at, x, y), moved to the grid: what ``rings`` returns, k being the key."""
-    e = noded(ring_edges(points, key, grid), scratch, cell)
-    return rings(boundary(e, scratch, even_odd=True, cell=cell), scratch)
+def small_rings(edges: DataFrame) -> DataFrame:
+    """``rings`` of the even-odd area of small groups: edges, all of a group in one task and side by side, become rings in memory, some groups at a time."""
+
+    def ringed(t: pa.Table) -> pa.RecordBatch:
+        keys = t["k"].combine_chunks()
+        g = _numbers(keys)
+        g, e = noding.boundary(*noding.noded(g, np.stack([t[c].to_numpy() for c in ENDS]), MAX_ROUNDS)[:3])
+        ids = np.arange(len(g))
+        ring, at = named(ids, noding.turns(g, e))
+        order, new = noding._distinct(ring, e[0], e[1])
+        again = np.flatnonzero(np.isin(ring, ring[order][~new]))
+        if len(again):
+            ring[again], at[again] = named(again, again[noding.turns(ring[again], e[:, again], clockwise=False)])
+        first = np.searchsorted(_numbers(keys), g)
+        return pa.RecordBatch.from_arrays([keys.take(pa.array(first)), *[pa.array(c) for c in (ring, at, *e)]], ["k", "ring", "at", "x", "y", "x1", "y1"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            while b.num_rows:
+                piece, b = b.slice(0, SOME), b.slice(SOME)
+                t = pa.Table.from_batches([*held, piece])
+                # the last group may go on
+                g = _numbers(t["k"].combine_chunks())
+                cut = int(np.searchsorted(g, g[-1]))
+                if cut:
+                    yield ringed(t.slice(0, cut))
+                held = t.slice(cut).to_batches()
+        if held:
+            yield ringed(pa.Table.from_batches(held))
+
+    kind = edges.select("k").schema[0].dataType.simpleString()
+    return edges.select("k", *ENDS).sortWithinPartitions("k").mapInArrow(run, f"k {kind}, ring long, at long, x long, y long, x1 long, y1 long")
+
+
+def _numbers(keys: pa.Array) -> np.ndarray:
+    """Numbers of groups that lie side by side."""
+    codes = pc.fill_null(keys.dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
+    return np.cumsum(np.diff(codes, prepend=codes[:1]) != 0).astype(np.int64)
+
+
+def repaired(points: DataFrame, key: str, grid: float, scratch: Scratch, cell: int | None = None, most: int = 256) -> DataFrame:
+    """Rings of the even-odd area of each ring of points (key, at, x, y), moved to the grid: what ``rings`` returns, k being the key.
+
+    Rings of no more than ``most`` points are repaired in memory, so that only their points are shuffled; larger ones by joins.
+    """
+    large = scratch.write(points.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > most).select(key), "large")
+    if large.isEmpty():
+        return small_rings(ring_edges(dealt(points, [key]), key, grid))
+    e = noded(ring_edges(points.join(large, key, "left_semi"), key, grid), scratch, cell)
+    crowded = rings(boundary(e, scratch, even_odd=True, cell=cell), scratch)
+    return small_rings(ring_edges(dealt(points.join(large, key, "left_anti"), [key]), key, grid)).unionByName(crowded)
 
 
 def union_outlines(edges: DataFrame, scratch: Scratch, cell: int | None = None) -> DataFrame:

@@ -96,6 +96,45 @@ def test_repair_of_random_rings(spark):
                 assert G.union_area([x]) == pytest.approx(abs(signed(x)), rel=1e-9)
 
 
+def test_small_rings_are_those_of_the_joins(spark):
+    """The same rings in memory, in batches that cut them, as by joins; keys of two kinds, one null."""
+    rng = np.random.default_rng(21)
+    # a fine grid, since which way a crossing halfway between points goes hangs on the order of its edges
+    rings = {k: rng.integers(-2_000_000, 2_000_000, (int(rng.integers(3, 30)), 2)) for k in range(40)} | {100 + k: r for k, r in CASES.items() if k != 3}
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    found = lambda points, most: {(k, frozenset(c)) for (k, _), c in _rings(O.repaired(points, "k", 1.0, Scratch(spark, "small"), most=most).collect()).items()}
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+        p = rows_of(spark, rings)
+        small = found(p, 256)
+        assert len(small) > 500 and small == found(p, 12) == found(p, 0)
+        assert found(p.withColumn("k", F.when(F.col("k") != 3, F.concat(F.lit("r"), "k"))), 256) == {(None if k == 3 else f"r{k}", c) for k, c in small}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+def _rings(rows):
+    out = {}
+    for r in rows:
+        out.setdefault((r.k, r.ring), []).append((r.x, r.y, r.x1, r.y1))
+    return out
+
+
+def test_small_rings_shuffle_their_points_only(spark):
+    """200 rings of 32 points that cross some 150 times each: what is shuffled and written is as the points."""
+
+    def moved():
+        store = spark._jsparkSession.sparkContext().statusStore()
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteBytes() + stages.apply(i).outputBytes() for i in range(stages.size()))
+
+    k = F.col("id")
+    p = spark.range(6400).select(F.floor(k / 32).alias("k"), (k % 32).alias("at"), F.rand(1).alias("x"), F.rand(2).alias("y"))
+    before = moved()
+    n = O.ring_areas(O.repaired(p, "k", 2.0**-20, Scratch(spark, "small"))).agg(F.sum("corners")).first()[0]
+    assert n > 40_000 and moved() - before < 2_000_000
+
+
 def test_area_is_where_crossings_are_odd(spark):
     rng = np.random.default_rng(3)
     rings = {k: rng.integers(0, 12, (9, 2)) * 1000 for k in range(20)}
