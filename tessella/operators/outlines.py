@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ..functions import noding
 from ..scratch import Scratch
-from .joins import dealt
+from .joins import dealt, meeting
 
 ENDS = ("x0", "y0", "x1", "y1")
 MAX_ROUNDS = 64
@@ -374,6 +374,41 @@ def union_outlines(edges: DataFrame, scratch: Scratch, cell: int | None = None)
     return rings(boundary(noded(edges, scratch, cell), scratch, even_odd=False, cell=cell), scratch)
 
 
+def box_outlines(boxes: DataFrame, key: str, scratch: Scratch, cell: int | None = None) -> DataFrame:
+    """``union_outlines`` of boxes (key, x0, y0, x1, y1 on the grid), however crowded: no pairs of edges are made.
+
+    In each cell the union is cut into slabs at every x, and intervals are united in a slab. Of the sides of what that
+    leaves, those of neighbours cancel along each line, and the rest is the boundary; lines part where it turns.
+    """
+    b = scratch.write(boxes.where("x0 < x1 AND y0 < y1").select(F.col(key).alias("k"), *[F.col(c).cast("long").alias(c) for c in ENDS]).distinct(), "boxes")
+    c = cell or 2 * usual_cell(b)
+    own = ["k", "i", "j"]
+    for n, z in (("i", "x"), ("j", "y")):
+        b = b.withColumn(n, F.explode(F.sequence(F.floor(F.col(f"{z}0") / c), F.floor((F.col(f"{z}1") - 1) / c))))
+    low = [F.greatest(z, F.col(n) * c).alias(z) for n, z in (("i", "x0"), ("j", "y0"))]
+    high = [F.least(z, (F.col(n) + 1) * c).alias(z) for n, z in (("i", "x1"), ("j", "y1"))]
+    b = b.select(*own, *low, *high).distinct()
+    xs = b.select(*own, F.explode(F.array("x0", "x1")).alias("x")).distinct()
+    xs = xs.withColumn("nx", F.lead("x").over(W.partitionBy(*own).orderBy("x"))).where("nx IS NOT NULL")
+    s = meeting(xs, b, own).where("x0 <= x AND x1 >= nx").select(*own, "x", "nx", "y0", "y1").distinct()
+    w = W.partitionBy(*own, "x").orderBy("y0", "y1")
+    s = s.withColumn("reach", F.max("y1").over(w.rowsBetween(W.unboundedPreceding, -1)))
+    s = s.withColumn("n", F.count_if(F.col("reach").isNull() | (F.col("y0") > F.col("reach"))).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    united = scratch.write(s.groupBy(*own, "x", "nx", "n").agg(F.min("y0").alias("y0"), F.max("y1").alias("y1")), "united")
+
+    def lines(band: str, forward: str, back: str, lo: str, hi: str) -> DataFrame:
+        """k, at, a, b: the stretches of lines that bound area, from a to b; sides of cells that share a line meet in their band."""
+        ends = F.array(*[F.struct(F.col(at).alias("at"), F.col(z).alias("a"), F.lit(v).alias("v")) for at, sign in ((forward, 1), (back, -1)) for z, v in ((lo, sign), (hi, -sign))])
+        e = united.select("k", band, F.explode(ends).alias("e")).groupBy("k", band, "e.at", "e.a").agg(F.sum("e.v").alias("v")).where("v != 0")
+        w = W.partitionBy("k", band, "at").orderBy("a")
+        e = e.select("k", "at", "a", F.lead("a").over(w).alias("b"), F.sum("v").over(w.rowsBetween(W.unboundedPreceding, 0)).alias("v")).where("v != 0")
+        return e.select("k", "at", F.when(F.col("v") > 0, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(F.col("v") > 0, F.col("b")).otherwise(F.col("a")).alias("b"))
+
+    level = lines("i", "y0", "y1", "x", "nx").select("k", F.col("a").alias("x0"), F.col("at").alias("y0"), F.col("b").alias("x1"), F.col("at").alias("y1"))
+    upright = lines("j", "nx", "x", "y0", "y1").select("k", F.col("at").alias("x0"), F.col("a").alias("y0"), F.col("at").alias("x1"), F.col("b").alias("y1"))
+    return rings(level.unionByName(upright), scratch)
+
+
 def largest_filled(corners: DataFrame, least: float = 0.0) -> DataFrame:
     """k, ring, twice, parts: each group's largest part without its holes, and how many parts have more than ``least`` (twice the area)."""
     shells = ring_areas(corners).where(F.col("twice") > F.greatest(F.lit(least), F.lit(0.0)))

@@ -51,6 +51,6 @@ SELECT brand, count(*)::DOUBLE AS area, (4 * count(*) - 2 * (count(*) FILTER (ri
 def q151_union_outlines(spark, sf):
     """Area and perimeter of each brand's union of boxes from its rings, and how many more parts than holes it has."""
     scratch = Scratch(spark, "outlines")
-    areas = O.ring_areas(O.union_outlines(O.box_edges(_boxes(spark, sf), "brand"), scratch))
+    areas = O.ring_areas(O.box_outlines(_boxes(spark, sf), "brand", scratch))
     shells = F.sum(F.when(F.col("twice") > 0, 1).otherwise(-1)).alias("parts_less_holes")
     return scratch.settle(areas.groupBy(F.col("k").alias("brand")).agg((F.sum("twice") / 2.0).alias("area"), F.sum("perimeter").alias("perimeter"), shells))

@@ -1,6 +1,7 @@
 """Ring repair and union outlines against even-odd areas, unit cells and flood fills."""
 
 import math
+import threading
 from fractions import Fraction
 
 import numpy as np
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import geometry as G
 from tessella.operators import outlines as O
+from tessella.plans import catalog
 from tessella.scratch import Scratch
 
 
@@ -198,6 +200,37 @@ def test_union_outlines_are_the_cells(spark):
             assert most[k].twice == 2 * max(filled) and most[k].parts == len(filled)
 
 
+def test_box_outlines_are_those_of_the_edges(spark):
+    """Boxes by slabs as by their edges: areas and perimeters of rings, which pass no point twice."""
+    groups = {k: boxes(n, k) - 9 for k, n in enumerate((1, 2, 5, 20, 60, 200, 60, 20))} | {99: np.array([(0, 0, 4, 4), (4, 4, 8, 8), (0, 8, 4, 12), (8, 0, 12, 4), (8, 8, 12, 12)])}
+    df = spark.createDataFrame([(k, *map(int, b)) for k, g in groups.items() for b in [*g, g[0]]], "k int, x0 long, y0 long, x1 long, y1 long").repartition(3)
+    found = lambda corners: sorted((r.k, r.twice, r.perimeter) for r in O.ring_areas(corners).collect())
+    want = found(O.union_outlines(O.box_edges(df, "k"), Scratch(spark, "union")))
+    for cell in (None, 4, 7):
+        corners = O.box_outlines(df, "k", Scratch(spark, "boxes"), cell).cache()
+        assert found(corners) == want and len(want) > 30
+        assert not any(crossing(r) for r in collected(corners).values())
+    assert O.box_outlines(df.limit(0), "k", Scratch(spark, "none")).count() == 0
+
+
+def test_union_of_a_crowd(spark, tmp_path):
+    """120,000 boxes of one brand, nearly all of them different, in the query's own 500 by 500: no pairs of edges are made."""
+    k = F.col("id")
+    spark.range(120_000).select(k.alias("p_partkey"), F.lit("b").alias("p_brand"), (k * 7919 % 10_007 % 50 + 1).cast("int").alias("p_size")).write.parquet(f"{tmp_path}/part.parquet")
+    timer = threading.Timer(60, spark.sparkContext.cancelAllJobs)
+    timer.start()
+    try:
+        got = catalog.queries()["q151_union_outlines"](spark, str(tmp_path)).collect()
+    finally:
+        timer.cancel()
+    grid = np.zeros((540, 540), bool)
+    for i in range(120_000):
+        x, y = (i * 7919 % 10_007 % 50 + 1) * 10, i * 37 % 500
+        grid[x : x + 5 + i % 20, y : y + 10 + i % 30] = True
+    pad = np.pad(grid, 1)
+    assert [(r.area, r.perimeter) for r in got] == [(grid.sum(), (np.diff(pad, axis=0) != 0).sum() + (np.diff(pad, axis=1) != 0).sum())]
+
+
 def test_crowded_and_empty(spark):
     scratch = Scratch(spark, "crowd")
     # all in one group; long edges that each cross many
