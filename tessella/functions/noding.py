@@ -29,7 +29,7 @@ def _rounded(v: np.ndarray) -> np.ndarray:
     return (np.sign(v) * np.floor(np.abs(v) + 0.5)).astype(np.int64)
 
 
-def _distinct(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def distinct(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order by the columns, first one first, and where a new value begins in it."""
     order = np.lexsort(columns[::-1])
     new = np.ones(len(order), bool)
@@ -41,7 +41,7 @@ def merged(g: np.ndarray, e: np.ndarray, n: np.ndarray, net: np.ndarray) -> tupl
     """Edges by their ends, the smaller end first, with the sums of n and net."""
     back = (e[0] > e[2]) | ((e[0] == e[2]) & (e[1] > e[3]))
     e, net = np.where(back, e[[2, 3, 0, 1]], e), np.where(back, -net, net)
-    order, new = _distinct(g, *e)
+    order, new = distinct(g, *e)
     at = np.flatnonzero(new)
     return g[order][at], e[:, order][:, at], np.add.reduceat(n[order], at), np.add.reduceat(net[order], at)
 
@@ -76,7 +76,7 @@ def cuts(g: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, ...]:
     edge, x, y = (np.concatenate(c) for c in found)
     inside = ((x != e[0][edge]) | (y != e[1][edge])) & ((x != e[2][edge]) | (y != e[3][edge]))
     edge, x, y = edge[inside], x[inside], y[inside]
-    order, new = _distinct(edge, x, y)
+    order, new = distinct(edge, x, y)
     return tuple(c[order][new] for c in (edge, x, y))
 
 

@@ -324,7 +324,7 @@ def small_rings(edges: DataFrame) -> DataFrame:
         g, e = noding.boundary(*noding.noded(g, np.stack([t[c].to_numpy() for c in ENDS]), MAX_ROUNDS)[:3])
         ids = np.arange(len(g))
         ring, at = named(ids, noding.turns(g, e))
-        order, new = noding._distinct(ring, e[0], e[1])
+        order, new = noding.distinct(ring, e[0], e[1])
         again = np.flatnonzero(np.isin(ring, ring[order][~new]))
         if len(again):
             ring[again], at[again] = named(again, again[noding.turns(ring[again], e[:, again], clockwise=False)])
