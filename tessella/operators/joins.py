@@ -12,13 +12,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
 from .components import components as connected
-from .components import forest
+from .components import forest, with_least
 
 
 def dealt(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -428,14 +429,117 @@ def _by_rounds(points: DataFrame, reach: float, scratch: Scratch) -> DataFrame:
     return kept
 
 
-def merged_lines(segments: DataFrame) -> DataFrame:
-    """Segments (line, k, a, b; a and b name end points) with ``root``, the smallest k of the chain that they form: ends where exactly two segments meet join them."""
-    scratch = Scratch(segments.sparkSession, "lines")
-    s = scratch.write(segments.select("line", F.col("k").cast("long").alias("k"), "a", "b"), "segments")
+def _chains(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For the segments (line, k, a, b) of whole lines, the rows of a line side by side: the piece of each row (rows of one k are one piece), a row of each piece, and the piece with the smallest k of each piece's chain."""
+    line, k = t["line"].combine_chunks(), t["k"].combine_chunks()
+    row = np.cumsum(np.concatenate(([0], pc.not_equal(line[1:], line[:-1]).to_numpy(zero_copy_only=False))).astype(np.int64))
+    nameless, k = k.is_null().to_numpy(zero_copy_only=False), k.fill_null(0).to_numpy()
+    order = np.lexsort((k, nameless, row))
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([np.diff(c[order]) != 0 for c in (k, nameless, row)], axis=0)
+    piece = np.empty(len(order), np.int64)
+    piece[order] = np.cumsum(new) - 1
+    first = order[new]
+    ends = pa.chunked_array([*t["a"].chunks, *t["b"].chunks]).combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy().astype(np.int64)
+    end = np.tile(row, 2) * (ends.max() + 1) + ends
+    there = np.flatnonzero(ends >= 0)
+    there = there[np.argsort(end[there], kind="stable")]
+    starts = np.flatnonzero(np.diff(end[there], prepend=-1))
+    two = starts[np.diff(starts, append=len(there)) == 2]
+    p, q = piece[there[two] % len(row)], piece[there[two + 1] % len(row)]
+    joined = (p != q) & ~nameless[first[p]] & ~nameless[first[q]]
+    chain = np.arange(len(first))
+    root, low = forest(p[joined], q[joined])
+    chain[low] = root
+    return piece, first, chain
+
+
+def _line_roots(t: pa.Table) -> pa.Table:
+    piece, first, chain = _chains(t)
+    return t.append_column("root", t["k"].take(pa.array(first[chain[piece]])))
+
+
+def _line_parts(t: pa.Table) -> pa.Table:
+    _, first, chain = _chains(t)
+    roots, pieces = np.unique(chain, return_counts=True)
+    at = pa.array(first[roots])
+    return pa.table({"line": t["line"].take(at), "root": t["k"].take(at), "pieces": pa.array(pieces.astype(np.int64))})
+
+
+def _whole_lines(s: DataFrame, kernel, schema: str) -> DataFrame:
+    """A kernel over tables of whole lines: lines are dealt to tasks, and a task holds a batch and one line at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            line = batch["line"]
+            # the last line of a batch may go on in the next one
+            cuts = np.flatnonzero(pc.not_equal(line[1:], line[:-1]).to_numpy(zero_copy_only=False)) + 1
+            cut = int(cuts[-1]) if len(cuts) else 0
+            if cut or (held and not line[0].equals(held[-1]["line"][-1])):
+                yield from kernel(pa.Table.from_batches([*held, batch.slice(0, cut)])).combine_chunks().to_batches()
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield from kernel(pa.Table.from_batches(held)).combine_chunks().to_batches()
+
+    return dealt(s, ["line"]).sortWithinPartitions("line").mapInArrow(run, schema)
+
+
+def _crowded_lines(s: DataFrame, scratch: Scratch, large: int) -> DataFrame | None:
+    """Lines of more than ``large`` segments, if there are any. Lines are counted by buckets first, so that few counts are shuffled."""
+    bucket = F.pmod(F.xxhash64("line"), F.lit(1 << 16))
+    more = F.col("count") > large
+    full = scratch.write(s.groupBy(bucket.alias("_bucket")).count().where(more).select("_bucket"), "full")
+    if full.isEmpty():
+        scratch.drop(full)
+        return None
+    lines = s.withColumn("_bucket", bucket).join(F.broadcast(full), "_bucket").groupBy("line").count()
+    found = scratch.write(lines.where(more).select("line"), "crowded")  # fewer than rows / large
+    scratch.drop(full)
+    return None if found.isEmpty() else F.broadcast(found)
+
+
+def _crowded_roots(s: DataFrame, scratch: Scratch) -> DataFrame:
+    """``merged_lines`` of lines that are too many segments for one task."""
+    s = scratch.write(s, "segments")
     name = lambda k: F.xxhash64("line", k)
-    ends = s.select("line", "k", F.explode(F.array("a", "b")).alias("node"))
+    ends = s.select("line", "k", F.explode(F.array("a", "b")).alias("node")).where("node IS NOT NULL")
     joints = ends.groupBy("line", "node").agg(F.count("*").alias("n"), F.min("k").alias("lo"), F.max("k").alias("hi")).where("n = 2 AND lo < hi")
+    joints = scratch.write(joints.select("line", "lo", "hi"), "joints")
     roots = connected(joints.select(name("lo").alias("a"), name("hi").alias("b")), scratch)
-    named = s.withColumn("node", name("k")).join(roots, "node", "left").withColumn("group", F.coalesce("root", "node")).drop("root")
-    first = named.groupBy("line", "group").agg(F.min("k").alias("root"))
-    return scratch.settle(named.join(first, ["line", "group"]).select("line", "k", "a", "b", "root"))
+    # what isn't joined to another segment is its own root
+    joined = joints.select("line", F.explode(F.array("lo", "hi")).alias("k")).distinct().withColumn("node", name("k"))
+    met = scratch.write(joined.join(roots, "node").select("k", F.struct("line", "root").alias("chain")), "met")
+    least = with_least(met, "chain", "k", met.count()).select("chain.line", "k", F.col("m").alias("root"))
+    return scratch.settle(s.join(least, ["line", "k"], "left").select("line", "k", "a", "b", F.coalesce("root", "k").alias("root")))
+
+
+def _merged(segments: DataFrame, large: int, kernel, columns: str, rest) -> DataFrame:
+    """A kernel over the whole lines of segments, and the same from ``merged_lines``' rows for those that have no line or are crowded."""
+    end = segments.select(F.array("a", "b").alias("e")).schema["e"].dataType.elementType
+    s = segments.select("line", F.col("k").cast("long").alias("k"), F.col("a").cast(end).alias("a"), F.col("b").cast(end).alias("b"))
+    lines = s.where("line IS NOT NULL")
+    out = rest(s.where("line IS NULL").withColumn("root", F.col("k")))
+    crowded = _crowded_lines(lines, Scratch(s.sparkSession, "lines"), large)
+    if crowded is not None:
+        out = out.unionByName(rest(_crowded_roots(lines.join(crowded, "line"), Scratch(s.sparkSession, "lines"))))
+        lines = lines.join(crowded, "line", "left_anti")
+    return _whole_lines(lines, kernel, f"line {s.schema['line'].dataType.simpleString()}, {columns.format(end=end.simpleString())}").unionByName(out)
+
+
+def merged_lines(segments: DataFrame, large: int = 1 << 18) -> DataFrame:
+    """Segments (line, k, a, b; a and b name end points) with ``root``, the smallest k of the chain that they form: ends where exactly two segments meet join them. Null ends meet nothing, nor do segments without a line.
+
+    Chains stay inside lines, so segments are shuffled once, by their lines; lines of more than ``large`` segments are
+    chained by joins.
+    """
+    return _merged(segments, large, _line_roots, "k long, a {end}, b {end}, root long", lambda df: df.select("line", "k", "a", "b", "root"))
+
+
+def merged_parts(segments: DataFrame, large: int = 1 << 18) -> DataFrame:
+    """The chains of ``merged_lines``: line, root, and ``pieces``, how many different k each has. They are counted where they are found, without another shuffle."""
+    # a line's segments without a k are one piece
+    return _merged(segments, large, _line_parts, "root long, pieces long", lambda df: df.groupBy("line", "root").agg(F.greatest(F.lit(1).cast("long"), F.count_distinct("k")).alias("pieces")))

@@ -430,7 +430,7 @@ c AS (SELECT line, node, min(root) AS root FROM r GROUP BY ALL) SELECT line, roo
 )
 def q139_merged_lines(spark, sf):
     s = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("line"), (F.col("l_partkey") * 100000 + F.col("l_suppkey") * 10 + F.col("l_linenumber")).alias("k"), (F.col("l_partkey") % 12).alias("a"), (F.col("l_suppkey") % 12 + 12 * (F.col("l_linenumber") % 2)).alias("b"))
-    return J.merged_lines(s).groupBy("line", F.col("root").alias("part")).agg(F.count_distinct("k").alias("pieces"))
+    return J.merged_parts(s).withColumnRenamed("root", "part")
 
 
 @query(
